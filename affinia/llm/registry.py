@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from affinia.llm import kd_shards
+from affinia.llm import decontaminate, kd_shards
 
 
 def queries() -> dict:
-    return {"op1_kd_shards": kd_shards.op1_kd_shards}
+    return {"op1_kd_shards": kd_shards.op1_kd_shards, "op10_decontaminate": decontaminate.op10_decontaminate}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
