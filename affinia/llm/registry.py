@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from affinia.llm import decontaminate, kd_shards
+from affinia.llm import decontaminate, kd_shards, secrets
+
+_ALL = [
+    (kd_shards.op1_kd_shards, None),
+    (secrets.op5_secrets, secrets.ORACLE_SQL),
+    (decontaminate.op10_decontaminate, decontaminate.ORACLE_SQL),
+]
 
 
 def queries() -> dict:
-    return {"op1_kd_shards": kd_shards.op1_kd_shards, "op10_decontaminate": decontaminate.op10_decontaminate}
+    return {q.__name__: q for q, _ in _ALL}
 
 
 def oracle_sql() -> dict:
-    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {q.__name__: sql for q, sql in _ALL if sql}
