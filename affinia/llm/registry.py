@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from affinia.llm import decontaminate, kd_shards, secrets
+from affinia.llm import decontaminate, jaccard_join, kd_shards, secrets
 
 _ALL = [
     (kd_shards.op1_kd_shards, None),
     (secrets.op5_secrets, secrets.ORACLE_SQL),
+    (jaccard_join.op9_jaccard_join, jaccard_join.ORACLE_SQL),
     (decontaminate.op10_decontaminate, decontaminate.ORACLE_SQL),
 ]
 
