@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from affinia.llm import decontaminate, jaccard_join, kd_shards, secrets
+from affinia.llm import decontaminate, html_text, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
 
 _ALL = [
     (kd_shards.op1_kd_shards, None),
+    (html_text.op2_html_text, None),
+    (quality_cnn.op4_quality_cnn, None),
     (secrets.op5_secrets, secrets.ORACLE_SQL),
+    (sentencepiece_sa.op6_sentencepiece, None),
+    (warc.op7_warc, warc.ORACLE_SQL),
     (jaccard_join.op9_jaccard_join, jaccard_join.ORACLE_SQL),
     (decontaminate.op10_decontaminate, decontaminate.ORACLE_SQL),
 ]

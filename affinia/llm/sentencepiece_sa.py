@@ -145,7 +145,7 @@ def suffix_array(raw: np.ndarray, deep: int) -> np.ndarray:
         same = group[1:] == group[:-1]
         tied[1:] |= same
         tied[:-1] |= same
-        tied &= left[order[where]] > depth
+        tied &= left[order[where]] >= depth
         where, group = where[tied], group[tied]
         if not len(where):
             break
