@@ -3,7 +3,11 @@
 ``df.write.format("warc")`` writes one file a task, a record a row; the driver's commit publishes a manifest that names
 the files of the tasks that counted and, for each, places about SPLIT_BYTES apart where a record begins. The reader
 plans one partition a stretch between such places. In a stretch headers are parsed first: records that fail the
-pushed-down predicates on them are stepped over by their length, and a payload is read only if it is asked for.
+pushed-down predicates on them are stepped over by their length, and a payload is inflated only if it is asked for.
+
+Each record is a gzip member of its own, as WARC advises, whose extra field "sl" has the member's length, so that one
+can be stepped over; members without it, and plain files, are read as well. A folder without a manifest is read file
+by file.
 
 Paths are opened through pyarrow's file systems, so they may be of any store that those know.
 """
@@ -12,7 +16,9 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -63,6 +69,14 @@ def record(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 4) -> bytes:
+    """One gzip member, with its whole length in the extra field."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    extra = struct.pack("<2sHII", b"sl", 8, len(body) + 32, len(data))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     name: str
@@ -77,11 +91,11 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, batches) -> WriterCommitMessage:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        name, at, splits = f"part-{uuid.uuid4().hex}.warc", 0, [0]
-        with system.open_output_stream(f"{root}/{name}") as out:
+        name, at, splits = f"part-{uuid.uuid4().hex}.warc.gz", 0, [0]
+        with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             for b in batches:
                 for row in b.to_pylist():
-                    got = record(row)
+                    got = member(record(row))
                     if at - splits[-1] >= SPLIT_BYTES:
                         splits.append(at)
                     out.write(got)
@@ -105,6 +119,74 @@ class WarcStretch(InputPartition):
     stop: int
 
 
+class _Stream:
+    """Bytes of a file from any place on, kept while they are looked at."""
+
+    def __init__(self, file):
+        self.file, self.base, self.buf = file, 0, b""
+
+    def at(self, place: int, n: int) -> bytes:
+        """n bytes from place on; fewer at the file's end."""
+        a = place - self.base
+        if a < 0 or a + n > len(self.buf):
+            self.file.seek(place)
+            self.base, self.buf, a = place, self.file.read(max(n, 1 << 18)), 0
+        return self.buf[a : a + n]
+
+
+class _Plain:
+    """A record in a plain file."""
+
+    def __init__(self, stream: _Stream, at: int):
+        self.stream, self.at, n = stream, at, 1 << 12
+        while (end := (got := stream.at(at, n)).find(b"\r\n\r\n")) < 0:
+            if len(got) < n:
+                raise ValueError(f"no end of headers after {at}")
+            n *= 2
+        self.head, self.body = got[:end], at + end + 4
+
+    def end(self, length: int) -> int:
+        return self.body + length + 4
+
+    def payload(self, length: int) -> bytes:
+        return self.stream.at(self.body, length)
+
+
+class _Member:
+    """A record in a gzip member; inflated only as far as is asked."""
+
+    def __init__(self, stream: _Stream, at: int):
+        self.stream, self.start = stream, at
+        first = stream.at(at, 32)
+        self.length = struct.unpack_from("<I", first, 16)[0] if first[3:4] == b"\x04" and first[12:16] == b"sl\x08\0" else None
+        self.z, self.fed, self.out = zlib.decompressobj(31), at, b""
+        while (end := self.out.find(b"\r\n\r\n")) < 0:
+            if not self._more(1 << 11):
+                raise ValueError(f"no end of headers after {at}")
+        self.head, self.body = self.out[:end], end + 4
+
+    def _more(self, n: int) -> bool:
+        if self.z.eof:
+            return False
+        got = self.z.unconsumed_tail or self.stream.at(self.fed, 1 << 13)
+        if not self.z.unconsumed_tail:
+            self.fed += len(got)
+        self.out += self.z.decompress(got, n)
+        return bool(got)
+
+    def end(self, length: int) -> int:
+        if self.length is None:
+            while self._more(1 << 20):
+                pass
+            self.length = self.fed - len(self.z.unused_data) - self.start
+        return self.start + self.length
+
+    def payload(self, length: int) -> bytes:
+        while len(self.out) < self.body + length and self._more(1 << 20):
+            pass
+        return self.out[self.body : self.body + length]
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, want_payload: bool):
         self.path, self.want_payload, self.tests = path, want_payload, []
@@ -122,13 +204,15 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = _open(self.path)
-        out = []
-        for info in system.get_file_info(fs.FileSelector(root)):
-            if info.base_name.startswith("manifest-"):
-                with system.open_input_stream(info.path) as f:
-                    for x in json.loads(f.read())["files"]:
-                        edges = [*x["splits"], x["size"]]
-                        out += [WarcStretch(x["name"], a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+        found = system.get_file_info(fs.FileSelector(root))
+        out, manifests = [], [i for i in found if i.base_name.startswith("manifest-")]
+        for info in manifests:
+            with system.open_input_stream(info.path) as f:
+                for x in json.loads(f.read())["files"]:
+                    edges = [*x["splits"], x["size"]]
+                    out += [WarcStretch(x["name"], a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+        if not manifests:
+            out = [WarcStretch(i.base_name, 0, i.size) for i in found if i.size and i.base_name.endswith((".warc", ".warc.gz"))]
         return sorted(out, key=lambda p: (p.name, p.start))
 
     def _passes(self, head: dict) -> bool:
@@ -143,18 +227,12 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(c, pa.int64() if c in NUMBERS else pa.string()) for c in HEADERS] + [("payload", pa.binary())])
         rows, size = [], 0
         of = {h.lower(): c for c, h in HEADERS.items()}
+        kind = _Member if partition.name.endswith(".gz") else _Plain
         with system.open_input_file(f"{root}/{partition.name}") as f:
-            at, buf, base = partition.start, b"", partition.start
+            stream, at = _Stream(f), partition.start
             while at < partition.stop:
-                # Headers first; the payload may be stepped over without being read.
-                end = buf.find(b"\r\n\r\n", at - base)
-                while end < 0:
-                    f.seek(at)
-                    buf, base = f.read(max(1 << 16, 2 * len(buf) if base == at else 0)), at
-                    end = buf.find(b"\r\n\r\n")
-                    if end < 0 and at + len(buf) >= partition.stop:
-                        raise ValueError(f"{partition.name}: no end of headers after {at}")
-                lines = buf[at - base : end].decode().split("\r\n")
+                got = kind(stream, at)
+                lines = got.head.decode("utf-8", "replace").split("\r\n")
                 if not lines[0].startswith("WARC/"):
                     raise ValueError(f"{partition.name}: no record at {at}")
                 head: dict = dict.fromkeys(HEADERS)
@@ -164,19 +242,11 @@ class WarcReader(DataSourceReader):
                     if column:
                         value = value.strip()
                         head[column] = int(value) if column in NUMBERS else _unclean(value) if column == "target_uri" else value.strip("<>") if column == "record_id" else value.removeprefix("sha256:")
-                body, n = base + end + 4, head["content_length"]
-                at = body + n + 4
-                if not self._passes(head):
-                    continue
-                payload = None
-                if self.want_payload:
-                    if body - base + n <= len(buf):
-                        payload = buf[body - base : body - base + n]
-                    else:
-                        f.seek(body)
-                        payload = f.read(n)
-                rows.append(head | {"payload": payload})
-                size += 500 + (n if payload is not None else 0)
+                n = head["content_length"]
+                if self._passes(head):
+                    rows.append(head | {"payload": got.payload(n) if self.want_payload else None})
+                    size += 500 + (n if self.want_payload else 0)
+                at = got.end(n)
                 if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, size = [], 0
