@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from affinia.llm import decontaminate, html_text, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
+from affinia.llm import cdc_dedup, decontaminate, html_text, itq_neighbors, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
 
 _ALL = [
     (kd_shards.op1_kd_shards, None),
     (html_text.op2_html_text, None),
+    (itq_neighbors.op3_itq_neighbors, None),
     (quality_cnn.op4_quality_cnn, None),
     (secrets.op5_secrets, secrets.ORACLE_SQL),
     (sentencepiece_sa.op6_sentencepiece, None),
     (warc.op7_warc, warc.ORACLE_SQL),
+    (cdc_dedup.op8_cdc_repeats, None),
     (jaccard_join.op9_jaccard_join, jaccard_join.ORACLE_SQL),
     (decontaminate.op10_decontaminate, decontaminate.ORACLE_SQL),
 ]
