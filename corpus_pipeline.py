@@ -1,10 +1,68 @@
-"""A corpus from raw documents to tokens, one operator a stage."""
+"""A corpus from raw documents to tokens, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
+reads it again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from affinia.llm import decontaminate, jaccard_join, quality_cnn, secrets, sentencepiece_sa
+from affinia.session import stored, table
+
+
+def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from the labelled rows of docs that are not held out."""
+    net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_cnn.score(docs, net).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id; of its repeated rows one."""
+    classes = jaccard_join.jaccard_classes(docs)
+    rest = classes.where("NOT kept").select("doc_id").distinct()
+    numbered = docs.join(rest, "doc_id", "left_anti").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return numbered.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+
+
+def secret_removal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets overwritten; n_chars follows."""
+    found, _ = secrets.blob_ledger_scan(docs.select("doc_id", "text"))
+    hits = found.where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("_spans"))
+    hits = hits.select("blob", "_spans", F.explode(F.sequence(F.lit(0), F.lit(secrets.SALTS - 1))).alias("_salt"))
+    keyed = docs.withColumns({"blob": F.sha2(F.coalesce("text", F.lit("")), 256), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(secrets.SALTS)).cast("int")})
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("_spans")))
+    out = keyed.join(hits, ["blob", "_salt"], "left").withColumn("text", text)
+    return out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document's text."""
+    return sentencepiece_sa.encode(docs.select("doc_id", "text", "lang", "source")).drop("text")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_removal),
+    ("SentencePiece encoding and decoding", tokens),
+]
+#: The classifier and the tokenizer are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage{i}")
+    return docs
