@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from affinia.plans import search
+
 FLAGSHIP = "f1_target_search"
-_MODULES: list = []
+_MODULES = [search]
 
 
 def queries() -> dict:
