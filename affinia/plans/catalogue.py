@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from affinia.plans import search
+from affinia.plans import etl, search
 
 FLAGSHIP = "f1_target_search"
-_MODULES = [search]
+_MODULES = [search, etl]
 
 
 def queries() -> dict:
