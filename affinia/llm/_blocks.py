@@ -19,6 +19,20 @@ BLOCK = 512
 NONE = np.iinfo(np.int64).max
 
 
+#: Ids that are broadcast at most; each takes about 16 bytes in a task's memory.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """rows whose id is (left_semi) or isn't (left_anti) in ids, a written table of distinct ids.
+
+    Up to BROADCAST_IDS of them are counted and sent to the tasks, so that long rows needn't be dealt by id; more are
+    joined by a shuffle.
+    """
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, on, how)
+
+
 def memberships(items: DataFrame, id_col: str = "rep", keys: str = "keys") -> DataFrame:
     """(id, groups) for the items that share a bucket with another; groups: array of (pos, g, c) by table."""
     flat = items.select(F.col(id_col), F.posexplode(keys).alias("pos", "key"))

@@ -182,8 +182,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = named.groupBy("sig_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     reps = stored(reps, "reps")
     groups = _blocks.memberships(reps)
-    near = reps.drop("keys").join(groups, "rep")
-    near = near.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    near = stored(reps.drop("keys").join(groups, "rep"), "near")
+    near = near.join(_blocks.by_ids(docs.select(F.col("doc_id").alias("rep"), "text"), near.select("rep"), "rep", "left_semi"), "rep")
     found = stored(_blocks.spread(near).select("rep", "mult", "sig", "sig_id", "groups", "text", "_s", "_g", "_i", "_j").mapInArrow(_compare(threshold), "rep long, links long, root long"), "links")
     classes = connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
