@@ -106,6 +106,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             doc, start, size, words, d = chunks_of(b.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(pa.array(doc)), pa.array(start), pa.array(size.astype(np.int16)), pa.array(words.astype(np.int16))], names=["d", "doc_id", "start", "size", "words"])
+        _text.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "d long, doc_id long, start long, size short, words short")
 

@@ -57,6 +57,7 @@ def _counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
             total += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=schema)
+        _text.release()
 
     out = np.zeros(len(vocabulary), np.int64)
     if len(vocabulary):
@@ -177,6 +178,7 @@ def _one_block(docs: DataFrame, index: _Index) -> DataFrame:
                     found = sorted({index.ids[o] for w in np.unique(win[d == doc]) for o in index.owners[w]})
                     items[doc], sha[doc] = len(found), hashlib.sha256(",".join(found).encode()).hexdigest()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words), pa.array(hit), pa.array(items), pa.array(sha), pa.array(hit > 0)], names=[f.name for f in schema])
+        _text.release()
 
     return docs.mapInArrow(mark, schema)
 

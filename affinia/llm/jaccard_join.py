@@ -92,6 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(k.astype(np.int64))
                 sigs.append(low.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "sig_id", "keys", "sig"])
+        _text.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig_id binary, keys array<long>, sig binary")
 

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinia.llm._text import release
 from affinia.session import bound_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SEP = 0xFF
 START, UNKNOWN = -2, -1
-KEEP_UNITS, KEEP_BYTES = 800_000, 1 << 16
+#: Units and pairs of pieces that a worker remembers, units it looks up at once, and a unit's bytes above which it isn't kept.
+KEEP_UNITS, KEEP_PAIRS, AT_ONCE, KEEP_BYTES = 250_000, 400_000, 25_000, 1 << 16
 
 
 def _fields(buf: bytes):
@@ -89,6 +91,10 @@ class Model:
         self.normal = [i for p, i in self.ids.items() if self.bpe(p) == [i]]  # the others never come out
         self.normal_bytes = [self.pieces[i].encode() for i in self.normal]
         self.length = np.array([len(p.encode()) for p in self.pieces], np.int64)
+        self.normal_ids = np.array(self.normal, np.int64)
+        self.normal_length = self.length[self.normal_ids]
+        number = lambda pad: np.array([int.from_bytes(p[:8].ljust(8, pad), "big") for p in self.normal_bytes], np.uint64)
+        self.low, self.high = number(b"\0"), number(b"\xff")
         self.deep = max(map(len, self.normal_bytes))
         self.out_len = np.array([len(t) for t in self.text], np.int64)
         self.out_at = np.concatenate([[0], np.cumsum(self.out_len)[:-1]])
@@ -114,6 +120,8 @@ class Model:
         free = (left < 0) | (right < 0)
         code = left.astype(np.int64) * len(self.pieces) + right
         pairs, back = np.unique(code[~free], return_inverse=True)
+        if len(self.apart) > KEEP_PAIRS:
+            self.apart.clear()
         known = self.apart
         ok = np.empty(len(pairs), bool)
         for i, c in enumerate(pairs.tolist()):
@@ -127,13 +135,19 @@ class Model:
         return out
 
 
-def suffix_array(raw: np.ndarray, deep: int) -> np.ndarray:
-    """Suffixes sorted by their first deep bytes, or up to the separator: by eight bytes, then ties by eight more."""
+def _keys(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number each; past the end there are separators."""
+    wide = np.concatenate([raw, np.full(8, SEP, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)).view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_array(raw: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by their first deep bytes, or up to the separator, and the first eight bytes of each.
+
+    They are sorted by eight bytes, then ties by eight more, until none is left.
+    """
     n = len(raw)
-    wide = np.concatenate([raw, np.full(8, SEP, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n + 1, np.uint64)
-    for i in range(8):
-        key[:n] = key[:n] << np.uint64(8) | wide[i : n + i]
+    key = _keys(raw)
     seps = np.flatnonzero(raw == SEP)
     left = np.append(seps, n)[np.searchsorted(seps, np.arange(n))] - np.arange(n)  # bytes before the separator
     order = np.argsort(key[:n])
@@ -156,23 +170,29 @@ def suffix_array(raw: np.ndarray, deep: int) -> np.ndarray:
         group, more = group[by], more[by]
         group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (more[1:] != more[:-1]))])
         depth += 8
-    return order
+    return order, got
 
 
 def edges(model: Model, raw: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Position and piece of every occurrence of every piece in the text, whose units have at most longest bytes."""
-    deep = min(model.deep, longest)
-    order = suffix_array(raw, deep)
-    wide = np.concatenate([raw, np.full(deep, SEP, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(wide, deep)[: len(raw)]
-    sorted_ = np.ascontiguousarray(view[order]).view(f"S{deep}").ravel()
-    here = [i for i, p in enumerate(model.normal_bytes) if len(p) <= deep]
-    low = np.array([model.normal_bytes[i] for i in here], f"S{deep}")
-    high = np.array([model.normal_bytes[i].ljust(deep, b"\xff") for i in here], f"S{deep}")
-    lo, hi = np.searchsorted(sorted_, low), np.searchsorted(sorted_, high, "right")
+    order, got = suffix_array(raw, min(model.deep, longest))
+    # Binary search of all pieces by eight bytes; of the longer ones that may be there, by all of theirs.
+    lo, hi = np.searchsorted(got, model.low), np.searchsorted(got, model.high, "right")
+    long = np.flatnonzero((hi > lo) & (model.normal_length > 8))
+    if len(long):
+        deep = int(model.normal_length[long].max())
+        some = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lo[long].tolist(), hi[long].tolist())]))
+        view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.full(deep, SEP, np.uint8)]), deep)
+        text = np.ascontiguousarray(view[order[some]]).view(f"S{deep}").ravel()
+        pieces = [model.normal_bytes[i] for i in long.tolist()]
+        a = np.searchsorted(text, np.array(pieces, f"S{deep}"))
+        b = np.searchsorted(text, np.array([p.ljust(deep, b"\xff") for p in pieces], f"S{deep}"), "right")
+        # A piece's occurrences are neighbours in the order, so among the ones looked at too.
+        lo[long] = np.where(b > a, some[np.minimum(a, len(some) - 1)], 0)
+        hi[long] = lo[long] + (b - a)
     n = hi - lo
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    return order[at], np.repeat(np.array(model.normal, np.int64)[here], n)
+    return order[at], np.repeat(model.normal_ids, n)
 
 
 def encode_units(model: Model, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,9 +274,10 @@ class Coder:
         find, index = self.model.unit.findall, self.index
         units = [find(((SPACE if self.model.prefix else "") + t).replace(" ", SPACE)) if t else [] for t in texts]
         new = list(dict.fromkeys(filterfalse(index.__contains__, chain.from_iterable(units))))
-        if new:
-            ids, n = encode_units(self.model, new)
-            index.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            ids, n = encode_units(self.model, part)
+            index.update(zip(part, range(len(self.at) - 1, len(self.at) - 1 + len(part))))
             end = int(self.at[-1]) + len(ids)
             if end > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
@@ -300,7 +321,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     text back, as it does unless the text has the character that the model writes spaces with. Repeated rows get equal
     ids, an empty table none.
     """
-    bound_batches(docs.sparkSession, rows=2048, size=4 << 20)
+    bound_batches(docs.sparkSession, rows=1024, size=2 << 20)
     docs = docs.drop("ids", "n_tokens", "ids_sha256", "lossless")
     at = docs.columns.index(text)
     schema = docs.withColumns({"ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "lossless": F.lit(True)}).schema
@@ -316,6 +337,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
             sha = [hashlib.sha256(packed[4 * i : 4 * j]).hexdigest() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
             lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.diff(cut)), pa.array(sha), pa.array(same)], names=[f.name for f in schema])
+        release()
 
     return docs.mapInArrow(run, schema)
 
