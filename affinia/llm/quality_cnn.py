@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm._text import buffers
+from affinia.llm._text import buffers, release
 from affinia.session import bound_batches, table
 
 CHUNK, OVERLAP, WIDTH, EMBED, FILTERS = 512, 32, 4, 8, 16
-SAMPLE, CHUNKS, EPOCHS = 2000, 6, 24
+#: Labelled rows and chunks of each that training takes at most, and its steps, of BATCH rows each.
+SAMPLE, CHUNKS, STEPS, BATCH = 2000, 6, 600, 64
 THRESHOLD = 0.7
 SLICE = 1 << 18
 
@@ -77,7 +78,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[bytes], labels: list[int], chunks: int = CHUNKS, epochs: int = EPOCHS, seed: int = 7) -> Net:
+def train(texts: list[bytes], labels: list[int], chunks: int = CHUNKS, steps: int = STEPS, seed: int = 7) -> Net:
     """Adam on the logistic loss, the two classes weighted alike; without both classes the share of ones is the score."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -98,8 +99,8 @@ def train(texts: list[bytes], labels: list[int], chunks: int = CHUNKS, epochs: i
     first = np.searchsorted(owner, np.arange(len(y) + 1))
     class_weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
+    while step < steps:
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH))[: steps - step]:
             step += 1
             idx = np.concatenate([np.arange(first[i], first[i + 1]) for i in part]).astype(np.int64)
             doc = np.repeat(np.arange(len(part)), first[part + 1] - first[part])
@@ -135,7 +136,7 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chunks: int = CHUNKS, epochs: int = EPOCHS) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chunks: int = CHUNKS, steps: int = STEPS) -> Net:
     """Train on at most ``sample`` labelled rows that are not held out."""
     mine = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -148,10 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chunks: int =
     parts = F.transform(F.sequence(F.lit(0), take - 1), lambda i: F.substring(raw, (F.floor(i * (k - 1) / F.greatest(take - 1, F.lit(1))) * step + 1).cast("int"), F.lit(CHUNK)))
     got = docs.where("text IS NOT NULL AND text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", parts.alias("parts"))
     rows = sorted(got.collect(), key=lambda r: (r.doc_id, [bytes(x) for x in r.parts]))
-    return train_chunks([[bytes(x) for x in r.parts] for r in rows], [int(r.quality) for r in rows], epochs)
+    return train_chunks([[bytes(x) for x in r.parts] for r in rows], [int(r.quality) for r in rows], steps)
 
 
-def train_chunks(docs: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) -> Net:
+def train_chunks(docs: list[list[bytes]], labels: list[int], steps: int = STEPS) -> Net:
     """train() on texts given as chunks: joined so that each chunk is cut out again where it was."""
     joined = []
     for parts in docs:
@@ -159,7 +160,7 @@ def train_chunks(docs: list[list[bytes]], labels: list[int], epochs: int = EPOCH
         for i, c in enumerate(parts):
             t += c if i == len(parts) - 1 else c[: CHUNK - OVERLAP].ljust(CHUNK - OVERLAP, b"\0")
         joined.append(t)
-    return train(joined, labels, chunks=1 << 30, epochs=epochs)
+    return train(joined, labels, chunks=1 << 30, steps=steps)
 
 
 def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,6 +181,7 @@ def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
             feats = np.array([pooled(raw[i:j], head, tail) for i, j in zip(off[:-1].tolist(), off[1:].tolist())], np.float64).reshape(-1, FILTERS)
             s = sigmoid(feats @ weight + shift)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[f.name for f in schema])
+        release()
 
     return docs.mapInArrow(run, schema)
 
