@@ -102,9 +102,10 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str = "size", shards: int
     dims are numeric columns; null and NaN count as 0. Give the number of shards, or target_bytes for
     ceil(total / target_bytes) of them. Sizes of shards differ from the mean by a few tolerances and one row's size at
     most. Repeated rows and ties are told apart by their place in the input. An empty table gives no rows.
-    Columns named _uid, _h and _d0, _d1, ... are made and dropped; the rest of the columns stay.
+    Columns named shard or slot are replaced; _uid, _h, _id, _part, _own, _from and _d0, _d1, ... are dropped; the rest stay.
     """
     ds = [f"_d{i}" for i in range(len(dims))]
+    rows = rows.drop(*[c for c in ("shard", "slot", "_uid", "_h", "_id", "_part", "_own", "_from", *ds) if c not in dims])
     number = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     t = rows.withColumns({d: number(c) for d, c in zip(ds, dims)}).withColumn("_uid", F.monotonically_increasing_id())
     t = t.withColumn("_h", F.pmod(F.xxhash64(F.col(size), *ds, "_uid"), F.lit(1 << 52)).cast("double"))
@@ -131,7 +132,7 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str = "size", shards: int
     start = counts.withColumn("_from", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).drop("_n")
     own = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_id")) - 1
     out = placed.withColumn("_own", own).join(start, ["shard", "_part"]).withColumn("slot", F.col("_from") + F.col("_own"))
-    return out.select(*[c for c in rows.columns if c not in ("shard", "slot")], "shard", "slot")
+    return out.select(*rows.columns, "shard", "slot")
 
 
 def op1_kd_shards(spark, sf_dir: str) -> DataFrame:

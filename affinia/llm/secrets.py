@@ -66,8 +66,10 @@ def blob_ledger_scan(versions: DataFrame, ledger: DataFrame | None = None, rules
 
     versions has one row for each historical version of each path, with a text column; a null text counts as empty.
     The findings are versions without the text, plus ``blob`` and ``spans``. The ledger's columns are blob,
-    rule_version and spans. Repeated rows each get the findings; an empty table gives none.
+    rule_version and spans. Repeated rows each get the findings; an empty table gives none. Columns of versions
+    named blob, spans or _salt are replaced, the rest stay.
     """
+    versions = versions.drop("blob", "spans", "_salt")
     named = versions.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("blob", F.sha2(F.col(text), 256))
     unseen = named.groupBy("blob").agg(F.first(text).alias(text)) if ledger is None else (
         named.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first(text).alias(text))
@@ -75,7 +77,7 @@ def blob_ledger_scan(versions: DataFrame, ledger: DataFrame | None = None, rules
     new = scan(unseen, rules, text).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans"))
     hits = known.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    paths = named.drop(text, "spans").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in versions.columns if c != text]), F.lit(SALTS)).cast("int"))
+    paths = named.drop(text).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in versions.columns if c != text]), F.lit(SALTS)).cast("int"))
     found = paths.join(hits, ["blob", "_salt"], "left").drop("_salt").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     return found, new
 

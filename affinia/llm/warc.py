@@ -223,6 +223,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition):
+        if partition is None:  # what Spark gives when nothing was planned
+            return
         system, root = _open(self.path)
         schema = pa.schema([(c, pa.int64() if c in NUMBERS else pa.string()) for c in HEADERS] + [("payload", pa.binary())])
         rows, size = [], 0
