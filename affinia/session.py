@@ -70,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def bound_batches(spark: SparkSession, rows: int = 2048, size: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
     """Arrow batches for Python workers, bounded by rows and by bytes, so that long texts cannot pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
