@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm import decontaminate, jaccard_join, quality_cnn, secrets, sentencepiece_sa
+from affinia.llm._blocks import by_ids
 from affinia.session import stored, table
 
 
@@ -21,10 +22,13 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id; of its repeated rows one."""
-    classes = jaccard_join.jaccard_classes(docs)
-    rest = classes.where("NOT kept").select("doc_id").distinct()
-    numbered = docs.join(rest, "doc_id", "left_anti").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    classes = stored(jaccard_join.jaccard_classes(docs), "classes").where("doc_id IS NOT NULL")
+    rest = stored(classes.where("NOT kept").select("doc_id").distinct(), "rest")
+    out = by_ids(docs, rest, "doc_id", "left_anti")
+    again = stored(classes.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.head(1):
+        out = by_ids(out, again, "doc_id", "left_anti").unionByName(by_ids(out, again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
