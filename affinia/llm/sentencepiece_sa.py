@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import chain, filterfalse
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ SPACE = "▁"
 SEP = 0xFF
 START, UNKNOWN = -2, -1
 #: Units and pairs of pieces that a worker remembers, units it looks up at once, and a unit's bytes above which it isn't kept.
-KEEP_UNITS, KEEP_PAIRS, AT_ONCE, KEEP_BYTES = 250_000, 400_000, 25_000, 1 << 16
+KEEP_UNITS, SEEN, AT_ONCE, KEEP_BYTES = 300_000, 1 << 21, 40_000, 1 << 16
 
 
 def _fields(buf: bytes):
@@ -59,6 +59,10 @@ def _fields(buf: bytes):
             i += n
 
 
+def _spot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (SEEN.bit_length() - 1))).astype(np.int64)
+
+
 class Model:
     """Pieces of a model file, and what BPE makes of short texts."""
 
@@ -88,7 +92,8 @@ class Model:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
         self.unit = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-        self.normal = [i for p, i in self.ids.items() if self.bpe(p) == [i]]  # the others never come out
+        # The others never come out. In the order of their bytes, so that a search for all goes through the text once.
+        self.normal = sorted((i for p, i in self.ids.items() if self.bpe(p) == [i]), key=lambda i: self.pieces[i].encode())
         self.normal_bytes = [self.pieces[i].encode() for i in self.normal]
         self.length = np.array([len(p.encode()) for p in self.pieces], np.int64)
         self.normal_ids = np.array(self.normal, np.int64)
@@ -99,7 +104,8 @@ class Model:
         self.out_len = np.array([len(t) for t in self.text], np.int64)
         self.out_at = np.concatenate([[0], np.cumsum(self.out_len)[:-1]])
         self.out = np.frombuffer(b"".join(self.text), np.uint8)
-        self.apart: dict[int, bool] = {}
+        self.seen = np.full(SEEN, -1, np.int64)  # pairs of pieces worked out, each in its one place
+        self.apart = np.zeros(SEEN, bool)
 
     def bpe(self, text: str) -> list[int]:
         """Merge the pair of best score, the leftmost of equals, until none is a piece; UNKNOWN for other characters."""
@@ -117,21 +123,19 @@ class Model:
         return [ids.get(x, UNKNOWN) for x in s]
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        free = (left < 0) | (right < 0)
+        """Whether BPE leaves each two pieces apart; it does next to the begin and to unknown characters."""
         code = left.astype(np.int64) * len(self.pieces) + right
-        pairs, back = np.unique(code[~free], return_inverse=True)
-        if len(self.apart) > KEEP_PAIRS:
-            self.apart.clear()
-        known = self.apart
-        ok = np.empty(len(pairs), bool)
-        for i, c in enumerate(pairs.tolist()):
-            v = known.get(c)
-            if v is None:
-                a, b = divmod(c, len(self.pieces))
-                v = known[c] = self.bpe(self.pieces[a] + self.pieces[b]) == [a, b]
-            ok[i] = v
-        out = free
-        out[~free] = ok[back]
+        place = _spot(code)
+        free = (left < 0) | (right < 0)
+        out = free | self.apart[place]
+        missing = np.flatnonzero(~free & (self.seen[place] != code))
+        if len(missing):
+            pairs, back = np.unique(code[missing], return_inverse=True)
+            ok = np.array([self.bpe(self.pieces[a] + self.pieces[b]) == [a, b] for a, b in (divmod(c, len(self.pieces)) for c in pairs.tolist())])
+            out[missing] = ok[back]
+            at = _spot(pairs)
+            self.seen[at], self.apart[at] = pairs, ok
+            self.apart[at] = ok[np.searchsorted(pairs, self.seen[at])]  # where two met in one place, the one that stayed
         return out
 
 
@@ -148,8 +152,8 @@ def suffix_array(raw: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(raw)
     key = _keys(raw)
-    seps = np.flatnonzero(raw == SEP)
-    left = np.append(seps, n)[np.searchsorted(seps, np.arange(n))] - np.arange(n)  # bytes before the separator
+    stops = np.append(np.flatnonzero(raw == SEP), n)
+    left = (np.repeat(stops, np.diff(stops, prepend=-1)))[:n] - np.arange(n)  # bytes before the separator
     order = np.argsort(key[:n])
     got = key[order]
     where, depth = np.arange(n), 8  # places in order that may still be tied
@@ -214,7 +218,7 @@ def encode_units(model: Model, units: list[str]) -> tuple[np.ndarray, np.ndarray
     single[pos[single_end[pos] == end]] = True
     lost = ~single[lead]
     pos, end, piece = np.concatenate([pos, lead[lost]]), np.concatenate([end, stop[lost]]), np.concatenate([piece, np.full(lost.sum(), UNKNOWN)])
-    rel = pos - first[np.searchsorted(first, pos, "right") - 1]
+    rel = pos - np.repeat(first, size + 1)[pos]
     order = np.argsort(rel.astype(np.int32), kind="stable")
     pos, end, piece, rel = pos[order], end[order], piece[order], rel[order]
     tail = np.full(len(raw) + 1, -3, np.int64)  # last piece of the encoding up to here
@@ -273,7 +277,10 @@ class Coder:
             self.clear()
         find, index = self.model.unit.findall, self.index
         units = [find(((SPACE if self.model.prefix else "") + t).replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(dict.fromkeys(filterfalse(index.__contains__, chain.from_iterable(units))))
+        flat = list(chain.from_iterable(units))
+        which = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+        unmet = np.flatnonzero(which < 0).tolist()
+        new = list(dict.fromkeys(flat[i] for i in unmet))
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             ids, n = encode_units(self.model, part)
@@ -284,8 +291,7 @@ class Coder:
             self.ids[self.at[-1] : end] = ids
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
         where = self.at
-        flat = list(chain.from_iterable(units))
-        which = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        which[unmet] = [index[flat[i]] for i in unmet]
         per_unit = where[which + 1] - where[which]
         ends = np.concatenate([[0], np.cumsum(per_unit)])
         got = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1], per_unit) + np.repeat(where[which], per_unit)]
