@@ -12,7 +12,8 @@ lit = F.lit
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, lit(high)), lit(low))
+    """x within the bounds; NULL for NULL, which greatest() and least() alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, lit(high)), lit(low)))
 
 
 def evidence_score(similarity: Column, scaffolds: Column, potency: Column) -> Column:

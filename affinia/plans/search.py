@@ -54,7 +54,7 @@ def g1_target_summary(t):
     return s.select("qid", "target", "n_hits", *[r6(c).alias(c) for c in ("best_similarity", "mean_similarity", "best_potency", "mean_potency")], "n_scaffolds")
 
 
-_EV = "round(0.6 * best + 0.2 * (least(greatest(n, 1), 5) / 5.0) + 0.2 * coalesce(greatest(least((pot - 5.0) / 5.0, 1.0), 0.0), 0.0), 3)"
+_EV = "round(0.6 * best + 0.2 * (least(greatest(n, 1), 5) / 5.0) + 0.2 * CASE WHEN pot IS NULL THEN 0.0 ELSE greatest(least((pot - 5.0) / 5.0, 1.0), 0.0) END, 3)"
 
 
 @query(QUERIES, with_("sim", "pairs", more=_HITS + ", s AS (SELECT qid, target, max(t) AS best, max(pchembl) AS pot, count(DISTINCT scaffold) AS n FROM hits WHERE t >= 0.3 GROUP BY 1, 2)") + f"SELECT qid, target, {_EV} AS evidence, row_number() OVER (PARTITION BY qid ORDER BY best DESC, target) AS rank_similarity, row_number() OVER (PARTITION BY qid ORDER BY {_EV} DESC, target) AS rank_evidence FROM s")
