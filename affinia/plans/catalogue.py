@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from affinia.plans import applied, etl, evaluation, search
+from affinia.plans import applied, boundary, etl, evaluation, search
 
 FLAGSHIP = "f1_target_search"
-_MODULES = [search, etl, evaluation, applied]
+_MODULES = [search, etl, evaluation, applied, boundary]
 
 
 def queries() -> dict:

@@ -100,3 +100,19 @@ def workbook(spark: SparkSession, path: str, sheet=0) -> DataFrame:
     import pandas as pd
 
     return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
+
+
+def optional_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there: then it is empty, with the given schema."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def index(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """An index written by writers.index; a range of popcounts skips the row groups beyond it."""
+    df = spark.read.parquet(path)
+    if low is not None:
+        df = df.where(F.col("pop") >= low)
+    return df if high is None else df.where(F.col("pop") <= high)
