@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.functions.scores import hit_at, mcc, reciprocal_rank
+from affinia.operators.ordered import numbered, running
 
 
 def ranked(scored: DataFrame, by: str = "qid", score: str = "score", key: str = "target") -> DataFrame:
@@ -68,7 +69,7 @@ def reliability(votes: DataFrame, truth: DataFrame) -> DataFrame:
 def popularity_ranks(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Best rank of a true target when targets are ranked by their number of compounds, alike for all queries."""
     n = pairs.groupBy("target").agg(F.countDistinct("compound").alias("score"))
-    rank = n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "target"))).select("target", "rank")
+    rank = numbered(n, [F.desc("score"), F.col("target")]).select("target", "rank")
     return truth.join(rank, "target", "left").groupBy("qid").agg(F.min("rank").alias("best_rank"))
 
 
@@ -76,12 +77,11 @@ def enrichment(scored: DataFrame, fraction: float = 0.2) -> DataFrame:
     """ROC AUC with ties at half (Mann-Whitney on average ranks), and the enrichment factor of the best fraction.
 
     A lower score is better; rows without one are only counted. label is active or decoy. Ranks are worked out on
-    distinct scores, so a window sees one row a score.
+    distinct scores, in stretches of them.
     """
     ok = scored.where("score IS NOT NULL")
     levels = ok.groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "active").alias("a"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumns({"n_before": F.coalesce(F.sum("n").over(w), F.lit(0)), "d_before": F.coalesce(F.sum(F.col("n") - F.col("a")).over(w), F.lit(0))})
+    levels = running(running(levels, [F.col("score")], "n", "_p", "n_before").withColumn("d", F.col("n") - F.col("a")), [F.col("score")], "d", "_p", "d_before")
     total = levels.agg(F.sum("n").alias("n_all"), F.sum("a").alias("n_active"), F.sum(F.col("a") * (F.col("d_before") + 0.5 * (F.col("n") - F.col("a")))).alias("worse"))
     total = total.withColumns({"auc": F.try_divide(F.col("n_active") * (F.col("n_all") - F.col("n_active")) - F.col("worse"), (F.col("n_active") * (F.col("n_all") - F.col("n_active"))).cast("double")), "k": F.greatest(F.lit(1), F.round(F.col("n_all") * fraction)).cast("long")})
     # The best k rows; a score that k cuts through counts in proportion.

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinia.operators.ordered import numbered
+
 ACTIVE, GAP = 6.0, 1.0
 
 
@@ -33,7 +35,7 @@ def profile(rows: DataFrame, active: float = ACTIVE, gap: float = GAP) -> DataFr
 def consensus(profiles: DataFrame) -> DataFrame:
     """Place by active targets, then mean prediction (to 9 digits, so that equal sums in another order tie), then compound; those without a mean have none."""
     ok = profiles.where("mean_pred IS NOT NULL")
-    return ok.withColumn("consensus_rank", F.row_number().over(Window.orderBy(F.desc("n_active"), F.desc(F.round("mean_pred", 9)), "compound")))
+    return numbered(ok, [F.desc("n_active"), F.desc(F.round("mean_pred", 9)), F.col("compound")], "consensus_rank")
 
 
 def best_per_target(rows: DataFrame, n: int = 5) -> DataFrame:
@@ -48,7 +50,7 @@ def fused(q: Column, d: Column, weight: float = 0.35) -> Column:
 
 def shortlist(rows: DataFrame, score: str, key: str) -> DataFrame:
     """Final places; rows without a score come last."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(score), key)))
+    return numbered(rows, [F.desc_nulls_last(score), F.col(key)])
 
 
 def column_stats(rows: DataFrame, columns: list[str]) -> DataFrame:

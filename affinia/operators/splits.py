@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.operators.graph import connected_components
+from affinia.operators.ordered import running
 from affinia.session import stored
 
 
@@ -17,11 +18,9 @@ def shuffled(key: str | Column, seed: int = 42) -> Column:
 def fill(groups: DataFrame, order: list[Column], target: float | Column, size: str = "size", name: str = "chosen") -> DataFrame:
     """Groups in order until their sizes reach the target; the group that crosses it is chosen too.
 
-    One row a group: the window runs over groups, not rows. Groups are first summed by leading parts of the order, so
-    that no task gets more than one part.
+    The order should be total. No task sees all groups.
     """
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)) < target)
+    return running(groups, order, size, "_place", "_before").withColumn(name, F.col("_before") < target).drop("_place", "_before")
 
 
 def fill_shuffled(groups: DataFrame, key: str, target: float, seed: int = 42, size: str = "size", name: str = "chosen") -> DataFrame:

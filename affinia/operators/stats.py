@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinia.operators.ordered import numbered
 from affinia.session import stored
 
 # Fixed values of Acklam's rational approximation of the inverse normal distribution.
@@ -181,7 +182,5 @@ def cluster_design(rows: DataFrame, value: str, group: str, margins: tuple[float
 
 def ordinal_spearman(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Pearson correlation of places (ties broken by key, not averaged)."""
-    from pyspark.sql import Window
-
-    place = lambda c: F.row_number().over(Window.orderBy(c, key)).cast("double")
-    return rows.withColumns({"_a": place(a), "_b": place(b)}).agg(F.corr("_a", "_b").alias("rho"))
+    t = numbered(numbered(rows.select(a, b, key), [F.col(a), F.col(key)], "_a"), [F.col(b), F.col(key)], "_b")
+    return t.agg(F.corr(F.col("_a").cast("double"), F.col("_b").cast("double")).alias("rho"))

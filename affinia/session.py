@@ -42,9 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _mine(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/affinia/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/affinia/{name}-{uuid.uuid4().hex}"
+    return f"{_mine(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder; results that still read it must be written first."""
+    _delete(spark, _mine(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +75,7 @@ def forget(df: DataFrame) -> None:
     """Delete the files behind a table made by stored() that no later step reads."""
     path = getattr(df, "_affinia_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
