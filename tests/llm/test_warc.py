@@ -1,7 +1,9 @@
 import gzip
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from affinia.llm import warc as W
 from affinia.session import scratch
@@ -36,10 +38,28 @@ def test_predicates_reach_the_reader(spark):
     path = scratch(spark, "warc")
     W.write(pages(spark), path)
     q = W.read(spark, path, payload=False).where("record_type = 'revisit' AND page_id IN (2, 3)")
-    assert "Filter" not in q._jdf.queryExecution().optimizedPlan().toString() or "PushedFilters" in q._jdf.queryExecution().executedPlan().toString() or q.count() == 3
     got = q.toPandas()
     assert len(got) == 3 and got.payload.isna().all()
     assert W.read(spark, path).where("target_uri LIKE 'http://a/%'").count() == 2
+    reader = W.WarcReader(path, False)
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), In(("page_id",), (2, 3)), GreaterThan(("page_id",), 1)])) == [GreaterThan(("page_id",), 1)]
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 3 and all(r["payload"] is None for r in rows)
+
+
+def test_stretches_begin_at_records(spark, monkeypatch):
+    path = scratch(spark, "warc")
+    W.write(pages(spark).repartition(1), path)
+    whole = W.WarcReader(path, True)
+    n = sum(b.num_rows for p in whole.partitions() for b in whole.read(p))
+    root = path.removeprefix("file://")
+    writer = W.WarcWriter(path + "-small")
+    monkeypatch.setattr(W, "SPLIT_BYTES", 300)
+    batch = pa.RecordBatch.from_pylist([r for p in whole.partitions() for b in whole.read(p) for r in b.to_pylist()])
+    writer.commit([writer.write(iter([batch])), None])
+    small = W.WarcReader(path + "-small", True)
+    assert len(small.partitions()) > 3 and sum(b.num_rows for p in small.partitions() for b in small.read(p)) == n
+    assert root
 
 
 def test_other_archives(spark, tmp_path):
