@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 WORD = 64
 
 
-def pack_signs(array: Column, bits: int = WORD) -> Column:
-    """Bit i of word i // 64 is set if the array's value i is positive; an array of words."""
-    word = lambda w: sum((F.when(F.get(array, F.lit(w * WORD + i)) > 0, F.lit(-(1 << 63) if i == 63 else 1 << i)).otherwise(F.lit(0)).cast("long") for i in range(1, min(WORD, bits - w * WORD))), F.when(F.get(array, F.lit(w * WORD)) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return F.array(*[word(w) for w in range(-(-bits // WORD))])
+def pack_signs(array: str, bits: int = WORD) -> Column:
+    """Bit i of word i // 64 is set if value i of the named array column is positive; an array of words.
+
+    Written out as one SQL expression, so that it is compiled and costs the driver a single call.
+    """
+    bit = lambda i: f"IF(get(`{array}`, {i}) > 0, {'(-9223372036854775807L - 1L)' if i % WORD == 63 else f'{1 << i % WORD}L'}, 0L)"
+    words = [" | ".join(bit(i) for i in range(w, min(w + WORD, bits))) for w in range(0, bits, WORD)]
+    return F.expr(f"array({', '.join(words)})")
 
 
 def popcount(words: Column, n: int = 1) -> Column:

@@ -13,20 +13,37 @@ from affinia.functions import bits
 from affinia.functions.scores import evidence_score
 
 QUERY_BLOCK = 4096
+#: From so many queries on, a table of at most so many bytes a core is dealt anew.
+MANY_QUERIES, SMALL_BYTES = 32, 4 << 20
 
 
 def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words: int = 1, keep: Column | None = None) -> DataFrame:
-    """Queries (qid, qfp, qpop, ...) x rows (fp, pop, ...) with t >= least. Above 0 the popcounts are compared first."""
+    """Queries (qid, qfp, qpop, ...) x rows (fp, pop, ...) with t >= least. Above 0 the popcounts are compared first.
+
+    One word is taken out of its array before the join. Rows whose estimated size is small, as those of one file are,
+    are dealt to all cores first, as the work is in the pairs; larger tables have parts enough and stay where they are.
+    """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if n >= MANY_QUERIES and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_BYTES * cores:
+        rows = rows.repartition(cores)
     t = bits.tanimoto(F.col("fp"), F.col("qfp"), F.col("pop"), F.col("qpop"), words)
+    if words == 1:
+        first = lambda df, c: df.withColumn(c, F.get(c, F.lit(0)))
+        rows, queries = first(rows, "fp"), first(queries, "qfp")
+        shared = F.bit_count(F.col("fp").bitwiseAND(F.col("qfp")))
+        union = F.col("pop") + F.col("qpop") - shared
+        t = F.when(union > 0, shared.cast("double") / union).otherwise(F.lit(0.0))
     out = None
     for k in range(blocks):
         q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
         both = rows.join(F.broadcast(q), bits.band(F.col("qpop"), F.col("pop"), least) if least > 0 else F.lit(True))
         if keep is not None:
             both = both.where(keep)
-        both = both.withColumn("t", t).where(F.col("t") >= least).drop("fp", "pop", "qfp", "qpop")
+        both = both.withColumn("t", t).drop("fp", "pop", "qfp", "qpop")
+        if least > 0:
+            both = both.where(F.col("t") >= least)
         out = both if out is None else out.unionByName(both)
     return out
 

@@ -29,7 +29,7 @@ class Tables:
 
     def fingerprints(self) -> DataFrame:
         """vec_id, label, fp, pop."""
-        t = self.read("embeddings").select("vec_id", "label", bits.pack_signs(F.col("embedding")).alias("fp"))
+        t = self.read("embeddings").select("vec_id", "label", bits.pack_signs("embedding").alias("fp"))
         return t.withColumn("pop", bits.popcount(F.col("fp")))
 
     def query_fingerprints(self) -> DataFrame:

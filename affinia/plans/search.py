@@ -43,6 +43,15 @@ def j1_tanimoto_allpairs(t):
     return S.similarities(t.query_fingerprints(), t.fingerprints()).select("qid", "vec_id", r6("t").alias("t"))
 
 
+@query(QUERIES, with_("fp", more="a AS (SELECT q.vec_id AS qid, r.label, CASE WHEN q.pop + r.pop - bit_count(q.w & r.w) > 0 THEN CAST(bit_count(q.w & r.w) AS DOUBLE) / (q.pop + r.pop - bit_count(q.w & r.w)) ELSE 0.0 END AS t FROM fp q, fp r WHERE q.vec_id <> r.vec_id), s AS (SELECT qid, label, max(t) AS best FROM a GROUP BY 1, 2)") + "SELECT qid, label AS target, round(best, 6) AS best_similarity, row_number() OVER (PARTITION BY qid ORDER BY best DESC, label) AS rank FROM s")
+def j1_every_row_as_query(t):
+    """The published batch shape: all queries against all rows at threshold 0, best similarity a target, ranked."""
+    f = t.fingerprints()
+    q = f.select(F.col("vec_id").alias("qid"), F.col("fp").alias("qfp"), F.col("pop").alias("qpop"))
+    s = S.similarities(q, f, keep=F.col("qid") != F.col("vec_id")).groupBy("qid", F.col("label").alias("target")).agg(F.max("t").alias("best"))
+    return s.select("qid", "target", r6("best").alias("best_similarity"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).alias("rank"))
+
+
 @query(QUERIES, with_("sim") + "SELECT qid, vec_id, round(t, 6) AS t FROM sim WHERE t >= 0.45")
 def p1_threshold_band_pruned(t):
     return S.similarities(t.query_fingerprints(), t.fingerprints(), 0.45).select("qid", "vec_id", r6("t").alias("t"))

@@ -25,7 +25,7 @@ def test_tanimoto(spark):
 
 
 def test_many_words(spark):
-    r = spark.createDataFrame([([1.0] * 70 + [-1.0] * 58,)], "e array<double>").select(bits.pack_signs(F.col("e"), 128).alias("w")).withColumn("p", bits.popcount(F.col("w"), 2)).first()
+    r = spark.createDataFrame([([1.0] * 70 + [-1.0] * 58,)], "e array<double>").select(bits.pack_signs("e", 128).alias("w")).withColumn("p", bits.popcount(F.col("w"), 2)).first()
     assert r.w == [-1, 63] and r.p == 70
 
 
