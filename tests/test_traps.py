@@ -152,7 +152,7 @@ def test_text_records(spark):
     t = spark.createDataFrame([(s,)], "s string")
     got = t.select(F.explode(text.record_entries(F.col("s"))).alias("e")).select("e.id", text.heaviest_ligand(F.col("e.ligands"), ["GOL", "ATP"]).alias("b")).collect()
     assert [(r.id, r.b and (r.b.name, r.b.mass)) for r in got] == [("1ABC", ("ABC", 300.5)), ("2DEF", None)]
-    assert one(spark, text.gene_of_target(F.lit("CHEMBL1_EGFR_x"))) == "EGFR_x"
+    assert one(spark, text.gene_of_target(F.lit("T1_EGFR_x"))) == "EGFR_x"
     assert one(spark, text.entry_id_of_file(F.lit("1abc_raw.pdb"))) == "1ABC"
     assert one(spark, text.labelled_number(F.lit("CNNscore: 0.75\n"), "CNNscore")) == 0.75
     assert one(spark, text.contains_any("a", F.lit("abc"))) is False
