@@ -3,7 +3,7 @@
 A gear hash rolls over the last GEAR_BYTES bytes; a chunk ends where it is least among the SIDE positions on either
 side, so an insertion moves only the ends near it, chunks have more than SIDE bytes and about twice as many on average,
 and a passage's inner chunks are the same in every text. Ends are moved to the next whole character; stretches of over
-LONGEST bytes without an end, as where one word is repeated, are cut where the hash is least, or else by length. Chunks meet by a 64-bit digest of bytes and length.
+LONGEST bytes without an end, as where one word is repeated, are cut where it is as small as on either side, or else by length. Chunks meet by a 64-bit digest of bytes and length.
 A digest of two documents or more marks its chunks; runs of marked chunks with at least ``min_words`` words are the
 repeats, so no single chance meeting of digests makes one. Each is kept in the document with the smallest id.
 """
@@ -54,20 +54,26 @@ def chunk_ends(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     gap = np.diff(ends, prepend=0)
     many = np.flatnonzero(gap > LONGEST)
     if len(many):
-        extra = np.concatenate([_even_cuts(top[place[a + GEAR_BYTES : b]], a + GEAR_BYTES, a) for a, b in zip((ends - gap)[many].tolist(), ends[many].tolist())])
+        # Where the hash is as small as on either side: once a period, in text that repeats.
+        ties = np.flatnonzero((top[place] <= low[place - SIDE]) & (top[place] <= low[place + 1])) + 1
+        extra = np.concatenate([_even_cuts(ties[slice(*np.searchsorted(ties, [a + GEAR_BYTES, b - SIDE]))], a, b) for a, b in zip((ends - gap)[many].tolist(), ends[many].tolist())])
         for _ in range(3):
             extra = extra + ((raw[np.minimum(extra, len(raw) - 1)] & 0xC0) == 0x80)
         ends = np.unique(np.concatenate([ends, extra]))
     return ends
 
 
-def _even_cuts(h: np.ndarray, at: int, last: int) -> np.ndarray:
-    """Cuts of a stretch without ends: after places where the hash is least, so that periodic text is cut in phase."""
-    low = np.flatnonzero(h == h.min()) + at + 1
-    out, stop, i = [], at + len(h), 0
-    while stop - last > LONGEST:
+def _even_cuts(low: np.ndarray, last: int, stop: int) -> np.ndarray:
+    """Cuts of a stretch without ends: at the places given, so that periodic text is cut in phase, or else by length."""
+    out = []
+    while True:
         i = int(np.searchsorted(low, last + 2 * SIDE))
-        last = int(low[i]) if i < len(low) and low[i] <= last + LONGEST and low[i] < stop else last + LONGEST
+        if i < len(low) and low[i] <= last + LONGEST:
+            last = int(low[i])
+        elif stop - last > LONGEST:
+            last += LONGEST
+        else:
+            break
         out.append(last)
     return np.array(out, np.int64)
 
