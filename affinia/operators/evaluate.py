@@ -10,7 +10,7 @@ from affinia.operators.ordered import numbered, running
 
 
 def ranked(scored: DataFrame, by: str = "qid", score: str = "score", key: str = "target") -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key)))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key)).cast("long"))
 
 
 def best_ranks(ranking: DataFrame, truth: DataFrame) -> DataFrame:

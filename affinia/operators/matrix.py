@@ -40,7 +40,7 @@ def consensus(profiles: DataFrame) -> DataFrame:
 
 def best_per_target(rows: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("target").orderBy(F.desc("pred"), "compound")
-    return in_domain(rows).where("pred IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return in_domain(rows).where("pred IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
 def fused(q: Column, d: Column, weight: float = 0.35) -> Column:

@@ -50,7 +50,7 @@ def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words:
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """First n rows a group, with their place; the order should be total."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(name) <= n)
 
 
 def target_summary(hits: DataFrame, target: str = "target", scaffold: str = "scaffold", potency: str = "pchembl", compound: str = "compound") -> DataFrame:
@@ -65,7 +65,7 @@ def target_summary(hits: DataFrame, target: str = "target", scaffold: str = "sca
 def ranked_targets(hits: DataFrame, target: str = "target") -> DataFrame:
     """target_summary with the evidence score, and ranks by similarity and by score, each with the target as tie key."""
     s = target_summary(hits, target).withColumn("evidence", evidence_score(F.col("best_similarity"), F.col("n_scaffolds"), F.col("best_potency")))
-    by = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), target))
+    by = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), target)).cast("long")
     return s.withColumns({"rank_similarity": by("best_similarity"), "rank_evidence": by("evidence")})
 
 

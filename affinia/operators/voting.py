@@ -57,4 +57,4 @@ def adaptive(hits: DataFrame, pairs: DataFrame, orthologue: DataFrame | None = N
     a = pooled.join(d, "qid").where(dense).withColumn("regime", F.lit("pooled"))
     b = best_similarity(hits, compound).select("qid", "target", "score").join(d, "qid").where(~dense).withColumn("regime", F.lit("best_similarity"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "target")
-    return a.unionByName(b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    return a.unionByName(b).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k)

@@ -52,7 +52,7 @@ def p10_domain_gate(t):
 @query(QUERIES, "WITH " + _PRED + " SELECT target, compound, row_number() OVER (PARTITION BY target ORDER BY pred DESC, compound) AS rank FROM pred WHERE in_ad")
 def w14_predict_rank(t):
     p = matrix.in_domain(_pred(t)).where("in_ad")
-    return p.select("target", "compound", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("pred"), "compound")).alias("rank"))
+    return p.select("target", "compound", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("pred"), "compound")).cast("long").alias("rank"))
 
 
 _FUSE = "q AS (SELECT p_partkey AS c, p_brand AS b, CASE WHEN p_size > 5 THEN p_retailprice END AS v FROM part), d AS (SELECT l_partkey AS c, max(l_tax) AS u FROM lineitem WHERE l_quantity > 40 GROUP BY 1), j AS (SELECT q.c, b, v, u FROM q LEFT JOIN d ON q.c = d.c), s AS (SELECT c, b, CASE WHEN v IS NOT NULL THEN 1.0 - (row_number() OVER (PARTITION BY b, v IS NULL ORDER BY v DESC, c) - 1) / greatest(count(*) OVER (PARTITION BY b, v IS NULL) - 1, 1) END AS qs, CASE WHEN u IS NOT NULL THEN 1.0 - (row_number() OVER (PARTITION BY b, u IS NULL ORDER BY u, c) - 1) / greatest(count(*) OVER (PARTITION BY b, u IS NULL) - 1, 1) END AS ds FROM j), f AS (SELECT c, round(CASE WHEN qs IS NOT NULL AND ds IS NOT NULL THEN 0.65 * qs + 0.35 * ds ELSE qs END, 6) AS fused FROM s)"
@@ -234,7 +234,7 @@ def h16_disease_list(t):
     return t.orders.select(F.col("o_orderpriority").alias("id")).distinct().orderBy("id")
 
 
-@query(QUERIES, "WITH l AS (SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY 1) SELECT c_custkey, nullif(list_position(ids, c_custkey), 0) AS place FROM customer JOIN l USING (c_nationkey)")
+@query(QUERIES, "WITH l AS (SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY 1) SELECT c_custkey, CAST(nullif(list_position(ids, c_custkey), 0) AS BIGINT) AS place FROM customer JOIN l USING (c_nationkey)")
 def w17_j22_place_in_list(t):
     ids = t.customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("ids"))
     place = F.array_position("ids", F.col("c_custkey"))
@@ -385,7 +385,7 @@ def t17_candidate_pick(t):
     return top(t.labels.select("doc_id", "toxic"), ["toxic"], [F.col("doc_id")], 4, "r")
 
 
-@query(QUERIES, "SELECT l_returnflag, round(sum(CASE l_linestatus WHEN 'O' THEN 12.011 WHEN 'F' THEN 15.999 ELSE 12.0 END), 3) AS mass FROM lineitem GROUP BY 1")
+@query(QUERIES, "SELECT l_returnflag, CAST(round(sum(CASE l_linestatus WHEN 'O' THEN 12.011 WHEN 'F' THEN 15.999 ELSE 12.0 END), 3) AS DOUBLE) AS mass FROM lineitem GROUP BY 1")
 def x29_heavy_atom_mass(t):
     w = t.spark.createDataFrame([("O", 12.011), ("F", 15.999)], "l_linestatus string, w double")
     return t.lineitem.join(F.broadcast(w), "l_linestatus", "left").groupBy("l_returnflag").agg(F.round(F.sum(F.coalesce("w", F.lit(12.0))), 3).alias("mass"))

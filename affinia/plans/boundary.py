@@ -245,7 +245,7 @@ def h27_query_fingerprints(t):
     return f.select("qid", F.get("qfp", F.lit(0)).alias("w"))
 
 
-@query(QUERIES, "SELECT l_suppkey, sum(CASE WHEN y <= 2 THEN 1 ELSE 0 END) AS early, round(sum(pow(l_quantity / 50, 2)), 6) AS score FROM (SELECT l_suppkey, l_quantity, year(l_shipdate) - min(year(l_shipdate)) OVER (PARTITION BY l_suppkey) AS y FROM lineitem) GROUP BY 1")
+@query(QUERIES, "SELECT l_suppkey, CAST(sum(CASE WHEN y <= 2 THEN 1 ELSE 0 END) AS BIGINT) AS early, round(sum(pow(l_quantity / 50, 2)), 6) AS score FROM (SELECT l_suppkey, l_quantity, year(l_shipdate) - min(year(l_shipdate)) OVER (PARTITION BY l_suppkey) AS y FROM lineitem) GROUP BY 1")
 def h9_weighted_scores(t):
     w = Window.partitionBy("l_suppkey")
     x = t.lineitem.select("l_suppkey", "l_quantity", (F.year("l_shipdate") - F.min(F.year("l_shipdate")).over(w)).alias("y"))

@@ -41,7 +41,7 @@ def p4_potency_floor(t):
     return t.activities().where("pchembl >= 5.0").groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query(QUERIES, with_("act") + "SELECT target, sum(CASE WHEN x IS NULL OR x >= 5.0 THEN 1 ELSE 0 END) AS w FROM (SELECT target, CASE WHEN inactive THEN NULL ELSE pchembl END AS x FROM act) GROUP BY 1")
+@query(QUERIES, with_("act") + "SELECT target, CAST(sum(CASE WHEN x IS NULL OR x >= 5.0 THEN 1 ELSE 0 END) AS BIGINT) AS w FROM (SELECT target, CASE WHEN inactive THEN NULL ELSE pchembl END AS x FROM act) GROUP BY 1")
 def p5_floor_as_weight(t):
     x = F.when(~F.col("inactive"), F.col("pchembl"))
     return t.activities().groupBy("target").agg(F.sum(F.when(x.isNull() | (x >= 5.0), 1).otherwise(0)).alias("w"))
@@ -96,7 +96,7 @@ def j7_confidence_lookup(t):
     return t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey", "left").groupBy(F.col("o_orderstatus").alias("confidence")).agg(F.count("*").alias("n"))
 
 
-@query(QUERIES, "SELECT l_suppkey, min(year(o_orderdate)) AS first_year FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+@query(QUERIES, "SELECT l_suppkey, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def j8_document_year(t):
     return t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y")), "l_orderkey", "left").groupBy("l_suppkey").agg(F.min("y").alias("first_year"))
 
@@ -276,7 +276,7 @@ def t12_three_way_split(t):
     return a.join(b, "grp", "left").select("grp", "size", F.when(F.col("locked"), "locked").when(F.col("val"), "validation").otherwise("tuning").alias("part"))
 
 
-@query(QUERIES, "WITH g AS (SELECT o_custkey, count(*) AS size, min(year(o_orderdate)) AS year FROM orders GROUP BY 1) SELECT o_custkey, size, year, coalesce(sum(size) OVER (ORDER BY year DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT round(sum(size) * 0.2) FROM g) AS test FROM g")
+@query(QUERIES, "WITH g AS (SELECT o_custkey, count(*) AS size, CAST(min(year(o_orderdate)) AS INTEGER) AS year FROM orders GROUP BY 1) SELECT o_custkey, size, year, coalesce(sum(size) OVER (ORDER BY year DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT round(sum(size) * 0.2) FROM g) AS test FROM g")
 def t13_temporal_split(t):
     return P.temporal_split(t.orders.select("o_custkey", F.year("o_orderdate").alias("y")), "o_custkey", "y", 0.2)
 

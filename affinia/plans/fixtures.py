@@ -54,7 +54,7 @@ _BITS = "CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN (CASE WHEN i = 63 TH
 SQL = {
     "fp": f"fp AS MATERIALIZED (SELECT vec_id, label, w, bit_count(w) AS pop FROM (SELECT vec_id, label, {_BITS} AS w FROM embeddings))",
     "sim": "sim AS MATERIALIZED (SELECT q.vec_id AS qid, q.label AS qlabel, r.vec_id, r.label, CASE WHEN q.pop + r.pop - bit_count(q.w & r.w) > 0 THEN CAST(bit_count(q.w & r.w) AS DOUBLE) / (q.pop + r.pop - bit_count(q.w & r.w)) ELSE 0.0 END AS t FROM fp q, fp r WHERE q.vec_id % 50 = 0)",
-    "act": "act AS MATERIALIZED (SELECT l_partkey % (SELECT count(*) FROM embeddings) AS compound, l_partkey AS molecule, l_suppkey AS target, l_orderkey AS document, l_returnflag AS assay_type, CASE WHEN l_linestatus = 'O' THEN '=' ELSE '<' END AS relation, l_extendedprice AS value, CASE WHEN l_extendedprice > 0 THEN round(9.0 - log10(l_extendedprice), 3) END AS pchembl, year(l_shipdate) AS year, l_returnflag = 'R' AS inactive FROM lineitem)",
+    "act": "act AS MATERIALIZED (SELECT l_partkey % (SELECT count(*) FROM embeddings) AS compound, l_partkey AS molecule, l_suppkey AS target, l_orderkey AS document, l_returnflag AS assay_type, CASE WHEN l_linestatus = 'O' THEN '=' ELSE '<' END AS relation, l_extendedprice AS value, CASE WHEN l_extendedprice > 0 THEN round(9.0 - log10(l_extendedprice), 3) END AS pchembl, CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag = 'R' AS inactive FROM lineitem)",
     "pairs": "pairs AS MATERIALIZED (SELECT compound, target, max(pchembl) AS pchembl, any_value(p_brand) AS scaffold FROM act LEFT JOIN part ON p_partkey = compound GROUP BY compound, target)",
 }
 _NEEDS = {"sim": ["fp"], "pairs": ["act"]}

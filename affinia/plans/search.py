@@ -29,7 +29,7 @@ def f1_target_search(t):
     """The minimum slice: labels ranked for each query vector."""
     h = S.similarities(t.query_fingerprints(), t.fingerprints(), 0.3)
     s = h.groupBy("qid", F.col("label").alias("target")).agg(F.count("*").alias("n_hits"), F.max("t").alias("best"), F.avg("t").alias("mean"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).cast("long")
     return s.select("qid", "target", "n_hits", r6("best").alias("best_similarity"), r6("mean").alias("mean_similarity"), rank.alias("rank"))
 
 
@@ -49,7 +49,7 @@ def j1_every_row_as_query(t):
     f = t.fingerprints()
     q = f.select(F.col("vec_id").alias("qid"), F.col("fp").alias("qfp"), F.col("pop").alias("qpop"))
     s = S.similarities(q, f, keep=F.col("qid") != F.col("vec_id")).groupBy("qid", F.col("label").alias("target")).agg(F.max("t").alias("best"))
-    return s.select("qid", "target", r6("best").alias("best_similarity"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).alias("rank"))
+    return s.select("qid", "target", r6("best").alias("best_similarity"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).cast("long").alias("rank"))
 
 
 @query(QUERIES, with_("sim") + "SELECT qid, vec_id, round(t, 6) AS t FROM sim WHERE t >= 0.45")
@@ -132,7 +132,7 @@ def g6_knn_rank(t):
     """Rank of the best true target when the query itself is left out of the reference."""
     near = V.neighbours(V.compound_similarity(_hits(t).where("compound <> qid")), 10)
     v = near.join(t.pairs().select("compound", "target").distinct(), "compound").groupBy("qid", "target").agg(F.sum(F.pow("t", F.lit(2.0))).alias("s"))
-    k = v.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("s", 9)), "target")))
+    k = v.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("s", 9)), "target")).cast("long"))
     truth = t.pairs().where("compound % 50 = 0").select(F.col("compound").alias("qid"), "target").distinct()
     return truth.join(k, ["qid", "target"], "left").groupBy("qid").agg(F.min("r").alias("best_rank"))
 
@@ -176,7 +176,7 @@ u AS (SELECT qid, target, score, density, 'pooled' AS regime FROM pv JOIN d USIN
 def f2_u5_t4_adaptive(t):
     o = V.orthologue_votes(_ortho_hits(t), 0.45)
     a = V.adaptive(_hits(t), t.pairs(), o, top_k=1 << 30)
-    a = a.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "target"))).where("rank <= 25")
+    a = a.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "target")).cast("long")).where("rank <= 25")
     return a.select("qid", "target", r6("score").alias("score"), "density", "regime", "rank")
 
 
