@@ -284,7 +284,12 @@ def t13_temporal_split(t):
 _EDGE = "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS c, l_orderkey AS d FROM lineitem WHERE l_quantity >= 48), big AS (SELECT d FROM e GROUP BY 1 HAVING count(DISTINCT c) > 4), x AS MATERIALIZED (SELECT DISTINCT a.c AS a, b.c AS b FROM e a JOIN e b ON a.d = b.d WHERE a.d NOT IN (SELECT d FROM big)), r AS (SELECT DISTINCT c AS n, c AS m FROM e UNION SELECT x.b, r.m FROM r JOIN x ON x.a = r.n WHERE r.m < x.b), k AS (SELECT n AS compound, min(m) AS cluster FROM r GROUP BY 1) "
 
 
+def _all_doc_edges(t):
+    return t.lineitem.select(F.col("l_partkey").alias("compound"), F.col("l_orderkey").alias("document")).distinct()
+
+
 def _doc_edges(t):
+    """A part of the edges that the recursive SQL can walk; the _whole queries take all."""
     return t.lineitem.where("l_quantity >= 48").select(F.col("l_partkey").alias("compound"), F.col("l_orderkey").alias("document")).distinct()
 
 
@@ -293,11 +298,21 @@ def m32_p15_document_clusters(t):
     return P.document_clusters(_doc_edges(t), limit=4)
 
 
+@query(QUERIES)
+def m32_p15_document_clusters_whole(t):
+    return P.document_clusters(_all_doc_edges(t))
+
+
 @query(QUERIES, _EDGE + ", s AS (SELECT cluster, count(*) AS size FROM k GROUP BY 1), tt AS (SELECT round(0.2 * sum(size)) AS t FROM s), f AS (SELECT cluster, size, coalesce(sum(size) OVER (ORDER BY " + _MD5.format("cluster") + ", cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT t FROM tt) AS test FROM s WHERE size <= (SELECT t FROM tt)) SELECT cluster, size, CASE WHEN test THEN 'test' ELSE 'train' END AS side FROM f UNION ALL SELECT cluster, size, 'train' FROM s WHERE size > (SELECT t FROM tt)")
 def t14_cluster_split(t):
     return P.cluster_split(P.document_clusters(_doc_edges(t), limit=4), 0.2)
 
 
+@query(QUERIES)
+def t14_cluster_split_whole(t):
+    return P.cluster_split(P.document_clusters(_all_doc_edges(t)), 0.2)
+
+
 @query(QUERIES)
 def t15_group_folds(t):
     return P.group_folds(t.events.select("user_id"), "user_id", 5)
