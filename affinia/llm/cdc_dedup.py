@@ -1,11 +1,15 @@
-"""Substring dedup by content-defined chunking.
-
-A gear hash rolls over the last GEAR_BYTES bytes; a chunk ends where it is least among the SIDE positions on either
-side, so an insertion moves only the ends near it, chunks have more than SIDE bytes and about twice as many on average,
-and a passage's inner chunks are the same in every text. Ends are moved to the next whole character; stretches of over
-LONGEST bytes without an end, as where one word is repeated, are cut where it is as small as on either side, or else by length. Chunks meet by a 64-bit digest of bytes and length.
-A digest of two documents or more marks its chunks; runs of marked chunks with at least ``min_words`` words are the
-repeats, so no single chance meeting of digests makes one. Each is kept in the document with the smallest id.
+"""Substring dedup by content-defined anchors.
+
+A repeat is a stretch of ``min_words`` words or more, equal byte by byte from its first word to its last, that another
+document has too. Each window of ``min_words`` words has an anchor: the run of fewer words inside it with the least
+digest, the last of equals. Equal windows have equal anchors, so an anchor in one document alone rules out all its
+windows, and where all windows of an anchor are the same wherever it stands, they are repeats without a further look.
+The other windows of shared anchors are digested one by one and meet by that. So repeats have their true ends, and none
+of ``min_words`` words is missed; a false one takes two texts with one 64-bit digest. Each is kept in the document with
+the smallest id.
+
+chunk_ends() and chunks_of() cut texts where a gear hash over the last GEAR_BYTES bytes is least among the SIDE
+positions on either side; repeats() doesn't rest on them, as a short passage may hold no whole chunk.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinia.llm import _text
+from affinia.llm import _blocks, _text
 from affinia.llm.jaccard_join import by_count
 from affinia.session import bound_batches, stored, table
 
 GEAR_BYTES, SIDE, LONGEST = 16, 16, 96
-#: A passage of over 50 words keeps at least about this many between its first and last inner chunk ends.
-MIN_WORDS = 30
+#: A repeat has over 50 words.
+MIN_WORDS = 51
 _GEAR = np.random.default_rng(99).integers(0, 1 << 32, 256, dtype=np.uint32)
 _PAD = GEAR_BYTES + SIDE
 
@@ -78,6 +82,22 @@ def _even_cuts(low: np.ndarray, last: int, stop: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digest of the bytes and length of each span; starts and ends rise."""
+    d = np.empty(len(ends), np.uint64)
+    i = 0
+    while i < len(ends):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, base + _text._SLICE)))
+        stop = int(ends[j - 1])
+        up, down = _text._powers(stop - base + 1)
+        sums = np.zeros(stop - base + 1, np.uint64)
+        np.cumsum((raw[base:stop].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[: stop - base], out=sums[1:])
+        d[i:j] = (sums[ends[i:j] - base] - sums[starts[i:j] - base]) * down[starts[i:j] - base]
+        i = j
+    return _text.mix(d + (ends - starts).astype(np.uint64))
+
+
 def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, start in it, bytes, words and digest of every chunk. A word counts where it begins."""
     raw, off = _text.buffers(texts)
@@ -90,55 +110,126 @@ def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     first = w.copy()
     first[1:] &= ~w[:-1]
     count = np.add.reduceat(first.astype(np.int64), starts)
-    d = np.empty(len(ends), np.uint64)
-    i = 0
-    while i < len(ends):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, base + _text._SLICE)))
-        stop = int(ends[j - 1])
-        up, down = _text._powers(stop - base + 1)
-        sums = np.zeros(stop - base + 1, np.uint64)
-        np.cumsum((raw[base:stop].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[: stop - base], out=sums[1:])
-        d[i:j] = (sums[ends[i:j] - base] - sums[starts[i:j] - base]) * down[starts[i:j] - base]
-        i = j
+    d = _digests(raw, starts, ends)
     doc = np.searchsorted(off, starts, "right") - 1
-    return doc, starts - off[doc], size, count, _text.mix(d + size.astype(np.uint64))
+    return doc, starts - off[doc], size, count, d
+
+
+class _Windows:
+    """Windows of so many words of texts that lie end to end: digests, and the anchor's place and digest of each."""
+
+    def __init__(self, texts: pa.Array, words: int):
+        raw, off = _text.buffers(texts)
+        self.start, self.end, _, self.first = _text.words(raw, off)
+        self.words, self.n = words, max(0, len(self.start) - words + 1)
+        if not self.n:
+            return
+        whole = _digests(raw, self.start, np.append(self.start[1:], len(raw)))  # with what stands before the next word
+        bare = _digests(raw, self.start, self.end)
+        k = max(1, words * 2 // 5)
+        width, m = words - k + 1, len(bare) - k + 1
+        by = np.uint64(0x9FB21C651E98DF25)
+        acc = np.zeros(m, np.uint64)
+        for j in range(words):
+            if j == k - 1:
+                self.run = _text.mix(acc * by + bare[j : j + m])
+            if j == words - 1:
+                self.digest = _text.mix(acc[: self.n] * by + bare[j:])
+            elif j == k - 1:
+                acc = acc[: self.n].copy()
+            if j < words - 1:
+                acc *= by
+                acc += whole[j : j + len(acc)]
+        low = np.uint64(0xFFFFFFFF)
+        key = (self.run & ~low) | (low - np.arange(m, dtype=np.uint64))
+        span = 1
+        while 2 * span <= width:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        self.anchor = (low - (np.minimum(key[: self.n], key[width - span : width - span + self.n]) & low)).astype(np.int64)
+        place = np.arange(self.n)
+        self.doc = np.searchsorted(self.first, place, "right") - 1
+        self.fine = place + words <= self.first[self.doc + 1]
+        self.base = off[:-1]
+
+    def spans(self, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
+        """Place of the window lo by words, and bytes from its start to the end of the window hi, all in their text."""
+        doc = self.doc[lo]
+        return [pa.array(x.astype(np.int32)) for x in (lo - self.first[doc], self.start[lo] - self.base[doc], self.end[hi + self.words - 1] - self.base[doc])]
+
+
+def anchors(docs: DataFrame, words: int) -> DataFrame:
+    """(d, doc_id, lo, start, end, n, c) of every anchor: its n windows begin at the word lo; c is their digest."""
 
+    def run(batches):
+        for b in batches:
+            w = _Windows(b.column(1), words)
+            v = np.flatnonzero(w.fine) if w.n else np.zeros(0, np.int64)
+            if len(v):
+                cut = np.flatnonzero((np.diff(v) != 1) | (np.diff(w.anchor[v]) != 0)) + 1
+                lo, hi = v[np.concatenate([[0], cut])], v[np.concatenate([cut - 1, [len(v) - 1]])]
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.digest)])
+                c = _text.mix(sums[hi + 1] - sums[lo] + (hi - lo).astype(np.uint64))
+                d = w.run[w.anchor[lo]]
+                yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(pa.array(w.doc[lo])), *w.spans(lo, hi), pa.array((hi - lo + 1).astype(np.int16)), pa.array(c.view(np.int64))], names=["d", "doc_id", "lo", "start", "end", "n", "c"])
+        _text.release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "d long, doc_id long, lo int, start int, end int, n short, c long")
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(d, doc_id, start, size, words) of every chunk of every text; d is its digest."""
+
+def windows(docs: DataFrame, words: int) -> DataFrame:
+    """(d, doc_id, lo, start, end, n) of the windows named in places, an array of (lo, n); d is a window's digest."""
 
     def run(batches):
         for b in batches:
-            doc, start, size, words, d = chunks_of(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(pa.array(doc)), pa.array(start), pa.array(size.astype(np.int16)), pa.array(words.astype(np.int16))], names=["d", "doc_id", "start", "size", "words"])
+            w = _Windows(b.column(1), words)
+            if w.n:
+                lists = b.column(2)
+                row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                lo, n = flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+                i = np.repeat(w.first[row] + lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                own = np.repeat(row, n)
+                here = i < w.n
+                i, own = i[here], own[here]
+                i = np.unique(i[w.fine[i] & (w.doc[i] == own)])
+                for a in range(0, len(i), 1 << 16):
+                    x = i[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(w.digest[x].view(np.int64)), b.column(0).take(pa.array(w.doc[x])), *w.spans(x, x), pa.array(np.ones(len(x), np.int16))], names=["d", "doc_id", "lo", "start", "end", "n"])
         _text.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "d long, doc_id long, start long, size short, words short")
+    return docs.select("doc_id", "text", "places").mapInArrow(run, "d long, doc_id long, lo int, start int, end int, n short")
+
+
+def _shared(rows: DataFrame, *more) -> DataFrame:
+    """rows whose d two documents or more have, with the smallest of them, k, and the aggregates of d given."""
+    dup = rows.groupBy("d").agg(F.min("doc_id").alias("k"), F.max("doc_id").alias("_m"), F.count("*").alias("_n"), *more).where("k <> _m").drop("_m")
+    return by_count(rows, stored(dup, "dup"), "d", "_n", rows.count(), "inner").drop("d", "_n")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id, kept) of every run of chunks that other documents have too.
+    """(doc_id, start, end, n_words, first_doc_id, kept) of every stretch of windows that other documents have too.
 
     start and end are UTF-8 bytes, always between characters; first_doc_id is the smallest document that has one of the
-    run's chunks, and kept marks the runs all of whose chunks no smaller document has. Null and empty texts have no
-    chunks, rows with a null doc_id no repeats, and rows with one doc_id are one document. Text without a repeat has no
+    run's windows, and kept marks the runs all of whose windows no smaller document has. Null and empty texts have no
+    windows, rows with a null doc_id no repeats, and rows with one doc_id are one document. Text without a repeat has no
     row; an empty table gives none.
     """
-    spark = docs.sparkSession
-    bound_batches(spark, rows=1024, size=4 << 20)
-    all_ = stored(chunks(docs.where("doc_id IS NOT NULL AND text IS NOT NULL")), "chunks")
-    dup = all_.groupBy("d").agg(F.min("doc_id").alias("k"), F.max("doc_id").alias("_m"), F.count("*").alias("n")).where("k <> _m").drop("_m")
-    dup = stored(dup, "dup")
-    total = all_.count()
-    marked = by_count(all_, dup, "d", "n", total, "inner").select("doc_id", "start", "size", "words", "k").distinct()
-    w = Window.partitionBy("doc_id").orderBy("start")
-    t = marked.withColumn("_new", (F.coalesce(F.lag(F.col("start") + F.col("size")).over(w), F.lit(-1)) != F.col("start")).cast("int"))
+    bound_batches(docs.sparkSession, rows=1024, size=4 << 20)
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    met = _shared(stored(anchors(docs, min_words), "anchors"), (F.min("c") == F.max("c")).alias("same"))
+    met = stored(met.drop("c").distinct(), "met")
+    places = stored(met.where("NOT same").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("places")), "places")
+    some = _blocks.by_ids(docs, places.select("doc_id"), "doc_id", "left_semi").join(places, "doc_id")
+    singles = _shared(stored(windows(some, min_words), "windows"))
+    t = met.where("same").drop("same").unionByName(singles).distinct().withColumn("_to", F.col("lo") + F.col("n") - 1 + min_words)
+    w = Window.partitionBy("doc_id").orderBy("lo", "_to")
+    t = t.withColumn("_new", (F.coalesce(F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) < F.col("lo")).cast("int"))
     t = t.withColumn("_run", F.sum("_new").over(w))
     runs = t.groupBy("doc_id", "_run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("n_words"), F.min("k").alias("first_doc_id"), F.min(F.col("k") == F.col("doc_id")).alias("kept")
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("_to") - F.min("lo")).cast("long").alias("n_words"), F.min("k").alias("first_doc_id"), F.min(F.col("k") == F.col("doc_id")).alias("kept")
     )
-    return runs.where(F.col("n_words") >= min_words).drop("_run")
+    return runs.drop("_run")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:

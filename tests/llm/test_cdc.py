@@ -66,3 +66,20 @@ def test_odd_rows(spark):
     assert {30, 31} <= set(got.doc_id) and set(range(10, 16)) <= set(got.doc_id)
     assert not {40, 50, 51, 4, 1, 2, 3, 0} & set(got.doc_id)
     assert C.repeats(empty(d)).count() == 0
+
+
+def test_no_passage_of_51_words_is_missed_and_none_of_50_reported(spark):
+    r = random.Random(11)
+    word = lambda most: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, most)))
+    rows, want = [], {}
+    for p in range(300):
+        most, n = (1, 4)[p % 2], 50 if p % 3 == 2 else 51
+        shared = [word(most) for _ in range(n)]
+        for side in (0, 1):
+            before, after = ([f"{'xy'[side]}{word(6)}" for _ in range(r.randint(1, 60))] for _ in range(2))
+            rows.append((2 * p + side, " ".join([*before, *shared, *after])))
+            if n > 50:
+                at = len(" ".join(before)) + 1
+                want[2 * p + side] = (at, at + len(" ".join(shared)), 51, 2 * p, side == 0)
+    got = C.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == want and len(got) == len(want)
