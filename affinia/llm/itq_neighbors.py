@@ -4,12 +4,15 @@ Rotations that make balanced binary codes are learned on at most ``sample`` vect
 principal axes of the unit vectors, turned so that the codes lose least (Gong and Lazebnik 2011), from several random
 starts. Every vector is coded and put into tables over disjoint blocks of its codes. Blocks grow with the logarithm
 of the number of vectors, so buckets keep their size, and there are as many tables as make a pair at the threshold share
-one with probability ``recall``. Vectors that share a bucket are compared by the cosine of the original vectors, in
+one with probability ``recall``, counted on pairs made from the sample under the learned codes: vectors with a common
+direction need more tables than their angles tell. Where that takes over MOST_TABLES, blocks are shorter. Vectors that share a bucket are compared by the cosine of the original vectors, in
 double precision; links, not pairs, leave the task. Equal vectors are one throughout and counted in the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
 from math import acos, ceil, log, log2, pi
 
 import numpy as np
@@ -26,10 +29,17 @@ SAMPLE = 20_000
 RECALL = 0.98
 BUCKET = 200
 LEAST_BITS, MOST_BITS = 6, 24
+MOST_TABLES = 256
+PROBES = 2000
 
 
 def learn(x: np.ndarray, rotations: int, rounds: int = 25, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Mean of the unit vectors, and rotations x d x d; code bits are the signs of (v / |v| - mean) @ rotation."""
+    mean, turns = _turns(x, rounds, seed)
+    return mean, np.array(list(islice(turns, rotations)))
+
+
+def _turns(x: np.ndarray, rounds: int = 25, seed: int = 3) -> tuple[np.ndarray, Iterator[np.ndarray]]:
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -37,14 +47,57 @@ def learn(x: np.ndarray, rotations: int, rounds: int = 25, seed: int = 3) -> tup
     x = x - mean
     axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
     v = x @ axes
+
+    def each():
+        while True:
+            r = np.linalg.qr(rng.normal(size=(d, d)))[0]
+            for _ in range(rounds):
+                u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (u @ w).T
+            yield axes @ r
+
+    return mean, each()
+
+
+def probes(x: np.ndarray, threshold: float = THRESHOLD, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors a and, by two kinds x rows, unit vectors at the threshold from them.
+
+    One kind goes off in any direction, the other along the difference to another vector of the sample.
+    """
+    rng = np.random.default_rng(seed)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = x[rng.permutation(len(x))[:PROBES]]
     out = []
-    for _ in range(rotations):
-        r = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        out.append(axes @ r)
-    return mean, np.array(out)
+    for w in (rng.normal(size=a.shape), x[rng.integers(0, len(x), len(a))] - a + 1e-9 * rng.normal(size=a.shape)):
+        w = w - (w * a).sum(1, keepdims=True) * a
+        w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        out.append(threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * w)
+    return a, np.array(out)
+
+
+def fitted(x: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Mean, rotations, bits of a table's key and number of tables for n vectors, learned on x.
+
+    Of the probes of either kind, the share that meets in a table is ``recall`` or more. No bits: one table with one bucket.
+    """
+    mean, more = _turns(x)
+    a, b = probes(x, threshold)
+    a, b = a - mean, b - mean
+    turns, agree = [], []
+    bits, least = layout(n, x.shape[1], threshold, recall)
+    while bits:
+        per, tables, met = x.shape[1] // bits, 0, np.zeros(b.shape[:2], bool)
+        while tables < max(least, MOST_TABLES):
+            i, j = divmod(tables, per)
+            if i == len(turns):
+                turns.append(next(more))
+                agree.append(((a @ turns[i]) >= 0) == ((b @ turns[i]) >= 0))
+            met |= agree[i][..., j * bits : (j + 1) * bits].all(-1)
+            tables += 1
+            if tables >= least and met.mean(1).min() >= recall:
+                return mean, np.array(turns[: i + 1]), bits, tables
+        bits -= 1
+    return mean, np.array(turns[:1]), 0, 1
 
 
 def layout(n: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -106,10 +159,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     rows = rows.withColumn("e", F.when(F.size("e") == dim, F.col("e")))
     reps = stored(rows.where("e IS NOT NULL").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "vectors")
     n = reps.count()
-    bits, tables = layout(n, dim, threshold, recall)
-    per = dim // bits
     some = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("e").toPandas()
-    mean, turns = learn(np.array(some.e.tolist(), np.float64), ceil(tables / per))
+    mean, turns, bits, tables = fitted(np.array(some.e.tolist(), np.float64), n, threshold, recall)
+    per = dim // bits if bits else 1
 
     def code(batches):
         place = (1 << np.arange(bits)).astype(np.int64)
@@ -117,7 +169,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             u = x.astype(np.float64)
             u = u / np.linalg.norm(u, axis=1, keepdims=True) - mean
-            keys = np.concatenate([(((u @ t) >= 0)[:, : per * bits].reshape(-1, per, bits) * place).sum(2) for t in turns], 1)[:, :tables]
+            keys = np.concatenate([(((u @ t) >= 0)[:, : per * bits].reshape(len(u), per, bits) * place).sum(2) for t in turns], 1)[:, :tables]
             keys = keys + (np.arange(1, tables + 1, dtype=np.int64) << 40)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary()), lists], names=["rep", "mult", "vec", "keys"])

@@ -47,3 +47,18 @@ def test_odd_rows(spark):
     assert all(n[k] == [0] for k in (0, 1, 2, 3, 4, 5, 9, 10))
     assert set(got[got.vec_id.isin([6, 7, 8])].component_id) == {6.0}
     assert Q.near_vectors(empty(t)).count() == 0
+
+
+def test_recall_at_the_threshold_with_a_common_direction(spark):
+    r = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    common = unit(r.normal(size=(1, 64)))
+    a = unit(np.sqrt(0.7) * common + np.sqrt(0.3) * unit(r.normal(size=(1500, 64))))
+    w = r.normal(size=a.shape)
+    w = unit(w - (w * a).sum(1, keepdims=True) * a)
+    c = r.uniform(0.9005, 0.92, size=(len(a), 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * w]).astype(np.float32)
+    want = brute(x.astype(np.float64)).sum(1)
+    got = Q.near_vectors(table(spark, x)).toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() <= want).all() and want.sum() >= 3000
+    assert got.n_links.sum() >= 0.96 * want.sum()
