@@ -77,27 +77,43 @@ def cluster_split(clusters: DataFrame, fraction: float, key: str = "cluster", se
     return fine.withColumn("side", F.when(F.col("test"), "test").otherwise("train")).drop("test").unionByName(sizes.where(F.col("size") > target).withColumn("side", F.lit("train")))
 
 
-def group_folds(members: DataFrame, group: str, k: int, seed: int = 42, greedy_limit: int = 1_000_000) -> DataFrame:
+def _turns(counts: list[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """For (size, how many groups), sizes falling: (size, [(first place, folds in turn)]) of the greedy choice; places from 0.
+
+    Groups of one size go round the folds that lie less than a size above the smallest, until the next fold joins them.
+    """
+    loads, place, out = [0] * k, 0, []
+    for size, left in counts:
+        steps = []
+        while left:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            m = next((i for i in range(1, k) if (loads[order[i]], order[i]) > (loads[order[0]] + size, order[0])), k)
+            low = loads[order[0]]
+            rounds = -(-left // m) if m == k or not size else max(1, (loads[order[m]] - low) // size - 1)
+            n = min(left, m * rounds)
+            steps.append((place, order[:m]))
+            for i, f in enumerate(order[:m]):
+                loads[f] += size * (n // m + (i < n % m))
+            place, left = place + n, left - n
+        out.append((size, steps))
+    return out
+
+
+def group_folds(members: DataFrame, group: str, k: int, seed: int = 42, greedy_limit: int | None = None) -> DataFrame:
     """(group, size, fold): groups from the largest down, each to the smallest fold so far; none is divided.
 
-    The greedy choice needs all sizes in turn, so up to greedy_limit groups it runs on the driver over group sizes;
-    more groups are dealt by snake order, which needs no sequence and balances as well once groups are many.
+    Groups of one size take folds in turns that follow from how many groups each size has, which is all the driver
+    sees: as many rows as there are different sizes, at most the root of twice the number of members. So the choice
+    is the greedy one at every number of groups; greedy_limit has no effect and is taken for old callers only.
     """
     sizes = stored(members.groupBy(group).agg(F.count("*").alias("size")), "folds")
-    ordered = [F.desc("size"), shuffled(group, seed), F.col(group)]
-    if sizes.count() > greedy_limit:
-        spans = sizes.withColumn("_n", F.row_number().over(Window.partitionBy(F.substring(shuffled(group, seed), 1, 2)).orderBy(*ordered)) - 1)
-        turn, place = F.floor(F.col("_n") / k), F.col("_n") % k
-        return spans.withColumn("fold", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int")).drop("_n")
-    import heapq
-
-    heap, out = [(0, f) for f in range(k)], []
-    for r in sizes.orderBy(*ordered).collect():
-        n, f = heapq.heappop(heap)
-        out.append((r[group], r["size"], f))
-        heapq.heappush(heap, (n + r["size"], f))
-    kind = dict(sizes.dtypes)[group]
-    return sizes.sparkSession.createDataFrame(out, f"{group} {kind}, size long, fold int")
+    counts = [(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]
+    turns = sizes.sparkSession.createDataFrame(_turns(counts, k), "size long, _steps array<struct<first: long, folds: array<int>>>")
+    placed = running(sizes, [F.desc("size"), shuffled(group, seed), F.col(group)], place="_place").join(F.broadcast(turns), "size")
+    at = F.col("_place") - 1
+    step = F.element_at(F.filter("_steps", lambda x: x["first"] <= at), -1)
+    fold = F.get(step["folds"], ((at - step["first"]) % F.size(step["folds"])).cast("int"))
+    return placed.select(group, "size", fold.alias("fold"))
 
 
 def without(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
