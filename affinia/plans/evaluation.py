@@ -201,7 +201,7 @@ def m18_x11_sea_pvalue(t):
     """The power-law null gives a size's mean and deviation, and Gumbel's law the chance of the raw score."""
     n = F.col("n")
     p = scores.gumbel_survival(F.col("raw"), 0.33 * n, 0.05 * F.pow(n, F.lit(0.9)))
-    return _sea(t).withColumn("p", p).where("p > 0.0001").select("qid", "target", r6("p").alias("p_value"))
+    return _sea(t).withColumn("p", p).select("qid", "target", r6("p").alias("p_value"))
 
 
 @query(QUERIES)

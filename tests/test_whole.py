@@ -40,3 +40,17 @@ def test_document_clusters_take_every_row(spark, tmp_path):
     assert {r.cluster: r["size"] for r in split} == Counter(want.values())
     target = round(0.2 * len(want))
     assert all(r.side == "train" for r in split if r["size"] > target) and 0 < sum(r["size"] for r in split if r.side == "test")
+
+
+def test_the_most_significant_targets_stay(spark, sf, monkeypatch):
+    from affinia.plans import evaluation
+
+    monkeypatch.setattr(evaluation, "_sea", lambda t: spark.createDataFrame([(1, "far", 50.0, 10), (1, "near", 3.3, 10)], "qid long, target string, raw double, n long"))
+    got = {r.target: r.p_value for r in catalogue.queries()["m18_x11_sea_pvalue"](spark, sf).collect()}
+    assert set(got) == {"far", "near"} and got["far"] <= 0.0001 < got["near"]
+
+
+def test_pasted_lines_with_any_separator_stay(spark, tmp_path):
+    spark.createDataFrame([("a;b\nc\td,e\nf,g\n\n;x",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["p13_s16_pasted_lines"](spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in got) == ["a", "c", "f"]
