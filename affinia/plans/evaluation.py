@@ -143,12 +143,12 @@ def m13_calibration_error(t):
 
 @query(QUERIES)
 def m9_cluster_bootstrap(t):
-    return T.cluster_bootstrap(_cal(t), "y", "grp", resamples=500)
+    return T.cluster_bootstrap(_cal(t), "y", "grp", resamples=10_000)
 
 
 @query(QUERIES)
 def m10_paired_bootstrap(t):
-    return T.cluster_bootstrap(_cal(t).withColumn("d", F.col("y") - F.col("p")), "d", "grp", resamples=500)
+    return T.cluster_bootstrap(_cal(t).withColumn("d", F.col("y") - F.col("p")), "d", "grp", resamples=10_000)
 
 
 @query(QUERIES)

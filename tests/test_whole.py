@@ -54,3 +54,13 @@ def test_pasted_lines_with_any_separator_stay(spark, tmp_path):
     spark.createDataFrame([("a;b\nc\td,e\nf,g\n\n;x",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.queries()["p13_s16_pasted_lines"](spark, str(tmp_path)).collect()
     assert sorted(r.value for r in got) == ["a", "c", "f"]
+
+
+def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
+    from affinia.plans import evaluation
+
+    seen = []
+    monkeypatch.setattr(evaluation.T, "cluster_bootstrap", lambda rows, *a, resamples=2000: seen.append(resamples) or rows)
+    for q in ("m9_cluster_bootstrap", "m10_paired_bootstrap"):
+        catalogue.queries()[q](spark, sf)
+    assert seen == [10_000, 10_000]
