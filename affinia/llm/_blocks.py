@@ -23,6 +23,18 @@ NONE = np.iinfo(np.int64).max
 BROADCAST_IDS = 4_000_000
 
 
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where rows has columns that are called so (letter case is no difference)."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """rows whose id is (left_semi) or isn't (left_anti) in ids, a written table of distinct ids.
 
@@ -33,6 +45,17 @@ def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, on, how)
 
 
+def by_count(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """left joined with right, of one row a key, of which count tells how many rows left has.
+
+    Keys with over a thousandth of all rows, at most a thousand of them, are broadcast; so none makes a large task.
+    """
+    least = max(1000, total // 1000)
+    hot, rest = right.where(F.col(count) > least), right.where(F.col(count) <= least)
+    mark = hot.select(key)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(mark), key, "left_anti").join(rest, key, how))
+
+
 def memberships(items: DataFrame, id_col: str = "rep", keys: str = "keys") -> DataFrame:
     """(id, groups) for the items that share a bucket with another; groups: array of (pos, g, c) by table."""
     flat = items.select(F.col(id_col), F.posexplode(keys).alias("pos", "key"))

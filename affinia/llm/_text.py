@@ -2,11 +2,14 @@
 
 A word is a run of the characters 0-9, a-z and all beyond ASCII, after A-Z are lower-cased. In UTF-8 every byte of a
 character beyond ASCII is 0x80 or more, so one table over bytes decides this exactly. A word's 64-bit hash is a
-polynomial over its bytes modulo 2**64, taken from prefix sums and then mixed.
+polynomial over its bytes modulo 2**64, taken from prefix sums and then mixed. Words of more than LONG_WORD bytes, for
+which such polynomials have known collisions, are hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +21,7 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[65:91] = IS_WORD[128:] = True
 _VALUE = LOWER.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA5A5A5A5A5A5A5A5)
 _SLICE = 1 << 19
+LONG_WORD = 256
 _pow: list[np.ndarray] = []
 
 
@@ -78,6 +82,8 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         h[i:j] = (sums[b] - sums[a]) * down[a]
         i = j
     h = mix(h + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(LOWER[raw[start[k] : end[k]]].tobytes(), digest_size=8).digest(), "little")
     return start, end, h, np.searchsorted(start, off)
 
 

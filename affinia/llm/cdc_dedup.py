@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.llm import _blocks, _text
-from affinia.llm.jaccard_join import by_count
+from affinia.llm._blocks import by_count
 from affinia.session import bound_batches, stored, table
 
 GEAR_BYTES, SIDE, LONGEST = 16, 16, 96

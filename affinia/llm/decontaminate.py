@@ -4,10 +4,13 @@ An item's windows are its runs of WINDOW words (all its words, if it has fewer b
 window only if it holds the window's rarest word, so that one word is the prefix: words are ordered by how often the
 whole corpus has them, and each document word that is some window's rarest word proposes a place for the window.
 Length and position bounds drop places that would begin before or end after the document, and the rest are compared
-word for word. Words are compared by 64-bit hashes.
+over the whole window. Words are compared by 64-bit hashes.
 
-The benchmark is the side that is sent to the tasks. Its bytes are summed first; one of more than ``block_bytes`` is
-cut by item into blocks of at most about that size, and the documents pass each block in turn.
+Windows, counts and the index are made in Spark; the benchmark's texts never reach the driver. Words are counted in
+COUNTERS counters, which words share by their hash: that can make a prefix less rare than it might be, and changes no
+result. An index whose encoded bytes, summed first, are within INDEX_BYTES is sent to the tasks, which mark documents
+as they read them. A larger one stays a table: documents are read once, candidate places, each with the words around
+it, are joined with the windows by their prefix, and the documents that were hit are joined back by row.
 """
 
 from __future__ import annotations
@@ -20,102 +23,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm import _text
+from affinia.llm._blocks import by_count, fresh
 from affinia.session import bound_batches, stored, table
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+INDEX_BYTES = 32 << 20
+COUNTERS = 1 << 20
+#: Places of one prefix that are joined in one share at most, about.
+PLACES = 10_000
+#: Words of 64 bits in the filter of prefixes that goes with a large index: 8 MB whatever the benchmark.
+FILTER_WORDS = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
+_K1, _K2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _benchmark_blocks(benchmark: DataFrame, block_bytes: int):
-    """(item id as a string, word hashes) lists of at most about block_bytes of text each."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    n = max(1, -(-total // block_bytes))
-    if n > 1:
-        items = stored(items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), "items")
-    for k in range(n):
-        part = items.where(F.col("_block") == k) if n > 1 else items
-        rows = part.orderBy("item_id", "text").select("item_id", "text").collect()
-        raw, off = _text.buffers(pa.array([r.text for r in rows], pa.large_string()))
-        _, _, h, first = _text.words(raw, off)
-        yield [(r.item_id, h[first[i] : first[i + 1]]) for i, r in enumerate(rows)]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
 
 
-def _counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """How often all documents have each word of the vocabulary; the words are summed in each task before they meet."""
-    schema = pa.schema([("w", pa.int64()), ("n", pa.int64())])
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _rarity(docs: DataFrame, items: DataFrame) -> np.ndarray:
+    """How often all documents have words of each counter that a word of the benchmark falls on."""
+
+    def seen(batches):
+        on = np.zeros(COUNTERS, bool)
+        for b in batches:
+            on[_counter(_text.words(*_text.buffers(b.column(0)))[2])] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(on))], names=["c"])
+
+    used = np.zeros(COUNTERS, bool)
+    used[items.select("text").mapInArrow(seen, "c long").distinct().toArrow().column("c").to_numpy()] = True
+    packed = np.packbits(used)
 
     def count(batches):
-        total = np.zeros(len(vocabulary), np.int64)
-        some = _low_bits(vocabulary)
+        total = np.zeros(COUNTERS, np.int64)
+        some = np.unpackbits(packed).astype(bool)
         for b in batches:
-            h = _text.words(*_text.buffers(b.column(0)))[2]
-            h = h[some[h & np.uint64(0xFFFFF)]]
-            at = np.searchsorted(vocabulary, h)
-            at[at == len(vocabulary)] = 0
-            total += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=schema)
+            c = _counter(_text.words(*_text.buffers(b.column(0)))[2])
+            total += np.bincount(c[some[c]], minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
         _text.release()
 
-    out = np.zeros(len(vocabulary), np.int64)
-    if len(vocabulary):
-        for r in docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():
-            out[r.w] = r.n
+    out = np.zeros(COUNTERS, np.int64)
+    if used.any():
+        got = docs.select("text").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+        out[got.column("c").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
-def _low_bits(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 20, bool)
-    out[h & np.uint64(0xFFFFF)] = True
-    return out
+def _digests(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each run of words."""
+    a, b = length.astype(np.uint64), length.astype(np.uint64) + np.uint64(1)
+    for j in range(int(length.max(initial=0))):
+        on = length > j
+        w = h[np.minimum(start + j, len(h) - 1)]
+        a, b = np.where(on, a * _K1 + w, a), np.where(on, (b ^ w) * _K2 + (w >> np.uint64(29)), b)
+    return _text.mix(a), _text.mix(b)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _windows(items: DataFrame, rarity: np.ndarray, window: int) -> DataFrame:
+    """One row a distinct window: its prefix word, the prefix's place, length, digests, words (big-endian) and items."""
+
+    def cut(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, _, h, _ = _text.words(*_text.buffers(batch.column(1).slice(k, 1)))
+                n = min(window, len(h))
+                if not n:
+                    continue
+                rare = rarity[_counter(h)].astype(np.float64)
+                order = np.empty(len(h), np.int64)
+                order[np.lexsort((h, rare))] = np.arange(len(h))  # the place of each word in the order by rarity
+                for i in range(0, len(h) - n + 1, 1 << 16):
+                    start = np.arange(i, min(len(h) - n + 1, i + (1 << 16)))
+                    runs = start[:, None] + np.arange(n)
+                    at = order[runs].argmin(1)
+                    a, b = _digests(h, start, np.full(len(start), n))
+                    text = np.ascontiguousarray(h[runs].astype(">u8"))
+                    m = len(start)
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(h[start + at]), pa.array(at.astype(np.int32)), pa.array(np.full(m, n, np.int32)), _signed(a), _signed(b), pa.array([t.tobytes() for t in text], pa.binary()), pa.array([batch.column(0)[k].as_py()] * m)],
+                        names=["prefix", "at", "n", "a", "b", "words", "item"],
+                    )
+
+    got = items.select("item_id", "text").mapInArrow(cut, "prefix long, at int, n int, a long, b long, words binary, item string")
+    got = got.groupBy("words").agg(F.first("prefix").alias("prefix"), F.first("at").alias("at"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.collect_set("item").alias("items"))
+    return stored(got, "windows")
 
 
 class _Index:
-    """Windows of a block, sorted by their rarest word."""
-
-    def __init__(self, items: list, vocabulary: np.ndarray, counts: np.ndarray, window: int):
-        self.ids = sorted({i for i, h in items if len(h)})
-        of = {i: k for k, i in enumerate(self.ids)}
-        seen: dict[tuple, int] = {}
-        self.owners: list[set[int]] = []
-        rows = []
-        for item, h in items:
-            n = min(window, len(h))
-            if not n:
-                continue
-            rare = counts[np.searchsorted(vocabulary, h)]
-            for s in range(len(h) - n + 1):
-                w = h[s : s + n]
-                key = tuple(w.tolist())
-                if key not in seen:
-                    seen[key] = len(rows)
-                    at = int(np.lexsort((w, rare[s : s + n]))[0])
-                    rows.append((int(w[at]), at, n, w))
-                    self.owners.append(set())
-                self.owners[seen[key]].add(of[item])
-        order = sorted(range(len(rows)), key=lambda i: rows[i][0])
-        self.owners = [sorted(self.owners[i]) for i in order]
-        self.prefix = np.array([rows[i][0] for i in order], np.uint64)
-        self.at = np.array([rows[i][1] for i in order], np.int64)
-        self.length = np.array([rows[i][2] for i in order], np.int64)
-        self.words = np.zeros((len(rows), window), np.uint64)
-        for k, i in enumerate(order):
-            self.words[k, : rows[i][2]] = rows[i][3]
-        self.some = _low_bits(self.prefix)
+    """Windows as arrays, sorted by their prefix."""
+
+    def __init__(self, t: pa.Table):
+        col = lambda c: t.column(c).to_numpy()
+        order = np.argsort(col("prefix").view(np.uint64), kind="stable")
+        self.prefix, self.a, self.b = (col(c).view(np.uint64)[order] for c in ("prefix", "a", "b"))
+        self.at, self.length = col("at")[order].astype(np.int64), col("n")[order].astype(np.int64)
+        owners = t.column("items").combine_chunks()
+        names = owners.flatten().dictionary_encode()
+        self.ids = names.dictionary.to_pylist()
+        lists = np.split(names.indices.to_numpy().astype(np.int32), np.cumsum(owners.value_lengths().to_numpy())[:-1]) if len(owners) else []
+        lists = [lists[i] for i in order.tolist()]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        self.owner = np.concatenate([np.zeros(0, np.int32), *lists])
 
     def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word and window of every occurrence."""
-        at = np.flatnonzero(self.some[h & np.uint64(0xFFFFF)])
+        if not len(h) or not len(self.prefix):
+            return (np.zeros(0, np.int64),) * 3
+        some = np.zeros(1 << 20, bool)
+        some[(self.prefix & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        at = np.flatnonzero(some[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         lo = np.searchsorted(self.prefix, h[at])
         hi = np.searchsorted(self.prefix, h[at], "right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         doc = np.searchsorted(first, at, "right") - 1
         step = max(1, (1 << 20) // max(1, int(n.max(initial=1))))
-        out = []
-        for i in range(0, len(at), step):  # so that a frequent rarest word cannot propose too many places at once
+        out = [(np.zeros(0, np.int64),) * 3]
+        for i in range(0, len(at), step):  # so that a frequent prefix cannot propose too many places at once
             m = n[i : i + step]
             place = np.repeat(at[i : i + step], m)
             win = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[i : i + step], m)
@@ -123,50 +157,45 @@ class _Index:
             start = place - self.at[win]
             ok = (start >= first[d]) & (start + self.length[win] <= first[d + 1])
             start, win, d = start[ok], win[ok], d[ok]
-            for j in range(self.words.shape[1]):
-                short = self.length[win] <= j
-                ok = short | (h[np.minimum(start + j, len(h) - 1)] == self.words[win, j])
-                start, win, d = start[ok], win[ok], d[ok]
-            out.append((d, start, win))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
+            a, b = _digests(h, start, self.length[win])
+            ok = (a == self.a[win]) & (b == self.b[win])
+            out.append((d[ok], start[ok], win[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
-def _spans(batch, index: _Index):
-    """Words of the texts, and for each text its occurrences."""
-    _, _, h, first = _text.words(*_text.buffers(batch))
-    d, start, win = index.find(h, first) if len(index.prefix) and len(h) else (np.zeros(0, np.int64),) * 3
-    return h, first, d, start, win
+    def items_of(self, wins: np.ndarray) -> list[str]:
+        own = np.unique(np.concatenate([self.owner[self.first[w] : self.first[w + 1]] for w in np.unique(wins).tolist()]))
+        return sorted(self.ids[o] for o in own.tolist())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs plus n_words, n_hit, n_items, items_sha256 and contaminated; columns of these names are replaced.
 
     A null or empty text has no words. Items whose id or text is null, or without words, have no windows; repeated
-    items count once. Repeated document rows each get the same figures. Empty tables give no rows or no hits.
+    items count once. Repeated document rows each get the same figures. Empty tables give no rows or no hits. An index
+    of more than index_bytes is joined rather than sent to the tasks, with the same result.
     """
     bound_batches(docs.sparkSession)
-    made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.drop(*made, "_hits", "_items")
-    blocks = list(_benchmark_blocks(benchmark, block_bytes)) if block_bytes >= BLOCK_BYTES else _benchmark_blocks(benchmark, block_bytes)
-    parts = []
-    for items in blocks:
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for _, h in items]]))
-        parts.append(_Index(items, vocabulary, _counts(docs, vocabulary), window))
-    if len(parts) == 1:
-        return _one_block(docs, parts[0])
-    return _many_blocks(docs, parts)
-
-
-def _one_block(docs: DataFrame, index: _Index) -> DataFrame:
-    fields = docs.schema.fields
-    at = [f.name for f in fields].index("text")
-    schema = docs.select(*[f"`{f.name}`" for f in fields], F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items_sha256"), F.lit(True).alias("contaminated")).schema
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    items = _items(benchmark)
+    windows = _windows(items, _rarity(docs, items), window)
+    size = windows.agg(F.sum(40 + 8 * F.size("items") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x))).alias("b")).first().b or 0
+    if size > index_bytes:
+        return _joined(docs, windows, window)
+    return _marked(docs, _Index(windows.select("prefix", "at", "n", "a", "b", "items").toArrow()))
+
+
+def _with_figures(docs: DataFrame):
+    return docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items_sha256"), F.lit(True).alias("contaminated")).schema
+
+
+def _marked(docs: DataFrame, index: _Index) -> DataFrame:
+    at, schema = docs.columns.index("text"), _with_figures(docs)
 
     def mark(batches):
         for b in batches:
-            h, first, d, start, win = _spans(b.column(at), index)
+            _, _, h, first = _text.words(*_text.buffers(b.column(at)))
+            d, start, win = index.find(h, first)
             n = b.num_rows
-            words = np.diff(first)
             hit, items, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), [EMPTY] * n
             if len(d):
                 edge = np.zeros(len(h) + 1, np.int64)
@@ -174,40 +203,68 @@ def _one_block(docs: DataFrame, index: _Index) -> DataFrame:
                 np.add.at(edge, start + index.length[win], -1)
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
                 hit = covered[first[1:]] - covered[first[:-1]]
-                for doc in np.unique(d):
-                    found = sorted({index.ids[o] for w in np.unique(win[d == doc]) for o in index.owners[w]})
+                order = np.argsort(d, kind="stable")
+                of, cut = np.unique(d[order], return_index=True)
+                for doc, wins in zip(of.tolist(), np.split(win[order], cut[1:])):
+                    found = index.items_of(wins)
                     items[doc], sha[doc] = len(found), hashlib.sha256(",".join(found).encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words), pa.array(hit), pa.array(items), pa.array(sha), pa.array(hit > 0)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(first)), pa.array(hit), pa.array(items), pa.array(sha), pa.array(hit > 0)], names=schema.names)
         _text.release()
 
     return docs.mapInArrow(mark, schema)
 
 
-def _many_blocks(docs: DataFrame, parts: list[_Index]) -> DataFrame:
-    """Each block's hits by document row, then their union."""
-    cols = docs.columns
-    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-
-    def hits(index, k):
-        def run(batches):
-            for b in batches:
-                h, first, d, start, win = _spans(b.column(1), index)
-                covered, found = [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
-                for x, s, w in zip((d).tolist(), (start - first[d]).tolist(), win.tolist()):
-                    covered[x].append(s * 64 + int(index.length[w]))
-                    found[x].update(index.ids[o] for o in index.owners[w])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(covered, pa.list_(pa.int64())), pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["_row", "n_words", "_hits", "_items"])
-
-        return run
-
-    rows = None
-    for k, index in enumerate(parts):
-        got = docs.select("_row", "text").mapInArrow(hits(index, k), "_row long, n_words long, _hits array<long>, _items array<string>")
-        rows = got if rows is None else rows.unionByName(got)
-    one = rows.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-    span = F.flatten(F.transform("_hits", lambda x: F.sequence(F.floor(x / 64), F.floor(x / 64) + x % 64 - 1)))
-    one = one.select("_row", "n_words", F.size(F.array_distinct(span)).cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
-    return docs.join(one, "_row").select(*cols, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+def _prefix_filter(windows: DataFrame) -> np.ndarray:
+    """Bits of the prefixes' low hash bits; FILTER_WORDS rows at most."""
+    low = F.col("prefix").bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    bit = F.expr("shiftleft(1L, CAST(prefix & 63 AS INT))")
+    got = windows.groupBy(F.shiftright(low, 6).alias("i")).agg(F.bit_or(bit).alias("w")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[got.column("i").to_numpy()] = got.column("w").to_numpy()
+    return out.view(np.uint64)
+
+
+def _joined(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """The join of candidate places with the table of windows; a place has window - 1 words on either side, fewer at an end."""
+    filled, cols, at = _prefix_filter(windows), docs.columns, docs.columns.index("text")
+    row, total, found = fresh(docs, "_row", "_n_words", "_places")
+    wide = docs.withColumns({row: F.monotonically_increasing_id(), total: F.lit(0).cast("long"), found: F.lit(None).cast("array<struct<prefix:bigint,p:bigint,back:int,around:binary>>")})
+    schema, place = wide.schema, pa.list_(pa.struct([("prefix", pa.int64()), ("p", pa.int64()), ("back", pa.int32()), ("around", pa.binary())]))
+
+    def propose(batches):
+        for b in batches:
+            _, _, h, first = _text.words(*_text.buffers(b.column(at)))
+            low = h & np.uint64(FILTER_WORDS * 64 - 1)
+            p = np.flatnonzero((filled[(low >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1))
+            doc = np.searchsorted(first, p, "right") - 1
+            back = np.minimum(p - first[doc], window - 1)
+            ahead = np.minimum(first[doc + 1] - p, window)
+            raw = h.astype(">u8").tobytes()
+            flat = [{"prefix": w, "p": x, "back": k, "around": raw[8 * (g - k) : 8 * (g + m)]} for w, x, k, m, g in zip(h[p].view(np.int64).tolist(), (p - first[doc]).tolist(), back.tolist(), ahead.tolist(), p.tolist())]
+            cut = np.searchsorted(p, first)
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat, place.value_type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.diff(first)), lists], names=schema.names)
+        _text.release()
+
+    docs = stored(wide.mapInArrow(propose, schema), "docs")
+    places = docs.select(F.col(row).alias("_row"), F.explode(found).alias("x")).select("_row", "x.*")
+    # A prefix in many places, or of many windows, is dealt out: places by their number, windows in each share.
+    often = places.groupBy("prefix").agg(F.count("*").alias("_c")).join(windows.select("prefix").distinct(), "prefix")
+    often = stored(often, "often")
+    shares = F.ceil(F.col("_c") / PLACES).cast("int")
+    places = by_count(places, often, "prefix", "_c", int(often.agg(F.sum("_c")).first()[0] or 0), "inner")
+    places = places.withColumn("_s", F.pmod(F.xxhash64("_row", "p"), shares).cast("int")).drop("_c")
+    dealt = windows.join(often, "prefix").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_c")
+    hits = places.join(dealt, ["prefix", "_s"]).where("back >= at AND substring(around, 8 * (back - at) + 1, 8 * n) = words")
+    hits = hits.select("_row", (F.col("p") - F.col("at")).alias("start"), "n", "items")
+    one = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+    # Words covered: each run adds what lies beyond the runs before it.
+    walk = F.aggregate("_hits", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("sum")), lambda s, x: F.struct(
+        F.greatest(s["end"], x["start"] + x["n"]).alias("end"), (s["sum"] + F.greatest(F.lit(0).cast("long"), x["start"] + x["n"] - F.greatest(s["end"], x["start"]))).alias("sum")))
+    one = one.select("_row", walk["sum"].alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    docs = docs.join(one.withColumnRenamed("_row", row), row, "left")
+    return docs.select(*cols, F.col(total).alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(EMPTY)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

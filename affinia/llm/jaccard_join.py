@@ -156,17 +156,6 @@ def _compare(threshold: float):
     return _blocks.grouped(kernel, ["rep", "mult", "sig", "sig_id", "groups", "text", "_s"])
 
 
-def by_count(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
-    """left joined with right, of one row a key, of which count tells how many rows left has.
-
-    Keys with over a thousandth of all rows, at most a thousand of them, are broadcast; so none makes a large task.
-    """
-    least = max(1000, total // 1000)
-    hot, rest = right.where(F.col(count) > least), right.where(F.col(count) <= least)
-    mark = hot.select(key)
-    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(mark), key, "left_anti").join(rest, key, how))
-
-
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of docs; only its doc_id and text are read.
 
@@ -190,7 +179,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reps = reps.select("sig_id", "rep", "mult").join(links, "rep", "left").join(classes, "rep", "left")
     reps = reps.select("sig_id", "mult", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = by_count(named.select("doc_id", "sig_id"), reps, "sig_id", "mult", total)
+    out = _blocks.by_count(named.select("doc_id", "sig_id"), reps, "sig_id", "mult", total)
     out = out.select("doc_id", "class_id", "n_links")
     rest = sigs.where("sig_id IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

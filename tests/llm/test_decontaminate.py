@@ -1,6 +1,10 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
+
+from affinia.llm import _text as W
 from affinia.llm import decontaminate as D
 from affinia.llm._text import text_words
 from tests.llm.data import documents, empty, text
@@ -40,28 +44,46 @@ def tables(spark):
     return docs, items
 
 
-def check(spark, **k):
+def check(spark, window=10, **k):
     docs, items = tables(spark)
-    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **k).toPandas()
-    want = brute(docs, [x for x in items if x[0] is not None])
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=window, **k).toPandas()
+    want = brute(docs, [x for x in items if x[0] is not None], window)
     for r in got.itertuples():
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == want[r.doc_id], r.doc_id
         assert r.contaminated == (r.n_hit > 0)
-    assert len(got) == len(docs) and got.contaminated.sum() > 5
+    assert len(got) == len(docs) and got.contaminated.sum() >= (5 if window == 10 else 1)
+
+
+@pytest.mark.parametrize("index_bytes", [D.INDEX_BYTES, 0])
+@pytest.mark.parametrize("window", [10, 64, 100])
+def test_against_brute_force(spark, window, index_bytes):
+    """The index in the tasks and the join give the same; windows of 64 words and more too."""
+    check(spark, window, index_bytes=index_bytes)
 
 
-def test_against_brute_force(spark):
-    check(spark)
+def test_joined_with_a_frequent_prefix(spark, monkeypatch):
+    """One passage in every document: its places and windows are dealt to several shares."""
+    passage = text(5, 30)
+    rows = [(i, f"w{i} {passage} v{i}") for i in range(400)]
+    monkeypatch.setattr(D, "PLACES", 50)
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage), (2, passage)], "item_id long, text string")
+    got = D.contamination(d, b, index_bytes=0).toPandas()
+    assert len(got) == 400 and set(got.n_hit) == {30} and set(got.n_items) == {2}
 
 
-def test_in_blocks(spark):
-    check(spark, block_bytes=500)
+def test_long_words_that_agree_in_a_polynomial_differ():
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    h = W.words(*W.buffers(pa.array([word + " " + word.translate(str.maketrans("ab", "ba"))])))[2]
+    assert h[0] != h[1]
 
 
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, text(77, 40))], "item_id long, text string")
     d = documents(spark, "n_words n_hit items _row _hits")
-    got = D.contamination(d, bench).toPandas()
-    assert len(got) == d.count() and set(got[got.contaminated].doc_id) == {30.0, 31.0}
-    assert D.contamination(empty(d), bench).count() == 0
-    assert D.contamination(d, empty(bench)).where("contaminated").count() == 0
+    for size in (D.INDEX_BYTES, 0):
+        got = D.contamination(d, bench, index_bytes=size).toPandas()
+        assert len(got) == d.count() and set(got[got.contaminated].doc_id) == {30.0, 31.0}
+        assert set(got._row) == {"x"} and list(got.columns[-5:]) == ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        assert D.contamination(empty(d), bench, index_bytes=size).count() == 0
+        assert D.contamination(d, empty(bench), index_bytes=size).where("contaminated").count() == 0
