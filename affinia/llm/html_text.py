@@ -17,17 +17,23 @@ from pyspark.sql import functions as F
 
 from affinia.session import bound_batches, table
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"""["'>]""")
 _ATTR = re.compile(r"""([a-zA-Z:_-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CLOSES_P = BLOCK - frozenset("body html dd dt li td th tr tbody thead tfoot caption legend summary figcaption".split())
-ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Where an element of a list, table or menu is ended by the next: kinds that a tag ends, and where that stops.
+ENDED_BY = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "row", "td": "cell", "th": "cell", "option": "option"}
+ENDS = {"p": ("p",), "li": ("li",), "d": ("dt", "dd"), "row": ("tr", "td", "th"), "cell": ("td", "th"), "option": ("option",)}
+STOPS = {"p": ("td", "th", "article", "div", "section", "body", "main"), "li": ("ul", "ol", "menu"), "d": ("dl",), "row": ("table",), "cell": ("tr", "table"), "option": ("select",)}
+KINDS = {k: i for i, k in enumerate(ENDS)}
+NEAR = {t: [(i, True) for k, i in KINDS.items() if t in ENDS[k]] + [(i, False) for k, i in KINDS.items() if t in STOPS[k] and t not in ENDS[k]] for t in {x for v in (*ENDS.values(), *STOPS.values()) for x in v}}
+#: What may stand in a head; anything else ends it. Of LOOSE, one without an end tag ends at the next block.
+IN_HEAD = frozenset("head title meta link script style base noscript template noframes".split())
+LOOSE = frozenset("label option select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp canvas audio video".split())
 DROP = frozenset("nav header footer aside form button select option fieldset label menu dialog head datalist input".split())
@@ -64,17 +70,56 @@ def _dropped(tag: str, attrs: str) -> bool:
     return False
 
 
+#: Ancestors that points reach; the 32nd would get a hundredth.
+REACH = 32
+
+
 class _Page:
-    """Tree of blocks. parent, tag and style are by element; a block is (element, text, letters in links)."""
+    """Tree of blocks. parent, tag and style are by element; a block is (element, text, letters in links).
+
+    Reading takes time in proportion to the page however broken its markup is: what a search found missing is not
+    sought again, and what may end an element is kept with each open one.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.style = [-1], ["#root"], [""]
         self.blocks: list[tuple[int, str, int]] = []
+        self.source, self.quotes, self.missing = source, True, set()
         self._read(source)
 
+    def _tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, -1 if there is none. One in a quoted value doesn't, unless no other does."""
+        source = self.source
+        first = source.find(">", at)
+        if first < 0 or not self.quotes or (source.find('"', at, first) < 0 and source.find("'", at, first) < 0):
+            return first
+        pos = at
+        while m := _MARK.search(source, pos):
+            k = m.start()
+            if source[k] == ">":
+                return k
+            pos, j = k + 1, k - 1
+            while source[j].isspace():
+                j -= 1
+            if source[j] == "=":  # only there does a quote begin a value
+                close = source.find(source[k], pos)
+                if close < 0:
+                    break
+                pos = close + 1
+        self.quotes = False
+        return first
+
+    def _next(self, pattern: str, at: int) -> re.Match | None:
+        if pattern in self.missing:
+            return None
+        found = re.compile(pattern, re.I | re.A).search(self.source, at)
+        if not found:
+            self.missing.add(pattern)
+        return found
+
     def _read(self, source: str) -> None:
         stack, gone, parts, linked, links = [0], 0, [], 0, 0  # gone: depth in the stack at which dropping began
-        lower = None
+        near, opened, loose = [(-1,) * len(KINDS)], {}, False  # by open element the nearest one of each kind
 
         def flush():
             nonlocal linked
@@ -88,37 +133,55 @@ class _Page:
         def close(depth: int):
             nonlocal gone
             flush()
-            del stack[depth:]
+            for x in stack[depth:]:
+                opened[self.tag[x]] -= 1
+            del stack[depth:], near[depth:]
             if gone and len(stack) <= gone:
                 gone = 0
 
         at, n = 0, len(source)
-        search = _TAG.search
         while True:
-            m = search(source, at)
-            text = source[at : m.start() if m else n]
+            # Text up to the next tag, end tag, comment or declaration.
+            lt, name, stop = at, None, -1
+            while (lt := source.find("<", lt)) >= 0:
+                ending = source.startswith("/", lt + 1)
+                name = _NAME.match(source, lt + 1 + ending)
+                if name:
+                    stop = self._tag_end(name.end())
+                elif source.startswith("<!--", lt):
+                    stop = source.find("-->", lt + 2) + 2
+                    stop = n - 1 if stop < 2 else stop
+                elif source.startswith(("<!", "<?"), lt):
+                    stop = source.find(">", lt)
+                else:
+                    lt += 1
+                    continue
+                if stop < 0:
+                    lt = -1  # nothing ends a tag from here on
+                break
+            text = source[at : lt if lt >= 0 else n]
+            if text and gone and self.tag[stack[gone]] == "head" and not text.isspace():
+                close(gone)
             if text and not gone:
                 parts.append(text)
                 if links and not text.isspace():
                     linked += len(text)
-            if not m:
+            if lt < 0:
                 break
-            at = m.end()
-            tag = m.group(2) or m.group(5)
-            if not tag:
+            at = stop + 1
+            if not name:
                 continue
-            tag = tag.lower()
-            ending, attrs = m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
+            tag, attrs = name.group().lower(), source[name.end() : stop]
+            if gone and not ending and self.tag[stack[gone]] == "head" and tag not in IN_HEAD:
+                close(gone)
             if tag in RAW:
                 if not ending and not attrs.endswith("/"):
-                    if lower is None:
-                        lower = source.lower()
-                    end = lower.find("</" + tag, at)
-                    if end < 0:
+                    end = self._next("</" + tag, at)
+                    if not end:
                         if tag in ("script", "style"):
                             at = n
                         continue
-                    at = source.find(">", end) + 1 or n
+                    at = source.find(">", end.start()) + 1 or n
                 continue
             if tag == "br":
                 if not gone:
@@ -126,22 +189,22 @@ class _Page:
                 continue
             if tag == "a" and not gone:
                 links = 0 if ending else 1
-                if not ending and attrs and _dropped(tag, attrs):
-                    pass
-                else:
+                if ending or not attrs or not _dropped(tag, attrs):
                     continue
             if ending:
                 if tag in BLOCK or gone:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == tag:
-                            close(i)
-                            if tag in BLOCK:
-                                links = 0
-                            break
-                    else:
-                        if tag in BLOCK and not gone:
-                            flush()
+                    if opened.get(tag):
+                        i = len(stack) - 1
+                        while self.tag[stack[i]] != tag:
+                            i -= 1
+                        close(i)
+                        if tag in BLOCK:
+                            links = 0
+                    elif tag in BLOCK and not gone:
+                        flush()
                 continue
+            if gone and loose and tag in BLOCK:
+                close(gone)
             drop = not gone and _dropped(tag, attrs)
             if tag not in BLOCK and not drop and not (gone and tag not in VOID):
                 continue
@@ -149,21 +212,14 @@ class _Page:
                 if not gone:
                     flush()
                 links = 0
-                if tag in CLOSES_P:
-                    for i in range(len(stack) - 1, gone or 0, -1):
-                        if self.tag[stack[i]] == "p":
-                            close(i)
-                            break
-                        if self.tag[stack[i]] in ("td", "th", "article", "div", "section", "body", "main"):
-                            break
-                if tag in ENDED_BY:
-                    for i in range(len(stack) - 1, gone or 0, -1):
-                        if self.tag[stack[i]] in ENDED_BY[tag]:
-                            close(i)
-                            if tag != "tr" or self.tag[stack[-1]] != "tr":
-                                break
-                        elif self.tag[stack[i]] in SCOPE[tag]:
-                            break
+                if tag in CLOSES_P and (i := near[-1][KINDS["p"]]) > gone:
+                    close(i)
+                if tag in ENDED_BY and tag != "p" and (i := near[-1][KINDS[ENDED_BY[tag]]]) > gone:
+                    close(i)
+                    if tag == "tr" and self.tag[stack[-1]] == "tr" and len(stack) - 1 > gone:
+                        close(len(stack) - 1)
+            elif tag == "option" and (i := near[-1][KINDS["option"]]) > gone:
+                close(i)
             if tag in VOID or (attrs.endswith("/") and tag not in BLOCK):
                 continue
             if drop:
@@ -172,8 +228,17 @@ class _Page:
             self.tag.append(tag)
             self.style.append(attrs)
             stack.append(len(self.tag) - 1)
+            opened[tag] = opened.get(tag, 0) + 1
+            if tag in NEAR:
+                mine = list(near[-1])
+                for i, sets in NEAR[tag]:
+                    mine[i] = len(stack) - 1 if sets else -1
+                near.append(tuple(mine))
+            else:
+                near.append(near[-1])
             if drop:
                 gone = len(stack) - 1
+                loose = tag in LOOSE and not ((m := self._next(rf"</?{tag}(?=[\s/>])", at)) and m.group().startswith("</"))
         flush()
 
     def text(self) -> str:
@@ -182,13 +247,13 @@ class _Page:
         n = len(self.tag)
         points, size, linked = [0.0] * n, [0] * n, [0] * n
         for node, text, links in self.blocks:
-            x, up, far = node, 1.0, 0
+            x, far = node, 0
             worth = min(len(text) / 100, 3.0) + text.count(",") + (1.0 if len(text) >= 25 else 0.1)
             if self.tag[node] in CONTAINER and self.tag[node] != "td":
                 far = 1  # text of its own
-            while x >= 0:
-                size[x] += len(text)
-                linked[x] += links
+            size[x] += len(text)
+            linked[x] += links
+            while x >= 0 and far <= REACH:
                 if far == 1:
                     points[x] += worth
                 elif far == 2:
@@ -196,6 +261,9 @@ class _Page:
                 elif far > 2:
                     points[x] += worth / (3 * far)
                 x, far = self.parent[x], far + 1
+        for x in range(n - 1, 0, -1):
+            size[self.parent[x]] += size[x]
+            linked[self.parent[x]] += linked[x]
         worth = lambda x: (points[x] + CONTAINER.get(self.tag[x], 0.0)) * (1 - linked[x] / max(1, size[x]))
         holders = [x for x in range(n) if self.tag[x] in CONTAINER and size[x]]
         if not holders:
