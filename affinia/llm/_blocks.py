@@ -56,6 +56,15 @@ def by_count(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(mark), key, "left_anti").join(rest, key, how))
 
 
+def looked_up(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """left with the columns of right where that has its key, else nulls. right is a written table of few of left's keys
+    and count, of how many rows they have; up to BROADCAST_IDS of them are sent to the tasks."""
+    n = right.agg(F.count("*").alias("n"), F.sum(count).alias("s")).first()
+    if n.n <= BROADCAST_IDS:
+        return left.join(F.broadcast(right), key, "left")
+    return by_count(left, right, key, count, n.s)
+
+
 def memberships(items: DataFrame, id_col: str = "rep", keys: str = "keys") -> DataFrame:
     """(id, groups) for the items that share a bucket with another; groups: array of (pos, g, c) by table."""
     flat = items.select(F.col(id_col), F.posexplode(keys).alias("pos", "key"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from affinia.llm import itq_neighbors as Q
 from tests.llm.data import empty
@@ -24,11 +25,58 @@ def test_recall_and_no_false_link(spark):
     want = near.sum(1)
     assert (got.n_links.to_numpy() <= want).all()
     assert got.n_links.sum() >= 0.9 * want.sum()
-    for v, c in zip(got.vec_id, got.component_id):
-        assert c <= v
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def components(near):
+    """Smallest member of each component, by union-find."""
+    root = list(range(len(near)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(*np.nonzero(near)):
+        x, y = sorted((find(int(a)), find(int(b))))
+        root[y] = x
+    return [find(i) for i in range(len(near))]
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_links_and_components_against_union_find(spark, block):
+    """Clusters well inside the threshold, chains of links, a large cluster of unequal vectors, and another length."""
+    r = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(r.normal(size=(250, 48)))
+    x = [base, base[:100] + 0.02 * unit(r.normal(size=(100, 48))), base[0] + 0.04 * unit(r.normal(size=(200, 48)))]
+    p, q = unit(r.normal(size=(2, 48)))
+    q = unit((q - (q @ p) * p)[None])[0]
+    turn = 0.4 * np.arange(12)[:, None]  # neighbours at cosine 0.92, others below
+    x = np.concatenate([*x, np.cos(turn) * p + np.sin(turn) * q]).astype(np.float32)
+    near = brute(x.astype(np.float64))
+    other = r.normal(size=(6, 5)).astype(np.float32)
+    other[3:] = other[:3] * np.float32(2)
+    ids = np.arange(len(x) + len(other))
+    t = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, [*x, *other])], "vec_id long, embedding array<float>")
+    got = Q.near_vectors(t, recall=0.9999, block=block).toPandas().sort_values("vec_id")
+    n = len(x)
+    assert got.n_links.tolist() == [*near.sum(1).tolist(), 1, 1, 1, 1, 1, 1]
+    assert got.component_id.tolist() == [*components(near), n, n + 1, n + 2, n, n + 1, n + 2]
+
+
+def test_doubles_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1.01e-200]), (3, [5e-324, 0.0]), (4, [1.0, -1.0])]
+    got = Q.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    assert got.n_links.to_dict() == {1: 1, 2: 1, 3: 0, 4: 0} and got.component_id.to_dict() == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0])]
+    got = Q.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    assert sorted(zip(got.vec_id, got.n_links, got.component_id)) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_rotation_is_orthogonal_and_codes_balanced():
     r = np.random.default_rng(2)
     mean, turns = Q.learn(r.normal(size=(2000, 16)), 2)
