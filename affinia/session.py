@@ -1,7 +1,7 @@
 """Sessions and shared storage.
 
-Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which every executor shares. A folder
-of this machine is used only where that setting is absent, as in tests.
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which every executor shares. Without that
+setting a folder of this machine is used where Spark runs on this machine alone, as in tests; a cluster is refused.
 """
 
 from __future__ import annotations
@@ -33,10 +33,13 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where the session names none."""
+    """The cluster's shared folder, or one of our own where the session names none and has no executors elsewhere."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="affinia-"))
     return _own[0]
@@ -61,6 +64,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, on files that outlive any executor."""
     spark = df.sparkSession
@@ -82,7 +90,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
-    """Arrow batches for Python workers, bounded by rows and by bytes, so that long texts cannot pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+#: Arrow batches for Python workers, bounded by rows and by bytes, so that long texts cannot pile up.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's batch sizes to BATCH, once and alike for all operators: Spark reads them when a plan runs."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
