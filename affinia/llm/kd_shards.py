@@ -6,94 +6,79 @@ all open nodes of a level are summed in bins, the bin that holds the median is c
 weighs less than ``tolerance`` of a shard. Where one value alone outweighs that, its rows are told apart by a hash and
 then by their place in the input, so a value that a third of the rows share is cut like any other.
 
-Only the bins of a level's nodes reach the driver: BINS rows a node, whatever the input. The text is read once.
+A row's node is a column; what a level cuts, or seeks, is a table with a row a node, sent to the tasks and joined by
+node. So the plan grows with the levels, not with the shards, and one row a node reaches the driver: the bin in which
+its median lies. The text is read once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinia.session import stored, table
+from affinia.session import forget, stored, table
 
 BINS = 512
 SHARDS = 16
-
-
-@dataclass
-class _Node:
-    shards: int
-    first: int  # its first shard
-    left: "_Node | None" = None
-    right: "_Node | None" = None
-    test: Column | None = None  # true: to the left
-
-    def tree(self, opened: dict[int, "_Node"]) -> Column:
-        """Number of the open node that a row falls into; a leaf gives its shard as a negative number less one."""
-        if self.left:
-            return F.when(self.test, self.left.tree(opened)).otherwise(self.right.tree(opened))
-        if self.shards == 1:
-            return F.lit(-1 - self.first)
-        opened[self.first] = self
-        return F.lit(self.first)
-
-
-def _before(fixed: list, keys: list[str], cut) -> Column:
-    """Rows up to the cut in the order of keys; fixed are the values of the keys before the one that is cut."""
-    out = F.col(keys[len(fixed)]) <= F.lit(cut)
-    for key, value in reversed(list(zip(keys, fixed))):
-        out = (F.col(key) < F.lit(value)) | ((F.col(key) == F.lit(value)) & out)
+#: Levels after which the rows' nodes are written, and nodes that are sent to the tasks at most; more are joined by shuffle.
+LEVELS, SENT = 4, 1_000_000
+_LARGE = 1e307  # beyond it a dimension's values count as this, so that ranges stay finite
+_SOUGHT = "_node long, _dim int, _stage int, _f0 double, _f1 double, _lo double, _hi double, _below double, _want double"
+_CUTS = "_node long, _dim int, _stage int, _f0 double, _f1 double, _cut double, _incl boolean, _half long"
+
+
+def _value(ds: list[str]) -> Column:
+    """The value of a node's dimension."""
+    out = F.col(ds[-1])
+    for i, d in enumerate(ds[:-1]):
+        out = F.when(F.col("_dim") == i, F.col(d)).otherwise(out)
     return out
 
 
-def _median_cuts(rows: DataFrame, node: Column, opened: dict[int, _Node], dims: dict[int, str], weight: dict[int, float], slack: float) -> None:
-    """Set the test of every open node."""
-    state = {i: {"keys": [dims[i], "_h", "_uid"], "fixed": [], "lo": None, "hi": None, "below": 0.0, "want": weight[i] * (n.shards // 2) / n.shards} for i, n in opened.items()}
-    while state:
-        value, bin_, inside = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(False)
-        for i, s in state.items():
-            key = F.col(s["keys"][len(s["fixed"])])
-            mine = node == i
-            for k, v in zip(s["keys"], s["fixed"]):
-                mine = mine & (F.col(k) == F.lit(v))
-            if s["lo"] is not None:
-                mine = mine & key.between(s["lo"], s["hi"])
-                b = F.least(F.floor((key - F.lit(s["lo"])) * F.lit(BINS / (s["hi"] - s["lo"]))), F.lit(BINS - 1)).cast("int")
-            else:
-                b = F.lit(0)
-            value, bin_, inside = F.when(mine, key).otherwise(value), F.when(mine, b).otherwise(bin_), inside | mine
-        got: dict[int, list] = {}
-        for r in rows.where(inside).groupBy(node.alias("n"), bin_.alias("b")).agg(F.sum("size").alias("w"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect():
-            got.setdefault(r.n, []).append((r.b, r.w, r.lo, r.hi))
-        for i, s in list(state.items()):
-            below = s["below"]
-            for _, w, lo, hi in sorted(got.get(i, [])):
-                if below + w >= s["want"]:
-                    break
-                below += w
-            else:
-                opened[i].test = F.lit(True)
-                del state[i]
+def _sent(spark, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= SENT else df
+
+
+def _medians(rows: DataFrame, ds: list[str], sought: dict[int, dict], slack: float, last: float) -> dict[int, tuple]:
+    """For each node sought its cut: dimension, stage, fixed values, value, and whether that goes to the left."""
+    spark, cuts, names = rows.sparkSession, {}, ("dim", "stage", "f0", "f1", "lo", "hi", "below", "want")
+    while sought:
+        t = rows.join(_sent(spark, [(i, *[s[k] for k in names]) for i, s in sought.items()], _SOUGHT), "_node")
+        v, h, stage, lo, hi = _value(ds), F.col("_h"), F.col("_stage"), F.col("_lo"), F.col("_hi")
+        t = t.withColumn("_k", F.when(stage == 0, v).when(stage == 1, h).otherwise(F.col("_uid")))
+        t = t.where(((stage == 0) | (v == F.col("_f0"))) & ((stage < 2) | (h == F.col("_f1"))) & F.col("_k").between(lo, hi))
+        b = F.when(hi > lo, F.least(F.floor((F.col("_k") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))).otherwise(0)
+        g = t.groupBy("_node", "_below", "_want", b.alias("_b")).agg(F.sum("_size").alias("w"), F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count("*").alias("n"))
+        upto = F.col("_below") + F.sum("w").over(Window.partitionBy("_node").orderBy("_b"))
+        got = {r["_node"]: r for r in g.withColumn("upto", upto).where("upto >= _want AND upto - w < _want").select("_node", "upto", "w", "lo", "hi", "n").collect()}
+        for i, s in list(sought.items()):
+            if i not in got:  # no weight at all: everything to the left
+                cuts[i] = (s["dim"], 0, None, None, float("inf"), True)
+                del sought[i]
                 continue
-            level = len(s["fixed"])
-            if w <= slack or (lo == hi and level == 2):
-                up = s["want"] - below <= below + w - s["want"]  # the nearer end of the bin
-                test = _before(s["fixed"], s["keys"], lo if up else hi)
-                opened[i].test = test & ~_at(s["fixed"], s["keys"], lo) if up else test
-                del state[i]
-            elif lo == hi:
-                s |= {"fixed": [*s["fixed"], lo], "lo": None, "hi": None, "below": below}
+            r = got[i]
+            below, level = r.upto - r.w, s["stage"]
+            if r.w <= slack or r.n == 1 or (r.lo == r.hi and level == 2):
+                up = s["want"] - below <= r.upto - s["want"]  # the nearer end of the bin
+                cuts[i] = (s["dim"], level, s["f0"], s["f1"], r.lo if up else r.hi, not up)
+                del sought[i]
+            elif r.lo == r.hi:
+                s |= {"stage": level + 1, f"f{level}": r.lo, "lo": 0.0, "hi": float(1 << 52) if level == 0 else last, "below": below}
             else:
-                s |= {"lo": lo, "hi": hi, "below": below}
+                s |= {"lo": r.lo, "hi": r.hi, "below": below}
+    return cuts
 
 
-def _at(fixed: list, keys: list[str], value) -> Column:
-    out = F.col(keys[len(fixed)]) == F.lit(value)
-    for key, v in zip(keys, fixed):
-        out = out & (F.col(key) == F.lit(v))
-    return out
+def _descend(rows: DataFrame, ds: list[str], cuts: list[tuple]) -> DataFrame:
+    """rows in their nodes of the next level: a node's left half keeps its number, the right one's is higher by its left half's shards."""
+    t = rows.join(_sent(rows.sparkSession, cuts, _CUTS), "_node", "left")
+    v, cut, stage = _value(ds), F.col("_cut"), F.col("_stage")
+    upto = lambda k: (k < cut) | (F.col("_incl") & (k == cut))
+    third = (F.col("_h") < F.col("_f1")) | ((F.col("_h") == F.col("_f1")) & upto(F.col("_uid")))
+    second = (v < F.col("_f0")) | ((v == F.col("_f0")) & F.when(stage == 1, upto(F.col("_h"))).otherwise(third))
+    left = F.when(cut.isNull(), True).when(stage == 0, upto(v)).otherwise(second)
+    return t.withColumn("_node", F.when(left, F.col("_node")).otherwise(F.col("_node") + F.col("_half"))).select(*rows.columns)
 
 
 def kd_shards(rows: DataFrame, dims: list[str], size: str = "size", shards: int | None = None, target_bytes: int | None = None, tolerance: float = 0.002) -> DataFrame:
@@ -101,38 +86,49 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str = "size", shards: int
 
     dims are numeric columns; null and NaN count as 0. Give the number of shards, or target_bytes for
     ceil(total / target_bytes) of them. Sizes of shards differ from the mean by a few tolerances and one row's size at
-    most. Repeated rows and ties are told apart by their place in the input. An empty table gives no rows.
-    Columns named shard or slot are replaced; _uid, _h, _id, _part, _own, _from and _d0, _d1, ... are dropped; the rest stay.
+    most. Repeated rows and ties are told apart by their place in the input. A null or negative size counts as 0. An
+    empty table gives no rows. Columns named shard or slot are replaced, the rest stay, however they are called.
     """
+    kept = [c for c in rows.columns if c not in ("shard", "slot") or c in (*dims, size)]
     ds = [f"_d{i}" for i in range(len(dims))]
-    rows = rows.drop(*[c for c in ("shard", "slot", "_uid", "_h", "_id", "_part", "_own", "_from", *ds) if c not in dims])
-    number = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-    t = rows.withColumns({d: number(c) for d, c in zip(ds, dims)}).withColumn("_uid", F.monotonically_increasing_id())
-    t = t.withColumn("_h", F.pmod(F.xxhash64(F.col(size), *ds, "_uid"), F.lit(1 << 52)).cast("double"))
-    t = stored(t, "kd")
-    keyed = t.withColumns({"size": F.col(size).cast("double"), "_uid": F.col("_uid").cast("double")}).select("size", "_h", "_uid", *ds)
-    whole = keyed.agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in ds]).first()
-    total = whole.w or 0.0
+    number = lambda c: F.greatest(F.least(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(_LARGE)), F.lit(-_LARGE)) + F.lit(0.0)
+    t = rows.select(F.struct(*kept).alias("_all"), F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_size"), *[number(c).alias(d) for c, d in zip(dims, ds)], F.monotonically_increasing_id().alias("_id"))
+    t = t.withColumn("_h", F.pmod(F.xxhash64("_size", *ds, "_id"), F.lit(1 << 52)).cast("double"))
+    t = stored(t, "kd").withColumns({"_uid": F.col("_id").cast("double"), "_node": F.lit(0).cast("long")})
+    keyed = t.select("_size", "_h", "_uid", "_node", *ds)
+    ends = [f(d).alias(f"{k}{d}") for d in ds for k, f in (("lo", F.min), ("hi", F.max))]
+    whole = keyed.agg(F.sum("_size").alias("w"), F.max("_uid").alias("last"), *ends).first()
+    total, span = whole.w or 0.0, {d: (whole[f"hi{d}"] or 0.0) - (whole[f"lo{d}"] or 0.0) for d in ds}
     n = shards or max(1, -(-int(total) // target_bytes))
-    root, opened = _Node(n, 0), {}
-    node = root.tree(opened)
-    while opened:
-        spans = {r.n: r for r in keyed.groupBy(node.alias("n")).agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in ds]).collect()}
-        widest = {i: max(ds, key=lambda d: (spans[i][d] / whole[d] if i in spans and whole[d] else 0.0)) for i in opened}
-        _median_cuts(keyed, node, opened, widest, {i: spans[i].w if i in spans else 0.0 for i in opened}, tolerance * total / n)
-        for x in opened.values():
-            half = x.shards // 2
-            x.left, x.right = _Node(half, x.first), _Node(x.shards - half, x.first + half)
-        opened = {}
-        node = root.tree(opened)
-    placed = t.withColumn("_id", F.col("_uid")).withColumn("_uid", F.col("_uid").cast("double"))
-    placed = placed.withColumn("shard", (-1 - node).cast("int")).withColumn("_part", F.shiftright("_id", 33)).drop("_h", "_uid", *ds)
+    nodes, levels, held = {0: n} if n > 1 else {}, [], None
+    while nodes:
+        spans = {r["_node"]: r for r in keyed.groupBy("_node").agg(F.sum("_size").alias("w"), *ends).collect()}
+        sought = {}
+        for i, k in nodes.items():
+            if i in spans:
+                r = spans[i]
+                j = max(range(len(ds)), key=lambda j: ((r[f"hi{ds[j]}"] - r[f"lo{ds[j]}"]) / span[ds[j]] if span[ds[j]] else 0.0))  # noqa: B023
+                sought[i] = {"dim": j, "stage": 0, "f0": None, "f1": None, "lo": r[f"lo{ds[j]}"], "hi": r[f"hi{ds[j]}"], "below": 0.0, "want": r.w * (k // 2) / k}
+        cuts = _medians(keyed, ds, sought, tolerance * total / n, whole.last or 0.0)
+        levels.append([(i, *c, nodes[i] // 2) for i, c in cuts.items()])
+        keyed = _descend(keyed, ds, levels[-1])
+        if len(levels) % LEVELS == 0:
+            keyed, before = stored(keyed, "nodes"), held
+            held = keyed
+            if before is not None:
+                forget(before)
+        nodes = {i: k for a, k in nodes.items() for i, k in ((a, k // 2), (a + k // 2, k - k // 2)) if k > 1}
+    if held is not None:
+        forget(held)
+    for cuts in levels:
+        t = _descend(t, ds, cuts)
+    placed = t.select("_all", "_id", F.col("_node").cast("int").alias("shard"), F.shiftright("_id", 33).alias("_part"))
     # Places run over the input's parts in turn; one task numbers one part's share of one shard.
     counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     start = counts.withColumn("_from", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).drop("_n")
     own = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_id")) - 1
-    out = placed.withColumn("_own", own).join(start, ["shard", "_part"]).withColumn("slot", F.col("_from") + F.col("_own"))
-    return out.select(*rows.columns, "shard", "slot")
+    out = placed.withColumn("_own", own).join(start, ["shard", "_part"]).select("_all", "shard", (F.col("_from") + F.col("_own")).alias("slot"))
+    return out.select(*[F.col(f"_all.`{c}`") for c in kept if c not in ("shard", "slot")], "shard", "slot")
 
 
 def op1_kd_shards(spark, sf_dir: str) -> DataFrame:
