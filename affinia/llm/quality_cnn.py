@@ -4,8 +4,9 @@ Bytes are embedded, filters of WIDTH bytes run over overlapping chunks that cove
 response is max-pooled in its chunk, chunks are averaged, and a logistic layer makes one probability. Scoring uses the
 trained filters as two tables over pairs of bytes, which give the same responses as embedding and convolving.
 
-Training takes at most ``sample`` labelled rows, the first by a hash of doc_id, and of each at most ``chunks`` evenly
-spaced chunks; both are parameters. Every text is scored from its first byte to its last.
+Training takes at most ``sample`` labelled rows, the first by a hash of doc_id, and of those as many as fit in
+SAMPLE_BYTES; both bounds are parameters. Their texts are used whole: each step draws chunks anew from anywhere in a
+text, at most ``chunks`` of them. Every text is scored from its first byte to its last.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm._text import buffers, release
-from affinia.session import bound_batches, table
+from affinia.session import bound_batches, stored, table
 
 CHUNK, OVERLAP, WIDTH, EMBED, FILTERS = 512, 32, 4, 8, 16
-#: Labelled rows and chunks of each that training takes at most, and its steps, of BATCH rows each.
-SAMPLE, CHUNKS, STEPS, BATCH = 2000, 6, 600, 64
+#: Labelled rows, and bytes of their texts, that training takes at most.
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
+#: Steps of training, of BATCH rows each, and chunks of a row that a step draws at most.
+STEPS, BATCH, CHUNKS = 600, 64, 6
 THRESHOLD = 0.7
 SLICE = 1 << 18
 
@@ -87,27 +90,24 @@ def train(texts: list[bytes], labels: list[int], chunks: int = CHUNKS, steps: in
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return Net(p["embed"], p["filters"], p["bias"], np.zeros(FILTERS, np.float32), float(np.log(share / (1 - share))))
-    rows, owner = [], []
-    for i, t in enumerate(texts):
-        starts = chunk_starts(len(t))
-        for s in starts[np.unique(np.linspace(0, len(starts) - 1, min(chunks, len(starts))).astype(int))] if len(starts) else []:
-            piece = np.zeros(CHUNK + WIDTH - 1, np.uint8)
-            got = np.frombuffer(t[s : s + CHUNK], np.uint8)
-            piece[: len(got)] = got
-            rows.append(piece), owner.append(i)
-    x, owner = np.array(rows, np.uint8).reshape(-1, CHUNK + WIDTH - 1), np.array(owner, np.int64)
-    first = np.searchsorted(owner, np.arange(len(y) + 1))
+    size = np.array([len(t) for t in texts], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    raw = np.frombuffer(b"".join(texts) + bytes(CHUNK + WIDTH), np.uint8)
+    have = np.array([len(chunk_starts(n)) for n in size.tolist()], np.int64)
     class_weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     while step < steps:
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH))[: steps - step]:
             step += 1
-            idx = np.concatenate([np.arange(first[i], first[i + 1]) for i in part]).astype(np.int64)
-            doc = np.repeat(np.arange(len(part)), first[part + 1] - first[part])
-            n = np.maximum(1, first[part + 1] - first[part]).astype(np.float32)
-            b = x[idx]
+            drawn = [np.arange(k) if k <= chunks else rng.choice(k, chunks, replace=False) for k in have[part].tolist()]
+            took = np.array([len(d) for d in drawn])
+            doc, n = np.repeat(np.arange(len(part)), took), np.maximum(1, took).astype(np.float32)
+            at = (off[part][doc] + np.concatenate([*drawn, np.zeros(0, np.int64)]).astype(np.int64) * (CHUNK - OVERLAP))[:, None] + np.arange(CHUNK + WIDTH - 1)
+            inside = at < off[part + 1][doc][:, None]
+            b = np.where(inside, raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8)
             per = [p["embed"] @ p["filters"][i * EMBED : (i + 1) * EMBED] for i in range(WIDTH)]
             act = sum(per[i][b[:, i : i + CHUNK]] for i in range(WIDTH)) + p["bias"]
+            act = np.where(inside[:, :CHUNK, None], act, -np.inf)  # no filter responds beyond the text
             top = act.argmax(1)  # chunk x filter
             peak = np.take_along_axis(act, top[:, None, :], 1)[:, 0]
             on = peak > 0
@@ -136,31 +136,21 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chunks: int = CHUNKS, steps: int = STEPS) -> Net:
-    """Train on at most ``sample`` labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, chunks: int = CHUNKS, steps: int = STEPS) -> Net:
+    """Train on labelled rows that are not held out: of the first ``sample`` by a hash of doc_id, those whose whole
+    texts fit into ``sample_bytes`` together, in that order. Of a doc_id with several texts or labels the least text
+    and the greatest label are taken; rows without text, or whose label isn't 0 or 1, are not."""
     mine = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    step = CHUNK - OVERLAP
-    # Whole chunks, evenly spaced, cut out where the text is; so the driver gets at most sample * chunks of them.
-    raw, n = F.encode("text", "UTF-8"), F.octet_length("text")
-    k = F.greatest(F.ceil((n - OVERLAP) / step), F.lit(1)).cast("int")
-    take = F.least(k, F.lit(chunks))
-    parts = F.transform(F.sequence(F.lit(0), take - 1), lambda i: F.substring(raw, (F.floor(i * (k - 1) / F.greatest(take - 1, F.lit(1))) * step + 1).cast("int"), F.lit(CHUNK)))
-    got = docs.where("text IS NOT NULL AND text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", parts.alias("parts"))
-    rows = sorted(got.collect(), key=lambda r: (r.doc_id, [bytes(x) for x in r.parts]))
-    return train_chunks([[bytes(x) for x in r.parts] for r in rows], [int(r.quality) for r in rows], steps)
-
-
-def train_chunks(docs: list[list[bytes]], labels: list[int], steps: int = STEPS) -> Net:
-    """train() on texts given as chunks: joined so that each chunk is cut out again where it was."""
-    joined = []
-    for parts in docs:
-        t = b""
-        for i, c in enumerate(parts):
-            t += c if i == len(parts) - 1 else c[: CHUNK - OVERLAP].ljust(CHUNK - OVERLAP, b"\0")
-        joined.append(t)
-    return train(joined, labels, chunks=1 << 30, steps=steps)
+    found = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = stored(found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")
+    ids, total = [], 0
+    for r in found.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r.n <= sample_bytes:
+            ids, total = [*ids, r.doc_id], total + r.n
+    rows = sorted(found.where(F.col("doc_id").isin(ids)).collect(), key=lambda r: r.doc_id) if ids else []
+    return train([r.text.encode() for r in rows], [int(r.quality) for r in rows], chunks, steps)
 
 
 def score(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -45,3 +47,19 @@ def test_odd_rows(spark):
     assert Q.score(empty(d), Q.fit(d, empty(labels))).count() == 0
     one = Q.score(d, Q.fit(d, labels.where("quality = 1"))).toPandas()
     assert one.score.nunique() == 1
+
+
+def test_training_sees_whole_texts(spark):
+    """What tells the classes apart stands far beyond the first chunks of texts that are mostly alike."""
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(300):
+        t = "".join(r.choice("abcdefgh ") for _ in range(9000))
+        rows.append((i, t + ("#$%&" * 1500 if i % 2 else "wxyz" * 1500)))
+        labels.append((i, i % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = Q.score(docs, Q.fit(docs, labels, chunks=4, steps=200)).toPandas()
+    held = got[got.doc_id.map(Q.held_out)]
+    assert ((held.score >= 0.5) == (held.doc_id % 2 == 1)).mean() >= 0.95
+    few = Q.fit(docs, labels, sample_bytes=60_000, steps=1)  # four texts' worth
+    assert few.filters.shape == (Q.WIDTH * Q.EMBED, Q.FILTERS)
