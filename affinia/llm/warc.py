@@ -6,16 +6,18 @@ plans one partition a stretch between such places. In a stretch headers are pars
 pushed-down predicates on them are stepped over by their length, and a payload is inflated only if it is asked for.
 
 Each record is a gzip member of its own, as WARC advises, whose extra field "sl" has the member's length, so that one
-can be stepped over; members without it, and plain files, are read as well. A folder without a manifest is read file
-by file.
+can be stepped over; members without it, and plain files, are read as well. Files of other makers are read whole, file by
+file; a file of this writer counts only through a manifest, so what a failed or half-done write left is never read.
 
-Paths are opened through pyarrow's file systems, so they may be of any store that those know.
+Paths are opened through pyarrow's file systems: local files, hdfs, s3 (s3a and s3n are opened as s3), gs and abfs.
+Their credentials come from the environment, not from Hadoop's settings. Other schemes are refused.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from affinia.session import bound_batches, scratch, table
+from affinia.llm._blocks import by_count
+from affinia.session import bound_batches, scratch, stored, table
 
 VERSION = "WARC/1.1"
 SPLIT_BYTES = 32 << 20
@@ -40,11 +43,22 @@ NUMBERS = ("page_id", "refers_to", "payload_bytes", "content_length")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Schemes that pyarrow knows by another name.
+_ALIAS = {"s3a": "s3", "s3n": "s3"}
+_KNOWN = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss", "mock")
+_OWN = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
+
+
 def _open(path: str):
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
-    return system, at
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    scheme = _ALIAS.get(scheme.lower(), scheme.lower())
+    if scheme not in _KNOWN:
+        raise ValueError(f"warc cannot open {path}: of {', '.join(_KNOWN[:-1])}, s3a and s3n none is {scheme}")
+    return fs.FileSystem.from_uri(f"{scheme}:{rest}")
 
 
 def _clean(value: str) -> str:
@@ -109,7 +123,14 @@ class WarcWriter(DataSourceArrowWriter):
             out.write(json.dumps({"files": files}).encode())
 
     def abort(self, messages) -> None:
-        """Files of a failed write are in no manifest, so no reader sees them."""
+        """Delete the files of finished tasks. What others left is in no manifest, so no reader sees it."""
+        system, root = _open(self.path)
+        for m in messages:
+            if m is not None:
+                try:
+                    system.delete_file(f"{root}/{m.name}")
+                except FileNotFoundError:
+                    pass
 
 
 @dataclass
@@ -211,8 +232,7 @@ class WarcReader(DataSourceReader):
                 for x in json.loads(f.read())["files"]:
                     edges = [*x["splits"], x["size"]]
                     out += [WarcStretch(x["name"], a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-        if not manifests:
-            out = [WarcStretch(i.base_name, 0, i.size) for i in found if i.size and i.base_name.endswith((".warc", ".warc.gz"))]
+        out += [WarcStretch(i.base_name, 0, i.size) for i in found if i.size and i.base_name.endswith((".warc", ".warc.gz")) and not _OWN.fullmatch(i.base_name)]
         return sorted(out, key=lambda p: (p.name, p.start))
 
     def _passes(self, head: dict) -> bool:
@@ -245,6 +265,8 @@ class WarcReader(DataSourceReader):
                         value = value.strip()
                         head[column] = int(value) if column in NUMBERS else _unclean(value) if column == "target_uri" else value.strip("<>") if column == "record_id" else value.removeprefix("sha256:")
                 n = head["content_length"]
+                if n is None:
+                    raise ValueError(f"{partition.name}: the record at {at} has no Content-Length, so its end is unknown")
                 if self._passes(head):
                     rows.append(head | {"payload": got.payload(n) if self.want_payload else None})
                     size += 500 + (n if self.want_payload else 0)
@@ -291,7 +313,8 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     keys = t.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
     # Ids of the pages that revisit, found on digests alone; the pages themselves are dealt by page_id, which is not skewed.
-    again = keys.join(first, "payload_digest").where("page_id IS NULL OR page_id <> first").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
+    first = stored(first, "first")
+    again = by_count(keys, first, "payload_digest", "n", first.agg(F.sum("n")).first()[0] or 0, "inner").where("page_id IS NULL OR page_id <> first").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
     t = t.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_page", "_digest")
     revisit = F.col("refers_to").isNotNull()
     return t.select(
@@ -303,7 +326,7 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     register(pages.sparkSession)
-    bound_batches(pages.sparkSession, rows=1024)
+    bound_batches(pages.sparkSession)
     records(pages, least).write.format("warc").mode("append").save(path)
 
 

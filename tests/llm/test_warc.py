@@ -2,6 +2,7 @@ import gzip
 import hashlib
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
@@ -75,3 +76,41 @@ def test_empty(spark):
     path = scratch(spark, "warc")
     W.write(empty(pages(spark)), path)
     assert W.read(spark, path).count() == 0
+
+
+def test_what_a_failed_write_left_is_not_read(spark, tmp_path):
+    row = {"record_type": "response", "record_id": "urn:x", "target_uri": "u", "page_id": 5, "refers_to": None, "payload_digest": "d", "payload_bytes": 3, "payload": b"abc"}
+    writer = W.WarcWriter(f"file://{tmp_path}")
+    done = writer.write(iter([pa.RecordBatch.from_pylist([row])]))
+    assert W.WarcReader(f"file://{tmp_path}", True).partitions() == []  # not committed
+    writer.abort([done, None])
+    assert list(tmp_path.iterdir()) == []
+    left = writer.write(iter([pa.RecordBatch.from_pylist([row])]))
+    kept = writer.write(iter([pa.RecordBatch.from_pylist([row | {"page_id": 6}])]))
+    writer.commit([kept])
+    assert left.name != kept.name and [r.page_id for r in W.read(spark, f"file://{tmp_path}").collect()] == [6]
+
+
+def test_schemes(monkeypatch):
+    from pyarrow import fs
+
+    opened = []
+    monkeypatch.setattr(W, "fs", fs, raising=False)
+
+    class Stub:
+        from_uri = staticmethod(lambda uri: opened.append(uri) or (None, uri))
+
+    monkeypatch.setattr(fs, "FileSystem", Stub)
+    for path in ("s3a://b/x", "s3://b/x", "S3N://b/x", "abfss://c@a.dfs.core.windows.net/x", "file:/tmp/x", "hdfs://n:1/x"):
+        W._open(path)
+    assert opened == ["s3://b/x", "s3://b/x", "s3://b/x", "abfss://c@a.dfs.core.windows.net/x", "file:/tmp/x", "hdfs://n:1/x"]
+    for path in ("dbfs:/x", "wasbs://c@a/x"):
+        with pytest.raises(ValueError, match="cannot open"):
+            W._open(path)
+
+
+def test_a_record_without_a_length(tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n")
+    reader = W.WarcReader(str(tmp_path), True)
+    with pytest.raises(ValueError, match="no Content-Length"):
+        list(reader.read(reader.partitions()[0]))
