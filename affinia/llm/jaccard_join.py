@@ -3,8 +3,9 @@
 Documents with the same set of five-word shingles become one class first. MinHash bands propose pairs of classes;
 BAND_ROWS and BANDS are set so that a pair at the threshold is missed once in 20,000. Inside a task a pair's MinHash
 values are compared STEP at a time: with m of n equal, similarity has the posterior Beta(m + 1, n - m + 1), and the
-pair is dropped once the chance that it reaches the threshold falls below TOLERANCE. What is left is verified on the
-exact sets. Pairs never leave the task: it gives each class its number of links, and edges that span what is linked.
+pair is dropped once the chance that it reaches the threshold falls below TOLERANCE. That is done on signatures alone;
+only where a pair is left do texts go to its bucket, to be verified on the exact sets of 64-bit shingle digests. Pairs
+never leave the task: it gives each class its number of links, and edges that span what is linked.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm import _blocks, _text
+from affinia.llm._blocks import fresh
 from affinia.operators.graph import connected_components
 from affinia.session import bound_batches, stored, table
 
@@ -26,6 +28,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 25, 5
 HASHES = BANDS * BAND_ROWS
 STEP = 25
+#: Bytes below 0x80 that no word has.
+WORDLESS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOLERANCE = 1e-5
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -74,7 +78,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, ha
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig_id, keys, sig) of every row; sig_id names the shingle set and is null where there are no words."""
+    """(doc_id, text_key, sig_id, keys, sig) of every row; sig_id names the shingle set and is null where there are no words."""
 
     def run(batches):
         for b in batches:
@@ -91,51 +95,69 @@ def signatures(docs: DataFrame) -> DataFrame:
                     k = _text.mix(k * np.uint64(0x9FB21C651E98DF25) + band[:, r])
                 keys.append(k.astype(np.int64))
                 sigs.append(low.astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "sig_id", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "sig_id", "keys", "sig"])
         _text.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig_id binary, keys array<long>, sig binary")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key long, sig_id binary, keys array<long>, sig binary")
+
+
+def text_key():
+    """A row is known by its doc_id and this."""
+    return F.xxhash64("text")
+
+
+def _left(cols, g: int, same: bool):
+    """(i, js): the pairs of a group that belong to it and that pruning leaves."""
+    need = least_matches(cols["threshold"])
+    side, keys = cols["_s"].to_numpy(), _blocks.key_matrix(cols["groups"], BANDS)
+    n = len(side)
+    sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint16).reshape(n, HASHES)
+    for i in range(n - 1):
+        js = np.arange(i + 1, n)
+        js = js if same else js[side[js] != side[i]]
+        if len(js):
+            js = js[_blocks.owned(keys, i, js, g)]
+        equal = np.zeros(len(js), np.int64)
+        for k in range(STEP, HASHES + 1, STEP):
+            if not len(js):
+                break
+            equal += (sig[js, k - STEP : k] == sig[i, k - STEP : k]).sum(1)
+            js, equal = js[equal >= need[k]], equal[equal >= need[k]]
+        if len(js):
+            yield i, js
+
+
+def _promising(threshold: float):
+    """Kernel over signatures: the rows of a group that have a pair left."""
+
+    def kernel(cols, g, same):
+        told = np.zeros(len(cols["class"]), bool)
+        for i, js in _left(cols | {"threshold": threshold}, g, same):
+            told[i] = told[js] = True
+        at = np.flatnonzero(told)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[c].to_numpy()[at]) for c in ("class", "_s", "_g", "_i", "_j")], names=["class", "_s", "_g", "_i", "_j"])
+
+    return _blocks.grouped(kernel, ["class", "sig", "groups", "_s", "_g", "_i", "_j"])
 
 
 def _compare(threshold: float):
-    need = least_matches(threshold)
+    """Kernel over signatures and texts: links and a root within the group of each linked class."""
 
     def kernel(cols, g, same):
-        rep = cols["rep"].to_numpy()
-        side = cols["_s"].to_numpy()
-        keys = _blocks.key_matrix(cols["groups"], BANDS)
-        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint16).reshape(len(rep), HASHES)
-        mult = cols["mult"].to_numpy()
-        texts, sig_ids = cols["text"], cols["sig_id"].to_pylist()
+        rep, mult, texts = cols["class"].to_numpy(), cols["mult"].to_numpy(), cols["text"]
         sets: dict[int, np.ndarray] = {}
 
         def set_of(i):
             if i not in sets:
-                s = shingle_sets(texts.slice(i, 1).combine_chunks())[0]
-                # Another row of this id, with another text: not the class's own.
-                sets[i] = s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sig_ids[i] else s[:0]
+                sets[i] = shingle_sets(texts.slice(i, 1).combine_chunks())[0]
             return sets[i]
 
         links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        one = np.concatenate([[True], rep[1:] != rep[:-1]]) if len(rep) else np.zeros(0, bool)
-        for i in range(len(rep) - 1):
-            js = np.arange(i + 1, len(rep))
-            js = js[one[js] & (rep[js] != rep[i]) & (same | (side[js] != side[i]))] if one[i] else js[:0]
-            if len(js):
-                js = js[_blocks.owned(keys, i, js, g)]
-            equal = np.zeros(len(js), np.int64)
-            for n in range(STEP, HASHES + 1, STEP):
-                if not len(js):
-                    break
-                equal += (sig[js, n - STEP : n] == sig[i, n - STEP : n]).sum(1)
-                js, equal = js[equal >= need[n]], equal[equal >= need[n]]
-            if not len(js):
-                continue
+        for i, js in _left(cols | {"threshold": threshold}, g, same):
             mine = set_of(i)
             theirs = [set_of(int(j)) for j in js]
             size = np.array([len(t) for t in theirs])
-            if not len(mine) or not size.any():
-                continue
             flat = np.concatenate(theirs)
             at = np.searchsorted(mine, flat)
             at[at == len(mine)] = 0
@@ -143,7 +165,7 @@ def _compare(threshold: float):
             end = np.cumsum(size)
             common = hit[end] - hit[end - size]
             # as a division, so that the same pairs pass as where a similarity is computed first
-            js = js[(size > 0) & (common / np.maximum(size + len(mine) - common, 1) >= threshold)]
+            js = js[common / (size + len(mine) - common) >= threshold]
             if len(js):
                 links[i] += mult[js].sum()
                 links[js] += mult[i]
@@ -151,38 +173,79 @@ def _compare(threshold: float):
                 label[np.isin(label, both)] = both[0]
         told = np.flatnonzero(links)
         if len(told):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[told]), pa.array(links[told]), pa.array(rep[label[told]])], names=["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[told]), pa.array(links[told]), pa.array(rep[label[told]])], names=["class", "links", "root"])
+
+    return _blocks.grouped(kernel, ["class", "mult", "sig", "groups", "text", "_s"])
 
-    return _blocks.grouped(kernel, ["rep", "mult", "sig", "sig_id", "groups", "text", "_s"])
 
+def _links(docs: DataFrame, near: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(class, links, root) of the linked classes among near, which have signatures and groups."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _blocks.spread(near.select("class", "sig", "groups"), "class", block)
+    left = stored(dealt.select("class", "sig", "groups", "_s", "_g", "_i", "_j").mapInArrow(_promising(threshold), "class long, _s int, _g long, _i int, _j int"), "left")
+    mine = near.join(left.select("class").distinct(), "class", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("rep"), text_key().alias("text_key"), "text")
+    # Rows that repeat one id and text are reduced where they are read.
+    texts = _blocks.by_ids(texts, stored(mine.select("text_key").distinct(), "keys"), "text_key", "left_semi").groupBy("rep", "text_key").agg(F.first("text").alias("text"))
+    near = left.join(mine.join(texts, ["rep", "text_key"]).select("class", "mult", "sig", "groups", "text"), "class")
+    near = near.repartition(n, "_g", "_i", "_j").sortWithinPartitions("_g", "_i", "_j", "class")
+    return near.select("class", "mult", "sig", "groups", "text", "_s", "_g", "_i", "_j").mapInArrow(_compare(threshold), "class long, links long, root long")
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD, block: int = _blocks.BLOCK) -> DataFrame:
+    """(doc_id, text_key, class_id, n_links, first) for every row; first marks the class's smallest doc_id and, of that, smallest key."""
+    bound_batches(docs.sparkSession)
+    sigs = stored(signatures(docs), "sigs")
+    named = sigs.where("sig_id IS NOT NULL AND doc_id IS NOT NULL")
+    total = sigs.count()
+    # A doc_id may have several texts: what is compared has a number of its own.
+    reps = named.groupBy("sig_id").agg(F.min(F.struct("doc_id", "text_key")).alias("x"), F.count("*").alias("mult"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    reps = reps.select("sig_id", F.col("x.doc_id").alias("rep"), "x.text_key", "mult", "keys", "sig")
+    reps = stored(reps.withColumn("class", F.monotonically_increasing_id()), "reps")
+    near = stored(reps.drop("keys", "sig_id").join(_blocks.memberships(reps, "class"), "class"), "near")
+    found = stored(_links(docs, near, threshold, block), "links")
+    groups = connected_components(found.where("root <> class"), "class", "root").withColumnRenamed("node", "class")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    reps = reps.select("class", "sig_id", "rep", "text_key", "mult").join(links, "class", "left").join(groups, "class", "left")
+    reps = stored(reps.select("sig_id", "rep", "text_key", "mult", F.coalesce("component", "class").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "told")
+    least = stored(reps.groupBy("group").agg(F.min(F.struct("rep", "text_key")).alias("least"), F.count("*").alias("_c")), "least")
+    reps = stored(_blocks.by_count(reps, least, "group", "_c", total, "inner").select("sig_id", "mult", "n_links", "least"), "classes")
+    out = _blocks.by_count(named.select("doc_id", "text_key", "sig_id"), reps, "sig_id", "mult", total, "inner")
+    out = out.select("doc_id", "text_key", F.col("least.rep").alias("class_id"), "n_links", ((F.col("doc_id") == F.col("least.rep")) & (F.col("text_key") == F.col("least.text_key"))).alias("first"))
+    rest = sigs.where("sig_id IS NULL OR doc_id IS NULL").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return out.unionByName(rest)
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = _blocks.BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of docs; only its doc_id and text are read.
 
     Two documents link if the Jaccard similarity of their shingle sets reaches the threshold; a text without words
     (null and empty ones too) links with nothing. class_id is the smallest doc_id that links reach, the row's own
-    included, n_links the number of other rows with another or the same text that link directly; kept marks the
-    class's first. Rows whose doc_id is null keep a null class and link with nothing. Repeated rows count as copies.
-    An empty table gives no rows.
+    included, n_links the number of other rows with another or the same text that link directly; kept marks the rows
+    with the class's smallest doc_id. Rows whose doc_id is null keep a null class and link with nothing. Repeated rows
+    count as copies; a doc_id with several texts is compared by each of them. An empty table gives no rows.
     """
-    bound_batches(docs.sparkSession, rows=1024)
-    sigs = stored(signatures(docs), "sigs")
-    named = sigs.where("sig_id IS NOT NULL AND doc_id IS NOT NULL")
-    total = sigs.count()
-    reps = named.groupBy("sig_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    reps = stored(reps, "reps")
-    groups = _blocks.memberships(reps)
-    near = stored(reps.drop("keys").join(groups, "rep"), "near")
-    near = near.join(_blocks.by_ids(docs.select(F.col("doc_id").alias("rep"), "text"), near.select("rep"), "rep", "left_semi"), "rep")
-    found = stored(_blocks.spread(near).select("rep", "mult", "sig", "sig_id", "groups", "text", "_s", "_g", "_i", "_j").mapInArrow(_compare(threshold), "rep long, links long, root long"), "links")
-    classes = connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    reps = reps.select("sig_id", "rep", "mult").join(links, "rep", "left").join(classes, "rep", "left")
-    reps = reps.select("sig_id", "mult", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = _blocks.by_count(named.select("doc_id", "sig_id"), reps, "sig_id", "mult", total)
-    out = out.select("doc_id", "class_id", "n_links")
-    rest = sigs.where("sig_id IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return classified(docs, threshold, block).select("doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id, and of several texts of it that of the smallest hash.
+
+    Of rows that repeat an id and text one stays, the first by its other columns. Texts without words and rows without
+    doc_id all stay.
+    """
+    key = fresh(docs, "_key")[0]
+    rows = stored(classified(docs, threshold).where("doc_id IS NOT NULL").select(F.struct("doc_id", "text_key").alias(key), "first"), "classes")
+    out = docs.withColumn(key, F.struct("doc_id", text_key()))
+    out = _blocks.by_ids(out, stored(rows.where("NOT first").select(key).distinct(), "rest"), key, "left_anti")
+    again = stored(rows.where("first").groupBy(key).count().where("count > 1").select(key), "again")
+    if again.head(1):
+        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), WORDLESS, "")) > 0
+        twice = _blocks.by_ids(out, again, key, "left_semi")
+        one = twice.where(words).groupBy(key).agg(F.min_by(every, F.to_json(every)).alias("_one")).select("_one.*")
+        out = _blocks.by_ids(out, again, key, "left_anti").drop(key).unionByName(twice.where(~words).drop(key)).unionByName(one)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -52,16 +52,28 @@ def rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(_blocks, "BLOCK", block)
-    monkeypatch.setattr(_blocks.spread, "__defaults__", ("rep", block, None))
+@pytest.mark.parametrize("block, sent", [(512, _blocks.BROADCAST_IDS), (3, 0)])
+def test_against_brute_force(spark, monkeypatch, block, sent):
+    """Large groups in blocks of three, and ids that are joined rather than sent, give the same."""
+    monkeypatch.setattr(_blocks, "BROADCAST_IDS", sent)
     data = rows()
-    got = J.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string")).toPandas()
+    got = J.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string"), block=block).toPandas()
     want = brute(data)
     assert {r.doc_id: (r.class_id, r.n_links) for r in got.itertuples()} == want
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text is compared; one row of each class stays, and no text without a near copy goes."""
+    a, b, c = text(1, 80), text(2, 80), text(3, 80)
+    data = [(1, a), (1, b), (2, edited(b, 1, 5)), (3, c), (3, c), (3, edited(c, 1, 6)), (4, a), (5, "..."), (5, "...")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "doc_id long, text string, _key int")
+    got = J.jaccard_classes(docs).toPandas()
+    assert sorted(zip(got.doc_id, got.class_id, got.n_links)) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 2), (3, 3, 2), (3, 3, 2), (4, 1, 1), (5, 5, 0), (5, 5, 0)]
+    kept = J.one_of_each(docs).collect()
+    assert [(r.doc_id, r.text) for r in sorted(kept, key=lambda r: r["_key"]) if r.doc_id != 3] == [(1, a), (1, b), (5, "..."), (5, "...")]
+    assert len([r for r in kept if r.doc_id == 3]) == 1 and kept[0].asDict().keys() == {"doc_id", "text", "_key"}
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     need = J.least_matches()
     assert list(need) == [25, 50, 75, 100, 125] and all(need[n] < 0.8 * n for n in need)
