@@ -8,7 +8,7 @@ one with probability ``recall``, counted on pairs made from the sample under the
 direction need more tables than their angles tell. Where that takes over MOST_TABLES, blocks are shorter.
 
 Buckets are compared twice. First by codes alone: a bucket's rows are an id and a SKETCH of the code, pairs whose
-sketches differ in more bits than any of the pairs made from the sample are dropped, and what has a pair left names its
+sketches differ in more bits than all but a thousandth of the pairs made from the sample are dropped, and what has a pair left names its
 bucket. Only for these do the original vectors go to the bucket and are compared by their cosine in double precision;
 links, not pairs, leave the task. A pair belongs to the first table in which it meets, so none is counted twice. Equal
 vectors are one throughout and counted in the end. Vectors of different lengths are never near; each length has codes of
@@ -39,6 +39,8 @@ BUCKET = 200
 LEAST_BITS, MOST_BITS = 6, 24
 MOST_TABLES = 256
 PROBES = 2000
+#: Share of the probes whose sketches differ in as few bits as a pair may that is compared.
+FAR = 0.999
 #: Words of 64 bits that a sketch has at most, and rows of a bucket that one task compares at a time.
 SKETCH, BLOCK, TILE = 4, 2048, 256
 
@@ -138,7 +140,7 @@ def fitted(x: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float =
             if tables >= least and met.mean(1).min() >= recall:
                 out = Codes(x.shape[1], mean, np.array(turns[: i + 1]), bits, tables)
                 own = out.sketch(out.keys(a))
-                out.differ = 2 + max(int(np.bitwise_count(own ^ out.sketch(out.keys(y))).sum(1).max()) for y in b)
+                out.differ = max(int(np.ceil(np.quantile(np.bitwise_count(own ^ out.sketch(out.keys(y))).sum(1), FAR))) for y in b)
                 return out
         bits -= 1
     return Codes(x.shape[1])
