@@ -327,7 +327,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     text back, as it does unless the text has the character that the model writes spaces with. Repeated rows get equal
     ids, an empty table none.
     """
-    bound_batches(docs.sparkSession, rows=1024, size=2 << 20)
+    bound_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens", "ids_sha256", "lossless")
     at = docs.columns.index(text)
     schema = docs.withColumns({"ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "lossless": F.lit(True)}).schema
@@ -350,7 +350,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """coded, which has ids, plus text; bytes that are no UTF-8 become the replacement character, null ids a null."""
-    bound_batches(coded.sparkSession, rows=1024)
+    bound_batches(coded.sparkSession)
     coded = coded.drop("text")
     at = coded.columns.index("ids")
     schema = coded.withColumn("text", F.lit("")).schema
