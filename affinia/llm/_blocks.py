@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinia.operators.skew import by_count
+
 BLOCK = 512
 NONE = np.iinfo(np.int64).max
 
@@ -45,17 +47,6 @@ def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, on, how)
 
 
-def by_count(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
-    """left joined with right, of one row a key, of which count tells how many rows left has.
-
-    Keys with over a thousandth of all rows, at most a thousand of them, are broadcast; so none makes a large task.
-    """
-    least = max(1000, total // 1000)
-    hot, rest = right.where(F.col(count) > least), right.where(F.col(count) <= least)
-    mark = hot.select(key)
-    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(mark), key, "left_anti").join(rest, key, how))
-
-
 def looked_up(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
     """left with the columns of right where that has its key, else nulls. right is a written table of few of left's keys
     and count, of how many rows they have; up to BROADCAST_IDS of them are sent to the tasks."""

@@ -167,19 +167,19 @@ class _Index:
         return sorted(self.ids[o] for o in own.tolist())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_bytes: int | None = None) -> DataFrame:
     """docs plus n_words, n_hit, n_items, items_sha256 and contaminated; columns of these names are replaced.
 
     A null or empty text has no words. Items whose id or text is null, or without words, have no windows; repeated
     items count once. Repeated document rows each get the same figures. Empty tables give no rows or no hits. An index
-    of more than index_bytes is joined rather than sent to the tasks, with the same result.
+    of more than index_bytes (INDEX_BYTES) is joined rather than sent to the tasks, with the same result.
     """
     bound_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     items = _items(benchmark)
     windows = _windows(items, _rarity(docs, items), window)
     size = windows.agg(F.sum(40 + 8 * F.size("items") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x))).alias("b")).first().b or 0
-    if size > index_bytes:
+    if size > (INDEX_BYTES if index_bytes is None else index_bytes):
         return _joined(docs, windows, window)
     return _marked(docs, _Index(windows.select("prefix", "at", "n", "a", "b", "items").toArrow()))
 

@@ -13,6 +13,8 @@ its median lies. The text is read once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ BINS = 512
 SHARDS = 16
 #: Levels after which the rows' nodes are written, and nodes that are sent to the tasks at most; more are joined by shuffle.
 LEVELS, SENT = 4, 1_000_000
+_ALL = float("inf")
 _LARGE = 1e307  # beyond it a dimension's values count as this, so that ranges stay finite
-_SOUGHT = "_node long, _dim int, _stage int, _f0 double, _f1 double, _lo double, _hi double, _below double, _want double"
-_CUTS = "_node long, _dim int, _stage int, _f0 double, _f1 double, _cut double, _incl boolean, _half long"
+_SOUGHT = "_node:bigint,_dim:int,_stage:int,_f0:double,_f1:double,_lo:double,_hi:double,_below:double,_want:double"
+_CUTS = "_node:bigint,_dim:int,_stage:int,_f0:double,_f1:double,_cut:double,_incl:boolean,_half:bigint"
 
 
 def _value(ds: list[str]) -> Column:
@@ -36,7 +39,10 @@ def _value(ds: list[str]) -> Column:
 
 
 def _sent(spark, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
+    """A small table from the driver, as a literal of the plan."""
+    names = [f.partition(":")[0] for f in schema.split(",")]
+    text = json.dumps([dict(zip(names, ["Infinity" if v == _ALL else v for v in r])) for r in rows])
+    df = spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema}>>")).alias("x")).select("x.*")
     return F.broadcast(df) if len(rows) <= SENT else df
 
 
@@ -54,7 +60,7 @@ def _medians(rows: DataFrame, ds: list[str], sought: dict[int, dict], slack: flo
         got = {r["_node"]: r for r in g.withColumn("upto", upto).where("upto >= _want AND upto - w < _want").select("_node", "upto", "w", "lo", "hi", "n").collect()}
         for i, s in list(sought.items()):
             if i not in got:  # no weight at all: everything to the left
-                cuts[i] = (s["dim"], 0, None, None, float("inf"), True)
+                cuts[i] = (s["dim"], 0, None, None, _ALL, True)
                 del sought[i]
                 continue
             r = got[i]

@@ -141,7 +141,10 @@ def blob_ledger_scan(versions: DataFrame, ledger: DataFrame | None = None, rules
 
 def read_ledger(spark, path: str) -> DataFrame:
     """The ledger in a folder; empty where there is none yet."""
-    return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
+    if exists(spark, path):
+        return spark.read.schema(LEDGER).parquet(path)
+    none = F.lit(None)
+    return spark.range(0).select(none.cast("string").alias("blob"), none.cast("string").alias("rule_version"), none.cast(SPAN).alias("spans"))
 
 
 def add_version(versions: DataFrame, path: str, rules=RULES, rule_version: str = RULE_VERSION, text: str = "text") -> None:

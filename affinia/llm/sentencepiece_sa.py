@@ -14,7 +14,6 @@ worked out once and kept. Characters that no piece has become byte pieces. The r
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from itertools import chain, repeat
 
@@ -261,9 +260,9 @@ def encode_units(model: Model, units: list[str]) -> tuple[np.ndarray, np.ndarray
 class Coder:
     """A model with the units met so far; one to a Python worker."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.model = Model(f.read())
+    def __init__(self, model: str | bytes):
+        """model is a path or a model file's bytes."""
+        self.model = Model(model if isinstance(model, bytes) else _read(model))
         self.clear()
 
     def clear(self):
@@ -310,30 +309,37 @@ class Coder:
         return [raw[a + skip if raw[a : a + 1] == b" " else a : b] if skip else raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-_coders: dict[str, Coder] = {}
+def _read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
-def coder(path: str = MODEL) -> Coder:
-    path = os.environ.get("AFFINIA_PIECES", path) if path == MODEL else path
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+_coders: dict[bytes, Coder] = {}
+
+
+def coder(model: bytes) -> Coder:
+    """This worker's coder of a model file."""
+    name = hashlib.sha256(model).digest()
+    if name not in _coders:
+        _coders[name] = Coder(model)
+    return _coders[name]
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
     """docs plus ids, n_tokens, ids_sha256 and lossless; columns of these names are replaced.
 
-    model is a path that every executor has. A null or empty text has no ids. lossless tells that decoding gives the
+    model is a path that the driver can read; the file goes to the tasks. A null or empty text has no ids. lossless tells that decoding gives the
     text back, as it does unless the text has the character that the model writes spaces with. Repeated rows get equal
     ids, an empty table none.
     """
     bound_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens", "ids_sha256", "lossless")
     at = docs.columns.index(text)
+    held = _read(model)
     schema = docs.withColumns({"ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "lossless": F.lit(True)}).schema
 
     def run(batches):
-        c = coder(model)
+        c = coder(held)
         for b in batches:
             texts = b.column(at).to_pylist()
             ids, cut = c.encode(texts)
@@ -353,10 +359,11 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     bound_batches(coded.sparkSession)
     coded = coded.drop("text")
     at = coded.columns.index("ids")
+    held = _read(model)
     schema = coded.withColumn("text", F.lit("")).schema
 
     def run(batches):
-        c = coder(model)
+        c = coder(held)
         for b in batches:
             x = b.column(at)
             off = x.offsets.to_numpy().astype(np.int64)
