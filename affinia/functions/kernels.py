@@ -65,20 +65,82 @@ def standardise_smiles() -> Callable:
     return run
 
 
-def morgan_words(bits: int = 2048, radius: int = 2) -> Callable:
-    """Packed Morgan fingerprint as an array of 64-bit words (RDKit)."""
+def _each(one: Callable) -> Callable:
+    """A kernel that applies one(chem, molecule) to parsable text and gives null for the rest."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
         chem = optional("rdkit.Chem")
-        make = optional("rdkit.Chem.rdFingerprintGenerator").GetMorganGenerator(radius=radius, fpSize=bits)
 
-        def one(s):
+        def value(s):
             mol = chem.MolFromSmiles(s)
-            return None if mol is None else np.packbits(make.GetFingerprintAsNumPy(mol).astype(bool), bitorder="little").view("<i8").tolist()
+            return None if mol is None else one(chem, mol)
 
         for b in batches:
-            yield b.map(one)
+            yield b.map(value)
 
     return run
+
+
+def _words(make: Callable[[], object]) -> Callable:
+    held: list = []
+
+    def one(_, mol):
+        import numpy as np
+
+        if not held:
+            held.append(make())
+        return np.packbits(held[0].GetFingerprintAsNumPy(mol).astype(bool), bitorder="little").view("<i8").tolist()
+
+    return _each(one)
+
+
+def morgan_words(bits: int = 2048, radius: int = 2) -> Callable:
+    """Packed Morgan fingerprint as an array of 64-bit words (RDKit)."""
+    return _words(lambda: optional("rdkit.Chem.rdFingerprintGenerator").GetMorganGenerator(radius=radius, fpSize=bits))
+
+
+def path_words(bits: int = 2048) -> Callable:
+    """Packed topological fingerprint, the second one that leaks are sought by (RDKit)."""
+    return _words(lambda: optional("rdkit.Chem.rdFingerprintGenerator").GetRDKitFPGenerator(fpSize=bits))
+
+
+def scaffold_smiles() -> Callable:
+    """Ring framework of a structure; empty where it has no ring (RDKit)."""
+    return _each(lambda chem, mol: optional("rdkit.Chem.Scaffolds.MurckoScaffold").MurckoScaffoldSmiles(mol=mol))
+
+
+def descriptors(names: list[str]) -> Callable:
+    """The named physical descriptors, in that order, as doubles (RDKit); one that cannot be computed is null."""
+
+    def one(_, mol):
+        module, out = optional("rdkit.Chem.Descriptors"), []
+        for n in names:
+            v = float(getattr(module, n)(mol))
+            out.append(None if v != v else v)
+        return out
+
+    return _each(one)
+
+
+def alerts(catalogue: str = "PAINS") -> Callable:
+    """Names of the structural alerts of a catalogue that a structure has, sorted (RDKit)."""
+    held: list = []
+
+    def one(_, mol):
+        if not held:
+            f = optional("rdkit.Chem.FilterCatalog")
+            p = f.FilterCatalogParams()
+            p.AddCatalog(getattr(f.FilterCatalogParams.FilterCatalogs, catalogue))
+            held.append(f.FilterCatalog(p))
+        return sorted(m.GetDescription() for m in held[0].GetMatches(mol))
+
+    return _each(one)
+
+
+def common_substructure(query: str, seconds: int = 2) -> Callable:
+    """Pattern of the largest substructure shared with the query, sought for some seconds; null for none (RDKit)."""
+
+    def one(chem, mol):
+        return optional("rdkit.Chem.rdFMCS").FindMCS([chem.MolFromSmiles(query), mol], timeout=seconds).smartsString or None
+
+    return _each(one)

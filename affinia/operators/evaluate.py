@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.functions.scores import hit_at, mcc, reciprocal_rank
-from affinia.operators.ordered import numbered, running
+from affinia.operators.ordered import numbered, placed, running
 
 
 def ranked(scored: DataFrame, by: str = "qid", score: str = "score", key: str = "target") -> DataFrame:
@@ -90,20 +90,28 @@ def enrichment(scored: DataFrame, fraction: float = 0.2) -> DataFrame:
 
 
 def percentile_ranks(scores: DataFrame, reference: DataFrame, by: str) -> DataFrame:
-    """Share of a group's reference scores that a score beats, in per cent; lower is better and ties count half."""
-    return scores.join(reference.select(by, F.col("score").alias("r")), by).groupBy(by, "score").agg((100.0 * (F.count_if(F.col("r") > F.col("score")) + 0.5 * F.count_if(F.col("r") == F.col("score"))) / F.count("*")).alias("percentile"))
+    """Share of a group's reference scores that a score beats, in per cent; lower is better and ties count half.
+
+    Scores of groups without reference scores are left out, and null ones on either side. Only distinct scores are
+    put in order, in stretches of them.
+    """
+    n = reference.where("score IS NOT NULL").groupBy(by, "score").agg(F.count("*").alias("n")).withColumn("asked", F.lit(False))
+    levels = n.unionByName(scores.where("score IS NOT NULL").select(by, "score").distinct().withColumns({"n": F.lit(0).cast("long"), "asked": F.lit(True)}))
+    levels = running(levels.groupBy(by, "score").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")), [F.col(by), F.col("score")], "n", "_p", "_before")
+    groups = levels.groupBy(by).agg(F.min("_before").alias("_start"), F.sum("n").alias("_all")).where("_all > 0")
+    above = F.col("_all") - (F.col("_before") - F.col("_start")) - F.col("n")
+    return levels.where("asked").join(groups, by).select(by, "score", (100.0 * (above + 0.5 * F.col("n")) / F.col("_all")).alias("percentile"))
 
 
 def rank_score(rows: DataFrame, value: str, key: str, by: str | None = None, higher: bool = True, name: str = "rank_score") -> DataFrame:
     """1 for the best of a batch to 0 for the worst, by place; ties are broken by key, null values have no score."""
-    w = Window.partitionBy(*([by] if by else []), F.col(value).isNull()).orderBy(F.desc(value) if higher else F.asc(value), key)
-    n = F.count("*").over(Window.partitionBy(*([by] if by else []), F.col(value).isNull()))
-    return rows.withColumn(name, F.when(F.col(value).isNotNull(), 1.0 - (F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1))))
+    some = placed(rows.where(F.col(value).isNotNull()), [F.desc(value) if higher else F.asc(value), F.col(key)], by, "_place", "_size")
+    some = some.withColumn(name, 1.0 - (F.col("_place") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))).drop("_place", "_size")
+    return some.unionByName(rows.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def equal_bins(rows: DataFrame, order: list[Column], k: int, by: str | None = None, name: str = "bin") -> DataFrame:
     """Bins of equal size by place; what is left over goes to the last one."""
-    part = [by] if by else []
-    n = F.count("*").over(Window.partitionBy(*part))
-    place = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
-    return rows.withColumn(name, F.least(F.floor(place / F.greatest(F.floor(n / k), F.lit(1))), F.lit(k - 1)).cast("int"))
+    t = placed(rows, order, by, "_place", "_size")
+    width = F.greatest(F.floor(F.col("_size") / k), F.lit(1))
+    return t.withColumn(name, F.least(F.floor((F.col("_place") - 1) / width), F.lit(k - 1)).cast("int")).drop("_place", "_size")

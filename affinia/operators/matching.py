@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinia.functions.bits import tanimoto
+from affinia.operators.similarity import similarities
 from affinia.operators.splits import shuffled
 
 
@@ -24,10 +24,10 @@ def band_join(actives: DataFrame, pool: DataFrame, tolerances: dict[str, float],
 
 
 def unlike_all(candidates: DataFrame, actives: DataFrame, limit: float = 0.25, key: str = "compound", words: int = 1) -> DataFrame:
-    """Candidates whose similarity to every active is under the limit. The actives are the side that is sent around."""
-    a = actives.select(F.col("fp").alias("_f"), F.col("pop").alias("_p"))
-    most = candidates.select(key, "fp", "pop").distinct().join(F.broadcast(a)).groupBy(key).agg(F.max(tanimoto(F.col("fp"), F.col("_f"), F.col("pop"), F.col("_p"), words)).alias("most"))
-    return most.where(F.col("most") < limit).select(key)
+    """Candidates whose similarity to every active is under the limit: those that no active reaches, by the pruned search."""
+    a = actives.select(F.col("fp").alias("qfp"), F.col("pop").alias("qpop")).distinct().withColumn("qid", F.xxhash64("qfp"))
+    one = candidates.select(key, "fp", "pop").distinct()
+    return one.select(key).distinct().join(similarities(a, one, limit, words).select(key).distinct(), key, "left_anti")
 
 
 def pick(matches: DataFrame, n: int, key: str, active: str, seed: int = 42) -> DataFrame:

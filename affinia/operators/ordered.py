@@ -29,3 +29,17 @@ def running(rows: DataFrame, order: list[Column], size: str | None = None, place
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     return running(rows, order, place=name)
+
+
+#: Groups whose sizes are sent to the tasks at most; more are joined by a shuffle.
+SENT = 1_000_000
+
+
+def placed(rows: DataFrame, order: list[Column], by: str | None = None, place: str = "place", size: str = "size") -> DataFrame:
+    """rows plus the place from 1 in their group, and the group's size. No task sees all of a group, however large."""
+    t = numbered(rows, [*([F.col(by)] if by else []), *order], "_p")
+    if by is None:
+        return t.withColumnRenamed("_p", place).crossJoin(F.broadcast(t.agg(F.count("*").alias(size))))
+    g = stored(t.groupBy(F.col(by).alias("_g")).agg((F.min("_p") - 1).alias("_before"), F.count("*").alias(size)), "groups")
+    g = F.broadcast(g) if g.count() <= SENT else g
+    return t.join(g, F.col(by).eqNullSafe(F.col("_g"))).withColumn(place, F.col("_p") - F.col("_before")).drop("_p", "_g", "_before")

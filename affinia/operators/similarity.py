@@ -18,8 +18,10 @@ MANY_QUERIES, SMALL_BYTES = 32, 4 << 20
 
 
 def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words: int = 1, keep: Column | None = None) -> DataFrame:
-    """Queries (qid, qfp, qpop, ...) x rows (fp, pop, ...) with t >= least. Above 0 the popcounts are compared first.
+    """Queries (qid, qfp, qpop, ...) x rows (fp, pop, ...) with t >= least.
 
+    Above 0 the join is on popcounts: each query is repeated for the bands of popcounts that can reach it, so a row meets
+    only queries of its band, and only popcounts that fit exactly go on to the bits. At 0 every pair is wanted.
     One word is taken out of its array before the join. Rows whose estimated size is small, as those of one file are,
     are dealt to all cores first, as the work is in the pairs; larger tables have parts enough and stay where they are.
     """
@@ -38,7 +40,13 @@ def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words:
     out = None
     for k in range(blocks):
         q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
-        both = rows.join(F.broadcast(q), bits.band(F.col("qpop"), F.col("pop"), least) if least > 0 else F.lit(True))
+        if least > 0:
+            # Bands as wide as the fingerprint has words: 64 of them at most.
+            low, high = F.floor(F.col("qpop") * least / words), F.floor(F.col("qpop") / (least * words))
+            q = q.withColumn("_band", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), F.least(high + 1, F.lit(bits.WORD)))))
+            both = rows.withColumn("_band", F.floor(F.col("pop") / words)).join(F.broadcast(q), "_band").where(bits.band(F.col("qpop"), F.col("pop"), least)).drop("_band")
+        else:
+            both = rows.join(F.broadcast(q))
         if keep is not None:
             both = both.where(keep)
         both = both.withColumn("t", t).drop("fp", "pop", "qfp", "qpop")
@@ -80,8 +88,7 @@ def suggest(rows: DataFrame, text: str, columns: list[str], key: str, potency: s
 
 def without_leaks(queries: DataFrame, rows: DataFrame, cutoff: float, key: str = "vec_id", second: DataFrame | None = None) -> DataFrame:
     """(qid, key) of the rows that a query may be compared with: none of cutoff or more by either fingerprint, not itself."""
-    near = similarities(queries, rows, cutoff).select("qid", key)
-    if second is not None:
-        near = near.union(similarities(queries, second, cutoff).select("qid", key))
-    every = rows.select(key).join(F.broadcast(queries.select("qid")), F.col("qid") != F.col(key))
-    return every.join(near.distinct(), ["qid", key], "left_anti")
+    far = similarities(queries, rows, keep=F.col("qid") != F.col(key)).where(F.col("t") < cutoff).select("qid", key)
+    if second is None:
+        return far
+    return far.join(similarities(queries, second, cutoff).select("qid", key).distinct(), ["qid", key], "left_anti")

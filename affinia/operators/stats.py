@@ -34,27 +34,37 @@ def normal_cdf(x: float) -> float:
     return 0.5 * (1 + erf(x / sqrt(2)))
 
 
-def cluster_bootstrap(rows: DataFrame, value: str, group: str, resamples: int = 2000, seed: int = 42, alpha: float = 0.05, blocks: int = 32) -> DataFrame:
-    """Bias-corrected and accelerated interval of a mean, resampling whole groups.
+def _drawn(n: int, groups: int, seed: int, spark) -> DataFrame:
+    """(b, at): for each of n resamples as many draws as there are groups, each the place of a group from 1 on.
 
-    Groups enter by their sum and count alone. Each resample gives a group a Poisson(1) number of copies, drawn from
-    a digest of seed, resample and group, so that sums are merged across tasks and a rerun repeats them.
+    A draw is a digest of the seed and its number, so a rerun, any cluster and SQL draw alike.
+    """
+    t = spark.range(n * groups, numPartitions=max(spark.sparkContext.defaultParallelism, n * groups // 4_000_000 + 1))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    at = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % groups + 1
+    return t.select(F.floor(F.col("id") / groups).alias("b"), at.alias("at"))
+
+
+#: Groups whose sums are sent to the tasks at most; those of more are joined by a shuffle.
+SENT = 1_000_000
+
+
+def cluster_bootstrap(rows: DataFrame, value: str, group: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Bias-corrected and accelerated interval of a mean, resampling whole groups with replacement.
+
+    Groups enter by their sum and count alone, and are drawn by their place in order, so no row moves twice; the driver
+    sees one mean a resample.
     """
     spark = rows.sparkSession
-    g = stored(rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n")), "clusters")
+    g = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
+    g = stored(numbered(g, [F.col("_g")], "at"), "clusters")
     whole = g.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
     if not whole.n:
         return spark.createDataFrame([], "point double, low double, high double, n_groups long, n long")
-    u = F.pmod(F.xxhash64(F.lit(seed), "_b", "_g"), F.lit(1 << 53)) / float(1 << 53)
-    copies, upto, p = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(12):
-        upto += p
-        copies = copies + (u >= upto).cast("int")
-        p /= k + 1
-    draws = spark.range(resamples, numPartitions=blocks).withColumnRenamed("id", "_b")
-    sums = g.join(F.broadcast(draws)).withColumn("_c", copies).where("_c > 0").groupBy("_b").agg((F.sum(F.col("_c") * F.col("s")) / F.sum(F.col("_c") * F.col("n"))).alias("m"))
-    boot = np.sort([r.m for r in sums.collect()])  # as many as resamples
-    point = whole.s / whole.n
+    sums = g.select("at", "s", "n")
+    sums = _drawn(resamples, whole.groups, seed, spark).join(F.broadcast(sums) if whole.groups <= SENT else sums, "at").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
+    boot = np.sort(np.round([r.m for r in sums.collect()], 12))  # as many as resamples
+    point = round(whole.s / whole.n, 12)
     left = (F.lit(whole.s) - F.col("s")) / F.nullif(F.lit(whole.n) - F.col("n"), F.lit(0))
     mean = g.agg(F.avg(left)).first()[0] if whole.groups > 1 else point
     j = g.agg(F.sum(F.pow(mean - left, F.lit(3))).alias("c"), F.sum(F.pow(mean - left, F.lit(2))).alias("q")).first()
@@ -79,36 +89,152 @@ def calibration_error(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFr
     return b.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
 
-def isotonic(rows: DataFrame, x: str, y: str) -> tuple[list[float], list[float]]:
-    """Edges and values of the rising fit (pyspark.ml), which clips at its ends."""
-    from pyspark.ml.regression import IsotonicRegression
+def _pool(lo, hi, s, n) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring blocks (from, to, sum, count) pooled until their means rise."""
+    out: list[list[float]] = []
+    for a, b, u, m in zip(lo, hi, s, n):
+        out.append([a, b, u, m])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, b, u, m = out.pop()
+            out[-1][1], out[-1][2], out[-1][3] = b, out[-1][2] + u, out[-1][3] + m
+    return tuple(np.array(out, float).reshape(-1, 4).T)
 
-    m = IsotonicRegression(featuresCol="x", labelCol="y").fit(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    return list(m.boundaries), list(m.predictions)
 
+Fit = tuple[np.ndarray, np.ndarray]
 
-def apply_isotonic(rows: DataFrame, x: str, fit: tuple[list[float], list[float]], name: str = "calibrated") -> DataFrame:
-    """Linear between edges, constant beyond them."""
-    edges, values = fit
-    out = F.lit(values[-1])
-    for a, b, u, v in reversed(list(zip(edges[:-1], edges[1:], values[:-1], values[1:]))):
-        out = F.when(F.col(x) < b, F.lit(u) + (F.col(x) - a) * ((v - u) / (b - a) if b > a else 0.0)).otherwise(out)
-    return rows.withColumn(name, F.when(F.col(x) <= edges[0], F.lit(values[0])).otherwise(out))
 
+def isotonic_fits(rows: DataFrame, x: str, y: str, by: list[str]) -> dict[tuple, Fit]:
+    """Edges and values of the rising least-squares fit of each group of ``by``.
 
-def out_of_fold_calibration(rows: DataFrame, x: str, y: str, fold: str, band: str, least: int = 30) -> DataFrame:
-    """rows with a calibrated x: each fold by a fit of the others in its band, or of all bands where those have too few."""
-    out = None
-    keys = [(r[fold], r[band]) for r in rows.select(fold, band).distinct().orderBy(fold, band).collect()]
-    for f, b in keys:
-        train = rows.where(F.col(fold) != f)
-        near = train.where(F.col(band) == b)
-        fit = isotonic(near if near.count() >= least else train, x, y)
-        part = apply_isotonic(rows.where((F.col(fold) == f) & (F.col(band) == b)), x, fit)
-        out = part if out is None else out.unionByName(part)
+    Values are summed by distinct x first; each task pools one stretch of x, which the whole fit would pool as well, and
+    only the stretches' blocks meet on the driver.
+    """
+    t = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_s"), F.lit(1.0).alias("_n"))
+    return _fits_of_sums(t, by)
+
+
+def _fits_of_sums(rows: DataFrame, by: list[str]) -> dict[tuple, Fit]:
+    """isotonic_fits() of rows (by, _x, _s, _n) that already are sums."""
+    import pandas as pd
+
+    levels = rows.groupBy(*by, "_x").agg(F.sum("_s").alias("_s"), F.sum("_n").cast("double").alias("_n"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = levels.repartitionByRange(n, *by, "_x").sortWithinPartitions(*by, "_x")
+    kept = levels.select(*by).schema
+
+    def pool(frames):
+        held = None  # blocks of the group that the last frame ended in
+        for f in frames:
+            f = f.assign(_to=f["_x"])
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            parts = [(k, g) for k, g in f.groupby(by, sort=False, dropna=False)] if by else [((), f)]
+            done = []
+            for k, g in parts:
+                got = pd.DataFrame(dict(zip(("_x", "_to", "_s", "_n"), _pool(g["_x"], g["_to"], g["_s"], g["_n"]))))
+                done.append(got.assign(**dict(zip(by, k)))[[*by, "_x", "_to", "_s", "_n"]])
+            held = done.pop()
+            yield from done
+        if held is not None:
+            yield held
+
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "_x double, _to double, _s double, _n double"])
+    got = stretch.select(*by, "_x", "_s", "_n").mapInPandas(pool, fields).toPandas()
+    out = {}
+    for k, g in got.groupby(by, sort=False, dropna=False) if by else [((), got)]:
+        g = g.sort_values("_x")
+        lo, hi, s, m = _pool(g["_x"], g["_to"], g["_s"], g["_n"])
+        out[k] = (np.stack([lo, hi], 1).ravel(), np.repeat(s / m, 2))
     return out
 
 
+def isotonic(rows: DataFrame, x: str, y: str) -> Fit:
+    """Edges and values of the rising fit, which clips at its ends."""
+    return isotonic_fits(rows, x, y, []).get((), (np.zeros(0), np.zeros(0)))
+
+
+def apply_fits(rows: DataFrame, x: str, fits: dict[tuple, Fit], by: list[str], name: str = "calibrated") -> DataFrame:
+    """rows plus the fit of their group at x: linear between edges, constant beyond them; null for null x or no fit."""
+
+    import pandas as pd
+
+    def at(frames):
+        for cols in frames:
+            v, out = cols[0].to_numpy(float), np.full(len(cols[0]), np.nan)
+            keys = pd.MultiIndex.from_arrays([c.tolist() for c in cols[1:]]).tolist() if by else [()] * len(v)
+            for k in set(keys):
+                edges, values = fits.get(k, ((), ()))
+                if len(edges):
+                    mine = np.array([key == k for key in keys])
+                    out[mine] = np.interp(v[mine], edges, values)
+            yield pd.Series(out)
+
+    f = F.pandas_udf(at, "double", F.PandasUDFType.SCALAR_ITER)
+    got = f(F.col(x).cast("double"), *[F.col(c) for c in by] or [F.lit(0)])
+    return rows.withColumn(name, F.nanvl(got, F.lit(None).cast("double")))
+
+
+def apply_isotonic(rows: DataFrame, x: str, fit: Fit, name: str = "calibrated") -> DataFrame:
+    """rows plus the fit at x: linear between edges, constant beyond them."""
+    return apply_fits(rows, x, {(): fit}, [], name)
+
+
+def isotonic_band(rows: DataFrame, x: str, y: str, group: str, grid: list[float], resamples: int = 2000, seed: int = 42, bins: int = 10_000) -> DataFrame:
+    """(x, fitted, low, high): the fit on a grid with the 2.5 and 97.5 percentiles of fits to resampled groups.
+
+    Tasks share the resamples; each has the sums by group and x. Where these are over ``bins`` values of x, x is put
+    into as many equal bins first and enters by its bin's mean.
+    """
+    import pandas as pd
+
+    spark = rows.sparkSession
+    t = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    ends = t.agg(F.count_distinct("_x").alias("k"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    if ends.k > bins:
+        b = F.least(F.floor((F.col("_x") - ends.lo) / ((ends.hi - ends.lo) / bins)), F.lit(bins - 1))
+        t = stored(t.withColumn("_b", b), "binned")
+        t = t.join(F.broadcast(t.groupBy("_b").agg(F.avg("_x").alias("_m"))), "_b").withColumn("_x", F.col("_m"))
+    g = numbered(t.select("_g").distinct(), [F.col("_g")], "at")
+    cells = t.groupBy("_g", "_x").agg(F.sum("_y").alias("s"), F.count("*").alias("n")).join(g.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).select("at", "_x", "s", "n").toPandas()
+    groups, levels = int(cells["at"].max()), np.unique(cells["_x"])
+    at, level = cells["at"].to_numpy() - 1, np.searchsorted(levels, cells["_x"])
+    s, n = cells["s"].to_numpy(float), cells["n"].to_numpy(float)
+
+    def curve(copies):
+        u, m = np.bincount(level, s * copies[at], len(levels)), np.bincount(level, n * copies[at], len(levels))
+        some = m > 0
+        lo, hi, u, m = _pool(levels[some], levels[some], u[some], m[some])
+        return np.interp(grid, np.stack([lo, hi], 1).ravel(), np.repeat(u / m, 2))
+
+    def fit(frames):
+        import hashlib
+
+        for f in frames:
+            rows = []
+            for b in f["id"].tolist():
+                drawn = [int(hashlib.md5(f"{seed}:{b * groups + i}".encode()).hexdigest()[:15], 16) % groups for i in range(groups)]  # noqa: S324
+                rows.append(curve(np.bincount(drawn, minlength=groups)).tolist())
+            yield pd.DataFrame({"curve": rows})
+
+    curves = np.array(spark.range(resamples, numPartitions=spark.sparkContext.defaultParallelism).mapInPandas(fit, "curve array<double>").toPandas()["curve"].tolist())
+    low, high = np.percentile(curves, [2.5, 97.5], axis=0)
+    return spark.createDataFrame([tuple(map(float, r)) for r in zip(grid, curve(np.ones(groups)), low, high)], "x double, fitted double, low double, high double")
+
+
+def out_of_fold_calibration(rows: DataFrame, x: str, y: str, fold: str, band: str, least: int = 30) -> DataFrame:
+    """rows with a calibrated x: each fold by a fit of the others in its band, or of all bands where those have too few.
+
+    Every fold's fits, with and without bands, come from one pass over the sums by fold, band and x.
+    """
+    t = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(fold, band, F.col(x).cast("double").alias("_x")).agg(F.sum(F.col(y).cast("double")).alias("_s"), F.count("*").alias("_n"))
+    sums = stored(t, "levels")
+    counts = {(r[fold], r[band]): r["n"] for r in sums.groupBy(fold, band).agg(F.sum("_n").alias("n")).collect()}
+    folds = sorted({f for f, _ in counts})
+    others = sums.withColumn("_of", F.explode(F.array(*[F.lit(f) for f in folds]))).where(F.col("_of") != F.col(fold)) if folds else sums.withColumn("_of", F.col(fold))
+    near, every = _fits_of_sums(others.select("_of", band, "_x", "_s", "_n"), ["_of", band]), _fits_of_sums(others.select("_of", "_x", "_s", "_n"), ["_of"])
+    fits = {(f, b): near[f, b] if sum(m for (g, c), m in counts.items() if g != f and c == b) >= least else every.get((f,), (np.zeros(0), np.zeros(0))) for f, b in counts}
+    return apply_fits(rows, x, fits, [fold, band])
+
+
 def logistic_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and midpoint of a logistic curve, by damped Gauss-Newton on binned points."""
     a, b = 1.0, float(np.mean(x))

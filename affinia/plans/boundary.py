@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from affinia.operators.similarity import top
 from affinia.plans.evaluation import _V, _ranking, _truth
 from affinia.plans.fixtures import query, r6, with_
 from affinia.session import scratch
-from affinia.sources import readers, writers
+from affinia.sources import paged, readers, writers
+from affinia.streaming import ingest
 
 QUERIES: dict = {}
 
@@ -55,6 +58,67 @@ def s5_name_map(t):
     return t.supplier.select("s_suppkey", "s_nationkey").join(F.broadcast(names), "s_nationkey", "left").drop("s_nationkey")
 
 
+@query(QUERIES, "SELECT r_name AS region, n_nationkey, n_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def s9_named_files(t):
+    """A CSV file a region, named after it; the name becomes a column."""
+    path = scratch(t.spark, "files")
+    for r in t.region.select("r_regionkey", "r_name").collect():
+        writers.named_csv(t.nation.where(F.col("n_regionkey") == r.r_regionkey).select("n_nationkey", "n_name"), path, f"target_{r.r_name}.csv")
+    return readers.named_files(t.spark, path, "n_nationkey int, n_name string", r"target_(.*)\.csv", "region").select("region", "n_nationkey", "n_name")
+
+
+@query(QUERIES, "SELECT p_partkey, p_name AS name, CAST(p_size AS INTEGER) AS atoms, CAST(p_size - 1 AS INTEGER) AS bonds, p_brand AS brand, p_retailprice AS price FROM part WHERE p_partkey % 10 <> 0")
+def s15_sdf_records(t):
+    """Structures with data fields as an SDF file; every tenth record's counts are broken, and it is told apart."""
+    counts = F.when(F.col("p_partkey") % 10 == 0, "  ?  ?").otherwise(F.format_string("%3d%3d  0  0", "p_size", F.col("p_size") - 1))
+    data = [F.concat(F.lit(f"> <{n}>\n"), F.col(c).cast("string"), F.lit("\n\n")) for n, c in (("ID", "p_partkey"), ("Brand", "p_brand"), ("Price", "p_retailprice"))]
+    path = scratch(t.spark, "sdf")
+    t.part.select(F.concat("p_name", F.lit("\n  made\n\n"), counts, F.lit(" V2000\nM  END\n"), *data)).write.option("lineSep", "$$$$\n").text(path)
+    s = readers.sdf(t.spark, path).where("parsable")
+    return s.select(readers.field("ID").cast("long").alias("p_partkey"), "name", "atoms", "bonds", readers.field("Brand").alias("brand"), readers.field("Price").cast("double").alias("price"))
+
+
+@query(QUERIES, "SELECT s_suppkey, s_name FROM supplier")
+def s21_s22_resumed_pages(t):
+    """Pages fetched by offset; a first run that ends half-way is taken up where it ended."""
+    path, file = scratch(t.spark, "pages"), f"{t.dir}/supplier.parquet"
+    options = {"url": file, "fetch": "affinia.sources.paged:table_page", "count": "affinia.sources.paged:table_count", "page": "7"}
+    paged.resumed(t.spark, path, total="35", **options)
+    got = paged.resumed(t.spark, path, **options).select(F.from_json("json", "s_suppkey string, s_name string").alias("x"))
+    return got.select(F.col("x.s_suppkey").cast("long").alias("s_suppkey"), "x.s_name")
+
+
+@query(QUERIES, "SELECT n_nationkey, n_name FROM nation")
+def s23_cursor_pages(t):
+    """Pages that name the next one, from three first addresses."""
+    t.spark.dataSource.register(paged.CursorSource)
+    file = f"{t.dir}/nation.parquet"
+    starts = [f"{file}#{a}-{b}/4" for a, b in ((0, 10), (10, 11), (11, 25))]
+    got = t.spark.read.format("cursor").option("starts", json.dumps(starts)).option("starts_per_task", 1).option("follow", "affinia.sources.paged:table_follow").load()
+    return got.select(F.from_json("json", "n_nationkey string, n_name string").alias("x")).select(F.col("x.n_nationkey").cast("int").alias("n_nationkey"), "x.n_name")
+
+
+@query(QUERIES, "SELECT CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS position, CAST(n_nationkey AS VARCHAR) AS id, n_name AS title, 'about ' || n_name || ' and more' AS abstract FROM nation")
+def s25_articles(t):
+    """Articles of an XML answer, put back into the order of the search that found their ids."""
+    path = scratch(t.spark, "articles")
+    one = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("n_nationkey").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), "n_name", F.lit("</ArticleTitle><Abstract><AbstractText>about "), "n_name", F.lit("</AbstractText><AbstractText>and more</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"))
+    t.nation.select(one).coalesce(1).write.text(path)
+    ids = t.nation.select(F.row_number().over(Window.orderBy("n_name")).alias("position"), F.col("n_nationkey").cast("string").alias("id"))
+    return readers.articles(t.spark, path, ids).select("position", "id", "title", "abstract")
+
+
+@query(QUERIES, with_("act") + "SELECT CAST(compound AS VARCHAR) AS compound, CAST(target AS VARCHAR) AS target, round(max(CASE WHEN NOT inactive THEN pchembl END), 6) AS pchembl, bool_or(inactive) AS inactive, CAST(count(DISTINCT document) AS INTEGER) AS n_documents, min(year) AS year FROM act GROUP BY 1, 2")
+def k17_ingested_stream(t):
+    """Evidence files taken up by a stream in two runs, each file once, then merged."""
+    incoming, out, seen = (scratch(t.spark, n) for n in ("incoming", "evidence", "seen"))
+    a = t.activities().select(*[F.col(c).cast("string").alias(c) for c in ("compound", "target", "document", "relation")], "pchembl", "year", "inactive", (F.col("document") % 2).alias("half"))
+    for half in (0, 1):
+        a.where(F.col("half") == half).drop("half").write.mode("append").json(incoming)
+        ingest.ingest(t.spark, incoming, out, seen).awaitTermination()
+    return ingest.best_of(t.spark, out).select("compound", "target", r6("pchembl").alias("pchembl"), "inactive", "n_documents", "year")
+
+
 @query(QUERIES, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def s6_k19_json_lines(t):
     """Appended twice in halves; a malformed line among them is skipped."""

@@ -281,41 +281,36 @@ def t13_temporal_split(t):
     return P.temporal_split(t.orders.select("o_custkey", F.year("o_orderdate").alias("y")), "o_custkey", "y", 0.2)
 
 
-_EDGE = "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS c, l_orderkey AS d FROM lineitem WHERE l_quantity >= 48), big AS (SELECT d FROM e GROUP BY 1 HAVING count(DISTINCT c) > 4), x AS MATERIALIZED (SELECT DISTINCT a.c AS a, b.c AS b FROM e a JOIN e b ON a.d = b.d WHERE a.d NOT IN (SELECT d FROM big)), r AS (SELECT DISTINCT c AS n, c AS m FROM e UNION SELECT x.b, r.m FROM r JOIN x ON x.a = r.n WHERE r.m < x.b), k AS (SELECT n AS compound, min(m) AS cluster FROM r GROUP BY 1) "
-
-
-def _all_doc_edges(t):
-    return t.lineitem.select(F.col("l_partkey").alias("compound"), F.col("l_orderkey").alias("document")).distinct()
+def _clusters_sql(edges: str) -> str:
+    return f"""WITH RECURSIVE e AS ({edges}), fine AS (SELECT d, min(c) AS hub FROM e GROUP BY 1 HAVING count(DISTINCT c) <= 1000),
+x AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT c AS a, hub AS b FROM e JOIN fine USING (d) UNION ALL SELECT hub, c FROM e JOIN fine USING (d)) WHERE a <> b),
+r(n, m) USING KEY (n) AS (SELECT DISTINCT c, c FROM e UNION SELECT y.b, y.m FROM (SELECT x.b, min(r.m) AS m FROM r JOIN x ON x.a = r.n GROUP BY 1) y JOIN recurring.r AS o ON o.n = y.b WHERE y.m < o.m), k AS (SELECT n AS compound, m AS cluster FROM r) """
 
 
 def _doc_edges(t):
-    """A part of the edges that the recursive SQL can walk; the _whole queries take all."""
-    return t.lineitem.where("l_quantity >= 48").select(F.col("l_partkey").alias("compound"), F.col("l_orderkey").alias("document")).distinct()
+    return t.lineitem.select(F.col("l_partkey").alias("compound"), F.col("l_orderkey").alias("document")).distinct()
 
 
-@query(QUERIES, _EDGE + "SELECT compound, cluster FROM k")
+@query(QUERIES, _clusters_sql("SELECT DISTINCT l_partkey AS c, l_orderkey AS d FROM lineitem") + "SELECT compound, cluster FROM k")
 def m32_p15_document_clusters(t):
-    return P.document_clusters(_doc_edges(t), limit=4)
+    return P.document_clusters(_doc_edges(t))
 
 
-@query(QUERIES)
-def m32_p15_document_clusters_whole(t):
-    return P.document_clusters(_all_doc_edges(t))
-
-
-@query(QUERIES, _EDGE + ", s AS (SELECT cluster, count(*) AS size FROM k GROUP BY 1), tt AS (SELECT round(0.2 * sum(size)) AS t FROM s), f AS (SELECT cluster, size, coalesce(sum(size) OVER (ORDER BY " + _MD5.format("cluster") + ", cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT t FROM tt) AS test FROM s WHERE size <= (SELECT t FROM tt)) SELECT cluster, size, CASE WHEN test THEN 'test' ELSE 'train' END AS side FROM f UNION ALL SELECT cluster, size, 'train' FROM s WHERE size > (SELECT t FROM tt)")
+@query(QUERIES, _clusters_sql("SELECT DISTINCT o_orderkey AS c, o_custkey AS d FROM orders") + ", s AS (SELECT cluster, count(*) AS size FROM k GROUP BY 1), tt AS (SELECT round(0.2 * sum(size)) AS t FROM s), f AS (SELECT cluster, size, coalesce(sum(size) OVER (ORDER BY " + _MD5.format("cluster") + ", cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT t FROM tt) AS test FROM s WHERE size <= (SELECT t FROM tt)) SELECT cluster, size, CASE WHEN test THEN 'test' ELSE 'train' END AS side FROM f UNION ALL SELECT cluster, size, 'train' FROM s WHERE size > (SELECT t FROM tt)")
 def t14_cluster_split(t):
-    return P.cluster_split(P.document_clusters(_doc_edges(t), limit=4), 0.2)
-
-
-@query(QUERIES)
-def t14_cluster_split_whole(t):
-    return P.cluster_split(P.document_clusters(_all_doc_edges(t)), 0.2)
+    return P.cluster_split(P.document_clusters(t.orders.select(F.col("o_orderkey").alias("compound"), F.col("o_custkey").alias("document"))), 0.2)
 
 
-@query(QUERIES)
+@query(
+    QUERIES,
+    f"""WITH RECURSIVE s AS (SELECT user_id, count(*) AS size FROM events GROUP BY 1), o AS (SELECT user_id, size, row_number() OVER (ORDER BY size DESC, {_MD5.format("user_id")}, user_id) AS i FROM s),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS user_id, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS fold, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads
+  UNION ALL SELECT o.i, o.user_id, o.size, list_position(loads, list_min(loads)) - 1, [CASE WHEN f = list_position(loads, list_min(loads)) THEN loads[f] + o.size ELSE loads[f] END FOR f IN range(1, 6)] FROM r JOIN o ON o.i = r.i + 1)
+SELECT user_id AS "group", size, CAST(fold AS INTEGER) AS fold FROM r WHERE i > 0""",
+)
 def t15_group_folds(t):
-    return P.group_folds(t.events.select("user_id"), "user_id", 5)
+    """Greedy folds of users: the largest first, each to the smallest fold so far."""
+    return P.group_folds(t.events.select("user_id"), "user_id", 5).withColumnRenamed("user_id", "group")
 
 
 @query(QUERIES, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")

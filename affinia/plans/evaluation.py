@@ -10,6 +10,7 @@ from affinia.operators import evaluate as M
 from affinia.operators import similarity as S
 from affinia.operators import stats as T
 from affinia.operators import voting as V
+from affinia.operators.ordered import placed
 from affinia.plans.fixtures import query, r6, with_
 
 QUERIES: dict = {}
@@ -72,7 +73,7 @@ x AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p, CASE WHEN tp
 
 
 def _confusion(t):
-    n = t.pairs().agg(F.countDistinct("target").alias("n")).first().n
+    n = t.keep("pairs").pairs().agg(F.countDistinct("target").alias("n")).first().n
     return M.confusion(_ranking(t).where("rank <= 5"), _truth(t), n)
 
 
@@ -103,6 +104,7 @@ def g23_lscore_table(t):
 def m7_m26_potency_variants(t):
     """Variants of one capture as rows: no query is run twice."""
     s = S.similarities(t.query_fingerprints(), t.fingerprints()).select("qid", F.col("vec_id").alias("compound"), "t").where("compound <> qid")
+    t.keep("pairs")
     near = V.neighbours(s.join(t.pairs().select("compound").distinct(), "compound"), 10)
     x = near.join(t.pairs(), "compound").withColumn("floor", F.explode(F.array(F.lit(0.0), F.lit(4.5), F.lit(5.0))))
     v = x.groupBy("floor", "qid", "target").agg(F.round(F.sum(F.col("t") * F.when(F.col("pchembl").isNull() | (F.col("pchembl") >= F.col("floor")), 1.0).otherwise(0.0)), 9).alias("score"))
@@ -141,23 +143,82 @@ def m13_calibration_error(t):
     return _six(T.calibration_error(_cal(t), "p", "y"))
 
 
-@query(QUERIES)
+def _horner(c, x: str) -> str:
+    out = repr(c[0])
+    for k in c[1:]:
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """Inverse of the normal distribution function by the published rational approximation."""
+    tail = lambda q: f"{_horner(T._C, q)} / {_horner(T._D, q)}"
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    mid = f"({p} - 0.5)"
+    return f"(CASE WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 0.97575 THEN -({tail(high)}) ELSE {_horner(T._A, f'({mid} * {mid})')} * {mid} / {_horner(T._B, f'({mid} * {mid})')} END)"
+
+
+def _cdf_sql(x: str) -> str:
+    """Normal distribution function to about 1e-7."""
+    t = f"(1.0 / (1.0 + 0.3275911 * abs({x}) / sqrt(2.0)))"
+    tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x}) / 2))"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} / 2 ELSE {tail} / 2 END)"
+
+
+def _bootstrap_sql(value: str) -> str:
+    z = lambda p: T.normal_quantile(p)
+    at = lambda k: f"(z0 + (z0 + {k!r}) / (1 - a * (z0 + {k!r})))"
+    pick = lambda k: f"(SELECT m FROM o WHERE i = least(greatest(CAST(round({_cdf_sql(at(k))} * 9999) AS BIGINT), 0), 9999))"
+    return f"""WITH {_CAL}, g AS (SELECT grp, sum(CAST({value} AS DOUBLE)) AS s, count({value}) AS n, row_number() OVER (ORDER BY grp NULLS FIRST) AS at FROM cal GROUP BY grp), w AS (SELECT sum(s) AS s, sum(n) AS n, count(*) AS k FROM g),
+d AS (SELECT id // k AS b, CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) % k + 1 AS at FROM (SELECT unnest(range(10000 * k)) AS id, k FROM w)),
+m AS (SELECT b, round(sum(s) / sum(n), 12) AS m FROM d JOIN g ON g.at = d.at GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i FROM m),
+l AS (SELECT (w.s - g.s) / (w.n - g.n) AS x FROM g, w), j AS (SELECT avg(x) AS mean FROM l), a AS (SELECT sum(pow(mean - x, 3)) / (6 * pow(sum(pow(mean - x, 2)), 1.5)) AS a FROM l, j),
+p AS (SELECT w.*, round(w.s / w.n, 12) AS point, (SELECT count(*) FROM m, w u WHERE m.m < round(u.s / u.n, 12)) / 10000.0 AS share FROM w), q AS (SELECT p.*, a.a, {_quantile_sql("share")} AS z0 FROM p, a),
+e AS (SELECT point, k, n, {pick(z(0.025))} AS e1, {pick(z(0.975))} AS e2 FROM q)
+SELECT round(point, 6) AS point, round(least(e1, e2), 6) AS low, round(greatest(e1, e2), 6) AS high, CAST(k AS BIGINT) AS n_groups, CAST(n AS BIGINT) AS n FROM e"""
+
+
+@query(QUERIES, _bootstrap_sql("y"))
 def m9_cluster_bootstrap(t):
-    return T.cluster_bootstrap(_cal(t), "y", "grp", resamples=10_000)
+    return _six(T.cluster_bootstrap(_cal(t), "y", "grp", resamples=10_000))
 
 
-@query(QUERIES)
+@query(QUERIES, _bootstrap_sql("(y - p)"))
 def m10_paired_bootstrap(t):
-    return T.cluster_bootstrap(_cal(t).withColumn("d", F.col("y") - F.col("p")), "d", "grp", resamples=10_000)
+    return _six(T.cluster_bootstrap(_cal(t).withColumn("d", F.col("y") - F.col("p")), "d", "grp", resamples=10_000))
 
 
-@query(QUERIES)
+def _isotonic_sql(train: str) -> str:
+    """lv: the rising fit f at each level x of each fit (fold, band), as the greatest over j of the least over k of the means from j to k."""
+    return f"""tr AS ({train}), l0 AS (SELECT fold, band, x, sum(y) AS s, count(*) AS n FROM tr GROUP BY 1, 2, 3),
+l1 AS (SELECT fold, band, x, row_number() OVER w AS i, sum(s) OVER w AS su, sum(n) OVER w AS nu, s, n FROM l0 WINDOW w AS (PARTITION BY fold, band ORDER BY x)),
+mk AS (SELECT a.fold, a.band, a.i AS j, b.i AS k, (b.su - a.su + a.s) / (b.nu - a.nu + a.n) AS m FROM l1 a JOIN l1 b ON a.fold = b.fold AND a.band = b.band AND a.i <= b.i),
+sm AS (SELECT fold, band, j, k AS i, min(m) OVER (PARTITION BY fold, band, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS v FROM mk),
+lv AS (SELECT l1.fold, l1.band, l1.x, max(v) AS f FROM sm JOIN l1 ON l1.fold = sm.fold AND l1.band = sm.band AND l1.i = sm.i GROUP BY 1, 2, 3)"""
+
+
+@query(QUERIES, f"WITH {_CAL}, {_isotonic_sql('SELECT 0 AS fold, 0 AS band, p AS x, y FROM cal')} SELECT doc_id, round(f, 6) AS calibrated FROM cal JOIN lv ON lv.x = cal.p")
 def m11_isotonic(t):
     c = _cal(t)
     return T.apply_isotonic(c, "p", T.isotonic(c, "p", "y")).select("doc_id", r6("calibrated").alias("calibrated"))
 
 
 @query(QUERIES)
+def m11_isotonic_band(t):
+    """The fit on a grid with its band over resampled groups."""
+    return _six(T.isotonic_band(_cal(t), "p", "y", "grp", [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0]))
+
+
+_OOF = """c AS (SELECT doc_id, p, y, CAST(doc_id % 3 AS INTEGER) AS fold, CASE WHEN p < 0.3 THEN 'low' ELSE 'high' END AS band FROM cal), kk AS (SELECT a.fold, a.band, count(b.doc_id) AS near FROM (SELECT DISTINCT fold, band FROM c) a LEFT JOIN c b ON b.fold <> a.fold AND b.band = a.band GROUP BY 1, 2)"""
+
+
+@query(
+    QUERIES,
+    f"""WITH {_CAL}, {_OOF}, {_isotonic_sql("SELECT kk.fold, kk.band, c.p AS x, c.y FROM kk JOIN c ON c.fold <> kk.fold AND (c.band = kk.band OR kk.near < 30)")},
+e AS (SELECT c.doc_id, c.fold, c.band, c.p, max(lv.x) FILTER (lv.x <= c.p) AS xl, min(lv.x) FILTER (lv.x >= c.p) AS xh FROM c JOIN lv ON lv.fold = c.fold AND lv.band = c.band GROUP BY 1, 2, 3, 4)
+SELECT doc_id, e.fold, round(CASE WHEN xl IS NULL THEN b.f WHEN xh IS NULL OR xh = xl THEN a.f ELSE a.f + (p - xl) * (b.f - a.f) / (xh - xl) END, 6) AS calibrated
+FROM e LEFT JOIN lv a ON a.fold = e.fold AND a.band = e.band AND a.x = xl LEFT JOIN lv b ON b.fold = e.fold AND b.band = e.band AND b.x = xh""",
+)
 def m14_out_of_fold_calibration(t):
     c = _cal(t).withColumns({"fold": (F.col("doc_id") % 3).cast("int"), "band": F.when(F.col("p") < 0.3, "low").otherwise("high")})
     return T.out_of_fold_calibration(c, "p", "y", "fold", "band").select("doc_id", "fold", r6("calibrated").alias("calibrated"))
@@ -196,7 +257,7 @@ def g22_sea_raw(t):
     return _sea(t).select("qid", "target", r6("raw").alias("raw"), "n")
 
 
-@query(QUERIES, with_("sim", "pairs", more=_HIT + ", " + _SEA + ", z AS (SELECT *, (raw - (m - 0.5772156649015329 * s * sqrt(6.0) / 3.141592653589793)) / (s * sqrt(6.0) / 3.141592653589793) AS z FROM (SELECT *, 0.33 * n AS m, 0.05 * pow(n, 0.9) AS s FROM raw))") + "SELECT qid, target, round(1 - exp(-exp(-z)), 6) AS p_value FROM z WHERE 1 - exp(-exp(-z)) > 0.0001")
+@query(QUERIES, with_("sim", "pairs", more=_HIT + ", " + _SEA + ", z AS (SELECT *, (raw - (m - 0.5772156649015329 * s * sqrt(6.0) / 3.141592653589793)) / (s * sqrt(6.0) / 3.141592653589793) AS z FROM (SELECT *, 0.33 * n AS m, 0.05 * pow(n, 0.9) AS s FROM raw))") + "SELECT qid, target, round(1 - exp(-exp(-z)), 6) AS p_value FROM z")
 def m18_x11_sea_pvalue(t):
     """The power-law null gives a size's mean and deviation, and Gumbel's law the chance of the raw score."""
     n = F.col("n")
@@ -204,9 +265,17 @@ def m18_x11_sea_pvalue(t):
     return _sea(t).withColumn("p", p).select("qid", "target", r6("p").alias("p_value"))
 
 
-@query(QUERIES)
+_OLS = """WITH u AS (SELECT count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my FROM lineitem),
+v AS (SELECT any_value(u.n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((l_quantity - ma) * (l_quantity - ma)) AS aa, sum((l_discount - mb) * (l_discount - mb)) AS bb, sum((l_quantity - ma) * (l_discount - mb)) AS ab,
+  sum((l_quantity - ma) * (l_extendedprice - my)) AS ay, sum((l_discount - mb) * (l_extendedprice - my)) AS yb, sum((l_extendedprice - my) * (l_extendedprice - my)) AS yy FROM lineitem, u),
+x AS (SELECT *, aa * bb - ab * ab AS det FROM v), y AS (SELECT *, (bb * ay - ab * yb) / det AS b1, (aa * yb - ab * ay) / det AS b2 FROM x), z AS (SELECT *, yy - b1 * ay - b2 * yb AS rss FROM y),
+e AS (SELECT 'intercept' AS term, my - b1 * ma - b2 * mb AS est, sqrt(rss / (n - 3) * (1.0 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)) AS se, 1 - rss / yy AS r2 FROM z
+  UNION ALL SELECT 'l_quantity', b1, sqrt(rss / (n - 3) * bb / det), 1 - rss / yy FROM z UNION ALL SELECT 'l_discount', b2, sqrt(rss / (n - 3) * aa / det), 1 - rss / yy FROM z) """
+
+
+@query(QUERIES, _OLS + "SELECT term, round(est, 3) AS estimate, round(se, 3) AS se, round(est / se, 3) AS t, round(2 * (1 - " + _cdf_sql("abs(est / se)") + "), 5) AS p, round(r2, 6) AS r2 FROM e")
 def m19_ols(t):
-    return T.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"])
+    return T.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"]).select("term", *[F.round(c, 3).alias(c) for c in ("estimate", "se", "t")], F.round("p", 5).alias("p"), F.round("r2", 6).alias("r2"))
 
 
 @query(QUERIES, "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
@@ -261,8 +330,8 @@ def m23_decile_report(t):
 
 @query(QUERIES, "WITH b AS (SELECT o_orderpriority AS pr, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) <= count(*) OVER (PARTITION BY o_orderpriority) // 2 AS narrow FROM orders) SELECT pr, narrow, count(*) AS n, round(avg(v), 4) AS mean FROM b GROUP BY 1, 2")
 def w9_h26_m24_halves(t):
-    w = Window.partitionBy("o_orderpriority")
-    b = t.orders.select(F.col("o_orderpriority").alias("pr"), F.col("o_totalprice").alias("v"), (F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")) <= F.floor(F.count("*").over(w) / 2)).alias("narrow"))
+    b = placed(t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey"), [F.col("o_totalprice"), F.col("o_orderkey")], "o_orderpriority")
+    b = b.select(F.col("o_orderpriority").alias("pr"), F.col("o_totalprice").alias("v"), (F.col("place") <= F.floor(F.col("size") / 2)).alias("narrow"))
     return b.groupBy("pr", "narrow").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
 
 
@@ -275,9 +344,8 @@ def w10_m25_spread_gap(t):
 
 @query(QUERIES, "SELECT l_suppkey, round(avg(l_extendedprice), 4) AS mean, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS p50, list_sort(list(l_extendedprice))[count(*) // 4 + 1] AS p25, list_sort(list(l_extendedprice))[3 * count(*) // 4 + 1] AS p75 FROM lineitem GROUP BY 1")
 def g27_m30_column_summary(t):
-    """Percentiles by place, not interpolated; a group's values stay in place order through a window, not a list."""
-    w = Window.partitionBy("l_suppkey")
-    x = t.lineitem.select("l_suppkey", F.col("l_extendedprice").alias("v"), F.row_number().over(w.orderBy("l_extendedprice")).alias("r"), F.count("*").over(w).alias("n"))
+    """Percentiles by place, not interpolated; places go by stretches, so no group is one task's."""
+    x = placed(t.lineitem.select("l_suppkey", F.col("l_extendedprice").alias("v")), [F.col("v")], "l_suppkey", "r", "n")
     at = lambda k: F.max(F.when(F.col("r") == F.floor(k * F.col("n") / 4) + 1, F.col("v")))
     return x.groupBy("l_suppkey").agg(F.round(F.avg("v"), 4).alias("mean"), at(2).alias("p50"), at(1).alias("p25"), at(3).alias("p75"))
 

@@ -6,20 +6,32 @@ lineitems. A compound of an activity is its part number modulo the number of emb
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinia.functions import bits
 from affinia.functions.scores import potency_of_nanomolar
-from affinia.session import table
+from affinia.session import stored, table
 
 #: Queries of a search: every row whose id this divides, against all rows.
 EVERY = 50
 
 
+#: What turns 64 signs into 2,048 bits.
+SALTS = [int.from_bytes(hashlib.md5(f"word {k}".encode()).digest()[:8], "big", signed=True) for k in range(32)]  # noqa: S324
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.kept = spark, sf_dir, {}
+
+    def keep(self, *names: str) -> "Tables":
+        """Write the named tables once, for a query that takes them from several sides."""
+        for n in names:
+            self.kept[n] = stored(getattr(self, n)(), n)
+        return self
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
@@ -32,6 +44,12 @@ class Tables:
         t = self.read("embeddings").select("vec_id", "label", bits.pack_signs("embedding").alias("fp"))
         return t.withColumn("pop", bits.popcount(F.col("fp")))
 
+    def wide_fingerprints(self) -> DataFrame:
+        """vec_id, label, fp of 2,048 bits (the signs, once with each salt), pop."""
+        sign = F.get(bits.pack_signs("embedding"), F.lit(0))
+        t = self.read("embeddings").select("vec_id", "label", sign.alias("_w")).select("vec_id", "label", F.array(*[F.col("_w").bitwiseXOR(F.lit(s)) for s in SALTS]).alias("fp"))
+        return t.withColumn("pop", bits.popcount(F.col("fp"), len(SALTS)))
+
     def query_fingerprints(self) -> DataFrame:
         """qid, qlabel, qfp, qpop."""
         return self.fingerprints().where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("fp").alias("qfp"), F.col("pop").alias("qpop"))
@@ -46,6 +64,8 @@ class Tables:
 
     def pairs(self) -> DataFrame:
         """compound, target, pchembl, scaffold: one row a pair."""
+        if "pairs" in self.kept:
+            return self.kept["pairs"]
         s = self.read("part").select(F.col("p_partkey").alias("compound"), F.col("p_brand").alias("scaffold"))
         return self.activities().groupBy("compound", "target").agg(F.max("pchembl").alias("pchembl")).join(s, "compound", "left")
 

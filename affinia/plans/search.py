@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from affinia.functions import bits, scores
 from affinia.operators import similarity as S
 from affinia.operators import voting as V
-from affinia.plans.fixtures import query, r6, with_
+from affinia.plans.fixtures import SALTS, query, r6, with_
 
 QUERIES: dict = {}
 _W = "1.0 / (1.0 + exp(-5.0 * (pchembl - 5.0)))"
@@ -52,6 +52,18 @@ def j1_every_row_as_query(t):
     return s.select("qid", "target", r6("best").alias("best_similarity"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).cast("long").alias("rank"))
 
 
+_WIDE = "common AS (SELECT q.vec_id AS qid, r.vec_id, r.label, " + " + ".join(f"CAST(bit_count(xor(q.w, {s}) & xor(r.w, {s})) AS INTEGER)" for s in SALTS) + " AS c FROM fp q, fp r), own AS (SELECT qid AS vec_id, c AS pop FROM common WHERE qid = vec_id)"
+
+
+@query(QUERIES, with_("fp", more=_WIDE + ", s AS (SELECT qid, label, max(c / (p.pop + q.pop - c)) AS best FROM common JOIN own p ON p.vec_id = common.vec_id JOIN own q ON q.vec_id = common.qid WHERE qid <> common.vec_id GROUP BY 1, 2)") + "SELECT qid, label AS target, round(best, 6) AS best_similarity, row_number() OVER (PARTITION BY qid ORDER BY best DESC, label) AS rank FROM s")
+def j1_wide_every_row_as_query(t):
+    """The published batch shape at its width of 2,048 bits."""
+    f = t.wide_fingerprints()
+    q = f.select(F.col("vec_id").alias("qid"), F.col("fp").alias("qfp"), F.col("pop").alias("qpop"))
+    s = S.similarities(q, f, words=len(SALTS), keep=F.col("qid") != F.col("vec_id")).groupBy("qid", F.col("label").alias("target")).agg(F.max("t").alias("best"))
+    return s.select("qid", "target", r6("best").alias("best_similarity"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).cast("long").alias("rank"))
+
+
 @query(QUERIES, with_("sim") + "SELECT qid, vec_id, round(t, 6) AS t FROM sim WHERE t >= 0.45")
 def p1_threshold_band_pruned(t):
     return S.similarities(t.query_fingerprints(), t.fingerprints(), 0.45).select("qid", "vec_id", r6("t").alias("t"))
@@ -174,6 +186,7 @@ u AS (SELECT qid, target, score, density, 'pooled' AS regime FROM pv JOIN d USIN
 
 @query(QUERIES, with_("sim", "pairs", more=_AD) + "SELECT * FROM (SELECT qid, target, round(score, 6) AS score, density, regime, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, target) AS rank FROM u) WHERE rank <= 25")
 def f2_u5_t4_adaptive(t):
+    t.keep("pairs")
     o = V.orthologue_votes(_ortho_hits(t), 0.45)
     a = V.adaptive(_hits(t), t.pairs(), o, top_k=1 << 30)
     a = a.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "target")).cast("long")).where("rank <= 25")

@@ -1,72 +1,180 @@
-"""A paged REST scan as a Python data source: one partition a stretch of offsets, read in parallel.
+"""Paged REST scans as Python data sources.
 
-The fetching function is given by name ("module:function") and called as function(url, offset, limit), returning a list
-of JSON objects; so tests and closed networks can serve pages from files.
+``paged``: pages by offset; one partition a stretch of pages, read in parallel, and resumable. ``cursor``: pages that
+name the next one; one partition a list of first addresses. The fetching functions are given by name
+("module:function"), so tests and closed networks can serve pages from files.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from affinia.session import exists
 
-def fetch_json(url: str, offset: int, limit: int) -> list:
-    """GET with offset and limit; the first list among the answer's values is the page."""
+
+def _get(url: str):
     from urllib.request import urlopen
 
-    with urlopen(f"{url}{'&' if '?' in url else '?'}offset={offset}&limit={limit}", timeout=60) as r:  # noqa: S310
-        answer = json.load(r)
+    with urlopen(url, timeout=60) as r:  # noqa: S310
+        return json.load(r)
+
+
+def _page_of(answer) -> list:
     return answer if isinstance(answer, list) else next((v for v in answer.values() if isinstance(v, list)), [])
 
 
+def fetch_json(url: str, offset: int, limit: int) -> list:
+    """GET with offset and limit; the first list among the answer's values is the page."""
+    return _page_of(_get(f"{url}{'&' if '?' in url else '?'}offset={offset}&limit={limit}"))
+
+
+def count_json(url: str) -> int:
+    """How many records an address has, as the answer's page_meta tells."""
+    return int(_get(f"{url}{'&' if '?' in url else '?'}limit=1")["page_meta"]["total_count"])
+
+
+def follow_json(url: str) -> tuple[list, str | None]:
+    """A page and the address of the next; one without a host is on the same."""
+    from urllib.parse import urljoin
+
+    answer = _get(url)
+    after = (answer.get("page_meta") or {}).get("next") if isinstance(answer, dict) else None
+    return _page_of(answer), urljoin(url, after) if after else None
+
+
+def named(function: str) -> Callable:
+    module, _, name = function.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def tried(function: Callable, tries: int, *args):
+    """function(*args), again after 1, 2, 4 ... seconds, a minute at most, where the network fails."""
+    for n in range(tries):
+        try:
+            return function(*args)
+        except OSError:
+            if n + 1 == tries:
+                raise
+            time.sleep(min(2**n, 60))
+
+
 @dataclass
 class Stretch(InputPartition):
-    start: int
-    stop: int
+    pages: list
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.url, self.total = options["url"], int(options["total"])
-        self.page, self.per = int(options.get("page", 1000)), int(options.get("pages_per_task", 20))
-        self.fetch = options.get("fetch", "affinia.sources.paged:fetch_json")
-        self.tries = int(options.get("tries", 4))
+        self.url, self.page, self.per = options["url"], int(options.get("page", 1000)), int(options.get("pages_per_task", 20))
+        self.fetch, self.tries = options.get("fetch", "affinia.sources.paged:fetch_json"), int(options.get("tries", 4))
+        self.lenient, self.done = options.get("lenient", "false").lower() == "true", set(json.loads(options.get("done", "[]")))
+        self.total = options.get("total")
+        self.count = options.get("count", "affinia.sources.paged:count_json")
 
     def partitions(self):
-        step = self.page * self.per
-        return [Stretch(i, min(i + step, self.total)) for i in range(0, self.total, step)]
+        total = int(self.total) if self.total is not None else tried(named(self.count), self.tries, self.url)
+        left = [(i, min(self.page, total - i)) for i in range(0, total, self.page) if i not in self.done]
+        return [Stretch(left[k : k + self.per]) for k in range(0, len(left), self.per)]
 
     def read(self, partition):
-        import time
-
         if partition is None:
             return
-        module, _, name = self.fetch.partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        for at in range(partition.start, partition.stop, self.page):
-            for n in range(self.tries):
-                try:
-                    rows = fetch(self.url, at, min(self.page, partition.stop - at))
-                    break
-                except OSError:
-                    if n + 1 == self.tries:
-                        raise
-                    time.sleep(2**n)
+        fetch = named(self.fetch)
+        for at, n in partition.pages:
+            try:
+                rows = tried(fetch, self.tries, self.url, at, n)
+            except OSError:
+                if not self.lenient:
+                    raise
+                continue  # left for the next run
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(rows)), pa.int64()), pa.array([json.dumps(r) for r in rows])], names=["offset", "json"])
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.int64()), pa.array(range(at, at + len(rows)), pa.int64()), pa.array([json.dumps(r) for r in rows])], names=["page", "offset", "json"])
 
 
 class PagedSource(DataSource):
+    """Options: url; page, pages_per_task, tries; fetch and count, functions by name; total, else count(url) is asked;
+    done, a JSON list of pages to leave out; lenient, "true" if a page that fails throughout is left out, not an error."""
+
     @classmethod
     def name(cls):
         return "paged"
 
     def schema(self):
-        return "offset long, json string"
+        return "page long, offset long, json string"
 
     def reader(self, schema):
         return PagedReader(self.options)
+
+
+def resumed(spark: SparkSession, out: str, **options) -> DataFrame:
+    """Fetch the pages that the table at out lacks, add them, and read it. A page that fails is left for the next call."""
+    spark.dataSource.register(PagedSource)
+    done = [r.page for r in spark.read.schema("page long").parquet(out).distinct().collect()] if exists(spark, out) else []
+    spark.read.format("paged").options(**{"lenient": "true"} | options, done=json.dumps(done)).load().write.mode("append").parquet(out)
+    return spark.read.schema("page long, offset long, json string").parquet(out)
+
+
+class CursorReader(DataSourceReader):
+    def __init__(self, options):
+        self.starts, self.per = json.loads(options["starts"]), int(options.get("starts_per_task", 20))
+        self.follow, self.tries = options.get("follow", "affinia.sources.paged:follow_json"), int(options.get("tries", 4))
+
+    def partitions(self):
+        return [Stretch(self.starts[k : k + self.per]) for k in range(0, len(self.starts), self.per)]
+
+    def read(self, partition):
+        if partition is None:
+            return
+        follow = named(self.follow)
+        for start in partition.pages:
+            url, page = start, 0
+            while url:
+                rows, url = tried(follow, self.tries, url)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([start] * len(rows)), pa.array([page] * len(rows), pa.int32()), pa.array([json.dumps(r) for r in rows])], names=["start", "page", "json"])
+                page += 1
+
+
+class CursorSource(DataSource):
+    """Options: starts, a JSON list of first addresses; starts_per_task, tries; follow, a function by name that gives a
+    page's rows and the next address or None."""
+
+    @classmethod
+    def name(cls):
+        return "cursor"
+
+    def schema(self):
+        return "start string, page int, json string"
+
+    def reader(self, schema):
+        return CursorReader(self.options)
+
+
+def table_page(url: str, offset: int, limit: int) -> list:
+    """Rows of a local Parquet file as a server would page them."""
+    import pyarrow.parquet as pq
+
+    return [{k: str(v) for k, v in r.items()} for r in pq.read_table(url).slice(offset, limit).to_pylist()]
+
+
+def table_count(url: str) -> int:
+    import pyarrow.parquet as pq
+
+    return pq.ParquetFile(url).metadata.num_rows
+
+
+def table_follow(url: str) -> tuple[list, str | None]:
+    """Rows of a local Parquet file from an address path#from-to/size, and the address of the next page."""
+    path, _, place = url.partition("#")
+    span, _, size = place.partition("/")
+    a, b = map(int, span.split("-"))
+    after = a + int(size)
+    return table_page(path, a, min(int(size), b - a)), f"{path}#{after}-{b}/{size}" if after < b else None

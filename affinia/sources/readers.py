@@ -68,6 +68,26 @@ def pdb_atoms(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def sdf(spark: SparkSession, path, newline: str = "\n") -> DataFrame:
+    """Records of structure-data files, a row each: name, atoms and bonds by the counts line (V2000 or V3000), the data
+    fields as (name, value), and the molecule's own lines. ``parsable`` is false where counts or the end mark are missing."""
+    t = spark.read.option("lineSep", "$$$$" + newline).text(path).where(F.trim("value") != "")
+    lines = F.transform(F.split("value", r"\r?\n"), F.rtrim)
+    line = lambda i: F.coalesce(F.get(lines, F.lit(i)), F.lit(""))
+    wide = F.regexp_extract("value", r"M  V30 COUNTS (\d+) (\d+)", 0) != ""
+    count = lambda k: F.when(wide, F.regexp_extract("value", r"M  V30 COUNTS (\d+) (\d+)", k)).otherwise(F.trim(F.substring(line(3), 3 * k - 2, 3))).try_cast("int")
+    head = r"(?m)^>[^\n<]*<([^>\n]+)>[^\n]*\n"
+    names, values = F.regexp_extract_all("value", F.lit(head), F.lit(1)), F.regexp_extract_all("value", F.lit(r"(?ms)^>[^\n<]*<[^>\n]+>[^\n]*\n(.*?)(?=^[ \r]*$|\z)"), F.lit(1))
+    fields = F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), F.regexp_replace(v, r"\s+$", "").alias("value")))
+    t = t.select(F.nullif(line(0), F.lit("")).alias("name"), count(1).alias("atoms"), count(2).alias("bonds"), fields.alias("fields"), F.regexp_extract("value", r"(?s)^(.*?M  END)", 1).alias("molecule"))
+    return t.withColumn("parsable", F.col("atoms").isNotNull() & F.col("bonds").isNotNull() & (F.col("molecule") != ""))
+
+
+def field(name: str, fields: str = "fields") -> Column:
+    """First data field of that name of an SDF record."""
+    return F.get(F.filter(fields, lambda x: x["name"] == name), F.lit(0))["value"]
+
+
 def captures(spark: SparkSession, path) -> DataFrame:
     """Stored neighbours, one row each: nested lists of [key, similarity, [[target, potency]]]."""
     raw = spark.read.schema("smiles string, neighbours array<array<string>>").json(path)

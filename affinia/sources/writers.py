@@ -34,6 +34,17 @@ def csv(df: DataFrame, path: str) -> None:
     flat(df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def named_csv(df: DataFrame, folder: str, name: str) -> None:
+    """A small table as one CSV file of that name in a folder; it appears whole or not at all."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    made = f"{folder}/_{name}"
+    csv(df.coalesce(1), made)
+    fs = path(folder).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(fs.globStatus(path(f"{made}/part-*"))[0].getPath(), path(f"{folder}/{name}"))
+    fs.delete(path(made), True)
+
+
 def failures(df: DataFrame, status: str = "status") -> DataFrame:
     """Rows that did not end well; where there are none, one row that says so."""
     bad = df.where(~F.coalesce(F.col(status) == "ok", F.lit(False)))

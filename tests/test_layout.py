@@ -2,6 +2,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).parent.parent
 
 
@@ -17,8 +19,31 @@ def test_the_rest_works_without_it(tmp_path):
     for name in ("affinia", "__spark_entry__.py"):
         src = ROOT / name
         shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and e.oracle_sql(); print(len(q))"], cwd=tmp_path, capture_output=True, text=True)
+    run = lambda *a: subprocess.run([sys.executable, *a], cwd=tmp_path, capture_output=True, text=True)
+    asks = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and e.oracle_sql(); print(len(q))"
+    out = run("-c", asks)
     assert out.returncode == 0, out.stderr
+    (tmp_path / "corpus_pipeline.py").write_text("from affinia.llm import secrets\n")  # what stands beside the package goes with it
+    assert run("-c", asks).returncode == 0
+    (tmp_path / "corpus_pipeline.py").unlink()
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    out = run("-m", "pytest", "-q", "-p", "no:cacheprovider", "--collect-only", "tests")
+    assert out.returncode == 0, out.stdout
+    out = run("-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_folds.py", "tests/test_ordered.py")
+    assert out.returncode == 0, out.stdout
+
+
+@pytest.mark.skipif(not (ROOT / "corpus_pipeline.py").exists(), reason="the corpus operators are not there")
+def test_an_error_inside_the_subpackage_is_not_swallowed(tmp_path):
+    import shutil
+
+    for name in ("affinia", "__spark_entry__.py", "corpus_pipeline.py"):
+        src = ROOT / name
+        shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path)
+    module = tmp_path / "affinia" / "llm" / "registry.py"
+    module.write_text("import no_such_library\n" + module.read_text())
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode != 0 and "no_such_library" in out.stderr
 
 
 def test_every_sql_has_a_query():

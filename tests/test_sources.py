@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from affinia.functions import kernels
 from affinia.sources import readers as R
 from affinia.sources import writers as W
-from affinia.sources.paged import PagedSource
+from affinia.sources.paged import CursorSource, PagedSource, resumed
 from affinia.streaming import ingest
 
 
@@ -85,10 +85,109 @@ def test_sinks(spark, tmp_path):
 def test_paged_source(spark):
     spark.dataSource.register(PagedSource)
     df = spark.read.format("paged").options(url="x", total=95, page=10, pages_per_task=3, fetch="tests.test_sources:page").load()
-    assert df.rdd.getNumPartitions() == 4
+    assert df.rdd.getNumPartitions() == 4  # of three pages each, the last of one
     assert sorted(r.n for r in df.select(F.get_json_object("json", "$.n").cast("int").alias("n")).collect()) == list(range(95))
 
 
+def fails_first(url, offset, limit):
+    """Pages 20 and 30 fail until the file at url is there."""
+    from pathlib import Path
+
+    if offset in (20, 30) and not Path(url).exists():
+        raise OSError("down")
+    return page(url, offset, limit)
+
+
+def fifty(url):
+    return 50
+
+
+def test_a_scan_is_resumed(spark, tmp_path):
+    asked = {"url": str(tmp_path / "up"), "page": "10", "pages_per_task": "2", "tries": "1", "fetch": "tests.test_sources:fails_first", "count": "tests.test_sources:fifty"}
+    out = str(tmp_path / "out")
+    first = resumed(spark, out, **asked)
+    assert sorted(r.page for r in first.select("page").distinct().collect()) == [0, 10, 40]
+    (tmp_path / "up").touch()
+    for _ in range(2):  # the second time nothing is left
+        assert sorted(r.offset for r in resumed(spark, out, **asked).collect()) == list(range(50))
+    with pytest.raises(Exception, match="down"):
+        resumed(spark, str(tmp_path / "strict"), **asked | {"url": "absent", "lenient": "false"})
+
+
+def chain(url):
+    n = int(url)
+    return ([{"n": n}] if n % 3 else []), (str(n + 1) if n % 5 != 4 else None)
+
+
+def test_pages_that_name_the_next(spark):
+    spark.dataSource.register(CursorSource)
+    df = spark.read.format("cursor").options(starts=json.dumps(["0", "5", "13"]), starts_per_task=2, follow="tests.test_sources:chain").load()
+    assert df.rdd.getNumPartitions() == 2
+    got = {(r.start, r.page, json.loads(r.json)["n"]) for r in df.collect()}
+    assert got == {("0", 1, 1), ("0", 2, 2), ("0", 4, 4), ("5", 0, 5), ("5", 2, 7), ("5", 3, 8), ("13", 0, 13), ("13", 1, 14)}
+
+
+def test_sdf(spark, tmp_path):
+    v2 = "aspirin\n  tool\n\n  3  2  0  0  0  0  0  0  0  0999 V2000\n    0.0\nM  END\n> <ID>\nA1\n\n>  25  <NOTE> (x)\ntwo\nlines\n\n$$$$\n"
+    v3 = "\n  tool\n\n  0  0  0     0  0            999 V3000\nM  V30 BEGIN CTAB\nM  V30 COUNTS 1200 1201 0 0 0\nM  END\n$$$$\n"
+    (tmp_path / "a.sdf").write_text(v2 + v3 + "broken\n\n\nnothing here\nM  END\n$$$$\n" + "short\n$$$$\n")
+    got = R.sdf(spark, str(tmp_path / "a.sdf")).withColumn("id", R.field("ID")).collect()
+    assert [(r.name, r.atoms, r.bonds, r.id, r.parsable) for r in got] == [("aspirin", 3, 2, "A1", True), (None, 1200, 1201, None, True), ("broken", None, None, None, False), ("short", None, None, None, False)]
+    assert [(f.name, f.value) for f in got[0].fields] == [("ID", "A1"), ("NOTE", "two\nlines")] and got[0].molecule.endswith("M  END")
+    (tmp_path / "b.sdf").write_text((v2 + v2).replace("\n", "\r\n"), newline="")
+    assert [(r.name, r.atoms, r.fields[1].value) for r in R.sdf(spark, str(tmp_path / "b.sdf"), "\r\n").collect()] == [("aspirin", 3, "two\r\nlines")] * 2
+
+
+def test_adapters_call_the_chemistry_library(monkeypatch):
+    """With a stand-in for the library: what is called with what, and null for text that does not parse."""
+    import sys
+    import types
+
+    import numpy as np
+
+    class Bits:
+        def __init__(self, n, shift):
+            self.n, self.shift = n, shift
+
+        def GetFingerprintAsNumPy(self, mol):
+            return np.roll(np.arange(self.n) < len(mol), self.shift)
+
+    def module(name, **has):
+        m = types.ModuleType(name)
+        m.__dict__.update(has)
+        monkeypatch.setitem(sys.modules, name, m)
+        return m
+
+    class Catalog:
+        FilterCatalogs = types.SimpleNamespace(PAINS="pains", BRENK="brenk")
+
+        def __init__(self, params=None):
+            self.named = params.named if params else None
+
+        def AddCatalog(self, name):
+            self.named = name
+
+        def GetMatches(self, mol):
+            return [types.SimpleNamespace(GetDescription=lambda k=k: f"{self.named}:{k}") for k in "ba" if k in mol]
+
+    standardize = types.SimpleNamespace(Uncharger=lambda: types.SimpleNamespace(uncharge=str.lower), FragmentParent=lambda m: max(m.split("."), key=len))
+    module("rdkit"), module("rdkit.Chem", MolFromSmiles=lambda s: None if s == "?" else s, MolToSmiles=lambda m: m)
+    module("rdkit.Chem.MolStandardize"), module("rdkit.Chem.MolStandardize.rdMolStandardize", **vars(standardize))
+    module("rdkit.Chem.rdFingerprintGenerator", GetMorganGenerator=lambda radius, fpSize: Bits(fpSize, radius), GetRDKitFPGenerator=lambda fpSize: Bits(fpSize, 0))
+    module("rdkit.Chem.Scaffolds"), module("rdkit.Chem.Scaffolds.MurckoScaffold", MurckoScaffoldSmiles=lambda mol: mol[:1])
+    module("rdkit.Chem.Descriptors", Size=len, Odd=lambda m: float("nan"))
+    module("rdkit.Chem.FilterCatalog", FilterCatalogParams=Catalog, FilterCatalog=Catalog)
+    module("rdkit.Chem.rdFMCS", FindMCS=lambda mols, timeout: types.SimpleNamespace(smartsString=f"{mols[0]}{timeout}" if mols[0][0] == mols[1][0] else ""))
+    run = lambda kernel, *s: pd.concat(list(kernel(iter([pd.Series(s)])))).tolist()
+    assert run(kernels.standardise_smiles(), "A.CCO", "?") == ["cco", None]
+    assert run(kernels.path_words(128), "CCO", "?") == [[7, 0], None]
+    assert run(kernels.morgan_words(128, 2), "CCO") == [[28, 0]]
+    assert run(kernels.scaffold_smiles(), "CCO", "?", "") == ["C", None, ""]
+    assert run(kernels.descriptors(["Size", "Odd"]), "CCO") == [[3.0, None]]
+    assert run(kernels.alerts("BRENK"), "ab", "c", "?") == [["brenk:a", "brenk:b"], [], None]
+    assert run(kernels.common_substructure("Cx", 2), "CCO", "O") == ["Cx2", None]
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

@@ -34,9 +34,10 @@ def test_document_clusters_take_every_row(spark, tmp_path):
     rows = [(c, d, float(1 + (c + d) % 50)) for c, d in edges]
     spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = clusters(edges)
-    got = {r.compound: r.cluster for r in catalogue.queries()["m32_p15_document_clusters_whole"](spark, str(tmp_path)).collect()}
+    got = {r.compound: r.cluster for r in catalogue.queries()["m32_p15_document_clusters"](spark, str(tmp_path)).collect()}
     assert got == want
-    split = catalogue.queries()["t14_cluster_split_whole"](spark, str(tmp_path)).collect()
+    spark.createDataFrame(edges, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    split = catalogue.queries()["t14_cluster_split"](spark, str(tmp_path)).collect()
     assert {r.cluster: r["size"] for r in split} == Counter(want.values())
     target = round(0.2 * len(want))
     assert all(r.side == "train" for r in split if r["size"] > target) and 0 < sum(r["size"] for r in split if r.side == "test")
