@@ -103,7 +103,7 @@ def s25_articles(t):
     """Articles of an XML answer, put back into the order of the search that found their ids."""
     path = scratch(t.spark, "articles")
     one = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("n_nationkey").cast("string"), F.lit("</PMID><Article><ArticleTitle>"), "n_name", F.lit("</ArticleTitle><Abstract><AbstractText>about "), "n_name", F.lit("</AbstractText><AbstractText>and more</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"))
-    t.nation.select(one).coalesce(1).write.text(path)
+    t.nation.agg(F.concat(F.lit("<PubmedArticleSet>"), F.concat_ws("\n", F.collect_list(one)), F.lit("</PubmedArticleSet>"))).write.text(path)
     ids = t.nation.select(F.row_number().over(Window.orderBy("n_name")).alias("position"), F.col("n_nationkey").cast("string").alias("id"))
     return readers.articles(t.spark, path, ids).select("position", "id", "title", "abstract")
 

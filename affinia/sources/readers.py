@@ -33,9 +33,10 @@ def no_nan(df: DataFrame) -> DataFrame:
 
 
 def named_files(spark: SparkSession, path, schema: str, pattern: str, name: str) -> DataFrame:
-    """Many CSV files; a column from each one's name."""
+    """Many CSV files; a column from each one's name, which Spark gives with signs like blanks as %20."""
     df = spark.read.schema(schema).option("header", True).csv(path)
-    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.withColumn(name, F.regexp_extract(file, pattern, 1))
 
 
 def first_by_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
