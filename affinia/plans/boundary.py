@@ -67,6 +67,14 @@ def s9_named_files(t):
     return readers.named_files(t.spark, path, "n_nationkey int, n_name string", r"target_(.*)\.csv", "region").select("region", "n_nationkey", "n_name")
 
 
+@query(QUERIES, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def s12_workbook(t):
+    """A table as an XLSX file, and read back."""
+    path = scratch(t.spark, "book") + ".xlsx"
+    writers.workbook(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), path)
+    return readers.workbook(t.spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+
+
 @query(QUERIES, "SELECT p_partkey, p_name AS name, CAST(p_size AS INTEGER) AS atoms, CAST(p_size - 1 AS INTEGER) AS bonds, p_brand AS brand, p_retailprice AS price FROM part WHERE p_partkey % 10 <> 0")
 def s15_sdf_records(t):
     """Structures with data fields as an SDF file; every tenth record's counts are broken, and it is told apart."""

@@ -116,11 +116,33 @@ def complete_sets(files: DataFrame, by: str, needed: list[str]) -> DataFrame:
     return files.groupBy(by).agg(F.array_size(F.array_intersect(F.collect_set(F.when(name.isin(needed), name)), F.array(*[F.lit(n) for n in needed]))).alias("n")).where(F.col("n") == len(set(needed))).select(by)
 
 
-def workbook(spark: SparkSession, path: str, sheet=0) -> DataFrame:
-    """A small XLSX table; read on the driver, as Spark has no such source. Needs openpyxl."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
+def workbook(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
+    """A small XLSX sheet as text columns named by its first row; empty cells are null. It is unpacked on the driver."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    book = zipfile.ZipFile(io.BytesIO(spark.read.format("binaryFile").load(path).first().content))
+    plain = lambda tag: tag.rpartition("}")[2]
+    text = lambda node: "".join(t.text or "" for t in node.iter() if plain(t.tag) == "t")
+    shared = [text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+    sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    rows = []
+    for row in ElementTree.fromstring(book.read(sheets[sheet])).iter():
+        if plain(row.tag) != "row":
+            continue
+        cells: dict[int, str | None] = {}
+        for c in row:
+            place = 0
+            for letter in re.match("[A-Z]*", c.get("r", "")).group() or "@":
+                place = place * 26 + ord(letter) - 64
+            value = next((v.text for v in c if plain(v.tag) == "v"), None)
+            value = shared[int(value)] if c.get("t") == "s" and value is not None else text(c) if c.get("t") == "inlineStr" else value
+            cells[place or len(cells) + 1] = value or None
+        rows.append(cells)
+    names = rows[0] if rows else {}
+    return spark.createDataFrame([tuple(r.get(k) for k in names) for r in rows[1:]], ", ".join(f"`{n}` string" for n in names.values()))
 
 
 def optional_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -45,6 +45,33 @@ def named_csv(df: DataFrame, folder: str, name: str) -> None:
     fs.delete(path(made), True)
 
 
+def workbook(df: DataFrame, path: str) -> None:
+    """A small table as an XLSX file of one sheet; it is packed on the driver."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    cell = lambda v: "<c/>" if v is None else f"<c><v>{v!r}</v></c>" if isinstance(v, int | float) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    rows = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *map(tuple, df.collect())])
+    main, kind = "http://schemas.openxmlformats.org", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{main}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{main}/package/2006/relationships"><Relationship Id="r1" Type="{main}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}/spreadsheetml/2006/main" xmlns:r="{main}/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{main}/package/2006/relationships"><Relationship Id="r1" Type="{main}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>',
+    }
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(held.getvalue())
+    out.close()
+
+
 def failures(df: DataFrame, status: str = "status") -> DataFrame:
     """Rows that did not end well; where there are none, one row that says so."""
     bad = df.where(~F.coalesce(F.col(status) == "ok", F.lit(False)))

@@ -138,6 +138,19 @@ def test_sdf(spark, tmp_path):
     assert [(r.name, r.atoms, r.fields[1].value) for r in R.sdf(spark, str(tmp_path / "b.sdf"), "\r\n").collect()] == [("aspirin", 3, "two\r\nlines")] * 2
 
 
+def test_workbooks(spark, tmp_path):
+    """Shared strings, cells that are left out, and what our own writer makes."""
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="m"><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="m"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="AB1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="AB2"><v>2.5</v></c></row><row><c r="AB3"><v>3</v></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in R.workbook(spark, str(tmp_path / "a.xlsx")).collect()] == [("ab", "2.5"), (None, "3")]
+    W.workbook(spark.createDataFrame([(1, "x < y & z", None), (2, " é ", 2.5)], "k int, `a b` string, v double"), str(tmp_path / "b.xlsx"))
+    got = R.workbook(spark, str(tmp_path / "b.xlsx"))
+    assert got.columns == ["k", "a b", "v"] and [tuple(r) for r in got.collect()] == [("1", "x < y & z", None), ("2", " é ", "2.5")]
+
+
 def test_adapters_call_the_chemistry_library(monkeypatch):
     """With a stand-in for the library: what is called with what, and null for text that does not parse."""
     import sys
