@@ -51,3 +51,15 @@ def test_every_sql_has_a_query():
 
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert len(catalogue.queries()) == sum(len(m.QUERIES) for m in catalogue._MODULES)
+
+
+def test_names_say_what_they_cover():
+    from affinia.plans import catalogue
+
+    assert set(catalogue.queries()) >= catalogue.TRAPS
+    assert catalogue.covered("g10_t9_pair_argmax") == ["G10", "trap 9"] and catalogue.covered("t9_seeded_sample") == ["T-9"]
+    every = [c for q in catalogue.queries() for c in catalogue.covered(q)]
+    missing = lambda kind, n, without=(): [i for i in range(1, n + 1) if f"{kind}{i}" not in every and i not in without]
+    assert not missing("T-", 20) and not missing("W", 20) and not missing("J", 30) and not missing("U", 10) and not missing("P", 20)
+    assert not missing("G", 36) and not missing("M", 36) and not missing("H", 27, {22}) and not missing("K", 19, {15})
+    assert missing("S", 28) == [7, 27] or missing("S", 28) == [27]
