@@ -234,18 +234,21 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of rows that repeat an id and text one stays, the first by its other columns. Texts without words and rows without
     doc_id all stay.
     """
+    rows = stored(classified(docs, threshold).where("doc_id IS NOT NULL").select("doc_id", "text_key", "first"), "classes")
+    several = stored(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    rest = rows.where("NOT first")
+    if not several.head(1):  # an id tells a row
+        return _blocks.by_ids(docs, stored(rest.select("doc_id"), "rest"), "doc_id", "left_anti").select(*docs.columns)
+    rest = stored(rest.join(several, "doc_id", "left_anti").select("doc_id"), "rest")
+    out = _blocks.by_ids(_blocks.by_ids(docs, several, "doc_id", "left_anti"), rest, "doc_id", "left_anti")
+    # Of ids with several rows, each row by its text; of rows that repeat one, the first by the other columns.
     key = fresh(docs, "_key")[0]
-    rows = stored(classified(docs, threshold).where("doc_id IS NOT NULL").select(F.struct("doc_id", "text_key").alias(key), "first"), "classes")
-    out = docs.withColumn(key, F.struct("doc_id", text_key()))
-    out = _blocks.by_ids(out, stored(rows.where("NOT first").select(key).distinct(), "rest"), key, "left_anti")
-    again = stored(rows.where("first").groupBy(key).count().where("count > 1").select(key), "again")
-    if again.head(1):
-        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), WORDLESS, "")) > 0
-        twice = _blocks.by_ids(out, again, key, "left_semi")
-        one = twice.where(words).groupBy(key).agg(F.min_by(every, F.to_json(every)).alias("_one")).select("_one.*")
-        out = _blocks.by_ids(out, again, key, "left_anti").drop(key).unionByName(twice.where(~words).drop(key)).unionByName(one)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = rows.join(several, "doc_id", "left_semi").select(F.struct("doc_id", "text_key").alias(key), "first").distinct()
+    own = _blocks.by_ids(docs, several, "doc_id", "left_semi").withColumn(key, F.struct("doc_id", text_key())).join(mine.where("first").drop("first"), key, "left_semi")
+    words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), WORDLESS, "")) > 0
+    one = own.where(words).groupBy(key).agg(F.min_by(every, F.to_json(every)).alias("_one")).select("_one.*")
+    return out.select(*docs.columns).unionByName(own.where(~words).select(*docs.columns)).unionByName(one.select(*docs.columns))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
