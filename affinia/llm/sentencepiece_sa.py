@@ -30,7 +30,9 @@ SPACE = "▁"
 SEP = 0xFF
 START, UNKNOWN = -2, -1
 #: Units and pairs of pieces that a worker remembers, units it looks up at once, and a unit's bytes above which it isn't kept.
-KEEP_UNITS, SEEN, AT_ONCE, KEEP_BYTES = 300_000, 1 << 21, 40_000, 1 << 16
+KEEP_UNITS, SEEN, AT_ONCE, KEEP_BYTES = 300_000, 1 << 21, 12_000, 1 << 16
+#: Rows that a worker encodes at a time.
+ROWS = 256
 
 
 def _fields(buf: bytes):
@@ -340,7 +342,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
 
     def run(batches):
         c = coder(held)
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             texts = b.column(at).to_pylist()
             ids, cut = c.encode(texts)
             back = c.decode(ids, cut)
