@@ -106,9 +106,8 @@ def text_key():
     return F.xxhash64("text")
 
 
-def _left(cols, g: int, same: bool):
-    """(i, js): the pairs of a group that belong to it and that pruning leaves."""
-    need = least_matches(cols["threshold"])
+def _left(cols, g: int, same: bool, need: dict[int, int]):
+    """(i, js): the pairs of a group that belong to it and that pruning leaves; need is what least_matches() gives."""
     side, keys = cols["_s"].to_numpy(), _blocks.key_matrix(cols["groups"], BANDS)
     n = len(side)
     sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint16).reshape(n, HASHES)
@@ -129,10 +128,11 @@ def _left(cols, g: int, same: bool):
 
 def _promising(threshold: float):
     """Kernel over signatures: the rows of a group that have a pair left."""
+    need = least_matches(threshold)
 
     def kernel(cols, g, same):
         told = np.zeros(len(cols["class"]), bool)
-        for i, js in _left(cols | {"threshold": threshold}, g, same):
+        for i, js in _left(cols, g, same, need):
             told[i] = told[js] = True
         at = np.flatnonzero(told)
         if len(at):
@@ -143,6 +143,7 @@ def _promising(threshold: float):
 
 def _compare(threshold: float):
     """Kernel over signatures and texts: links and a root within the group of each linked class."""
+    need = least_matches(threshold)
 
     def kernel(cols, g, same):
         rep, mult, texts = cols["class"].to_numpy(), cols["mult"].to_numpy(), cols["text"]
@@ -154,7 +155,7 @@ def _compare(threshold: float):
             return sets[i]
 
         links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for i, js in _left(cols | {"threshold": threshold}, g, same):
+        for i, js in _left(cols, g, same, need):
             mine = set_of(i)
             theirs = [set_of(int(j)) for j in js]
             size = np.array([len(t) for t in theirs])
