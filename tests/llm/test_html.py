@@ -47,13 +47,13 @@ BROKEN = ["<a ", '<div "', "<div><p>x y z, w</p>", '<a =">" ', "<p><dd><figcapti
 
 
 @pytest.mark.parametrize("unit", BROKEN)
-def test_a_megabyte_of_broken_markup_takes_time_in_proportion(unit):
+def test_broken_markup_takes_time_in_proportion(unit):
     took = []
-    for size in (1 << 18, 1 << 20):
+    for size in (1 << 17, 1 << 20):
         began = time.process_time()
         H.main_text(unit * (size // len(unit)))
         took.append(time.process_time() - began)
-    assert took[1] <= max(2.0, 8 * took[0])
+    assert took[1] <= max(2.0, 16 * took[0])
 
 
 def test_deep_and_long_pages_end():
