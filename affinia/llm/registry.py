@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinia.llm import cdc_dedup, centroid_blocks, decontaminate, html_text, itq_neighbors, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
+from affinia.llm import cdc_dedup, centroid_blocks, decontaminate, hard_negatives, html_text, itq_neighbors, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
 
 _ALL = [
     (kd_shards.op1_kd_shards, None),
@@ -15,6 +15,7 @@ _ALL = [
     (cdc_dedup.op8_cdc_repeats, None),
     (jaccard_join.op9_jaccard_join, jaccard_join.ORACLE_SQL),
     (decontaminate.op10_decontaminate, decontaminate.ORACLE_SQL),
+    (hard_negatives.op11_hard_negatives, hard_negatives.ORACLE_SQL),
     (centroid_blocks.op12_centroid_blocks, centroid_blocks.ORACLE_SQL),
 ]
 
