@@ -259,7 +259,7 @@ def search(members: DataFrame, state: DataFrame, made: Lists, k: int, same: bool
         if seen < made.n:
             full = best.where(F.col("place") == k).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("kth"))
             raised = F.transform("lo", lambda x, i: F.greatest(x, F.coalesce(F.try_element_at("kth", i), x)))
-            state = state.join(full, "row", "left").withColumn("lo", raised).select(*columns)
+            state = stored(state.join(full, "row", "left").withColumn("lo", raised).select(*columns), "state")
     return best
 
 

@@ -31,7 +31,7 @@ def mined(spark, rows, kind="long", **how):
     return sorted(tuple(r) for r in H.hard_negatives(df, anchors, **how).collect())
 
 
-@pytest.mark.parametrize("how", [{}, {"cell": 16, "block": 3, "lists": 20}])
+@pytest.mark.parametrize("how", [{}, {"cell": 16, "block": 3, "lists": 90}])
 def test_against_every_pair(spark, how):
     rows = grouped(150)
     rows += [(1000 + i, 0, [1, 2]) for i in range(4)] + [(1010, 1, [1, 2]), (1015, 1, [3, 1])]  # another length, ties
