@@ -1,15 +1,18 @@
-"""Substring dedup by content-defined anchors.
+"""Substring dedup by content-defined chunks.
+
+A gear hash rolls over the bytes of a text and is read where a word begins, over the last GEAR_BYTES bytes. A word is a
+cut if its hash is the least among some SPAN words in a row (of equals the first); the bytes between two cuts are a
+chunk. So a chunk has SPAN words at most, and where it begins and ends depends on the words around it alone: text put in
+before it moves it, but changes nothing.
 
 A repeat is a stretch of ``min_words`` words or more, equal byte by byte from its first word to its last, that another
-document has too. Each window of ``min_words`` words has an anchor: the run of fewer words inside it with the least
-digest, the last of equals. Equal windows have equal anchors, so an anchor in one document alone rules out all its
-windows, and where all windows of an anchor are the same wherever it stands, they are repeats without a further look.
-The other windows of shared anchors are digested one by one and meet by that. So repeats have their true ends, and none
-of ``min_words`` words is missed; a false one takes two texts with one 64-bit digest. Each is kept in the document with
-the smallest id.
-
-chunk_ends() and chunks_of() cut texts where a gear hash over the last GEAR_BYTES bytes is least among the SIDE
-positions on either side; repeats() doesn't rest on them, as a short passage may hold no whole chunk.
+document has too. Each window of ``min_words`` words has a seed: the chunks from the least of its first SPAN hashes on
+that together have LEAST words. These cuts follow from the window's own bytes (see _Windows), so equal windows have equal
+seeds. Seeds are deduplicated by their digest. One that a single document has rules all its windows out. The others are
+extended to the windows that they stand for: where these are the same wherever the seed stands, they are repeats without
+a further look; else each window is digested and meets its equals by that. Windows that follow each other become one
+stretch with its true ends. So none of ``min_words`` words is missed, and a false one takes two texts with one 64-bit
+digest. Each is kept in the document with the smallest id.
 """
 
 from __future__ import annotations
@@ -18,68 +21,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinia.llm import _blocks, _text
 from affinia.llm._blocks import by_count
-from affinia.session import bound_batches, stored, table
+from affinia.session import bound_batches, forget, stored, table
 
-GEAR_BYTES, SIDE, LONGEST = 16, 16, 96
+GEAR_BYTES, SPAN, LEAST = 8, 12, 12
 #: A repeat has over 50 words.
 MIN_WORDS = 51
+#: Windows of fewer words may hold no whole seed: 4 words can fill GEAR_BYTES, then come SPAN - 1, LEAST + SPAN - 1 and SPAN.
+FEWEST = 4 + SPAN - 1 + LEAST + SPAN - 1 + SPAN
 _GEAR = np.random.default_rng(99).integers(0, 1 << 32, 256, dtype=np.uint32)
-_PAD = GEAR_BYTES + SIDE
-
-
-def chunk_ends(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of texts that lie end to end; each text's end is one, and depends on no other text."""
-    n = len(off) - 1
-    size = np.diff(off)
-    shift = np.repeat(np.arange(1, n + 1) * _PAD, size)
-    wide = len(raw) + (n + 1) * _PAD
-    place = np.arange(len(raw)) + shift
-    h = np.zeros(wide, np.uint32)
-    h[place] = _GEAR[raw]
+
+
+def gear(raw: np.ndarray) -> np.ndarray:
+    """Rolling hash of the GEAR_BYTES bytes before each byte (and before the end)."""
+    h = np.zeros(len(raw) + 1, np.uint32)
+    h[1:] = _GEAR[raw]
     k = 1
     while k < GEAR_BYTES:
-        h[k:] = h[k:] + (h[:-k] << np.uint32(2 * k))
+        h[k:] = h[k:] + (h[:-k] << np.uint32(4 * k))
         k *= 2
-    top = np.full(wide, 0xFFFFFFFF, np.uint32)
-    top[place] = h[place]
-    low, k = top.copy(), 1
-    while k < SIDE:
-        low[:-k] = np.minimum(low[:-k], low[k:])
+    return h
+
+
+def cuts(raw: np.ndarray, off: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words that are cuts, the word of the least hash among each word and the SPAN - 1 after it) of texts end to end.
+
+    Words too near a text's start for a whole hash come last in order, and no text takes part in another's.
+    """
+    n = len(start)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    top = np.uint64(0xFFFFFFFF)
+    h = np.where(start - off[doc] < GEAR_BYTES, top, gear(raw)[start].astype(np.uint64))
+    place = np.arange(n) + doc * SPAN  # as many empty places after each text
+    key = np.full((place[-1] + 1 if n else 0) + SPAN, np.iinfo(np.uint64).max)
+    key[place] = (h << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    least, k = key, 1
+    while 2 * k <= SPAN:
+        least = np.minimum(least[:-k], least[k:])
         k *= 2
-    at = place[(top[place] < low[place - SIDE]) & (top[place] <= low[place + 1])]
-    ends = at - shift[np.searchsorted(place, at)] + 1 if len(at) else at
-    for _ in range(3):
-        inner = np.minimum(ends, len(raw) - 1)
-        ends = ends + ((ends < len(raw)) & ((raw[inner] & 0xC0) == 0x80)) if len(raw) else ends
-    ends = np.unique(np.concatenate([ends, off[1:][size > 0]]))
-    gap = np.diff(ends, prepend=0)
-    many = np.flatnonzero(gap > LONGEST)
-    if len(many):
-        # Where the hash is as small as on either side: once a period, in text that repeats.
-        ties = np.flatnonzero((top[place] <= low[place - SIDE]) & (top[place] <= low[place + 1])) + 1
-        extra = np.concatenate([_even_cuts(ties[slice(*np.searchsorted(ties, [a + GEAR_BYTES, b - SIDE]))], a, b) for a, b in zip((ends - gap)[many].tolist(), ends[many].tolist())])
-        for _ in range(3):
-            extra = extra + ((raw[np.minimum(extra, len(raw) - 1)] & 0xC0) == 0x80)
-        ends = np.unique(np.concatenate([ends, extra]))
-    return ends
-
-
-def _even_cuts(low: np.ndarray, last: int, stop: int) -> np.ndarray:
-    """Cuts of a stretch without ends: at the places given, so that periodic text is cut in phase, or else by length."""
-    out = []
-    while True:
-        i = int(np.searchsorted(low, last + 2 * SIDE))
-        if i < len(low) and low[i] <= last + LONGEST:
-            last = int(low[i])
-        elif stop - last > LONGEST:
-            last += LONGEST
-        else:
-            break
-        out.append(last)
-    return np.array(out, np.int64)
+    if SPAN > k:
+        least = np.minimum(least[: len(key) - SPAN + 1], least[SPAN - k : SPAN - k + len(key) - SPAN + 1])
+    at = (least[place] & top).astype(np.int64)
+    return np.unique(at), at
 
 
 def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -98,59 +84,52 @@ def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return _text.mix(d + (ends - starts).astype(np.uint64))
 
 
-def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start in it, bytes, words and digest of every chunk. A word counts where it begins."""
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start in it, bytes and digest of every chunk; what stands before a text's first cut is a chunk, and so is the rest."""
     raw, off = _text.buffers(texts)
-    ends = chunk_ends(raw, off)
-    if not len(ends):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    starts = np.concatenate([[0], ends[:-1]])
-    size = ends - starts
-    w = _text.IS_WORD[raw]
-    first = w.copy()
-    first[1:] &= ~w[:-1]
-    count = np.add.reduceat(first.astype(np.int64), starts)
-    d = _digests(raw, starts, ends)
-    doc = np.searchsorted(off, starts, "right") - 1
-    return doc, starts - off[doc], size, count, d
+    start, _, _, first = _text.words(raw, off)
+    begin = np.unique(np.concatenate([start[cuts(raw, off, start, first)[0]], off[:-1][np.diff(off) > 0]]).astype(np.int64))
+    end = np.append(begin[1:], len(raw))[: len(begin)]
+    doc = np.searchsorted(off, begin, "right") - 1
+    return doc, begin - off[doc], end - begin, _digests(raw, begin, end)
 
 
 class _Windows:
-    """Windows of so many words of texts that lie end to end: digests, and the anchor's place and digest of each."""
+    """Windows of so many words of texts that lie end to end: digests, and the words where the seed of each begins and ends."""
 
     def __init__(self, texts: pa.Array, words: int):
         raw, off = _text.buffers(texts)
         self.start, self.end, _, self.first = _text.words(raw, off)
+        if words < FEWEST:
+            raise ValueError(f"windows of fewer than {FEWEST} words may hold no whole seed")
         self.words, self.n = words, max(0, len(self.start) - words + 1)
         if not self.n:
             return
         whole = _digests(raw, self.start, np.append(self.start[1:], len(raw)))  # with what stands before the next word
         bare = _digests(raw, self.start, self.end)
-        k = max(1, words * 2 // 5)
-        width, m = words - k + 1, len(bare) - k + 1
         by = np.uint64(0x9FB21C651E98DF25)
-        acc = np.zeros(m, np.uint64)
-        for j in range(words):
-            if j == k - 1:
-                self.run = _text.mix(acc * by + bare[j : j + m])
-            if j == words - 1:
-                self.digest = _text.mix(acc[: self.n] * by + bare[j:])
-            elif j == k - 1:
-                acc = acc[: self.n].copy()
-            if j < words - 1:
-                acc *= by
-                acc += whole[j : j + len(acc)]
-        low = np.uint64(0xFFFFFFFF)
-        key = (self.run & ~low) | (low - np.arange(m, dtype=np.uint64))
-        span = 1
-        while 2 * span <= width:
-            key = np.minimum(key[:-span], key[span:])
-            span *= 2
-        self.anchor = (low - (np.minimum(key[: self.n], key[width - span : width - span + self.n]) & low)).astype(np.int64)
+        acc = np.zeros(self.n, np.uint64)
+        for j in range(words - 1):
+            acc += whole[j : j + self.n]
+            acc *= by
+        self.digest = _text.mix(acc + bare[words - 1 : words - 1 + self.n])
+        # The seed starts at the least hash of the first words whose hash lies inside the window. A cut after it can't come
+        # from words before the window: these SPAN words would hold the seed's start, whose hash is less. Nor from words
+        # after the window, for its SPAN words end inside. So the cuts of a seed are the same wherever its window stands.
+        cut, least = cuts(raw, off, self.start, self.first)
+        inner = np.minimum(np.searchsorted(self.start, self.start[: self.n] + GEAR_BYTES), len(self.start) - 1)
+        self.anchor = least[inner]
+        stop = np.searchsorted(cut, self.anchor + LEAST)
+        self.stop = np.append(cut, len(self.start) - 1)[stop]
         place = np.arange(self.n)
         self.doc = np.searchsorted(self.first, place, "right") - 1
         self.fine = place + words <= self.first[self.doc + 1]
         self.base = off[:-1]
+        self.raw = raw
+
+    def seeds(self, lo: np.ndarray) -> np.ndarray:
+        """Digests of the seeds of the windows lo."""
+        return _digests(self.raw, self.start[self.anchor[lo]], self.start[self.stop[lo]])
 
     def spans(self, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
         """Place of the window lo by words, and bytes from its start to the end of the window hi, all in their text."""
@@ -158,8 +137,13 @@ class _Windows:
         return [pa.array(x.astype(np.int32)) for x in (lo - self.first[doc], self.start[lo] - self.base[doc], self.end[hi + self.words - 1] - self.base[doc])]
 
 
-def anchors(docs: DataFrame, words: int) -> DataFrame:
-    """(d, doc_id, lo, start, end, n, c) of every anchor: its n windows begin at the word lo; c is their digest."""
+def _schema(docs: DataFrame, more: str = "") -> T.StructType:
+    ddl = T.StructType.fromDDL
+    return T.StructType([*ddl("d long").fields, docs.schema["doc_id"], *ddl("lo int, start int, end int, n short").fields, *(ddl(more).fields if more else [])])
+
+
+def seeds(docs: DataFrame, words: int) -> DataFrame:
+    """(d, doc_id, lo, start, end, n, c) of every seed: its n windows begin at the word lo; c is their digest."""
 
     def run(batches):
         for b in batches:
@@ -170,11 +154,11 @@ def anchors(docs: DataFrame, words: int) -> DataFrame:
                 lo, hi = v[np.concatenate([[0], cut])], v[np.concatenate([cut - 1, [len(v) - 1]])]
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.digest)])
                 c = _text.mix(sums[hi + 1] - sums[lo] + (hi - lo).astype(np.uint64))
-                d = w.run[w.anchor[lo]]
+                d = w.seeds(lo)
                 yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(pa.array(w.doc[lo])), *w.spans(lo, hi), pa.array((hi - lo + 1).astype(np.int16)), pa.array(c.view(np.int64))], names=["d", "doc_id", "lo", "start", "end", "n", "c"])
         _text.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "d long, doc_id long, lo int, start int, end int, n short, c long")
+    return docs.select("doc_id", "text").mapInArrow(run, _schema(docs, "c long"))
 
 
 def windows(docs: DataFrame, words: int) -> DataFrame:
@@ -198,7 +182,7 @@ def windows(docs: DataFrame, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(w.digest[x].view(np.int64)), b.column(0).take(pa.array(w.doc[x])), *w.spans(x, x), pa.array(np.ones(len(x), np.int16))], names=["d", "doc_id", "lo", "start", "end", "n"])
         _text.release()
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, "d long, doc_id long, lo int, start int, end int, n short")
+    return docs.select("doc_id", "text", "places").mapInArrow(run, _schema(docs))
 
 
 def _shared(rows: DataFrame, *more) -> DataFrame:
@@ -212,13 +196,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     start and end are UTF-8 bytes, always between characters; first_doc_id is the smallest document that has one of the
     run's windows, and kept marks the runs all of whose windows no smaller document has. Null and empty texts have no
-    windows, rows with a null doc_id no repeats, and rows with one doc_id are one document. Text without a repeat has no
+    windows, rows with a null doc_id no repeats, and rows with one doc_id, of any type that has an order, are one document. Text without a repeat has no
     row; an empty table gives none.
     """
     bound_batches(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    met = _shared(stored(anchors(docs, min_words), "anchors"), (F.min("c") == F.max("c")).alias("same"))
-    met = stored(met.drop("c").distinct(), "met")
+    found = stored(seeds(docs, min_words), "seeds")
+    met = stored(_shared(found, (F.min("c") == F.max("c")).alias("same")).drop("c").distinct(), "met")
+    forget(found)
     places = stored(met.where("NOT same").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("places")), "places")
     some = _blocks.by_ids(docs, places.select("doc_id"), "doc_id", "left_semi").join(places, "doc_id")
     singles = _shared(stored(windows(some, min_words), "windows"))

@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from affinia.llm import cdc_dedup as C
 from affinia.llm._text import text_words
@@ -21,16 +22,46 @@ def brute(rows, k=51):
 
 def test_chunks_cover_the_text_and_resist_shifts():
     t = text(7, 900)
-    doc, start, size, words, d = C.chunks_of(pa.array([t, "é" * 700, "x" + t, "", None, "a"]))
+    doc, start, size, d = C.chunks_of(pa.array([t, "é" * 700, "x" + t, "", None, "a", "put in before it " + t]))
     for i, s in enumerate([t, "é" * 700, "x" + t, "", "", "a"]):
         raw = s.encode()
         mine = doc == i
         assert b"".join(raw[a : a + n] for a, n in zip(start[mine], size[mine])) == raw
         for a, n in zip(start[mine], size[mine]):
-            raw[a : a + n].decode()
-    first, third = set(d[doc == 0].tolist()), set(d[doc == 2].tolist())
-    assert len(first & third) >= 0.9 * len(first)
-    assert size[doc == 0].max() <= C.LONGEST
+            assert len(raw[a : a + n].decode().split()) <= 2 * C.SPAN
+    first = set(d[doc == 0].tolist())
+    assert all(len(first & set(d[doc == i].tolist())) >= 0.97 * len(first) for i in (2, 6))
+    assert 40 < len(first) < 900 / 4
+
+
+def test_a_seed_follows_from_its_window_alone():
+    """Each window of a text of short words has the seed that it has between other words."""
+    r = random.Random(8)
+    for most in (1, 3, 9):
+        words = ["".join(r.choice("abcde") for _ in range(r.randint(1, most))) for _ in range(130)]
+        whole = C._Windows(pa.array([" ".join(words)]), 51)
+        for i in range(0, 80, 3):
+            other = C._Windows(pa.array(["filler", " ".join(["x%d" % r.randint(0, 99) for _ in range(r.randint(0, 30))] + words[i : i + 51] + ["y%d" % r.randint(0, 99) for _ in range(r.randint(0, 30))])]), 51)
+            at = [j for j in range(other.n) if other.fine[j] and other.digest[j] == whole.digest[i]]
+            assert at and all((other.anchor[j] - j, other.stop[j] - j) == (whole.anchor[i] - i, whole.stop[i] - i) for j in at)
+            assert whole.stop[i] - whole.anchor[i] >= C.LEAST and whole.stop[i] <= i + 51
+
+
+def test_repeats_are_found_through_chunks(spark, monkeypatch):
+    def none(*a):
+        raise RuntimeError("no chunks")
+
+    monkeypatch.setattr(C, "cuts", none)
+    with pytest.raises(RuntimeError, match="no chunks"):
+        C._Windows(pa.array([text(1, 60)]), 51)
+    with pytest.raises(ValueError, match="fewer"):
+        C._Windows(pa.array([text(1, 60)]), C.FEWEST - 1)
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", text(1, 80)), ("a", text(1, 80) + " end"), (None, text(1, 80))]
+    got = C.repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(x.doc_id, x.n_words, x.first_doc_id, x.kept) for x in got} == {("a", 80, "a", True), ("b", 80, "a", False)}
 
 
 def test_passages_are_caught_and_clean_texts_are_not(spark):
