@@ -152,10 +152,17 @@ def add_version(versions: DataFrame, path: str, rules=RULES, rule_version: str =
     unseen(versions, read_ledger(versions.sparkSession, path), rules, rule_version, text).write.mode("append").parquet(path)
 
 
-def scanned(docs: DataFrame, path: str, versions: int = VERSIONS) -> DataFrame:
-    """The ledger in the folder after all of docs has been added, in as many versions, dealt by a hash of the text."""
-    for k in range(versions):
-        add_version(docs.where(F.pmod(F.xxhash64("text"), F.lit(versions)) == k) if versions > 1 else docs, path)
+def history(docs: DataFrame, key: str = "doc_id", versions: int = VERSIONS) -> list[DataFrame]:
+    """docs as it grew: version k has the rows of the first k of so many shares by a hash of the key, the last has all rows.
+    So a version holds all that the one before it had, as the versions of a corpus do."""
+    share = F.pmod(F.xxhash64(key), F.lit(versions))
+    return [docs.where(share <= k) for k in range(versions - 1)] + [docs]
+
+
+def scanned(docs: DataFrame, path: str, key: str = "doc_id", versions: int = VERSIONS) -> DataFrame:
+    """The ledger in the folder after each version of docs has been added; a version scans what those before it lack."""
+    for version in history(docs, key, versions):
+        add_version(version, path)
     return read_ledger(docs.sparkSession, path)
 
 
@@ -183,7 +190,8 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets of all documents, which come to the ledger in two versions; then every path's findings are read from it."""
+    """Secrets of all documents. The ledger gets half of the rows as a first version and all of them as a second, of which it
+    scans what it lacks; then every path's findings are read from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = findings(docs, scanned(docs, scratch(spark, "ledger")))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")

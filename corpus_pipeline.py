@@ -53,7 +53,7 @@ def secret_removal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets in their texts overwritten, overlapping ones once; n_chars follows where a text has changed.
     Null and empty texts stay as they are."""
     blob, spans = fresh(docs, "_blob", "_spans")
-    ledger = secrets.scanned(docs.select("text"), scratch(spark, "ledger"))
+    ledger = secrets.scanned(docs.select("doc_id", "text"), scratch(spark, "ledger"))
     hits = secrets.findings_by_blob(ledger).withColumnRenamed("spans", spans)
     out = secrets.with_spans(docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)), hits, blob, spans)
     out = out.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col(spans))))

@@ -51,10 +51,27 @@ def test_a_ledger_folder_over_versions(spark):
     blobs = docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert scans[0] > 0 and scans[0] + scans[1] == blobs and scans[2] == 0
     key = lambda r: (r.doc_id or -1, str(r.spans))
-    found = [sorted(map(key, S.findings(docs, S.scanned(docs, scratch(spark, "ledger"), n)).collect())) for n in (1, 3)]
+    found = [sorted(map(key, S.findings(docs, S.scanned(docs, scratch(spark, "ledger"), versions=n)).collect())) for n in (1, 3)]
     assert found[0] == found[1] == sorted(map(key, S.findings(docs, S.read_ledger(spark, path)).collect()))
 
 
+def test_the_queries_second_version_scans_only_what_the_first_lacks(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    first, second = S.history(docs)
+    blobs = lambda d: {r.blob for r in S._named(d, "text").select("blob").collect()}
+    old, every = blobs(first), blobs(second)
+    assert second.count() == docs.count() and 0.3 * len(every) < len(old) < 0.7 * len(every) and old < every
+    path, added, scan = scratch(spark, "ledger"), [], S.scan
+
+    def counted(rows, *a):
+        added.append({r.blob for r in rows.select("blob").collect()})
+        return scan(rows, *a)
+
+    monkeypatch.setattr(S, "scan", counted)
+    ledger = S.scanned(docs, path)
+    assert added == [old, every - old] and ledger.count() == len(every)  # the blobs of the first version are skipped
+
+
 def test_many_findings(spark, monkeypatch):
     """Tens of thousands of matches in one text, and findings joined by the commonest blobs where they are too large to send."""
     t = " ".join(f"é{i} token={i:08d}x" + ("0123456789abcdef" * 2 if i % 7 == 0 else "") for i in range(30_000))
