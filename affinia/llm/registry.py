@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinia.llm import cdc_dedup, centroid_blocks, decontaminate, hard_negatives, html_text, itq_neighbors, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
+from affinia.llm import bwt_dedup, cdc_dedup, centroid_blocks, decontaminate, hard_negatives, html_text, itq_neighbors, jaccard_join, kd_shards, quality_cnn, secrets, sentencepiece_sa, warc
 
 _ALL = [
     (kd_shards.op1_kd_shards, None),
@@ -17,6 +17,7 @@ _ALL = [
     (decontaminate.op10_decontaminate, decontaminate.ORACLE_SQL),
     (hard_negatives.op11_hard_negatives, hard_negatives.ORACLE_SQL),
     (centroid_blocks.op12_centroid_blocks, centroid_blocks.ORACLE_SQL),
+    (bwt_dedup.op13_bwt_dedup, None),
 ]
 
 
