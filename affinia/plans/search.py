@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from affinia.functions import bits, scores
+from affinia.operators import bitmatrix as B
 from affinia.operators import similarity as S
 from affinia.operators import voting as V
-from affinia.plans.fixtures import SALTS, query, r6, with_
+from affinia.plans.fixtures import EVERY, SALTS, query, r6, with_
 
 QUERIES: dict = {}
 _W = "1.0 / (1.0 + exp(-5.0 * (pchembl - 5.0)))"
@@ -57,13 +58,21 @@ _WIDE = "common AS (SELECT q.vec_id AS qid, r.vec_id, r.label, " + " + ".join(f"
 
 @query(QUERIES, with_("fp", more=_WIDE + ", s AS (SELECT qid, label, max(c / (p.pop + q.pop - c)) AS best FROM common JOIN own p ON p.vec_id = common.vec_id JOIN own q ON q.vec_id = common.qid WHERE qid <> common.vec_id GROUP BY 1, 2)") + "SELECT qid, label AS target, round(best, 6) AS best_similarity, row_number() OVER (PARTITION BY qid ORDER BY best DESC, label) AS rank FROM s")
 def j1_wide_every_row_as_query(t):
-    """The published batch shape at its width of 2,048 bits."""
+    """The published batch shape at its width of 2,048 bits, by blocks of a bit matrix."""
     f = t.wide_fingerprints()
-    q = f.select(F.col("vec_id").alias("qid"), F.col("fp").alias("qfp"), F.col("pop").alias("qpop"))
-    s = S.similarities(q, f, words=len(SALTS), keep=F.col("qid") != F.col("vec_id")).groupBy("qid", F.col("label").alias("target")).agg(F.max("t").alias("best"))
+    rows, queries = B.blocks(f, "vec_id", keep=("label",)), B.blocks(f.withColumnRenamed("vec_id", "qid"), "qid")
+    s = B.best_by(queries, rows, "qid", "vec_id", "label").withColumnRenamed("label", "target")
     return s.select("qid", "target", r6("best").alias("best_similarity"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "target")).cast("long").alias("rank"))
 
 
+@query(QUERIES, with_("fp", more=_WIDE + ", a AS (SELECT qid, common.vec_id, c / (p.pop + q.pop - c) AS t FROM common JOIN own p ON p.vec_id = common.vec_id JOIN own q ON q.vec_id = common.qid WHERE qid % 50 = 0)") + "SELECT qid, vec_id, round(t, 6) AS t, row_number() OVER (PARTITION BY qid ORDER BY t DESC, vec_id) AS rank FROM a WHERE t >= 0.3 QUALIFY rank <= 20")
+def t1_wide_top_similar(t):
+    """F3 at 2,048 bits: a row is compared only if its popcount lets it be among the best."""
+    f = t.wide_fingerprints()
+    q = f.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("fp").alias("qfp"), F.col("pop").alias("qpop"))
+    return B.top(q, f, 20, 0.3).select("qid", "vec_id", r6("t").alias("t"), "rank")
+
+
 @query(QUERIES, with_("sim") + "SELECT qid, vec_id, round(t, 6) AS t FROM sim WHERE t >= 0.45")
 def p1_threshold_band_pruned(t):
     return S.similarities(t.query_fingerprints(), t.fingerprints(), 0.45).select("qid", "vec_id", r6("t").alias("t"))
