@@ -6,6 +6,7 @@ setting a folder of this machine is used where Spark runs on this machine alone,
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -86,6 +87,12 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
