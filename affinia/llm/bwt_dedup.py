@@ -4,13 +4,14 @@ What is compared are windows: strings of ``length`` bytes. Those with one anchor
 least, of equals the first) that follow each other in a text are a piece: the bytes of its windows. Equal windows have
 equal anchors, so pieces with one anchor go to one group and a window meets all its equals there.
 
-1. Anchors that one document alone has are left out: each text's anchors are dealt by hash, and those that two share are
-   sent back to their documents.
-2. The pieces of the rest are cut out, each once a batch of texts with the list of places where it stands.
-3. A task builds the transform of a group's different pieces, and the common prefixes of neighbours in suffix order, column
-   by column (Bauer, Cox and Rosone 2013; with prefixes, Cox et al. 2016): each round inserts one symbol of every piece,
-   from its end to its beginning, where the ranks in the transform so far put the suffix that it begins. The transform and
-   the prefixes are files, read from front to back and written anew each round. Suffixes between which no common prefix is
+1. Anchors that one document alone has are left out: each text's anchors are dealt by hash with the digests of their pieces,
+   and those that two documents share are sent back to them. Where an anchor has one piece everywhere, there is nothing to
+   compare: all its windows are first in the smallest document.
+2. Of the other anchors each different piece is cut out once, in the smallest document that has it.
+3. A task builds the transform of a group's pieces, and the common prefixes of neighbours in suffix order, column by column
+   (Bauer, Cox and Rosone 2013; with prefixes, Cox et al. 2016): each round inserts one symbol of every piece, from its end
+   to its beginning, where the ranks in the transform so far put the suffix that it begins. The transform and the prefixes
+   are files of the task, read from front to back and written anew each round. Suffixes between which no common prefix is
    shorter than ``length`` begin with one window; the smallest document that has one of their pieces is its first.
 4. A piece's first documents go to its places, joined by its digest; a piece that is very common is sent to them. Each text
    loses the bytes of windows whose first document is smaller than its own.
@@ -33,13 +34,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from affinia.llm import _blocks, _text
 from affinia.llm._blocks import by_count, fresh
-from affinia.session import bound_batches, forget, stored, table
+from affinia.session import bound_batches, forget, free_shuffles, stored, table
 
 LENGTH, GRAM, SIDE = 50, 16, 17
 #: Bytes of text whose anchors one task compares, bytes of pieces of a group, and rows of an anchor beyond which it is split.
 BUCKET_BYTES, GROUP_BYTES, PIECES = 4 << 20, 4 << 20, 20_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
+#: The bits of an anchor's hash by which anchors meet; the others hold a place in a batch.
+_MASK = np.int64(~0xFFFF)
 
 
 class _Pieces:
@@ -70,43 +73,73 @@ class _Pieces:
         new = np.flatnonzero(np.r_[True, (np.diff(least) != 0) | (np.diff(doc) != 0)]) if len(fine) else np.zeros(0, np.int64)
         self.doc, self.start, self.n = doc[new], fine[new], np.diff(np.append(new, len(fine)))
         self.lo, self.at, self.d = self.start - off[self.doc], least[new], h[least[new]].view(np.int64)
+        self.length = length
+
+    def digests(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """64-bit digest of each piece; which rises."""
+        if not len(self.d):
+            return np.zeros(0, np.uint64)
+        start = self.start[which]
+        return _digests(self.raw, start, start + self.n[which] + self.length - 1)
 
 
 def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(doc_id, d) of anchors that two rows or more of docs have. Only the upper bits of d count."""
+    """(doc_id, d, first, n) of anchors that two documents or more of docs have. Only the upper bits of d count.
+
+    Where the anchor has one piece everywhere, first is the smallest document, whose own row is left out. Else first is
+    null, and n, in how many documents the piece is, stands in the row of the smallest that has it; elsewhere it is 0.
+    """
     id_field = docs.schema["doc_id"]
-    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("seeds", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(id_field.dataType))])
-    back = T.StructType([id_field, T.StructField("d", T.LongType())])
-    mask = np.int64(~0xFFFF)
+    longs, ids_type = T.ArrayType(T.LongType()), T.ArrayType(id_field.dataType)
+    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("seeds", longs), T.StructField("pieces", longs), T.StructField("ids", ids_type)])
+    back = T.StructType([id_field, T.StructField("d", T.LongType()), T.StructField("first", id_field.dataType), T.StructField("n", T.IntegerType())])
 
     def sent(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1 << 16):
                 part = b.slice(a, 1 << 16)
                 p = _Pieces(part.column(1), length)
-                seeds = np.unique((p.d & mask) | p.doc)
+                seeds, c = (p.d & _MASK) | p.doc, p.digests().view(np.int64)
+                by = np.lexsort((c, seeds))
+                by = by[np.flatnonzero((np.diff(seeds[by], prepend=0) != 0) | (np.diff(c[by], prepend=0) != 0))] if len(by) else by
+                by = by[np.argsort(_bucket(seeds[by], buckets), kind="stable")]
+                seeds, c = seeds[by], c[by]
                 bucket = _bucket(seeds, buckets)
-                by = np.argsort(bucket, kind="stable")
-                seeds, bucket = seeds[by], bucket[by]
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(seeds) else np.zeros(0, np.int64)
                 for i, j in zip(cut, np.append(cut[1:], len(seeds))):
-                    docs_here, code = np.unique(seeds[i:j] & 0xFFFF, return_inverse=True)
-                    ids = part.column(0).take(pa.array(docs_here))
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket[i]], pa.int32()), pa.array([(seeds[i:j] & mask) | code], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["bucket", "seeds", "ids"])
+                    here, code = np.unique(seeds[i:j] & 0xFFFF, return_inverse=True)
+                    ids = part.column(0).take(pa.array(here))
+                    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[i]], pa.int32()), one((seeds[i:j] & _MASK) | code), one(c[i:j]), one(ids)], names=out.names)
         _text.release()
 
     pa_back = to_arrow_schema(back)
 
     def met(t: pa.Table) -> pa.Table:
-        seeds, ids = t.column("seeds").combine_chunks(), t.column("ids").combine_chunks()
-        flat = seeds.flatten().to_numpy()
-        d = flat & mask
+        seeds, pieces, ids = (t.column(x).combine_chunks() for x in ("seeds", "pieces", "ids"))
+        flat, c = seeds.flatten().to_numpy(), pieces.flatten().to_numpy()
+        if not len(flat):
+            return pa_back.empty_table()
+        d = flat & _MASK
         row = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
-        by = np.argsort(d, kind="stable")
-        same = np.diff(d[by]) == 0
-        twice = np.sort(by[np.r_[same, False] | np.r_[False, same]]) if len(by) else by
-        where = (ids.offsets.to_numpy()[row] - ids.offsets.to_numpy()[0] + (flat & 0xFFFF))[twice]
-        return pa.Table.from_arrays([ids.flatten().take(pa.array(where)), pa.array(d[twice])], schema=pa_back)
+        named = ids.flatten()
+        order = pc.unique(named)
+        order = order.take(pc.sort_indices(order))
+        doc = pc.index_in(named, value_set=order).to_numpy()[ids.offsets.to_numpy()[row] - ids.offsets.to_numpy()[0] + (flat & 0xFFFF)]
+        by = np.lexsort((doc, c, d))
+        d, c, doc = d[by], c[by], doc[by]
+        new_d = np.r_[True, np.diff(d) != 0]
+        new_c = new_d | np.r_[True, np.diff(c) != 0]
+        cut, group = np.flatnonzero(new_d), np.cumsum(new_d) - 1
+        least, most = np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
+        one = np.add.reduceat(new_c.astype(np.int64), cut) == 1
+        pieces_at = np.flatnonzero(new_c)
+        n = np.zeros(len(d), np.int32)
+        n[pieces_at] = np.diff(np.append(pieces_at, len(d)))
+        n[one[group]] = 0
+        keep = np.flatnonzero((least < most)[group] & ~(one[group] & (doc == least[group])))
+        first = order.take(pa.array(least[group][keep], mask=~one[group][keep]))
+        return pa.Table.from_arrays([order.take(pa.array(doc[keep])), pa.array(d[keep]), first, pa.array(n[keep])], schema=pa_back)
 
     return docs.select("doc_id", "text").mapInArrow(sent, out).groupBy("bucket").applyInArrow(met, back)
 
@@ -115,40 +148,64 @@ def _bucket(d: np.ndarray, buckets: int) -> np.ndarray:
     return ((d >> 16) % buckets).astype(np.int64)
 
 
-def _pieces(docs: DataFrame, length: int) -> DataFrame:
-    """(d, at, c, piece, ids, versions, places) of the pieces of docs (doc_id, text, version, seeds) whose anchor is in
-    seeds, once for each batch of texts; at is the anchor's place in the piece and c the piece's digest."""
-    id_type = docs.schema["doc_id"].dataType
-    out = T.StructType.fromDDL("d long, at int, c long, piece binary").add("ids", T.ArrayType(id_type)).add("versions", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.IntegerType()))
+def _places(docs: DataFrame, length: int) -> DataFrame:
+    """What the anchors in seeds (d, first, n) of docs (doc_id, text, version, seeds) stand for.
+
+    Of anchors with one piece everywhere: bytes start .. end that a smaller document has. Of others: start of each piece, its
+    digest c, and where n names this document for it also n, d, the piece and the anchor's place ``at`` in it.
+    """
+    id_field = docs.schema["doc_id"]
+    out = T.StructType([id_field, *T.StructType.fromDDL("version long, start int, end int, c long, n int, d long, at int, piece binary").fields])
 
     def run(batches):
         for b in batches:
             p = _Pieces(b.column(1), length)
             lists = b.column(3)
+            flat = lists.flatten()
             owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            mask = np.int64(~0xFFFF)
-            known = np.unique(lists.flatten().to_numpy() & mask) if len(owner) else np.zeros(0, np.int64)
-            pick = np.flatnonzero(np.isin(p.d & mask, known))
-            if len(pick):
-                start, n = p.start[pick], p.n[pick]
-                c = _digests(p.raw, start, start + n + length - 1) ^ (p.d[pick].view(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-                by = np.argsort(c, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(c[by].view(np.int64)) != 0])
-                lead = by[cut]
-                ends = np.append(cut, len(by))
-                for i in range(0, len(lead), 4096):
-                    some = lead[i : i + 4096]
-                    listed = by[ends[i] : ends[min(i + 4096, len(lead))]]
-                    who = pa.array(p.doc[pick][listed])
-                    at = pa.array((ends[i : i + len(some) + 1] - ends[i]).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(at, x) for x in (b.column(0).take(who), b.column(2).take(who), pa.array(p.lo[pick][listed].astype(np.int32)))]
-                    blob = pa.array([p.raw[x:y].tobytes() for x, y in zip(start[some].tolist(), (start + n + length - 1)[some].tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(p.d[pick][some]), pa.array((p.at[pick] - start)[some].astype(np.int32)), pa.array(c[some].view(np.int64)), blob, *lists], names=out.names)
+            known = (flat.field("d").to_numpy() & _MASK) | owner  # a batch has far fewer rows than 65,536
+            by = np.argsort(known, kind="stable")
+            known = known[by]
+            # A document's reply of several pieces of one anchor: the largest n counts for all of them.
+            n = np.maximum.reduceat(flat.field("n").to_numpy()[by], np.flatnonzero(np.diff(known, prepend=0) != 0)) if len(by) else np.zeros(0, np.int32)
+            known, at = np.unique(known, return_index=True)
+            seeds = (p.d & _MASK) | p.doc
+            hit = np.searchsorted(known, seeds)
+            pick = np.flatnonzero(known[np.minimum(hit, len(known) - 1)] == seeds) if len(known) else np.zeros(0, np.int64)
+            which = hit[pick]
+            first = flat.field("first").take(pa.array(by[at][which]))
+            alone = first.is_valid().to_numpy(zero_copy_only=False)
+            smaller = pick[alone][pc.less(first.drop_null(), b.column(0).take(pa.array(p.doc[pick[alone]]))).to_numpy(zero_copy_only=False)] if alone.any() else pick[:0]
+            if len(smaller):  # pieces that follow each other are one span
+                new = np.flatnonzero(np.r_[True, np.diff(smaller) != 1])
+                last = np.append(new[1:], len(smaller)) - 1
+                lo, hi, doc = p.lo[smaller[new]], (p.lo + p.n)[smaller[last]] + length - 1, p.doc[smaller[new]]
+                same = np.flatnonzero(p.doc[smaller[last]] == doc)
+                if len(same) < len(doc):  # a run that goes on into the next text: by single pieces
+                    lo, hi, doc = p.lo[smaller], (p.lo + p.n)[smaller] + length - 1, p.doc[smaller]
+                yield from _rows(b, out, doc, lo, hi)
+            many = pick[~alone]
+            if len(many):
+                c, n_here = p.digests(many).view(np.int64), n[which[~alone]]
+                tell = n_here > 0
+                for i in range(0, len(many), 4096):
+                    x, t = many[i : i + 4096], tell[i : i + 4096]
+                    start, end = p.start[x], p.start[x] + p.n[x] + length - 1
+                    blob = pa.array([p.raw[u:v].tobytes() if w else None for u, v, w in zip(start.tolist(), end.tolist(), t.tolist())], pa.binary())
+                    none = lambda v, kind: pa.array(v, kind, mask=~t)  # noqa: E731, B023
+                    yield from _rows(b, out, p.doc[x], p.lo[x], None, pa.array(c[i : i + 4096]), none(n_here[i : i + 4096], pa.int32()), none(p.d[x], pa.int64()), none(p.at[x] - start, pa.int32()), blob)
         _text.release()
 
     return docs.select("doc_id", "text", "version", "seeds").mapInArrow(run, out)
 
 
+def _rows(b: pa.RecordBatch, out: T.StructType, doc: np.ndarray, start: np.ndarray, end: np.ndarray | None, *more: pa.Array):
+    who, kinds = pa.array(doc), to_arrow_schema(out)
+    last = pa.array(end.astype(np.int32)) if end is not None else pa.nulls(len(doc), pa.int32())
+    more = more or [pa.nulls(len(doc), f.type) for f in list(kinds)[4:]]
+    yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(start.astype(np.int32)), last, *more], names=out.names)
+
+
 def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit digest of each span of bytes; starts and ends rise."""
     d, i = np.empty(len(ends), np.uint64), 0
@@ -186,18 +243,22 @@ def transform(pieces: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
             going = size[who] >= t
             who, at = who[going], at[going]
             order = np.argsort(bwt, kind="stable")
-            owner = np.full(n, -1, np.int32)
-            owner[at] = who
-            by_rank = owner[order]
-            rank = np.flatnonzero(by_rank >= 0)
-            who, place = by_rank[rank], order[rank]
+            ends = np.cumsum(np.bincount(bwt, minlength=257))
+            mine = bwt[at]
+            by = np.argsort(mine, kind="stable")
+            who, place, cut = who[by], at[by], np.flatnonzero(np.diff(mine[by].astype(np.int64), prepend=-1))
+            rank = np.empty(len(at), np.int64)
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):  # one symbol: its places rise
+                c = int(mine[by[i]])
+                first = int(ends[c - 1]) if c else 0
+                rank[i:j] = first + np.searchsorted(order[first : ends[c]], place[i:j])
             new = m + rank  # places of the suffixes that begin with the symbols at ``place``
             far = np.append(lcp, 0)
             before = order[rank - 1]
             alike = (rank > 0) & (bwt[before] == bwt[place])
             shares = np.where(alike, _least(far, np.where(alike, before, place - 1) + 1, place + 1) + 1, 0)
             after = order[np.minimum(rank + 1, n - 1)]
-            old = (rank + 1 < n) & (bwt[after] == bwt[place]) & (by_rank[np.minimum(rank + 1, n - 1)] < 0)
+            old = (rank + 1 < n) & (bwt[after] == bwt[place]) & (np.append(rank[1:], -1) != rank + 1)
             then = _least(far, place[old] + 1, after[old] + 1) + 1
             grown = np.ones(n + len(new), bool)
             grown[new] = False
@@ -265,33 +326,33 @@ def first_documents(pieces: list[bytes], smallest: np.ndarray, length: int) -> t
 
 
 def _firsts(pieces: DataFrame, length: int, groups: int) -> DataFrame:
-    """(c, n, spans) of pieces that hold windows of a smaller document than one of their own: the first documents k of
-    their windows lo to hi, and the places n where the piece stands."""
+    """(c, n, spans) of pieces: the first documents k of their windows lo to hi, and in how many documents the piece is.
+    Windows that the smallest document of a piece has alone are left out."""
     id_type = pieces.schema["k"].dataType
     span = T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("k", id_type)])
     out = T.StructType.fromDDL("c long, n long").add("spans", T.ArrayType(span))
     pa_out = to_arrow_schema(out)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.group_by(["piece", "c", "move"]).aggregate([("k", "min"), ("last", "max"), ("n", "sum")])
-        ids = pc.unique(pa.chunked_array([*t.column("k_min").chunks, *t.column("last_max").chunks]))
+        t = t.group_by(["piece", "c", "move"]).aggregate([("k", "min"), ("n", "max")])
+        ids = pc.unique(t.column("k_min"))
         ids = ids.take(pc.sort_indices(ids))
-        k, last = (pc.index_in(t.column(c), value_set=ids).to_numpy() for c in ("k_min", "last_max"))
+        k, n = pc.index_in(t.column("k_min"), value_set=ids).to_numpy(), t.column("n_max").to_numpy()
         piece, window, first = first_documents(t.column("piece").to_pylist(), k.astype(np.int64), length)
         new = np.flatnonzero(np.r_[True, (np.diff(piece) != 0) | (np.diff(window) != 1) | (np.diff(first) != 0)]) if len(piece) else np.zeros(0, np.int64)
         owner, lo = piece[new], window[new]
         hi, who = lo + np.diff(np.append(new, len(piece))) - 1, first[new]
-        some = who < last[owner]
+        some = (who < k[owner]) | (n[owner] > 1)
         owner, lo, hi, who = owner[some], lo[some], hi[some], who[some]
         lo, hi = (x + t.column("move").to_numpy()[owner] for x in (lo, hi))
         named, cut = np.unique(owner, return_index=True)
         spans = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), ids.take(pa.array(who))], fields=list(pa_out.field("spans").type.value_type))
         _text.release()
         at = pa.array(named)
-        return pa.Table.from_arrays([t.column("c").take(at).combine_chunks(), t.column("n_sum").take(at).combine_chunks(), pa.ListArray.from_arrays(pa.array(np.append(cut, len(owner)).astype(np.int32)), spans)], names=["c", "n", "spans"]).cast(pa_out)
+        return pa.Table.from_arrays([t.column("c").take(at).combine_chunks(), t.column("n_max").take(at).combine_chunks(), pa.ListArray.from_arrays(pa.array(np.append(cut, len(owner)).astype(np.int32)), spans)], names=["c", "n", "spans"]).cast(pa_out)
 
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    found = dealt.select("group", "c", "piece", "move", "k", "last", "n").groupBy("group").applyInArrow(run, out)
+    found = dealt.select("group", "c", "piece", "move", "k", "n").groupBy("group").applyInArrow(run, out)
     return found.groupBy("c").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"))  # two rows where a piece was cut
 
 
@@ -320,17 +381,21 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     t = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     seeds = stored(_shared_anchors(t, length, 1 + total // BUCKET_BYTES), "seeds")
-    by_doc = seeds.groupBy("doc_id").agg(F.collect_list("d").alias("seeds"))
-    pieces = stored(_pieces(t.withColumn("version", F.xxhash64("text")).join(by_doc, "doc_id"), length), "pieces")
+    free_shuffles(spark)
+    by_doc = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("d", "first", "n")).alias("seeds"))
+    found = stored(_places(t.withColumn("version", F.xxhash64("text")).join(by_doc, "doc_id"), length), "places")
     forget(seeds)
-    listed = pieces.select("d", "at", "c", "piece", F.array_min("ids").alias("k"), F.array_max("ids").alias("last"), F.size("ids").cast("long").alias("n"))
-    size = listed.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    firsts = stored(_firsts(_split(listed, length, PIECES), length, 1 + size // GROUP_BYTES), "firsts")
-    places = pieces.select("c", F.explode(F.arrays_zip("ids", "versions", "places")).alias("x")).select("c", F.col("x.ids").alias("doc_id"), F.col("x.versions").alias("version"), F.col("x.places").alias("place"))
+    free_shuffles(spark)
+    pieces = found.where("piece IS NOT NULL").select("d", "at", "c", "piece", F.col("doc_id").alias("k"), F.col("n").cast("long").alias("n"))
+    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    firsts = stored(_firsts(_split(pieces, length, PIECES), length, 1 + size // GROUP_BYTES), "firsts")
+    free_shuffles(spark)
+    places = found.where("end IS NULL").select("c", "doc_id", "version", F.col("start").alias("place"))
     hits = by_count(places, firsts, "c", "n", firsts.agg(F.sum("n")).first()[0] or 0, "inner")
     spans = F.transform(F.filter("spans", lambda s: s["k"] < F.col("doc_id")), lambda s: F.struct((F.col("place") + s["lo"]).alias("start"), (F.col("place") + s["hi"] + length).alias("end")))
     hits = hits.select("doc_id", "version", spans.alias("spans")).where(F.size("spans") > 0)
-    return hits.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    plain = found.where("end IS NOT NULL").select("doc_id", "version", F.array(F.struct("start", "end")).alias("spans"))
+    return hits.unionByName(plain).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
