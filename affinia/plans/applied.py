@@ -379,11 +379,6 @@ def m36_accept_or_revert(t):
     return t.customer.join(b, "c_custkey", "left").select("c_custkey", F.when((F.col("w") < F.col("c_acctbal")) | F.col("w").isNull(), "revert").otherwise("accept").alias("decision"))
 
 
-@query(QUERIES, "SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS r FROM labels QUALIFY r <= 4")
-def t17_candidate_pick(t):
-    return top(t.labels.select("doc_id", "toxic"), ["toxic"], [F.col("doc_id")], 4, "r")
-
-
 @query(QUERIES, "SELECT l_returnflag, CAST(round(sum(CASE l_linestatus WHEN 'O' THEN 12.011 WHEN 'F' THEN 15.999 ELSE 12.0 END), 3) AS DOUBLE) AS mass FROM lineitem GROUP BY 1")
 def x29_heavy_atom_mass(t):
     w = t.spark.createDataFrame([("O", 12.011), ("F", 15.999)], "l_linestatus string, w double")

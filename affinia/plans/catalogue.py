@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from affinia.plans import applied, boundary, etl, evaluation, search
+from affinia.plans import applied, boundary, etl, evaluation, models, search
 
 FLAGSHIP = "f1_target_search"
-_MODULES = [search, etl, evaluation, applied, boundary]
+_MODULES = [search, etl, evaluation, models, applied, boundary]
 
 
 def queries() -> dict:

@@ -257,14 +257,6 @@ def g22_sea_raw(t):
     return _sea(t).select("qid", "target", r6("raw").alias("raw"), "n")
 
 
-@query(QUERIES, with_("sim", "pairs", more=_HIT + ", " + _SEA + ", z AS (SELECT *, (raw - (m - 0.5772156649015329 * s * sqrt(6.0) / 3.141592653589793)) / (s * sqrt(6.0) / 3.141592653589793) AS z FROM (SELECT *, 0.33 * n AS m, 0.05 * pow(n, 0.9) AS s FROM raw))") + "SELECT qid, target, round(1 - exp(-exp(-z)), 6) AS p_value FROM z")
-def m18_x11_sea_pvalue(t):
-    """The power-law null gives a size's mean and deviation, and Gumbel's law the chance of the raw score."""
-    n = F.col("n")
-    p = scores.gumbel_survival(F.col("raw"), 0.33 * n, 0.05 * F.pow(n, F.lit(0.9)))
-    return _sea(t).withColumn("p", p).select("qid", "target", r6("p").alias("p_value"))
-
-
 _OLS = """WITH u AS (SELECT count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my FROM lineitem),
 v AS (SELECT any_value(u.n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((l_quantity - ma) * (l_quantity - ma)) AS aa, sum((l_discount - mb) * (l_discount - mb)) AS bb, sum((l_quantity - ma) * (l_discount - mb)) AS ab,
   sum((l_quantity - ma) * (l_extendedprice - my)) AS ay, sum((l_discount - mb) * (l_extendedprice - my)) AS yb, sum((l_extendedprice - my) * (l_extendedprice - my)) AS yy FROM lineitem, u),

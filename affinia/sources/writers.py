@@ -13,6 +13,16 @@ def index(pairs: DataFrame, fingerprints: DataFrame, key: str, path: str) -> Non
     t.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_compounds"), F.countDistinct("target").alias("n_targets")).coalesce(1).write.mode("overwrite").json(path + "_manifest")
 
 
+#: Columns of an orthologue index.
+ORTHOLOGUES = "compound long, target long, species string, pchembl double, n_documents long"
+
+
+def orthologue_index(activities: DataFrame, path: str) -> None:
+    """One row a compound, target and species: its best potency and number of documents. Rows of a target lie together."""
+    t = activities.groupBy("compound", "target", F.col("assay_type").alias("species")).agg(F.max("pchembl").alias("pchembl"), F.count_distinct("document").alias("n_documents"))
+    t.repartitionByRange("target", "compound").sortWithinPartitions("target", "compound", "species").write.parquet(path)
+
+
 def json_rows(df: DataFrame, path: str, sorted_arrays: tuple[str, ...] = ()) -> None:
     df.withColumns({c: F.array_sort(c) for c in sorted_arrays}).write.mode("overwrite").json(path)
 
