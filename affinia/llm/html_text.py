@@ -1,9 +1,13 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree of block elements, without those that hold menus, notices, forms and the like. Each block of
-text passes points for its length and commas to the elements around it, less the further they are; a container's points
-are discounted by the share of its text that is links. The best container is kept, with those of its siblings that look
-like more of the same text.
+text passes points for its length and commas to the elements around it, half as many to each further one; a container's
+points are discounted by the share of its text that is links. The best container is kept, with those of its siblings that
+look like more of the same text.
+
+A name may mislead: a whole page may stand in one form, or in an element called social-history. Where little is left beside
+what was dropped for its name, the elements that hold most of the sentences stay, and what is dropped inside them is judged
+by itself. Comments never do. Fallback text of scripts, frames and media is no part of the page; MathML is text.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ NEAR = {t: [(i, True) for k, i in KINDS.items() if t in ENDS[k]] + [(i, False) f
 IN_HEAD = frozenset("head title meta link script style base noscript template noframes".split())
 LOOSE = frozenset("label option select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object noembed noframes xmp canvas audio video".split())
 DROP = frozenset("nav header footer aside form button select option fieldset label menu dialog head datalist input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
 _BAD = re.compile(
@@ -70,8 +74,18 @@ def _dropped(tag: str, attrs: str) -> bool:
     return False
 
 
-#: Ancestors that points reach; the 32nd would get a hundredth.
-REACH = 32
+#: Letters of a stretch of text that counts as a sentence, and the share of these that is little.
+SENTENCE, LITTLE = 25, 0.25
+
+
+def _spared(tag: str, attrs: str) -> bool:
+    """Whether an element that is dropped may hold the main text after all: one named by a word that isn't of comments, or a form."""
+    named = [m for m in _ATTR.finditer(attrs) if m.group(1).lower() in ("class", "id")]
+    if any(_COMMENT.search(m.group(2) or m.group(3) or m.group(4) or "") for m in named):
+        return False
+    for m in reversed(named):
+        attrs = attrs[: m.start()] + attrs[m.end() :]
+    return (tag == "form" or tag not in DROP) and not _dropped("div", attrs)
 
 
 class _Page:
@@ -81,14 +95,18 @@ class _Page:
     sought again, and what may end an element is kept with each open one.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spare: frozenset[int] = frozenset(), every: bool = False):
+        """spare has the places of elements that stay though their names say otherwise; with every, all of them stay."""
         self.parent, self.tag, self.style = [-1], ["#root"], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self.source, self.quotes, self.missing = source, True, set()
+        self.spare, self.every = spare, every
+        self.lost: list[list] = []  # of each element dropped: place, tag, attributes, letters of sentences
         self._read(source)
 
     def _tag_end(self, at: int) -> int:
-        """Place of the > that ends a tag, -1 if there is none. One in a quoted value doesn't, unless no other does."""
+        """Place of the > that ends a tag, -1 if there is none. One in a quoted value doesn't, unless no other does: a quote
+        that never closes makes all quotes of the rest of the page plain characters."""
         source = self.source
         first = source.find(">", at)
         if first < 0 or not self.quotes or (source.find('"', at, first) < 0 and source.find("'", at, first) < 0):
@@ -162,6 +180,8 @@ class _Page:
             text = source[at : lt if lt >= 0 else n]
             if text and gone and self.tag[stack[gone]] == "head" and not text.isspace():
                 close(gone)
+            if gone and len(text) >= SENTENCE and self.tag[stack[-1]] != "a" and len(text.strip()) >= SENTENCE:
+                self.lost[-1][3] += len(text.strip())
             if text and not gone:
                 parts.append(text)
                 if links and not text.isspace():
@@ -205,7 +225,7 @@ class _Page:
                 continue
             if gone and loose and tag in BLOCK:
                 close(gone)
-            drop = not gone and _dropped(tag, attrs)
+            drop = not gone and _dropped(tag, attrs) and not (lt in self.spare or self.every and _spared(tag, attrs))
             if tag not in BLOCK and not drop and not (gone and tag not in VOID):
                 continue
             if tag in BLOCK:
@@ -224,6 +244,7 @@ class _Page:
                 continue
             if drop:
                 flush()
+                self.lost.append([lt, tag, attrs, 0])
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.style.append(attrs)
@@ -246,22 +267,19 @@ class _Page:
             return ""
         n = len(self.tag)
         points, size, linked = [0.0] * n, [0] * n, [0] * n
+        passed = [0.0] * n
         for node, text, links in self.blocks:
-            x, far = node, 0
             worth = min(len(text) / 100, 3.0) + text.count(",") + (1.0 if len(text) >= 25 else 0.1)
+            size[node] += len(text)
+            linked[node] += links
             if self.tag[node] in CONTAINER and self.tag[node] != "td":
-                far = 1  # text of its own
-            size[x] += len(text)
-            linked[x] += links
-            while x >= 0 and far <= REACH:
-                if far == 1:
-                    points[x] += worth
-                elif far == 2:
-                    points[x] += worth / 2
-                elif far > 2:
-                    points[x] += worth / (3 * far)
-                x, far = self.parent[x], far + 1
-        for x in range(n - 1, 0, -1):
+                points[node] += worth  # text of its own
+                passed[node] += worth / 2
+            else:
+                passed[node] += worth
+        for x in range(n - 1, 0, -1):  # the next element gets all, each further one half of what the one before it got
+            points[self.parent[x]] += passed[x]
+            passed[self.parent[x]] += passed[x] / 2
             size[self.parent[x]] += size[x]
             linked[self.parent[x]] += linked[x]
         worth = lambda x: (points[x] + CONTAINER.get(self.tag[x], 0.0)) * (1 - linked[x] / max(1, size[x]))
@@ -285,9 +303,24 @@ class _Page:
         return "\n\n".join(t for x, t, _ in self.blocks if inside[x])
 
 
+def _unburied(source: str) -> _Page:
+    """The page, read again where little but what has been dropped for its name is left: with the elements that hold most of
+    its sentences, and if these are named so all the way down, with all such."""
+    page = _Page(source)
+    for last in (False, True):
+        kept = sum(len(t) - k for _, t, k in page.blocks if len(t) >= SENTENCE)
+        lost = [(at, n) for at, tag, attrs, n in page.lost if n and _spared(tag, attrs)]
+        total = kept + sum(n for _, n in lost)
+        if not lost or kept >= LITTLE * total:
+            break
+        most = frozenset(at for at, n in lost if 2 * n > total)
+        page = _Page(source, every=True) if last or not most else _Page(source, page.spare | most)
+    return page
+
+
 def main_text(source: str | None) -> str:
     """Main text of a page; empty for null, for an empty page and for one without text."""
-    return _Page(source).text() if source else ""
+    return _unburied(source).text() if source else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

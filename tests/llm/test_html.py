@@ -37,13 +37,35 @@ def test_cases(source, want):
     (f"<div><p>{'İ' * 60}</p><SCRIPT>x</p></SCRIPT><p>{A}</p></div>", f"{'İ' * 60}\n\n{A}"),  # letters that lower-case to two
     (f"<article><p title='a > b'>{A}</p><p title=\"it's\">{B}</p></article>", f"{A}\n\n{B}"),
     (f"<article><p \"x>{A}</p></article>", A),  # a quote that no = precedes is none
+    (f"<article><p>{A} <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> long ago</p></article>", f"{A} E=m long ago"),
+    (f"<article><p title='x>{A}</p><p title=\"a > b\">{B}</p></article>", f"{A}\n\nb\">{B}"),  # one quote is never closed
     (f"<article><textarea>{B}</textarea><!-- > --><p>{A}</p><!---->1 < 2 <3</article>", f"{A}\n\n1 < 2 <3"),
 ])
 def test_optional_ends_and_odd_markup(source, want):
     assert H.main_text(source) == want
 
 
-BROKEN = ["<a ", '<div "', "<div><p>x y z, w</p>", '<a =">" ', "<p><dd><figcaption>", "<ul><li>", "<textarea>", "<label>x<p>", "<option>", "<!", "<button><div>", "<a b='", "<tr><td>", "</p><div>"]
+L = " ".join([A, B] * 4)
+
+
+@pytest.mark.parametrize("source, want", [
+    (f"<body><div id='social-history'><h1>T</h1><p>{L}</p><p>{B}</p></div><footer>{A}</footer></body>", f"T\n\n{L}\n\n{B}"),
+    (f"<body><form action=x><input name=state><div id=content><p>{L}</p><p>{B}</p></div></form></body>", f"{L}\n\n{B}"),
+    (f"<body><div class='search'><div class='legal notice'><div class=share><p>{L}</p></div></div></div><div class=comments><p>{L}</p></div></body>", L),
+    (f"<body><form><div class=menu><a href=1>{A}</a></div><div class='comment-list'><p>{L}</p><p>{L}</p></div><p>{B}</p></form></body>", B),
+    (f"<body><article><p>{L}</p></article><div class=related><p>{L}</p></div></body>", L),  # enough is left
+    (f"<body><div class=cookie-notice hidden><p>{L}</p></div><p>{A}</p></body>", A),  # hidden stays hidden
+])
+def test_pages_whose_names_mislead_are_not_lost(source, want):
+    assert H.main_text(source) == want
+
+
+def test_no_given_page_is_empty(spark, sf):
+    rows = H.op2_html_text(spark, sf).collect()
+    assert len(rows) >= 40 and all(r.n_chars for r in rows)
+
+
+BROKEN = ["<a ", '<div "', "<div><p>x y z, w</p>", '<a =">" ', "<p><dd><figcaption>", "<ul><li>", "<textarea>", "<label>x<p>", "<option>", "<!", "<button><div>", "<div class=share>", f"<form><p>{A}", "<a b='", "<tr><td>", "</p><div>"]
 
 
 @pytest.mark.parametrize("unit", BROKEN)
@@ -134,7 +156,7 @@ class Walker(HTMLParser):
             got = 0.0
             for b, t, _ in self.blocks:
                 far = {y: d for d, y in enumerate(self.above(b), self.kind[b] in H.CONTAINER and self.kind[b] != "td")}.get(x, 0)
-                got += (min(len(t) / 100, 3.0) + t.count(",") + (1.0 if len(t) >= 25 else 0.1)) * ([0, 1, 0.5][far] if far < 3 else 1 / (3 * far))
+                got += (min(len(t) / 100, 3.0) + t.count(",") + (1.0 if len(t) >= 25 else 0.1)) * (0.5 ** (far - 1) if far else 0)
             return got
 
         share = lambda x: sum(k for b, _, k in self.blocks if x in self.above(b)) / max(1, size(x))
