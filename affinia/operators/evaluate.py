@@ -47,16 +47,29 @@ def macro_and_pooled(stats: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def threshold_sweep(scored: DataFrame, truth: DataFrame, thresholds: list[float], queries: DataFrame) -> DataFrame:
-    """Macro precision and recall and covered queries at each threshold, in one pass over the scored pairs."""
-    t = truth.withColumn("true", F.lit(1))
-    n = truth.groupBy("qid").agg(F.count("*").alias("n_true"))
-    levels = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    grid = queries.select("qid").distinct().select("qid", levels)
-    hit = scored.join(t, ["qid", "target"], "left").select("qid", "score", "true", levels).where(F.col("score") >= F.col("threshold"))
-    got = hit.groupBy("qid", "threshold").agg(F.count("*").alias("n_pred"), F.count("true").alias("tp"))
-    per = grid.join(got, ["qid", "threshold"], "left").join(n, "qid", "left").fillna(0, ["n_pred", "tp"])
-    return per.groupBy("threshold").agg(
-        F.avg(F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred"))).alias("precision"), F.avg(F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true"))).alias("recall"), F.avg((F.col("n_pred") > 0).cast("double")).alias("coverage")
+    """Macro precision and recall and covered queries at each threshold, for as many thresholds as are asked for at the cost
+    of one: scores go into the bins between thresholds, and a query's counts change only where it has a bin."""
+    from pyspark.ml.feature import Bucketizer
+
+    levels = sorted({float(x) for x in thresholds})
+    spark = scored.sparkSession
+    hit = scored.where("score IS NOT NULL").join(truth.select("qid", "target").distinct().withColumn("true", F.lit(1)), ["qid", "target"], "left")
+    cut = Bucketizer(splits=[-float("inf"), *levels, float("inf")], inputCol="_score", outputCol="_bin").transform(hit.select("qid", F.col("score").cast("double").alias("_score"), "true"))
+    per = cut.groupBy("qid", F.col("_bin").cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count("true").alias("tp")).where("bin > 0")
+    w = Window.partitionBy("qid").orderBy(F.desc("bin"))  # as many rows as bins at most
+    asked = queries.select("qid").distinct().join(truth.groupBy("qid").agg(F.count("*").alias("n_true")), "qid", "left")
+    runs = per.withColumns({"n_pred": F.sum("n").over(w), "tp": F.sum("tp").over(w), "below": F.coalesce(F.lead("bin").over(w), F.lit(0))}).join(asked, "qid")
+    # What a query adds holds for the thresholds below + 1 to bin: it comes at the one and goes after the other.
+    value = [F.lit(1).alias("covered"), (F.col("tp") / F.col("n_pred")).alias("precision"), F.coalesce(F.col("tp") / F.col("n_true"), F.lit(0.0)).alias("recall")]
+    turns = runs.select("below", "bin", *value).withColumn("_e", F.explode(F.array(F.struct((F.col("below") + 1).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("bin") + 1).alias("at"), F.lit(-1).alias("sign")))))
+    names = ("covered", "precision", "recall")
+    steps = turns.groupBy("_e.at").agg(*[F.sum(F.col(c) * F.col("_e.sign")).alias(c) for c in names])
+    grid = spark.createDataFrame([(i + 1, x) for i, x in enumerate(levels)], "at int, threshold double")
+    over = Window.orderBy("at")  # a row a threshold
+    curve = grid.join(steps, "at", "left").select("threshold", *[F.sum(F.coalesce(c, F.lit(0))).over(over).alias(c) for c in names])
+    total = asked.agg(F.count("*").alias("_all"), F.count("n_true").alias("_with"))
+    return curve.crossJoin(F.broadcast(total)).select(
+        "threshold", F.when(F.col("covered") > 0, F.col("precision") / F.col("covered")).alias("precision"), F.try_divide(F.col("recall"), F.col("_with")).alias("recall"), F.try_divide(F.col("covered"), F.col("_all")).alias("coverage")
     )
 
 

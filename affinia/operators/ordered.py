@@ -12,8 +12,22 @@ from pyspark.sql import functions as F
 from affinia.session import stored
 
 
+#: Rows that one task orders as fast as several do; fewer go through a plain window, with the same result.
+SMALL = 200_000
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.count() <= SMALL
+
+
 def running(rows: DataFrame, order: list[Column], size: str | None = None, place: str = "place", before: str = "before", parts: int | None = None) -> DataFrame:
     """rows plus the place from 1, and the sum of ``size`` over the rows before (nulls count as 0)."""
+    if parts is None and _few(rows):
+        w = Window.orderBy(*order)
+        out = rows.withColumn(place, F.row_number().over(w).cast("long"))
+        if not size:
+            return out
+        return out.withColumn(before, F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = stored(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordered")
     value = F.coalesce(F.col(size), F.lit(0)) if size else F.lit(0)
@@ -37,6 +51,9 @@ SENT = 1_000_000
 
 def placed(rows: DataFrame, order: list[Column], by: str | None = None, place: str = "place", size: str = "size") -> DataFrame:
     """rows plus the place from 1 in their group, and the group's size. No task sees all of a group, however large."""
+    if _few(rows):
+        w = Window.partitionBy(*([by] if by else [F.lit(0)]))
+        return rows.withColumns({place: F.row_number().over(w.orderBy(*order)).cast("long"), size: F.count("*").over(w)})
     t = numbered(rows, [*([F.col(by)] if by else []), *order], "_p")
     if by is None:
         return t.withColumnRenamed("_p", place).crossJoin(F.broadcast(t.agg(F.count("*").alias(size))))

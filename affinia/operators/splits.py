@@ -99,12 +99,12 @@ def _turns(counts: list[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[
     return out
 
 
-def group_folds(members: DataFrame, group: str, k: int, seed: int = 42, greedy_limit: int | None = None) -> DataFrame:
+def group_folds(members: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
     """(group, size, fold): groups from the largest down, each to the smallest fold so far; none is divided.
 
     Groups of one size take folds in turns that follow from how many groups each size has, which is all the driver
     sees: as many rows as there are different sizes, at most the root of twice the number of members. So the choice
-    is the greedy one at every number of groups; greedy_limit has no effect and is taken for old callers only.
+    is the greedy one at every number of groups.
     """
     sizes = stored(members.groupBy(group).agg(F.count("*").alias("size")), "folds")
     counts = [(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()]

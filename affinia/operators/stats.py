@@ -160,11 +160,13 @@ def apply_fits(rows: DataFrame, x: str, fits: dict[tuple, Fit], by: list[str], n
     def at(frames):
         for cols in frames:
             v, out = cols[0].to_numpy(float), np.full(len(cols[0]), np.nan)
-            keys = pd.MultiIndex.from_arrays([c.tolist() for c in cols[1:]]).tolist() if by else [()] * len(v)
-            for k in set(keys):
-                edges, values = fits.get(k, ((), ()))
+            codes, keys = pd.factorize(pd.MultiIndex.from_arrays(list(cols[1:])), use_na_sentinel=False) if by else (np.zeros(len(v), int), [()])
+            order = np.argsort(codes, kind="stable")
+            ends = np.cumsum(np.bincount(codes, minlength=len(keys)))
+            for k, stop, n in zip(keys, ends, np.diff(ends, prepend=0)):
+                edges, values = fits.get(tuple(k), ((), ()))
                 if len(edges):
-                    mine = np.array([key == k for key in keys])
+                    mine = order[stop - n : stop]
                     out[mine] = np.interp(v[mine], edges, values)
             yield pd.Series(out)
 
@@ -229,7 +231,10 @@ def out_of_fold_calibration(rows: DataFrame, x: str, y: str, fold: str, band: st
     sums = stored(t, "levels")
     counts = {(r[fold], r[band]): r["n"] for r in sums.groupBy(fold, band).agg(F.sum("_n").alias("n")).collect()}
     folds = sorted({f for f, _ in counts})
-    others = sums.withColumn("_of", F.explode(F.array(*[F.lit(f) for f in folds]))).where(F.col("_of") != F.col(fold)) if folds else sums.withColumn("_of", F.col(fold))
+    # The other folds' sums: those of all folds less the own.
+    total = sums.groupBy(band, "_x").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).withColumn("_of", F.explode(F.array(*[F.lit(f) for f in folds]) if folds else F.array().cast("array<int>")))
+    own = sums.select(F.col(fold).alias("_of"), band, "_x", F.col("_s").alias("_os"), F.col("_n").alias("_on"))
+    others = total.join(own, ["_of", band, "_x"], "left").select("_of", band, "_x", (F.col("_s") - F.coalesce("_os", F.lit(0.0))).alias("_s"), (F.col("_n") - F.coalesce("_on", F.lit(0))).alias("_n")).where("_n > 0")
     near, every = _fits_of_sums(others.select("_of", band, "_x", "_s", "_n"), ["_of", band]), _fits_of_sums(others.select("_of", "_x", "_s", "_n"), ["_of"])
     fits = {(f, b): near[f, b] if sum(m for (g, c), m in counts.items() if g != f and c == b) >= least else every.get((f,), (np.zeros(0), np.zeros(0))) for f, b in counts}
     return apply_fits(rows, x, fits, [fold, band])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affinia.functions import scores, text
 from affinia.operators import matching, matrix, spatial
+from affinia.operators.ordered import placed
 from affinia.operators.similarity import top
 from affinia.plans.fixtures import query, r6, with_
 from affinia.sources import readers, writers
@@ -236,9 +237,7 @@ def h16_disease_list(t):
 
 @query(QUERIES, "WITH l AS (SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY 1) SELECT c_custkey, CAST(nullif(list_position(ids, c_custkey), 0) AS BIGINT) AS place FROM customer JOIN l USING (c_nationkey)")
 def w17_j22_place_in_list(t):
-    ids = t.customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("ids"))
-    place = F.array_position("ids", F.col("c_custkey"))
-    return t.customer.join(ids, "c_nationkey").select("c_custkey", F.nullif(place, F.lit(0).cast("long")).alias("place"))
+    return placed(t.customer.select("c_nationkey", "c_custkey"), [F.col("c_custkey")], "c_nationkey").select("c_custkey", "place")
 
 
 @query(QUERIES, "SELECT s_suppkey, n, CASE WHEN n IS NULL THEN 'no candidate' WHEN n > 500 THEN 'confirmed' ELSE 'weak' END AS verdict FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1) ON l_suppkey = s_suppkey")

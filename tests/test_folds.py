@@ -31,7 +31,7 @@ def test_turns_are_the_greedy_choice():
 def test_one_rule_beyond_the_old_limit(spark):
     rows = [(0,)] * 500 + [(i,) for i in range(1, 301) for _ in range(1 + i % 5)]
     m = spark.createDataFrame(rows, "g long")
-    got = splits.group_folds(m, "g", 5, greedy_limit=0)
+    got = splits.group_folds(m, "g", 5)
     assert sorted(got.collect()) == sorted(splits.group_folds(m, "g", 5).collect())
     order = got.orderBy(splits.F.desc("size"), splits.shuffled("g"), "g").collect()
     assert [r.fold for r in order] == greedy([r["size"] for r in order], 5)

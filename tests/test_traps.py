@@ -172,7 +172,7 @@ def test_splits_never_straddle(spark):
     assert f.count() == 97 and {r.n for r in f.groupBy("g").agg(F.countDistinct("fold").alias("n")).collect()} == {1}
     sizes = [r.s for r in f.groupBy("fold").agg(F.sum("size").alias("s")).collect()]
     assert max(sizes) - min(sizes) <= 40
-    snake = splits.group_folds(m, "g", 5, greedy_limit=0)
+    snake = splits.group_folds(m, "g", 5)
     assert snake.groupBy("g").count().where("count > 1").count() == 0
     h = splits.scaffold_holdout(m, "g", 300)
     assert 300 <= h.where("held_out").agg(F.sum("size")).first()[0] <= 350
