@@ -16,8 +16,10 @@ equal anchors, so pieces with one anchor go to one group and a window meets all
 4. A piece's first documents go to its places, joined by its digest; a piece that is very common is sent to them. Each text
    loses the bytes of windows whose first document is smaller than its own.
 
-An anchor with over PIECES different pieces is split by SIDE more bytes on one side, which a window holds as well, so that no
-group grows with a common string in ever new surroundings. Only a piece's digest (64 bits) stands for it in a join.
+Pieces are cut in two first: windows with SIDE bytes or more before the anchor, and the others, which have as many behind it.
+Windows of one half can only be equal if these bytes are, so halves go to groups by them: no group grows with a common string
+in ever new surroundings, and a half that is alone with its bytes needs no comparison. Only a piece's digest (64 bits) stands
+for it in a join.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from affinia.llm._blocks import by_count, fresh
 from affinia.session import bound_batches, forget, free_shuffles, stored, table
 
 LENGTH, GRAM, SIDE = 50, 16, 17
-#: Bytes of text whose anchors one task compares, bytes of pieces of a group, and rows of an anchor beyond which it is split.
-BUCKET_BYTES, GROUP_BYTES, PIECES = 4 << 20, 4 << 20, 20_000
+#: Bytes of text whose anchors one task compares, and bytes of pieces of a group.
+BUCKET_BYTES, GROUP_BYTES = 4 << 20, 4 << 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 #: The bits of an anchor's hash by which anchors meet; the others hold a place in a batch.
@@ -84,15 +86,15 @@ class _Pieces:
 
 
 def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(doc_id, d, first, n) of anchors that two documents or more of docs have. Only the upper bits of d count.
+    """(doc_id, d, first, c, n) of anchors that two documents or more of docs have. Only the upper bits of d count.
 
     Where the anchor has one piece everywhere, first is the smallest document, whose own row is left out. Else first is
-    null, and n, in how many documents the piece is, stands in the row of the smallest that has it; elsewhere it is 0.
+    null, and c and n, a piece and how often it is there, stand in the row of the smallest document that has it; elsewhere n is 0.
     """
     id_field = docs.schema["doc_id"]
     longs, ids_type = T.ArrayType(T.LongType()), T.ArrayType(id_field.dataType)
     out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("seeds", longs), T.StructField("pieces", longs), T.StructField("ids", ids_type)])
-    back = T.StructType([id_field, T.StructField("d", T.LongType()), T.StructField("first", id_field.dataType), T.StructField("n", T.IntegerType())])
+    back = T.StructType([id_field, T.StructField("d", T.LongType()), T.StructField("first", id_field.dataType), T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType())])
 
     def sent(batches):
         for b in batches:
@@ -100,11 +102,9 @@ def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 part = b.slice(a, 1 << 16)
                 p = _Pieces(part.column(1), length)
                 seeds, c = (p.d & _MASK) | p.doc, p.digests().view(np.int64)
-                by = np.lexsort((c, seeds))
-                by = by[np.flatnonzero((np.diff(seeds[by], prepend=0) != 0) | (np.diff(c[by], prepend=0) != 0))] if len(by) else by
-                by = by[np.argsort(_bucket(seeds[by], buckets), kind="stable")]
-                seeds, c = seeds[by], c[by]
                 bucket = _bucket(seeds, buckets)
+                by = np.argsort(bucket, kind="stable")
+                seeds, c, bucket = seeds[by], c[by], bucket[by].astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(seeds) else np.zeros(0, np.int64)
                 for i, j in zip(cut, np.append(cut[1:], len(seeds))):
                     here, code = np.unique(seeds[i:j] & 0xFFFF, return_inverse=True)
@@ -139,17 +139,17 @@ def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         n[one[group]] = 0
         keep = np.flatnonzero((least < most)[group] & ~(one[group] & (doc == least[group])))
         first = order.take(pa.array(least[group][keep], mask=~one[group][keep]))
-        return pa.Table.from_arrays([order.take(pa.array(doc[keep])), pa.array(d[keep]), first, pa.array(n[keep])], schema=pa_back)
+        return pa.Table.from_arrays([order.take(pa.array(doc[keep])), pa.array(d[keep]), first, pa.array(c[keep], mask=n[keep] == 0), pa.array(n[keep])], schema=pa_back)
 
     return docs.select("doc_id", "text").mapInArrow(sent, out).groupBy("bucket").applyInArrow(met, back)
 
 
 def _bucket(d: np.ndarray, buckets: int) -> np.ndarray:
-    return ((d >> 16) % buckets).astype(np.int64)
+    return ((d >> 16) % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short ones sort fast
 
 
 def _places(docs: DataFrame, length: int) -> DataFrame:
-    """What the anchors in seeds (d, first, n) of docs (doc_id, text, version, seeds) stand for.
+    """What the anchors in seeds (d, first, c, n) of docs (doc_id, text, version, seeds) stand for.
 
     Of anchors with one piece everywhere: bytes start .. end that a smaller document has. Of others: start of each piece, its
     digest c, and where n names this document for it also n, d, the piece and the anchor's place ``at`` in it.
@@ -166,8 +166,6 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
             known = (flat.field("d").to_numpy() & _MASK) | owner  # a batch has far fewer rows than 65,536
             by = np.argsort(known, kind="stable")
             known = known[by]
-            # A document's reply of several pieces of one anchor: the largest n counts for all of them.
-            n = np.maximum.reduceat(flat.field("n").to_numpy()[by], np.flatnonzero(np.diff(known, prepend=0) != 0)) if len(by) else np.zeros(0, np.int32)
             known, at = np.unique(known, return_index=True)
             seeds = (p.d & _MASK) | p.doc
             hit = np.searchsorted(known, seeds)
@@ -186,8 +184,13 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
                 yield from _rows(b, out, doc, lo, hi)
             many = pick[~alone]
             if len(many):
-                c, n_here = p.digests(many).view(np.int64), n[which[~alone]]
-                tell = n_here > 0
+                c = p.digests(many).view(np.int64)
+                mine, told = _with(c, p.doc[many]), flat.field("n").to_numpy() > 0
+                names, size = _with(flat.field("c").fill_null(0).to_numpy()[told], owner[told]), flat.field("n").to_numpy()[told]
+                names, one = np.unique(names, return_index=True)
+                spot = np.minimum(np.searchsorted(names, mine), max(len(names) - 1, 0))
+                tell = names[spot] == mine if len(names) else np.zeros(len(mine), bool)
+                n_here = size[one][spot] if len(names) else np.zeros(len(mine), np.int32)
                 for i in range(0, len(many), 4096):
                     x, t = many[i : i + 4096], tell[i : i + 4096]
                     start, end = p.start[x], p.start[x] + p.n[x] + length - 1
@@ -199,6 +202,11 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "text", "version", "seeds").mapInArrow(run, out)
 
 
+def _with(c: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for a digest and a row of the batch."""
+    return c.view(np.uint64) ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _rows(b: pa.RecordBatch, out: T.StructType, doc: np.ndarray, start: np.ndarray, end: np.ndarray | None, *more: pa.Array):
     who, kinds = pa.array(doc), to_arrow_schema(out)
     last = pa.array(end.astype(np.int32)) if end is not None else pa.nulls(len(doc), pa.int32())
@@ -334,16 +342,23 @@ def _firsts(pieces: DataFrame, length: int, groups: int) -> DataFrame:
     pa_out = to_arrow_schema(out)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.group_by(["piece", "c", "move"]).aggregate([("k", "min"), ("n", "max")])
+        t = t.group_by(["key", "piece", "c", "move"]).aggregate([("k", "min"), ("n", "max")])
         ids = pc.unique(t.column("k_min"))
         ids = ids.take(pc.sort_indices(ids))
         k, n = pc.index_in(t.column("k_min"), value_set=ids).to_numpy(), t.column("n_max").to_numpy()
-        piece, window, first = first_documents(t.column("piece").to_pylist(), k.astype(np.int64), length)
+        _, code, count = np.unique(t.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        alone = count[code] == 1  # no other half has its bytes
+        some = np.flatnonzero(~alone)
+        piece, window, first = first_documents(t.column("piece").take(pa.array(some)).to_pylist(), k[some].astype(np.int64), length)
+        piece = some[piece]
         new = np.flatnonzero(np.r_[True, (np.diff(piece) != 0) | (np.diff(window) != 1) | (np.diff(first) != 0)]) if len(piece) else np.zeros(0, np.int64)
         owner, lo = piece[new], window[new]
         hi, who = lo + np.diff(np.append(new, len(piece))) - 1, first[new]
-        some = (who < k[owner]) | (n[owner] > 1)
-        owner, lo, hi, who = owner[some], lo[some], hi[some], who[some]
+        more = np.flatnonzero(alone & (n > 1))
+        owner, lo, hi, who = np.append(owner, more), np.append(lo, 0 * more), np.append(hi, pc.binary_length(t.column("piece")).to_numpy()[more] - length), np.append(who, k[more])
+        by = np.argsort(owner, kind="stable")
+        by = by[(who[by] < k[owner[by]]) | (n[owner[by]] > 1)]
+        owner, lo, hi, who = owner[by], lo[by], hi[by], who[by]
         lo, hi = (x + t.column("move").to_numpy()[owner] for x in (lo, hi))
         named, cut = np.unique(owner, return_index=True)
         spans = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), ids.take(pa.array(who))], fields=list(pa_out.field("spans").type.value_type))
@@ -352,24 +367,19 @@ def _firsts(pieces: DataFrame, length: int, groups: int) -> DataFrame:
         return pa.Table.from_arrays([t.column("c").take(at).combine_chunks(), t.column("n_max").take(at).combine_chunks(), pa.ListArray.from_arrays(pa.array(np.append(cut, len(owner)).astype(np.int32)), spans)], names=["c", "n", "spans"]).cast(pa_out)
 
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    found = dealt.select("group", "c", "piece", "move", "k", "n").groupBy("group").applyInArrow(run, out)
-    return found.groupBy("c").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"))  # two rows where a piece was cut
+    found = dealt.select("group", "key", "c", "piece", "move", "k", "n").groupBy("group").applyInArrow(run, out)
+    return found.groupBy("c").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"))  # two halves
 
 
-def _split(pieces: DataFrame, length: int, most: int) -> DataFrame:
-    """pieces with the key by which they meet and, where an anchor has over ``most`` rows, cut in two: windows with SIDE bytes
-    before the anchor, and windows with as many behind it. move is the first window that is left."""
-    hot = stored(pieces.groupBy("d").agg(F.count("*").alias("_n")).where(F.col("_n") > most), "hot")  # at most one in ``most`` rows
-    mine = pieces.join(F.broadcast(hot) if hot.count() <= _blocks.BROADCAST_IDS else hot, "d", "left")
-    plain = mine.where("_n IS NULL").withColumns({"key": F.col("d"), "move": F.lit(0)}).drop("_n")
+def _halves(pieces: DataFrame, length: int) -> DataFrame:
+    """pieces cut in two, with the key by which halves meet; move is the first window that is left."""
     # Window w holds the bytes w .. w + length - 1, and the anchor's begin at ``at``.
     windows = F.octet_length("piece") - (length - 1)
-    left = F.least(windows, F.greatest(F.lit(0), F.col("at") - SIDE + 1))  # windows before this hold SIDE bytes before the anchor
+    t = pieces.withColumn("_left", F.least(windows, F.greatest(F.lit(0), F.col("at") - SIDE + 1)))  # windows before this hold SIDE bytes before the anchor
     cut = lambda a, n: F.substring("piece", a + 1, n)
-    split = mine.where("_n IS NOT NULL").drop("_n").withColumn("_left", left)
-    a = split.where("_left > 0").withColumns({"key": F.xxhash64("d", F.lit(0), cut(F.col("at") - SIDE, F.lit(SIDE))), "move": F.lit(0), "piece": cut(F.lit(0), F.col("_left") + length - 1)})
-    b = split.where(F.col("_left") < windows).withColumns({"key": F.xxhash64("d", F.lit(1), cut(F.col("at") + GRAM, F.lit(SIDE))), "move": F.col("_left"), "piece": cut(F.col("_left"), F.octet_length("piece"))})
-    return plain.unionByName(a.drop("_left")).unionByName(b.drop("_left"))
+    a = t.where("_left > 0").withColumns({"key": F.xxhash64("d", F.lit(0), cut(F.col("at") - SIDE, F.lit(SIDE))), "move": F.lit(0), "piece": cut(F.lit(0), F.col("_left") + length - 1)})
+    b = t.where(F.col("_left") < windows).withColumns({"key": F.xxhash64("d", F.lit(1), cut(F.col("at") + GRAM, F.lit(SIDE))), "move": F.col("_left"), "piece": cut(F.col("_left"), F.octet_length("piece"))})
+    return a.unionByName(b).drop("_left")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -382,13 +392,13 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     seeds = stored(_shared_anchors(t, length, 1 + total // BUCKET_BYTES), "seeds")
     free_shuffles(spark)
-    by_doc = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("d", "first", "n")).alias("seeds"))
+    by_doc = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("d", "first", "c", "n")).alias("seeds"))
     found = stored(_places(t.withColumn("version", F.xxhash64("text")).join(by_doc, "doc_id"), length), "places")
     forget(seeds)
     free_shuffles(spark)
     pieces = found.where("piece IS NOT NULL").select("d", "at", "c", "piece", F.col("doc_id").alias("k"), F.col("n").cast("long").alias("n"))
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    firsts = stored(_firsts(_split(pieces, length, PIECES), length, 1 + size // GROUP_BYTES), "firsts")
+    firsts = stored(_firsts(_halves(pieces, length), length, 1 + size // GROUP_BYTES), "firsts")
     free_shuffles(spark)
     places = found.where("end IS NULL").select("c", "doc_id", "version", F.col("start").alias("place"))
     hits = by_count(places, firsts, "c", "n", firsts.agg(F.sum("n")).first()[0] or 0, "inner")

@@ -76,7 +76,7 @@ def corpus(seed=2):
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"BUCKET_BYTES": 500, "GROUP_BYTES": 2000}, {"PIECES": 1}])
+@pytest.mark.parametrize("how", [{}, {"BUCKET_BYTES": 500, "GROUP_BYTES": 2000}])
 def test_against_a_table_of_all_strings(spark, monkeypatch, how):
     for k, v in how.items():
         monkeypatch.setattr(B, k, v)
