@@ -240,36 +240,83 @@ def out_of_fold_calibration(rows: DataFrame, x: str, y: str, fold: str, band: st
     return apply_fits(rows, x, fits, [fold, band])
 
 
-def logistic_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and midpoint of a logistic curve, by damped Gauss-Newton on binned points."""
-    a, b = 1.0, float(np.mean(x))
-    for _ in range(rounds):
-        f = 1 / (1 + np.exp(-np.clip(a * (x - b), -30, 30)))
-        d = f * (1 - f)
-        jac = np.stack([d * (x - b), -d * a], 1)
-        step = np.linalg.lstsq(jac.T @ jac + 1e-6 * np.eye(2), jac.T @ (y - f), rcond=None)[0]
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-10:
-            break
-    return float(a), float(b)
-
-
-def stacker(rows: DataFrame, features: list[str], label: str, fold: str, key: list[str]) -> DataFrame:
-    """Out-of-fold probability of a logistic model with the classes weighted alike (pyspark.ml)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    t = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    out = None
-    for (f,) in rows.select(fold).distinct().orderBy(fold).collect():
-        train = t.where(F.col(fold) != f)
-        n = train.agg(F.count("*").alias("n"), F.sum(label).alias("p")).first()
-        w = F.when(F.col(label) == 1, n.n / (2 * max(n.p, 1))).otherwise(n.n / (2 * max(n.n - n.p, 1)))
-        m = LogisticRegression(labelCol=label, weightCol="w", maxIter=100).fit(train.withColumn("w", w))
-        part = m.transform(t.where(F.col(fold) == f)).select(*key, vector_to_array("probability")[1].alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return out
+#: Steps of the iterated fits. They are fixed, so that a rerun, any cluster and SQL take the same ones.
+CURVE_STEPS, NEWTON_STEPS = 30, 12
+
+
+def logistic_curve(rows: DataFrame, x: str, y: str, steps: int = CURVE_STEPS) -> dict[str, float]:
+    """midpoint, width, floor and ceiling of floor + (ceiling - floor) / (1 + exp(-(x - midpoint) / width)) by least squares.
+
+    Each step is one sum over all rows: floor and ceiling by regression on the curve's shape, then a Gauss-Newton step of
+    midpoint and width, a quarter of x's range at most. Rows with a null take no part; without rows all are NaN.
+    """
+    t = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    r = t.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).first()
+    if not r.n or r.lo == r.hi:
+        return dict.fromkeys(("midpoint", "width", "floor", "ceiling"), float("nan"))
+    span, mid, width, floor, rise = r.hi - r.lo, r.mean, r.sd / 2, 0.0, 0.0
+    for _ in range(steps):
+        z = 1 / (1 + F.exp(-(F.col("x") - mid) / width))
+        v = t.select("y", z.alias("z"), (z * (1 - z)).alias("a"), (z * (1 - z) * (F.col("x") - mid)).alias("b"))
+        pairs = [(p, q) for i, p in enumerate("yzab") for q in "yzab"[i:]]
+        g = v.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "yzab"], *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in pairs]).first()
+        rise = (g.n * g.yz - g.y * g.z) / (g.n * g.zz - g.z * g.z)
+        floor = (g.y - rise * g.z) / g.n
+        # Residuals times the derivatives -rise / width * a and -rise / width ** 2 * b.
+        k = -rise / width
+        ra, rb = k * (g.ya - floor * g.a - rise * g.za), k / width * (g.yb - floor * g.b - rise * g.zb)
+        aa, ab, bb = k * k * g.aa, k * k / width * g.ab, k * k / width**2 * g.bb
+        aa, bb = aa * 1.001 + 1e-12, bb * 1.001 + 1e-12
+        det = aa * bb - ab * ab
+        bounded = lambda d: min(max(d, -span / 4), span / 4)
+        mid, width = min(max(mid + bounded((bb * ra - ab * rb) / det), r.lo), r.hi), min(max(width + bounded((aa * rb - ab * ra) / det), span / 1000), 2 * span)
+    return {"midpoint": mid, "width": width, "floor": floor, "ceiling": floor + rise}
+
+
+def stacker(rows: DataFrame, features: list[str], label: str, fold: str, key: list[str], l2: float = 1.0, steps: int = NEWTON_STEPS) -> DataFrame:
+    """(key, p): out-of-fold probability of a logistic model with the classes weighted alike and the squares of all weights
+    but the constant's added, l2 / 2 times.
+
+    A Newton step is one sum over all rows, for the models of all folds at once; each is learned on the other folds. Rows with
+    a null feature or label teach nothing, and with a null feature have no p. A fold whose others lack a class has no p.
+    """
+    names = ["1", *features]
+    col = lambda c: F.lit(1.0) if c == "1" else F.col(c).cast("double")
+    known = rows
+    for c in (*features, label, fold):
+        known = known.where(F.col(c).isNotNull())
+    counts: dict = {}
+    for r in known.groupBy(fold, (F.col(label) == 1).alias("y")).agg(F.count("*").alias("n")).collect():  # two rows a fold
+        counts[r[fold], r.y] = r.n
+    folds = sorted({f for f, _ in counts})
+    rest = {f: {y: sum(n for (g, v), n in counts.items() if g != f and v == y) for y in (True, False)} for f in folds}
+    folds = [f for f in folds if all(rest[f].values())]
+    t = known.select(F.col(fold).alias("_f"), (F.col(label) == 1).alias("_y"), *[col(c).alias(f"_x{i}") for i, c in enumerate(names)])
+    k = len(names)
+    beta = {f: np.zeros(k) for f in folds}
+    dot = lambda b, cols: sum((float(v) * c for v, c in zip(b, cols)), F.lit(0.0))
+    for _ in range(steps if folds else 0):
+        models = []
+        for j, f in enumerate(folds):
+            n = sum(rest[f].values())
+            fixed = {"j": j, "f": f, "yes": n / (2 * rest[f][True]), "no": n / (2 * rest[f][False])}
+            models.append(F.struct(*[F.lit(v).alias(c) for c, v in fixed.items()], *[F.lit(float(v)).alias(f"b{i}") for i, v in enumerate(beta[f])]))
+        every = t.withColumn("_m", F.explode(F.array(*models))).where(F.col("_m.f") != F.col("_f"))
+        line = sum((F.col(f"_m.b{i}") * F.col(f"_x{i}") for i in range(1, k)), F.col("_m.b0"))
+        every = every.withColumns({"_p": 1 / (1 + F.exp(-line)), "_w": F.when(F.col("_y"), F.col("_m.yes")).otherwise(F.col("_m.no")), "_j": F.col("_m.j")})
+        error, bend = F.col("_w") * (F.col("_y").cast("double") - F.col("_p")), F.col("_w") * F.col("_p") * (1 - F.col("_p"))
+        x = [F.col(f"_x{i}") for i in range(k)]
+        got = every.groupBy("_j").agg(*[F.sum(error * x[i]).alias(f"g{i}") for i in range(k)], *[F.sum(bend * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).collect()
+        for r in got:
+            f = folds[r["_j"]]
+            pull = np.full(k, l2)
+            pull[0] = 0.0
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + np.diag(pull)
+            beta[f] = beta[f] + np.linalg.solve(h, np.array([r[f"g{i}"] for i in range(k)]) - pull * beta[f])
+    p = F.lit(None).cast("double")
+    for f in folds:
+        p = F.when(F.col(fold) == f, 1 / (1 + F.exp(-dot(beta[f], [col(c) for c in names])))).otherwise(p)
+    return rows.select(*key, p.alias("p"))
 
 
 def power_law(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -224,17 +224,48 @@ def m14_out_of_fold_calibration(t):
     return T.out_of_fold_calibration(c, "p", "y", "fold", "band").select("doc_id", "fold", r6("calibrated").alias("calibrated"))
 
 
-@query(QUERIES)
+_CURVE = f"""WITH RECURSIVE cal AS (SELECT CAST(l_quantity AS DOUBLE) AS p, CASE WHEN l_extendedprice > 40000 THEN 1.0 ELSE 0.0 END AS y FROM lineitem), r AS (SELECT count(*) AS n, min(p) AS lo, max(p) AS hi, avg(p) AS mean, stddev_pop(p) AS sd FROM cal),
+st AS (SELECT 0 AS it, mean AS mid, sd / 2 AS width, CAST(0 AS DOUBLE) AS fl, CAST(0 AS DOUBLE) AS rise FROM r
+UNION ALL
+SELECT it + 1, least(greatest(mid + least(greatest((bb * ra - ab * rb) / (aa * bb - ab * ab), -(hi - lo) / 4), (hi - lo) / 4), lo), hi),
+  least(greatest(width + least(greatest((aa * rb - ab * ra) / (aa * bb - ab * ab), -(hi - lo) / 4), (hi - lo) / 4), (hi - lo) / 1000), 2 * (hi - lo)), fl, rise
+FROM (SELECT it, mid, width, fl, rise, lo, hi, k * (ya - fl * a - rise * za) AS ra, k / width * (yb - fl * b - rise * zb) AS rb, k * k * saa * 1.001 + 1e-12 AS aa, k * k / width * sab AS ab, k * k / width / width * sbb * 1.001 + 1e-12 AS bb
+FROM (SELECT *, -rise / width AS k, (y - rise * z) / n AS fl
+FROM (SELECT *, (n * yz - y * z) / (n * zz - z * z) AS rise
+FROM (SELECT it, any_value(mid) AS mid, any_value(width) AS width, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n, sum(y) AS y, sum(z) AS z, sum(z * z) AS zz, sum(y * z) AS yz, sum(u) AS a, sum(v) AS b,
+  sum(y * u) AS ya, sum(z * u) AS za, sum(y * v) AS yb, sum(z * v) AS zb, sum(u * u) AS saa, sum(u * v) AS sab, sum(v * v) AS sbb
+FROM (SELECT it, mid, width, lo, hi, y, z, z * (1 - z) AS u, z * (1 - z) * (x - mid) AS v
+FROM (SELECT st.it, st.mid, st.width, r.lo, r.hi, CAST(c.y AS DOUBLE) AS y, c.p AS x, 1 / (1 + exp(-(c.p - st.mid) / st.width)) AS z FROM st, r, cal c WHERE st.it < {T.CURVE_STEPS})) GROUP BY it)))))
+SELECT round(mid, 6) AS midpoint, round(width, 6) AS width, round(fl, 6) AS floor, round(fl + rise, 6) AS ceiling FROM st WHERE it = {T.CURVE_STEPS}"""
+
+
+@query(QUERIES, _CURVE)
 def m12_logistic_curve(t):
-    b = _cal(t).groupBy(F.floor(F.col("p") * 20).alias("b")).agg(F.avg("p").alias("x"), F.avg(F.col("y").cast("double")).alias("y")).orderBy("b").toPandas()
-    slope, middle = T.logistic_curve(b.x.to_numpy(), b.y.to_numpy())
-    return t.spark.createDataFrame([(slope, middle)], "slope double, midpoint double")
-
-
-@query(QUERIES)
+    """Midpoint, width, floor and ceiling of an outcome's rise with a quantity, fitted to all rows."""
+    x = t.lineitem.select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") > 40000).cast("double").alias("y"))
+    return _six(t.spark.createDataFrame([tuple(T.logistic_curve(x, "x", "y").values())], "midpoint double, width double, floor double, ceiling double"))
+
+
+_H = [(i, j) for i in range(3) for j in range(i, 3)]
+_X = ("1.0", "x1", "x2")
+_STACK = f"""WITH RECURSIVE {_CAL}, c AS (SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS fold, p AS x1, ln(1 + n_chars) AS x2, y FROM cal),
+w AS (SELECT f.fold AS f, count(*) / (2.0 * sum(y)) AS yes, count(*) / (2.0 * sum(1 - y)) AS no FROM (SELECT DISTINCT fold FROM c) f JOIN c ON c.fold <> f.fold GROUP BY 1),
+st AS (SELECT 0 AS it, f, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM w
+UNION ALL
+SELECT it + 1, f, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det
+FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det
+FROM (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02, h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22
+FROM (SELECT it, f, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {", ".join(f"sum(e * {_X[i]}){f' - any_value(b{i})' if i else ''} AS g{i}" for i in range(3))}, {", ".join(f"sum(v * {_X[i]} * {_X[j]}){' + 1' if i == j and i else ''} AS h{i}{j}" for i, j in _H)}
+FROM (SELECT it, f, b0, b1, b2, x1, x2, wt * (y - q) AS e, wt * q * (1 - q) AS v
+FROM (SELECT st.it, st.f, b0, b1, b2, x1, x2, y, CASE WHEN y = 1 THEN yes ELSE no END AS wt, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS q FROM st JOIN w ON w.f = st.f JOIN c ON c.fold <> st.f WHERE it < {T.NEWTON_STEPS})) GROUP BY it, f))))
+SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 6) AS p FROM c JOIN st ON st.f = c.fold AND it = {T.NEWTON_STEPS}"""
+
+
+@query(QUERIES, _STACK)
 def m15_stacker(t):
+    """Out-of-fold probability of the label from two features."""
     c = _cal(t).withColumn("fold", (F.col("doc_id") % 3).cast("int")).withColumn("len", F.log1p("n_chars"))
-    return T.stacker(c, ["p", "len"], "y", "fold", ["doc_id"])
+    return _six(T.stacker(c, ["p", "len"], "y", "fold", ["doc_id"]))
 
 
 @query(QUERIES, "WITH s AS (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT round(exp(regr_intercept(ln(q), ln(n))), 5) AS scale, round(regr_slope(ln(q), ln(n)), 6) AS exponent, round(regr_r2(ln(q), ln(n)), 6) AS r2 FROM s")

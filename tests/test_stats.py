@@ -151,13 +151,18 @@ def test_empty_scaffolds_stay_empty_over_csv(spark, tmp_path):
     assert sorted(r.k for r in t.select(text.scaffold_key(F.col("id"), F.col("scaffold")).alias("k")).collect()) == ["__no_ring__:2", "__no_ring__:3", "c1"]
 
 
-def test_logistic_curve_has_the_least_squares():
+def test_logistic_curve_has_the_least_squares(spark):
     r = np.random.default_rng(8)
-    x = np.linspace(0, 4, 60)
-    y = 1 / (1 + np.exp(-2.5 * (x - 1.7))) + r.normal(0, 0.05, 60)
-    off = lambda a, b: ((1 / (1 + np.exp(-a * (x - b))) - y) ** 2).sum()
-    slope, middle = T.logistic_curve(x, y)
-    assert off(slope, middle) <= min(off(a, b) for a in np.linspace(1, 4, 121) for b in np.linspace(1, 2.5, 121)) + 1e-9
+    x = np.linspace(0, 4, 80)
+    y = 0.2 + 0.6 / (1 + np.exp(-(x - 1.7) / 0.4)) + r.normal(0, 0.03, 80)
+    shape = lambda m, w: np.column_stack([np.ones(80), 1 / (1 + np.exp(-(x - m) / w))])
+    off = lambda m, w: np.linalg.lstsq(shape(m, w), y, rcond=None)[1][0]
+    rows = [*zip(x.tolist(), y.tolist()), (None, 1.0), (1.0, None)]
+    got = T.logistic_curve(spark.createDataFrame(rows, "x double, y double"), "x", "y")
+    best = min(off(m, w) for m in np.linspace(1.4, 2.0, 61) for w in np.linspace(0.2, 0.7, 51))
+    assert off(got["midpoint"], got["width"]) <= best + 1e-9
+    assert [got["floor"], got["ceiling"]] == pytest.approx([0.2, 0.8], abs=0.05)
+    assert np.isnan(T.logistic_curve(spark.createDataFrame([(1.0, 1.0)], "x double, y double"), "x", "y")["width"])
 
 
 def test_stacker_against_newton(spark):
@@ -167,12 +172,13 @@ def test_stacker_against_newton(spark):
     rows = [(i, float(a), float(b), int(v), i % 3) for i, ((a, b), v) in enumerate(zip(x, y))]
     got = {q.id: q.p for q in T.stacker(spark.createDataFrame(rows, "id int, a double, b double, y int, f int"), ["a", "b"], "y", "f", ["id"]).collect()}
     z, fold = np.column_stack([np.ones(240), x]), np.arange(240) % 3
+    pull = np.array([0.0, 1.0, 1.0])  # on all weights but the constant's
     for f in range(3):
         t = fold != f
         w = np.where(y == 1, t.sum() / (2 * y[t].sum()), t.sum() / (2 * (t.sum() - y[t].sum())))[t]
         beta = np.zeros(3)
         for _ in range(30):
             p = 1 / (1 + np.exp(-z[t] @ beta))
-            beta += np.linalg.solve((z[t] * (w * p * (1 - p))[:, None]).T @ z[t], z[t].T @ (w * (y[t] - p)))
+            beta += np.linalg.solve((z[t] * (w * p * (1 - p))[:, None]).T @ z[t] + np.diag(pull), z[t].T @ (w * (y[t] - p)) - pull * beta)
         for i in np.flatnonzero(~t)[::10]:
-            assert got[int(i)] == pytest.approx(1 / (1 + np.exp(-z[i] @ beta)), abs=1e-3)
+            assert got[int(i)] == pytest.approx(1 / (1 + np.exp(-z[i] @ beta)), abs=1e-9)
