@@ -34,19 +34,85 @@ def normal_cdf(x: float) -> float:
     return 0.5 * (1 + erf(x / sqrt(2)))
 
 
-def _drawn(n: int, groups: int, seed: int, spark) -> DataFrame:
-    """(b, at): for each of n resamples as many draws as there are groups, each the place of a group from 1 on.
+#: Groups whose draws are made together. A resample's draws are dealt to ranges of so many groups down a binary tree.
+LEAF = 4096
+#: Resamples that a task draws at a time.
+AT_ONCE = 64
+# Fixed odd numbers that tell seed, resample, range and draw apart, and those of the mixing of their sum.
+_SEED, _RESAMPLE, _RANGE, _DRAW = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
+_MIX_1, _MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-    A draw is a digest of the seed and its number, so a rerun, any cluster and SQL draw alike.
-    """
-    t = spark.range(n * groups, numPartitions=max(spark.sparkContext.defaultParallelism, n * groups // 4_000_000 + 1))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    at = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % groups + 1
-    return t.select(F.floor(F.col("id") / groups).alias("b"), at.alias("at"))
 
+def _draws_of(resamples: np.ndarray, draws: np.ndarray, leaf: int, size: int, seed: int) -> np.ndarray:
+    """counts[i, g]: how often resample i draws the g-th group of a range, of draws[i] draws in it.
+
+    A draw is a mix of the seed, the resample, the range and its number, so a rerun, any cluster and SQL draw alike.
+    """
+    row = np.repeat(np.arange(len(draws)), draws)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(draws) - draws, draws)
+    start = np.uint64((seed * _SEED + leaf * _RANGE) % (1 << 64))
+    x = start + resamples[row].astype(np.uint64) * np.uint64(_RESAMPLE) + i.astype(np.uint64) * np.uint64(_DRAW)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX_1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX_2)
+    at = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) % np.uint64(size)
+    return np.bincount(row * size + at.astype(np.int64), minlength=len(draws) * size).reshape(len(draws), size)
+
+
+def _dealt(leaf: int, groups: int, resamples: int, seed: int, span: int) -> np.ndarray:
+    """Draws of each resample that fall into a range: from the root on, a node's draws are dealt to its halves by a binomial
+    that the seed and the node fix."""
+    lo, hi = 0, -(-groups // span)
+    n = np.full(resamples, groups, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left, whole = (min(x * span, groups) - lo * span for x in (mid, hi))
+        some = np.random.Generator(np.random.Philox(key=[seed, (lo << 32) + hi])).binomial(n, left / whole)
+        n, lo, hi = (some, lo, mid) if leaf < mid else (n - some, mid, hi)
+    return n
+
+
+def _resampled(cells: DataFrame, groups: int, width: int, resamples: int, seed: int) -> DataFrame:
+    """(b, s, n): for each resample the sums of s and n over the groups that it draws, by level 0 .. width - 1.
+
+    cells has at (the group's place from 1), level, s and n. A task keeps the sums of all resamples over its ranges and gives
+    one row a resample; no draw is a row.
+    """
+    span, once = LEAF, AT_ONCE  # the tasks' own modules needn't have these values
+    parts = max(1, min(-(-groups // span), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    t = cells.select(F.floor((F.col("at") - 1) / span).cast("int").alias("leaf"), ((F.col("at") - 1) % span).cast("int").alias("g"), F.col("level").cast("int").alias("level"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
+
+    def run(frames):
+        import pandas as pd
+
+        s, n = np.zeros((resamples, width)), np.zeros((resamples, width))
+
+        def add(leaf, f):
+            size = min(span, groups - leaf * span)
+            draws = _dealt(leaf, groups, resamples, seed, span)
+            g, level = f["g"].to_numpy(), f["level"].to_numpy()
+            by = np.argsort(level, kind="stable")
+            g, level, fs, fn = g[by], level[by], f["s"].to_numpy()[by], f["n"].to_numpy()[by]
+            cut = np.flatnonzero(np.diff(level, prepend=-1))
+            for a in range(0, resamples, once):
+                counts = _draws_of(np.arange(a, min(a + once, resamples)), draws[a : a + once], leaf, size, seed)[:, g]
+                s[a : a + once, level[cut]] += np.add.reduceat(counts * fs, cut, axis=1)
+                n[a : a + once, level[cut]] += np.add.reduceat(counts * fn, cut, axis=1)
+
+        held, any_rows = None, False
+        for f in frames:
+            if len(f):
+                any_rows = True
+                f = f if held is None else pd.concat([held, f], ignore_index=True)
+                last = f["leaf"].iloc[-1]
+                for leaf, part in f[f["leaf"] != last].groupby("leaf", sort=False):
+                    add(int(leaf), part)
+                held = f[f["leaf"] == last]
+        if held is not None:
+            add(int(held["leaf"].iloc[0]), held)
+        for a in range(0, resamples if any_rows else 0, 256):
+            yield pd.DataFrame({"b": np.arange(a, min(a + 256, resamples)), "s": list(s[a : a + 256]), "n": list(n[a : a + 256])})
 
-#: Groups whose sums are sent to the tasks at most; those of more are joined by a shuffle.
-SENT = 1_000_000
+    return t.repartition(parts, "leaf").sortWithinPartitions("leaf", "g", "level").mapInPandas(run, "b long, s array<double>, n array<double>")
 
 
 def cluster_bootstrap(rows: DataFrame, value: str, group: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
@@ -61,8 +127,7 @@ def cluster_bootstrap(rows: DataFrame, value: str, group: str, resamples: int =
     whole = g.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
     if not whole.n:
         return spark.createDataFrame([], "point double, low double, high double, n_groups long, n long")
-    sums = g.select("at", "s", "n")
-    sums = _drawn(resamples, whole.groups, seed, spark).join(F.broadcast(sums) if whole.groups <= SENT else sums, "at").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
+    sums = _resampled(g.withColumn("level", F.lit(0)), whole.groups, 1, resamples, seed).groupBy("b").agg((F.sum(F.get("s", F.lit(0))) / F.sum(F.get("n", F.lit(0)))).alias("m"))
     boot = np.sort(np.round([r.m for r in sums.collect()], 12))  # as many as resamples
     point = round(whole.s / whole.n, 12)
     left = (F.lit(whole.s) - F.col("s")) / F.nullif(F.lit(whole.n) - F.col("n"), F.lit(0))
@@ -180,11 +245,12 @@ def apply_isotonic(rows: DataFrame, x: str, fit: Fit, name: str = "calibrated")
     return apply_fits(rows, x, {(): fit}, [], name)
 
 
-def isotonic_band(rows: DataFrame, x: str, y: str, group: str, grid: list[float], resamples: int = 2000, seed: int = 42, bins: int = 10_000) -> DataFrame:
+def isotonic_band(rows: DataFrame, x: str, y: str, group: str, grid: list[float], resamples: int = 2000, seed: int = 42, bins: int = 1000) -> DataFrame:
     """(x, fitted, low, high): the fit on a grid with the 2.5 and 97.5 percentiles of fits to resampled groups.
 
-    Tasks share the resamples; each has the sums by group and x. Where these are over ``bins`` values of x, x is put
-    into as many equal bins first and enters by its bin's mean.
+    Where x has over ``bins`` values it is put into as many equal bins first and enters by its bin's mean. Tasks add up each
+    resample's sums by level over their groups; the fit of a resample is pooled in one task, of as many rows as levels. The
+    driver sees the levels alone.
     """
     import pandas as pd
 
@@ -195,31 +261,24 @@ def isotonic_band(rows: DataFrame, x: str, y: str, group: str, grid: list[float]
         b = F.least(F.floor((F.col("_x") - ends.lo) / ((ends.hi - ends.lo) / bins)), F.lit(bins - 1))
         t = stored(t.withColumn("_b", b), "binned")
         t = t.join(F.broadcast(t.groupBy("_b").agg(F.avg("_x").alias("_m"))), "_b").withColumn("_x", F.col("_m"))
-    g = numbered(t.select("_g").distinct(), [F.col("_g")], "at")
-    cells = t.groupBy("_g", "_x").agg(F.sum("_y").alias("s"), F.count("*").alias("n")).join(g.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).select("at", "_x", "s", "n").toPandas()
-    groups, levels = int(cells["at"].max()), np.unique(cells["_x"])
-    at, level = cells["at"].to_numpy() - 1, np.searchsorted(levels, cells["_x"])
-    s, n = cells["s"].to_numpy(float), cells["n"].to_numpy(float)
-
-    def curve(copies):
-        u, m = np.bincount(level, s * copies[at], len(levels)), np.bincount(level, n * copies[at], len(levels))
+    levels = np.array(sorted(r["_x"] for r in t.select("_x").distinct().collect()))  # ``bins`` at most
+    named = spark.createDataFrame([(float(v), i) for i, v in enumerate(levels)], "_x double, level int")
+    g = stored(numbered(t.select("_g").distinct(), [F.col("_g")], "at"), "groups").withColumnRenamed("_g", "_h")
+    cells = t.groupBy("_g", "_x").agg(F.sum("_y").alias("s"), F.count("*").alias("n")).join(F.broadcast(named), "_x")
+    cells = stored(cells.join(g, F.col("_g").eqNullSafe(F.col("_h"))).select("at", "level", "s", "n"), "cells")
+    sums = _resampled(cells, g.count(), len(levels), resamples, seed)
+
+    def curve(frame: pd.DataFrame) -> pd.DataFrame:
+        u, m = np.sum(frame["s"].tolist(), 0), np.sum(frame["n"].tolist(), 0)
         some = m > 0
         lo, hi, u, m = _pool(levels[some], levels[some], u[some], m[some])
-        return np.interp(grid, np.stack([lo, hi], 1).ravel(), np.repeat(u / m, 2))
+        return pd.DataFrame({"at": range(len(grid)), "v": np.interp(grid, np.stack([lo, hi], 1).ravel(), np.repeat(u / m, 2))})
 
-    def fit(frames):
-        import hashlib
-
-        for f in frames:
-            rows = []
-            for b in f["id"].tolist():
-                drawn = [int(hashlib.md5(f"{seed}:{b * groups + i}".encode()).hexdigest()[:15], 16) % groups for i in range(groups)]  # noqa: S324
-                rows.append(curve(np.bincount(drawn, minlength=groups)).tolist())
-            yield pd.DataFrame({"curve": rows})
-
-    curves = np.array(spark.range(resamples, numPartitions=spark.sparkContext.defaultParallelism).mapInPandas(fit, "curve array<double>").toPandas()["curve"].tolist())
-    low, high = np.percentile(curves, [2.5, 97.5], axis=0)
-    return spark.createDataFrame([tuple(map(float, r)) for r in zip(grid, curve(np.ones(groups)), low, high)], "x double, fitted double, low double, high double")
+    every = cells.groupBy("level").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("level").toPandas()
+    fitted = curve(pd.DataFrame({"s": [every["s"].to_numpy(float)], "n": [every["n"].to_numpy(float)]}))["v"].tolist()
+    told = spark.createDataFrame([(i, float(v), f) for i, (v, f) in enumerate(zip(grid, fitted))], "at int, x double, fitted double")
+    band = sums.groupBy("b").applyInPandas(curve, "at int, v double").groupBy("at").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
+    return F.broadcast(told).join(band, "at").select("x", "fitted", "low", "high")
 
 
 def out_of_fold_calibration(rows: DataFrame, x: str, y: str, fold: str, band: str, least: int = 30) -> DataFrame:

@@ -165,12 +165,20 @@ def _cdf_sql(x: str) -> str:
     return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} / 2 ELSE {tail} / 2 END)"
 
 
+def _draws_sql(resamples: int, groups: str) -> str:
+    """(b, at): the draws of tables of T.LEAF groups or fewer, as the operator makes them; groups gives their number k."""
+    big = 1 << 64
+    times = lambda x, c: f"CAST((CAST({x} AS UHUGEINT) * {c}) % {big} AS UBIGINT)"
+    return f"""SELECT b, CAST((xor(x, x >> 31) >> 11) % k AS BIGINT) + 1 AS at FROM (SELECT b, k, {times("xor(x, x >> 27)", T._MIX_2)} AS x FROM (SELECT b, k, {times("xor(x, x >> 30)", T._MIX_1)} AS x
+  FROM (SELECT id // k AS b, CAST(k AS UBIGINT) AS k, CAST((CAST(id // k AS UHUGEINT) * {T._RESAMPLE} + CAST(id % k AS UHUGEINT) * {T._DRAW} + {42 * T._SEED % big}) % {big} AS UBIGINT) AS x FROM (SELECT unnest(range({resamples} * k)) AS id, k FROM ({groups})))))"""
+
+
 def _bootstrap_sql(value: str) -> str:
     z = lambda p: T.normal_quantile(p)
     at = lambda k: f"(z0 + (z0 + {k!r}) / (1 - a * (z0 + {k!r})))"
     pick = lambda k: f"(SELECT m FROM o WHERE i = least(greatest(CAST(round({_cdf_sql(at(k))} * 9999) AS BIGINT), 0), 9999))"
     return f"""WITH {_CAL}, g AS (SELECT grp, sum(CAST({value} AS DOUBLE)) AS s, count({value}) AS n, row_number() OVER (ORDER BY grp NULLS FIRST) AS at FROM cal GROUP BY grp), w AS (SELECT sum(s) AS s, sum(n) AS n, count(*) AS k FROM g),
-d AS (SELECT id // k AS b, CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) % k + 1 AS at FROM (SELECT unnest(range(10000 * k)) AS id, k FROM w)),
+d AS ({_draws_sql(10_000, "SELECT k FROM w")}),
 m AS (SELECT b, round(sum(s) / sum(n), 12) AS m FROM d JOIN g ON g.at = d.at GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i FROM m),
 l AS (SELECT (w.s - g.s) / (w.n - g.n) AS x FROM g, w), j AS (SELECT avg(x) AS mean FROM l), a AS (SELECT sum(pow(mean - x, 3)) / (6 * pow(sum(pow(mean - x, 2)), 1.5)) AS a FROM l, j),
 p AS (SELECT w.*, round(w.s / w.n, 12) AS point, (SELECT count(*) FROM m, w u WHERE m.m < round(u.s / u.n, 12)) / 10000.0 AS share FROM w), q AS (SELECT p.*, a.a, {_quantile_sql("share")} AS z0 FROM p, a),
@@ -190,7 +198,10 @@ def m10_paired_bootstrap(t):
 
 def _isotonic_sql(train: str) -> str:
     """lv: the rising fit f at each level x of each fit (fold, band), as the greatest over j of the least over k of the means from j to k."""
-    return f"""tr AS ({train}), l0 AS (SELECT fold, band, x, sum(y) AS s, count(*) AS n FROM tr GROUP BY 1, 2, 3),
+    return f"tr AS ({train}), l0 AS (SELECT fold, band, x, sum(y) AS s, count(*) AS n FROM tr GROUP BY 1, 2, 3)," + _LEVELS_SQL
+
+
+_LEVELS_SQL = """
 l1 AS (SELECT fold, band, x, row_number() OVER w AS i, sum(s) OVER w AS su, sum(n) OVER w AS nu, s, n FROM l0 WINDOW w AS (PARTITION BY fold, band ORDER BY x)),
 mk AS (SELECT a.fold, a.band, a.i AS j, b.i AS k, (b.su - a.su + a.s) / (b.nu - a.nu + a.n) AS m FROM l1 a JOIN l1 b ON a.fold = b.fold AND a.band = b.band AND a.i <= b.i),
 sm AS (SELECT fold, band, j, k AS i, min(m) OVER (PARTITION BY fold, band, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS v FROM mk),
@@ -203,10 +214,23 @@ def m11_isotonic(t):
     return T.apply_isotonic(c, "p", T.isotonic(c, "p", "y")).select("doc_id", r6("calibrated").alias("calibrated"))
 
 
-@query(QUERIES)
+_GRID = [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0]
+#: Resamples of the band; SQL takes the greatest of the least means for each of them.
+_BAND = 500
+_BAND_SQL = f"""WITH {_CAL}, c AS (SELECT grp, round(p, 2) AS x, CAST(y AS DOUBLE) AS y FROM cal), g AS (SELECT grp, row_number() OVER (ORDER BY grp NULLS FIRST) AS at FROM c GROUP BY grp),
+d AS ({_draws_sql(_BAND, "SELECT count(*) AS k FROM g")} UNION ALL SELECT -1 AS b, g.at FROM g), cnt AS (SELECT d.b, d.at, count(*) AS copies FROM d GROUP BY 1, 2),
+cell AS (SELECT g.at, x, sum(y) AS s, count(*) AS n FROM c JOIN g ON g.grp IS NOT DISTINCT FROM c.grp GROUP BY 1, 2),
+l0 AS (SELECT b AS fold, 0 AS band, x, sum(copies * s) AS s, sum(copies * n) AS n FROM cnt JOIN cell ON cell.at = cnt.at GROUP BY 1, 2, 3),{_LEVELS_SQL},
+gr AS (SELECT unnest({_GRID}) AS x), e AS (SELECT lv.fold, gr.x, max(lv.x) FILTER (lv.x <= gr.x) AS xl, min(lv.x) FILTER (lv.x >= gr.x) AS xh FROM lv, gr GROUP BY 1, 2),
+v AS (SELECT e.fold, e.x, CASE WHEN xl IS NULL THEN b.f WHEN xh IS NULL OR xh = xl THEN a.f ELSE a.f + (e.x - xl) * (b.f - a.f) / (xh - xl) END AS v FROM e LEFT JOIN lv a ON a.fold = e.fold AND a.x = xl LEFT JOIN lv b ON b.fold = e.fold AND b.x = xh)
+SELECT CAST(x AS DOUBLE) AS x, round(max(v) FILTER (fold < 0), 6) AS fitted, round(quantile_cont(v, 0.025) FILTER (fold >= 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (fold >= 0), 6) AS high FROM v GROUP BY 1"""
+
+
+@query(QUERIES, _BAND_SQL)
 def m11_isotonic_band(t):
-    """The fit on a grid with its band over resampled groups."""
-    return _six(T.isotonic_band(_cal(t), "p", "y", "grp", [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0]))
+    """The fit on a grid with its band over resampled groups, of probabilities to two digits."""
+    c = _cal(t).withColumn("p", F.round("p", 2))
+    return _six(T.isotonic_band(c, "p", "y", "grp", _GRID, resamples=_BAND))
 
 
 _OOF = """c AS (SELECT doc_id, p, y, CAST(doc_id % 3 AS INTEGER) AS fold, CASE WHEN p < 0.3 THEN 'low' ELSE 'high' END AS band FROM cal), kk AS (SELECT a.fold, a.band, count(b.doc_id) AS near FROM (SELECT DISTINCT fold, band FROM c) a LEFT JOIN c b ON b.fold <> a.fold AND b.band = a.band GROUP BY 1, 2)"""

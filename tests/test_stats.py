@@ -54,10 +54,31 @@ def test_calibration_out_of_fold(spark):
 
 
 def draws(b, groups, seed=42):
-    return [int(hashlib.md5(f"{seed}:{b * groups + i}".encode()).hexdigest()[:15], 16) % groups for i in range(groups)]  # noqa: S324
-
-
-def test_bootstrap_of_groups(spark, monkeypatch):
+    """One resample of so many groups, draw by draw, in Python's integers; ranges of T.LEAF groups share the draws by the tree."""
+    out, wrap = [], (1 << 64) - 1
+    for leaf in range(-(-groups // T.LEAF)):
+        size = min(T.LEAF, groups - leaf * T.LEAF)
+        for i in range(int(T._dealt(leaf, groups, b + 1, seed, T.LEAF)[b])):
+            x = (seed * T._SEED + b * T._RESAMPLE + leaf * T._RANGE + i * T._DRAW) & wrap
+            x = ((x ^ (x >> 30)) * T._MIX_1) & wrap
+            x = ((x ^ (x >> 27)) * T._MIX_2) & wrap
+            out.append(leaf * T.LEAF + ((x ^ (x >> 31)) >> 11) % size)
+    return out
+
+
+@pytest.mark.parametrize("groups", [1, 5, 30, 31])
+def test_ranges_share_all_draws(groups):
+    each = [T._dealt(k, groups, 400, 42, 4) for k in range(-(-groups // 4))]
+    assert (sum(each) == groups).all()
+    size = [min(4, groups - 4 * k) for k in range(len(each))]
+    assert np.mean(each, axis=1) == pytest.approx(size, rel=0.15)
+    counts = T._draws_of(np.arange(400), each[0], 0, size[0], 42)
+    assert (counts.sum(1) == each[0]).all() and counts.mean(0) == pytest.approx([1.0] * size[0], rel=0.25)
+
+
+@pytest.mark.parametrize("leaf", [4096, 3])
+def test_bootstrap_of_groups(spark, monkeypatch, leaf):
+    monkeypatch.setattr(T, "LEAF", leaf)
     x, y, g = sample(5)
     names = sorted(set(g))
     s, n = (np.array([sum(v for v, k in zip(vals, g) if k == name) for name in names]) for vals in (y, [1] * len(y)))
@@ -68,21 +89,23 @@ def test_bootstrap_of_groups(spark, monkeypatch):
     accel, z0 = (dev**3).sum() / (6 * (dev**2).sum() ** 1.5), T.normal_quantile((boot < point).mean())
     at = lambda z: boot[round(T.normal_cdf(z0 + (z0 + z) / (1 - accel * (z0 + z))) * 499)]
     df = spark.createDataFrame(list(zip(y, g)), "y double, g string")
-    for sent in (T.SENT, 0):
-        monkeypatch.setattr(T, "SENT", sent)
+    for once in (T.AT_ONCE, 7):
+        monkeypatch.setattr(T, "AT_ONCE", once)
         r = T.cluster_bootstrap(df, "y", "g", resamples=500).first()
         assert (r.point, r.low, r.high, r.n_groups, r.n) == pytest.approx((point, at(T.normal_quantile(0.025)), at(T.normal_quantile(0.975)), len(names), len(y)))
     assert T.cluster_bootstrap(df.limit(0), "y", "g").count() == 0
 
 
-def test_band_of_the_isotonic_fit(spark):
+@pytest.mark.parametrize("leaf", [4096, 2])
+def test_band_of_the_isotonic_fit(spark, monkeypatch, leaf):
+    monkeypatch.setattr(T, "LEAF", leaf)
     x, y, g = sample(6)
     names, grid, curves = sorted(set(g)), [0.0, 1.0, 2.5, 4.0], []
     for b in range(60):
         rows = [(a, v) for d in draws(b, len(names)) for a, v, k in zip(x, y, g) if k == names[d]]
         curves.append(np.interp(grid, *rising(*zip(*rows))))
     low, high = np.percentile(curves, [2.5, 97.5], axis=0)
-    got = T.isotonic_band(spark.createDataFrame(list(zip(x, y, g)), "x double, y double, g string"), "x", "y", "g", grid, resamples=60).collect()
+    got = T.isotonic_band(spark.createDataFrame(list(zip(x, y, g)), "x double, y double, g string"), "x", "y", "g", grid, resamples=60).orderBy("x").collect()
     assert [r.low for r in got] == pytest.approx(low) and [r.high for r in got] == pytest.approx(high)
     assert [r.fitted for r in got] == pytest.approx(np.interp(grid, *rising(x, y)))
 
