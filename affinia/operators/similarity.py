@@ -1,7 +1,7 @@
 """Exact bit-vector similarity of a batch of queries with all rows, and what is made of it.
 
 Scores are of distinct compounds; pairs of compound and target are joined to them afterwards. The queries are the side
-that is sent to the tasks: they are counted first, and more than QUERY_BLOCK are taken in blocks.
+that is sent to the tasks: they are counted first, and more than QUERY_BLOCK are dealt to blocks, which rows meet by a shuffle.
 """
 
 from __future__ import annotations
@@ -37,23 +37,23 @@ def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words:
         shared = F.bit_count(F.col("fp").bitwiseAND(F.col("qfp")))
         union = F.col("pop") + F.col("qpop") - shared
         t = F.when(union > 0, shared.cast("double") / union).otherwise(F.lit(0.0))
-    out = None
-    for k in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
-        if least > 0:
-            # Bands as wide as the fingerprint has words: 64 of them at most.
-            low, high = F.floor(F.col("qpop") * least / words), F.floor(F.col("qpop") / (least * words))
-            q = q.withColumn("_band", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), F.least(high + 1, F.lit(bits.WORD)))))
-            both = rows.withColumn("_band", F.floor(F.col("pop") / words)).join(F.broadcast(q), "_band").where(bits.band(F.col("qpop"), F.col("pop"), least)).drop("_band")
-        else:
-            both = rows.join(F.broadcast(q))
-        if keep is not None:
-            both = both.where(keep)
-        both = both.withColumn("t", t).drop("fp", "pop", "qfp", "qpop")
-        if least > 0:
-            both = both.where(F.col("t") >= least)
-        out = both if out is None else out.unionByName(both)
-    return out
+    on = []
+    if blocks > 1:  # each row meets every block of queries once; a block is a key of the join, not a plan of its own
+        queries = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        rows, on = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["_block"]
+    if least > 0:
+        # Bands as wide as the fingerprint has words: 64 of them at most.
+        low, high = F.floor(F.col("qpop") * least / words), F.floor(F.col("qpop") / (least * words))
+        queries = queries.withColumn("_band", F.explode(F.sequence(F.greatest(low - 1, F.lit(0)), F.least(high + 1, F.lit(bits.WORD)))))
+        rows, on = rows.withColumn("_band", F.floor(F.col("pop") / words)), [*on, "_band"]
+    q = F.broadcast(queries) if blocks == 1 else queries
+    both = rows.join(q, on).drop(*on) if on else rows.join(q)
+    if least > 0:
+        both = both.where(bits.band(F.col("qpop"), F.col("pop"), least))
+    if keep is not None:
+        both = both.where(keep)
+    both = both.withColumn("t", t).drop("fp", "pop", "qfp", "qpop")
+    return both.where(F.col("t") >= least) if least > 0 else both
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -86,9 +86,20 @@ def suggest(rows: DataFrame, text: str, columns: list[str], key: str, potency: s
     return best.orderBy(F.desc_nulls_last(potency), key).limit(max(1, min(limit, 20)))
 
 
+def with_leaks(queries: DataFrame, rows: DataFrame, cutoff: float, key: str = "vec_id", second: DataFrame | None = None, second_queries: DataFrame | None = None) -> DataFrame:
+    """queries plus ``leaked``, the sorted keys of the rows that a query must not be compared with: those of cutoff or more by
+    either fingerprint, and its own. A search leaves them out with ``unleaked(key)`` as its keep, so no table of all pairs arises."""
+    near = similarities(queries, rows, cutoff).select("qid", key)
+    if second is not None:
+        near = near.unionByName(similarities(queries if second_queries is None else second_queries, second, cutoff).select("qid", key))
+    near = near.unionByName(queries.select("qid", F.col("qid").alias(key)))
+    return queries.join(near.groupBy("qid").agg(F.array_sort(F.collect_set(key)).alias("leaked")), "qid")
+
+
+def unleaked(key: str = "vec_id") -> Column:
+    return ~F.array_contains("leaked", F.col(key))
+
+
 def without_leaks(queries: DataFrame, rows: DataFrame, cutoff: float, key: str = "vec_id", second: DataFrame | None = None) -> DataFrame:
     """(qid, key) of the rows that a query may be compared with: none of cutoff or more by either fingerprint, not itself."""
-    far = similarities(queries, rows, keep=F.col("qid") != F.col(key)).where(F.col("t") < cutoff).select("qid", key)
-    if second is None:
-        return far
-    return far.join(similarities(queries, second, cutoff).select("qid", key).distinct(), ["qid", key], "left_anti")
+    return similarities(with_leaks(queries, rows, cutoff, key, second), rows, keep=unleaked(key)).select("qid", key)

@@ -94,7 +94,7 @@ def s15_sdf_records(t):
 def s21_s22_resumed_pages(t):
     """Pages fetched by offset; a first run that ends half-way is taken up where it ended."""
     path, file = scratch(t.spark, "pages"), f"{t.dir}/supplier.parquet"
-    options = {"url": file, "fetch": "affinia.sources.paged:table_page", "count": "affinia.sources.paged:table_count", "page": "7"}
+    options = {"url": file, "fetch": "affinia.plans.served:table_page", "count": "affinia.plans.served:table_count", "page": "7"}
     paged.resumed(t.spark, path, total="35", **options)
     got = paged.resumed(t.spark, path, **options).select(F.from_json("json", "s_suppkey string, s_name string").alias("x"))
     return got.select(F.col("x.s_suppkey").cast("long").alias("s_suppkey"), "x.s_name")
@@ -105,8 +105,9 @@ def s23_cursor_pages(t):
     """Pages that name the next one, from three first addresses."""
     t.spark.dataSource.register(paged.CursorSource)
     file = f"{t.dir}/nation.parquet"
-    starts = [f"{file}#{a}-{b}/4" for a, b in ((0, 10), (10, 11), (11, 25))]
-    got = t.spark.read.format("cursor").option("starts", json.dumps(starts)).option("starts_per_task", 1).option("follow", "affinia.sources.paged:table_follow").load()
+    n = t.nation.count()
+    starts = [f"{file}#{a}-{b}/4" for a, b in ((0, n // 3), (n // 3, n // 2), (n // 2, n))]
+    got = t.spark.read.format("cursor").option("starts", json.dumps(starts)).option("starts_per_task", 1).option("follow", "affinia.plans.served:table_follow").load()
     return got.select(F.from_json("json", "n_nationkey string, n_name string").alias("x")).select(F.col("x.n_nationkey").cast("int").alias("n_nationkey"), "x.n_name")
 
 
@@ -191,6 +192,16 @@ def s28_s24_h6_id_list(t):
     return t.lineitem.select(F.col("l_suppkey").cast("string").alias("target")).join(ids, "target", "left_semi").distinct()
 
 
+@query(QUERIES, "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+def s24_h7_backfilled_ids(t):
+    """Records of the distinct ids of a table, 25 a request: a first call for some of them, a second for those still missing."""
+    out = scratch(t.spark, "records")
+    look = {"column": "l_suppkey", "out": out, "url": f"{t.dir}/supplier.parquet", "fetch": "affinia.plans.served:table_ids", "record_column": "s_suppkey"}
+    paged.backfilled(t.lineitem.where("l_quantity > 49"), **look)
+    got = paged.backfilled(t.lineitem, **look).select(F.from_json("json", "s_suppkey string, s_name string").alias("x"))
+    return got.select(F.col("x.s_suppkey").cast("long").alias("s_suppkey"), "x.s_name")
+
+
 @query(QUERIES, "SELECT l_suppkey, arg_max(l_partkey, row(l_quantity, l_extendedprice, l_partkey)) AS pick FROM lineitem WHERE l_discount <= 0.05 GROUP BY 1")
 def s26_structure_pick(t):
     return t.lineitem.where("l_discount <= 0.05").groupBy("l_suppkey").agg(F.max_by("l_partkey", F.struct("l_quantity", "l_extendedprice", "l_partkey")).alias("pick"))

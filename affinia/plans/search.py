@@ -207,6 +207,22 @@ def j3_u10_without_leaks(t):
     return S.without_leaks(t.query_fingerprints(), t.fingerprints(), 0.4)
 
 
+_CLEAN = """clean AS (SELECT qid, vec_id AS compound, t FROM sim WHERE qid <> vec_id AND t >= 0.2 AND t < 0.45 AND vec_id IN (SELECT compound FROM pairs)), cn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY t DESC, compound) AS rank FROM clean),
+cv AS (SELECT cn.qid, p.target, sum(pow(t, 2.0)) AS s FROM cn JOIN pairs p ON p.compound = cn.compound WHERE rank <= 10 GROUP BY 1, 2)"""
+
+
+@query(QUERIES, with_("sim", "pairs", more=_CLEAN) + "SELECT qid, target, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, target) AS rank FROM cv")
+def j3_u10_g6_votes_without_leaks(t):
+    """Votes of the nearest rows that are no leaks: these are left out in the search itself."""
+    t.keep("pairs")
+    f = t.fingerprints()
+    q = S.with_leaks(t.query_fingerprints(), f, 0.45)
+    s = S.similarities(q, f, 0.2, keep=S.unleaked()).select("qid", F.col("vec_id").alias("compound"), "t")
+    near = V.neighbours(s.join(t.pairs().select("compound").distinct(), "compound"), 10)
+    v = near.join(t.pairs().select("compound", "target"), "compound").groupBy("qid", "target").agg(F.sum(F.pow("t", F.lit(2.0))).alias("s"))
+    return v.select("qid", "target", r6("s").alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("s", 9)), "target")).cast("long").alias("rank"))
+
+
 @query(QUERIES, with_("sim") + "SELECT qid, count(*) AS n, round(max(t), 6) AS best FROM sim WHERE label <> qlabel GROUP BY qid")
 def j4_other_scaffold_groups(t):
     h = S.similarities(t.query_fingerprints(), t.fingerprints(), keep=F.col("label") != F.col("qlabel"))

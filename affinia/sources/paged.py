@@ -1,7 +1,8 @@
 """Paged REST scans as Python data sources.
 
 ``paged``: pages by offset; one partition a stretch of pages, read in parallel, and resumable. ``cursor``: pages that
-name the next one; one partition a list of first addresses. The fetching functions are given by name
+name the next one; one partition a list of first addresses. ``ids``: records by id, many a request, the ids taken from
+the query's own filters. The fetching functions are given by name
 ("module:function"), so tests and closed networks can serve pages from files.
 """
 
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from affinia.session import exists
 
@@ -158,23 +160,92 @@ class CursorSource(DataSource):
         return CursorReader(self.options)
 
 
-def table_page(url: str, offset: int, limit: int) -> list:
-    """Rows of a local Parquet file as a server would page them."""
-    import pyarrow.parquet as pq
+def fetch_ids_json(url: str, column: str, ids: list) -> list:
+    """GET the records of these ids: column__in=a,b,c."""
+    from urllib.parse import quote
 
-    return [{k: str(v) for k, v in r.items()} for r in pq.read_table(url).slice(offset, limit).to_pylist()]
+    return _page_of(_get(f"{url}{'&' if '?' in url else '?'}{column}__in={','.join(quote(str(i)) for i in ids)}&limit={len(ids)}"))
 
 
-def table_count(url: str) -> int:
-    import pyarrow.parquet as pq
+#: Ids of one request.
+IDS = 25
 
-    return pq.ParquetFile(url).metadata.num_rows
 
+class IdReader(DataSourceReader):
+    def __init__(self, options):
+        self.url, self.column, self.per = options["url"], options.get("column", "id"), int(options.get("ids_per_request", IDS))
+        self.fetch, self.tries = options.get("fetch", "affinia.sources.paged:fetch_ids_json"), int(options.get("tries", 4))
+        self.requests, self.ids = int(options.get("requests_per_task", 20)), None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("id",):
+                asked = set(f.value) if isinstance(f, In) else {f.value}
+                self.ids = asked if self.ids is None else self.ids & asked  # the requests ask for no others
+            else:
+                yield f
+
+    def partitions(self):
+        if self.ids is None:
+            raise ValueError("ids can only be looked up: filter id by = or IN, and set spark.sql.python.filterPushdown.enabled")
+        ids = sorted(i for i in self.ids if i is not None)
+        calls = [ids[k : k + self.per] for k in range(0, len(ids), self.per)]
+        return [Stretch(calls[k : k + self.requests]) for k in range(0, len(calls), self.requests)]
+
+    def read(self, partition):
+        if partition is None:
+            return
+        for ids in partition.pages:
+            yield from _looked_up(named(self.fetch), self.tries, self.url, self.column, ids)
+
+
+def _looked_up(fetch: Callable, tries: int, url: str, column: str, ids: list):
+    rows = tried(fetch, tries, url, column, ids)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([str(r[column]) for r in rows]), pa.array([json.dumps(r) for r in rows])], names=["id", "json"])
 
-def table_follow(url: str) -> tuple[list, str | None]:
-    """Rows of a local Parquet file from an address path#from-to/size, and the address of the next page."""
-    path, _, place = url.partition("#")
-    span, _, size = place.partition("/")
-    a, b = map(int, span.split("-"))
-    after = a + int(size)
-    return table_page(path, a, min(int(size), b - a)), f"{path}#{after}-{b}/{size}" if after < b else None
+
+class IdSource(DataSource):
+    """Records by id, ``ids_per_request`` of them a request. The ids are those of the filters: id = 'a', id IN ('a', 'b').
+
+    Options: url; column, the records' name of the id; ids_per_request, requests_per_task, tries; fetch, a function by name.
+    """
+
+    @classmethod
+    def name(cls):
+        return "ids"
+
+    def schema(self):
+        return "id string, json string"
+
+    def reader(self, schema):
+        return IdReader(self.options)
+
+
+def by_ids(spark: SparkSession, ids: list[str], **options) -> DataFrame:
+    """The records of a list of ids; the list goes into the plan, so it should be a short one."""
+    spark.dataSource.register(IdSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("ids").options(**options).load().where(F.col("id").isin(ids))
+
+
+def backfilled(ids: DataFrame, column: str, out: str, url: str, fetch: str = "affinia.sources.paged:fetch_ids_json", record_column: str = "id", per: int = IDS, tries: int = 4) -> DataFrame:
+    """Look up the distinct ids of a table that the records at out lack, add them, and read all. Ids never meet on the driver:
+    tasks request those they have, ``per`` at a time; an id that has no record is asked for again by the next call."""
+    spark = ids.sparkSession
+    missing = ids.select(F.col(column).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    if exists(spark, out):
+        missing = missing.join(spark.read.schema("id string").parquet(out), "id", "left_anti")
+
+    def run(batches):
+        held = []
+        for b in batches:
+            held += b.column(0).to_pylist()
+            while len(held) >= per:
+                yield from _looked_up(named(fetch), tries, url, record_column, held[:per])
+                held = held[per:]
+        if held:
+            yield from _looked_up(named(fetch), tries, url, record_column, held)
+
+    missing.mapInArrow(run, "id string, json string").write.mode("append").parquet(out)
+    return spark.read.schema("id string, json string").parquet(out)
