@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 XYZ = ("x", "y", "z")
 
@@ -47,11 +52,68 @@ def nearest_group(points: DataFrame, by: str, x: float, y: float, z: float) -> D
     return c.withColumn("distance", d).orderBy("distance", by).limit(1)
 
 
+#: Poses of one compound that a task compares with as many others at a time.
+POSES = 64
+
+
+def fitted_rmsd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Root mean square distance of each pair of atoms x 3 matrices after the best turn and shift (Kabsch)."""
+    a, b = (x - x.mean(-2, keepdims=True) for x in (a, b))
+    u, s, v = np.linalg.svd(np.swapaxes(a, -1, -2) @ b)
+    s[..., -1] *= np.sign(np.linalg.det(u @ v))  # turns, no mirror images
+    square = ((a * a).sum((-1, -2)) + (b * b).sum((-1, -2)) - 2 * s.sum(-1)) / a.shape[-2]
+    return np.sqrt(np.maximum(square, 0))
+
+
+def pose_rmsd(atoms: DataFrame, fit: bool = False) -> DataFrame:
+    """(compound, a, b, rmsd) of each two poses of a compound, a < b, by atoms of the same name; fit turns and shifts b first.
+
+    atoms has compound, pose, atom, x, y and z. A pose becomes one row; the poses of a compound are dealt to blocks of about
+    POSES, and each two blocks meet in one group, so that a compound with many poses spreads over many tasks. Poses with
+    other atoms than each other have no rmsd and no row.
+    """
+    poses = atoms.groupBy("compound", "pose").agg(F.array_sort(F.collect_list(F.struct("atom", *XYZ))).alias("_a"))
+    poses = poses.select("compound", "pose", F.xxhash64(F.transform("_a", lambda x: x["atom"])).alias("shape"), F.flatten(F.transform("_a", lambda x: F.array(*[x[c].cast("double") for c in XYZ]))).alias("xyz"))
+    n = poses.groupBy("compound").agg(F.ceil(F.count("*") / POSES).cast("int").alias("_n"))
+    t = poses.join(n, "compound").withColumn("_s", F.pmod(F.xxhash64("pose"), "_n").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    t = t.select("compound", F.least("_s", "_o").alias("i"), F.greatest("_s", "_o").alias("j"), "_s", "pose", "shape", "xyz")
+    out = T.StructType([atoms.schema["compound"], T.StructField("a", atoms.schema["pose"].dataType), T.StructField("b", atoms.schema["pose"].dataType), T.StructField("rmsd", T.DoubleType())])
+    pa_out = to_arrow_schema(out)
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("pose", "ascending")]))
+        block, shape = group.column("_s").to_numpy(), group.column("shape").to_numpy()
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        first, second, far = [], [], []
+        for k in np.unique(shape):
+            at = np.flatnonzero(shape == k)
+            x = group.column("xyz").take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(len(at), -1, 3)
+            for p in range(len(at) - 1):
+                q = np.arange(p + 1, len(at))
+                if across:
+                    q = q[block[at[q]] != block[at[p]]]
+                if len(q):
+                    mine = np.broadcast_to(x[p], x[q].shape)
+                    far.append(fitted_rmsd(mine, x[q]) if fit else np.sqrt(((mine - x[q]) ** 2).sum((1, 2)) / x.shape[1]))
+                    first.append(np.full(len(q), at[p]))
+                    second.append(at[q])
+        if not far:
+            return pa_out.empty_table()
+        a, b = (pa.array(np.concatenate(v)) for v in (first, second))
+        pose = group.column("pose")
+        return pa.Table.from_arrays([group.column("compound").take(a), pose.take(a), pose.take(b), pa.chunked_array([np.concatenate(far)])], names=pa_out.names).cast(pa_out)
+
+    return t.groupBy("compound", "i", "j").applyInArrow(compare, out)
+
+
 def best_pose(poses: DataFrame, rmsd: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """Per compound its best valid pose and how many other valid ones lie within the threshold. rmsd: (compound, a, b, rmsd)."""
+    """Per compound its best valid pose and how many other valid ones lie within the threshold. rmsd: (compound, a, b, rmsd),
+    each two poses once, in either order."""
     ok = poses.where("valid")
     best = ok.groupBy("compound").agg(F.min_by(F.struct("pose", "score"), F.struct("score", "pose")).alias("_b"), F.count("*").alias("n_valid"))
     best = best.select("compound", F.col("_b.pose").alias("pose"), F.col("_b.score").alias("score"), "n_valid")
-    near = rmsd.join(ok.select("compound", F.col("pose").alias("b")), ["compound", "b"]).where((F.col("rmsd") <= threshold) & (F.col("a") != F.col("b")))
-    n = near.select("compound", F.col("a").alias("pose"), "b").groupBy("compound", "pose").agg(F.count("*").alias("consistent"))
+    close = rmsd.where((F.col("rmsd") <= threshold) & (F.col("a") != F.col("b")))
+    both = close.select("compound", F.col("a").alias("pose"), F.col("b").alias("other")).unionByName(close.select("compound", F.col("b").alias("pose"), F.col("a").alias("other")))
+    near = both.join(best.select("compound", "pose"), ["compound", "pose"]).join(ok.select("compound", F.col("pose").alias("other")), ["compound", "other"])
+    n = near.groupBy("compound", "pose").agg(F.count_distinct("other").alias("consistent"))
     return best.join(n, ["compound", "pose"], "left").fillna(0, ["consistent"])

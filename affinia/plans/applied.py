@@ -217,11 +217,21 @@ def u7_residue_overlap(t):
     return r.crossJoin(F.broadcast(z)).select("a", r6(100.0 * F.size(F.array_intersect("x", "y")) / F.nullif(F.size("y"), F.lit(0))).alias("overlap"))
 
 
-@query(QUERIES, "WITH r AS (SELECT l_partkey AS c, l_suppkey AS a, l_linenumber AS b, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT c, a AS pose, min(q) AS score FROM r GROUP BY 1, 2), best AS (SELECT c, arg_min(pose, row(score, pose)) AS pose, min(score) AS score, count(*) AS n_valid FROM p WHERE score < 40 GROUP BY 1) SELECT c AS compound, pose, score, n_valid FROM best")
+_POSES = """WITH p AS (SELECT label AS compound, vec_id AS pose, CAST(embedding[64] AS DOUBLE) AS score, [CAST(v AS DOUBLE) FOR v IN embedding[1:63]] AS xyz FROM embeddings),
+best AS (SELECT compound, arg_min(pose, row(score, pose)) AS pose, min(score) AS score, count(*) AS n_valid FROM p WHERE score < 0.1 GROUP BY 1),
+n AS (SELECT b.compound, count(*) AS consistent FROM best b JOIN p x ON x.compound = b.compound AND x.pose = b.pose JOIN p y ON y.compound = b.compound AND y.pose <> b.pose AND y.score < 0.1 WHERE sqrt(list_sum([pow(x.xyz[i] - y.xyz[i], 2) FOR i IN range(1, 64)]) / 21) <= 0.27 GROUP BY 1)
+SELECT compound, pose, score, n_valid, coalesce(consistent, 0) AS consistent FROM best LEFT JOIN n USING (compound)"""
+
+
+@query(QUERIES, _POSES)
 def e11_best_pose(t):
-    p = t.lineitem.groupBy(F.col("l_partkey").alias("compound"), F.col("l_suppkey").alias("pose")).agg(F.min("l_quantity").alias("score")).withColumn("valid", F.col("score") < 40)
-    none = p.select("compound", F.col("pose").alias("a"), F.col("pose").alias("b"), F.lit(0.0).alias("rmsd"))
-    return spatial.best_pose(p, none).select("compound", "pose", "score", "n_valid")
+    """The best valid pose of each compound and how many others lie near it: labels are compounds, and a vector's components
+    the coordinates of 21 atoms and a score."""
+    e = t.embeddings.select(F.col("label").alias("compound"), F.col("vec_id").alias("pose"), "embedding")
+    poses = e.select("compound", "pose", F.get("embedding", F.lit(63)).cast("double").alias("score")).withColumn("valid", F.col("score") < 0.1)
+    atoms = e.select("compound", "pose", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("atom"))
+    atoms = atoms.select("compound", "pose", "atom", *[F.get("embedding", F.col("atom") * 3 + i).alias(c) for i, c in enumerate(spatial.XYZ)])
+    return spatial.best_pose(poses, spatial.pose_rmsd(atoms), 0.27)
 
 
 @query(QUERIES, "SELECT o_orderpriority AS disease, c_mktsegment AS gene, count(*) AS n, round(max(o_totalprice), 4) AS score FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")

@@ -10,6 +10,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,6 +94,46 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Run:
+    """A job in a thread of its own, which can be asked how far it is and told to stop."""
+
+    def __init__(self, spark: SparkSession, tag: str, job: Callable[[], object]):
+        from pyspark import InheritableThread
+
+        self.spark, self.tag, self.result, self.error = spark, tag, None, None
+
+        def work():
+            sc = spark.sparkContext
+            sc.addJobTag(tag)
+            sc.setJobGroup(tag, tag, interruptOnCancel=True)
+            try:
+                self.result = job()
+            except Exception as e:  # told by wait()
+                self.error = e
+            finally:
+                sc.removeJobTag(tag)
+
+        self._thread = InheritableThread(target=work)
+        self._thread.start()
+
+    def progress(self) -> tuple[int, int]:
+        """(finished tasks, all tasks) of the stages that Spark knows of this run."""
+        t = self.spark.sparkContext.statusTracker()
+        jobs = [t.getJobInfo(j) for j in t.getJobIdsForGroup(self.tag)]
+        stages = [t.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        return sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s)
+
+    def cancel(self) -> None:
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def wait(self):
+        """The job's result, or its error."""
+        self._thread.join()
+        if self.error:
+            raise self.error
+        return self.result
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 from affinia.session import exists
 
@@ -101,6 +102,39 @@ class PagedReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.int64()), pa.array(range(at, at + len(rows)), pa.int64()), pa.array([json.dumps(r) for r in rows])], names=["page", "offset", "json"])
 
 
+class PagedStreamReader(DataSourceStreamReader):
+    """Offsets are numbers of records, so that a last page that wasn't full goes on where it ended."""
+
+    def __init__(self, options):
+        self.pages = PagedReader(options)
+
+    def initialOffset(self):
+        return {"record": 0}
+
+    def latestOffset(self):
+        p = self.pages
+        return {"record": int(p.total) if p.total is not None else tried(named(p.count), p.tries, p.url)}
+
+    def partitions(self, start, end):
+        p, a, b = self.pages, start["record"], end["record"]
+        calls = [(i, min(p.page, b - i)) for i in range(a, b, p.page)]
+        return [Stretch(calls[k : k + p.per]) for k in range(0, len(calls), p.per)]
+
+    def read(self, partition):
+        return self.pages.read(partition)
+
+
+def followed(spark: SparkSession, out: str, checkpoint: str, **options) -> StreamingQuery:
+    """Take up all records that the checkpoint doesn't know yet, each once, and stop (an extension beside ``resumed``).
+
+    A run that was killed is taken up by the next: Spark's checkpoint has the offsets of the batch that was under way, and the
+    file sink its finished files, so no page is lost or read twice.
+    """
+    spark.dataSource.register(PagedSource)
+    pages = spark.readStream.format("paged").options(**options).load()
+    return pages.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+
 class PagedSource(DataSource):
     """Options: url; page, pages_per_task, tries; fetch and count, functions by name; total, else count(url) is asked;
     done, a JSON list of pages to leave out; lenient, "true" if a page that fails throughout is left out, not an error."""
@@ -115,6 +149,9 @@ class PagedSource(DataSource):
     def reader(self, schema):
         return PagedReader(self.options)
 
+    def streamReader(self, schema):
+        return PagedStreamReader(self.options)
+
 
 def resumed(spark: SparkSession, out: str, **options) -> DataFrame:
     """Fetch the pages that the table at out lacks, add them, and read it. A page that fails is left for the next call."""
