@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinia.llm import _blocks, _text
 from affinia.llm._blocks import fresh
@@ -98,7 +99,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "sig_id", "keys", "sig"])
         _text.release()
 
-    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key long, sig_id binary, keys array<long>, sig binary")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("text_key long, sig_id binary, keys array<long>, sig binary").fields]))
 
 
 def text_key():
@@ -218,7 +219,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, block: int = _bloc
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = _blocks.BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links, kept) for every row of docs; only its doc_id and text are read.
+    """(doc_id, class_id, n_links, kept) for every row of docs; only its doc_id, of any type with an order, and text are read.
 
     Two documents link if the Jaccard similarity of their shingle sets reaches the threshold; a text without words
     (null and empty ones too) links with nothing. class_id is the smallest doc_id that links reach, the row's own

@@ -91,3 +91,11 @@ def test_odd_rows(spark):
     assert list(got[got.doc_id == 40].n_links) == [1, 1]
     assert got[got.doc_id.isna()].class_id.isna().all() and got[got.doc_id.isna()].kept.all()
     assert J.jaccard_classes(empty(d)).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", text(5, 60)), ("a", text(5, 60)), ("c", text(9, 60)), (None, text(5, 60))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in J.jaccard_classes(docs).collect()}
+    assert got == {"a": ("a", 1, True), "b": ("a", 1, False), "c": ("c", 0, True), None: (None, 0, True)}
+    assert sorted(r.doc_id or "" for r in J.one_of_each(docs).collect()) == ["", "a", "c"]
