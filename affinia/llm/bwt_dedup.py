@@ -40,7 +40,7 @@ from affinia.session import bound_batches, forget, free_shuffles, stored, table
 
 LENGTH, GRAM, SIDE = 50, 16, 17
 #: Bytes of text whose anchors one task compares, and bytes of pieces of a group.
-BUCKET_BYTES, GROUP_BYTES = 4 << 20, 4 << 20
+BUCKET_BYTES, GROUP_BYTES = 16 << 20, 4 << 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 #: The bits of an anchor's hash by which anchors meet; the others hold a place in a batch.
@@ -68,10 +68,9 @@ class _Pieces:
             key = np.minimum(key[:-k], key[k:])
             k *= 2
         least = (np.minimum(key[:n], key[width - k : width - k + n]) & _LOW).astype(np.int64)
-        place = np.arange(n)
-        doc = np.searchsorted(off, place, "right") - 1
-        fine = np.flatnonzero(place + length <= off[doc + 1])
-        least, doc = least[fine], doc[fine]
+        each = np.maximum(np.diff(off) - length + 1, 0)  # windows of each text
+        fine = np.repeat(off[:-1] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        least, doc = least[fine], np.repeat(np.arange(len(each)), each)
         new = np.flatnonzero(np.r_[True, (np.diff(least) != 0) | (np.diff(doc) != 0)]) if len(fine) else np.zeros(0, np.int64)
         self.doc, self.start, self.n = doc[new], fine[new], np.diff(np.append(new, len(fine)))
         self.lo, self.at, self.d = self.start - off[self.doc], least[new], h[least[new]].view(np.int64)
@@ -386,6 +385,11 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, version, spans) of rows in which windows also start in a document with a smaller doc_id: their places from
     the first byte to after the last, as start and end, in no order. version is xxhash64(text), which tells rows of one
     doc_id apart; equal rows have one."""
+    return _repeated(docs, length)[0]
+
+
+def _repeated(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What repeated() gives, and the written tables that it reads."""
     spark = docs.sparkSession
     bound_batches(spark)
     t = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
@@ -393,7 +397,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     seeds = stored(_shared_anchors(t, length, 1 + total // BUCKET_BYTES), "seeds")
     free_shuffles(spark)
     by_doc = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("d", "first", "c", "n")).alias("seeds"))
-    found = stored(_places(t.withColumn("version", F.xxhash64("text")).join(by_doc, "doc_id"), length), "places")
+    found = stored(_places(t.withColumn("version", F.xxhash64("text")).join(by_doc, "doc_id"), length), "places", "zstd")
     forget(seeds)
     free_shuffles(spark)
     pieces = found.where("piece IS NOT NULL").select("d", "at", "c", "piece", F.col("doc_id").alias("k"), F.col("n").cast("long").alias("n"))
@@ -405,7 +409,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = F.transform(F.filter("spans", lambda s: s["k"] < F.col("doc_id")), lambda s: F.struct((F.col("place") + s["lo"]).alias("start"), (F.col("place") + s["hi"] + length).alias("end")))
     hits = hits.select("doc_id", "version", spans.alias("spans")).where(F.size("spans") > 0)
     plain = found.where("end IS NOT NULL").select("doc_id", "version", F.array(F.struct("start", "end")).alias("spans"))
-    return hits.unionByName(plain).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return hits.unionByName(plain).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans")), [found, firsts]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -432,12 +436,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     docs = docs.drop(*new)
     version, spans = fresh(docs, "_version", "_spans")
-    found = stored(repeated(docs, length).toDF("doc_id", version, spans), "spans")
+    found, read = _repeated(docs, length)
+    found = stored(found.toDF("doc_id", version, spans), "spans")
+    for x in read:
+        forget(x)
+    free_shuffles(docs.sparkSession)
     ids = stored(found.select("doc_id").distinct(), "ids")
     named = docs.withColumn(version, F.xxhash64("text"))
-    hit = _blocks.by_ids(named, ids, "doc_id", "left_semi").join(found, ["doc_id", version], "left")
-    rest = _blocks.by_ids(named, ids, "doc_id", "left_anti").withColumn(spans, F.lit(None).cast(found.schema[spans].dataType))
-    both = hit.unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{spans}`"))
+    hit = _blocks.by_ids(named, ids, "doc_id", "left_semi").join(found, ["doc_id", version], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{spans}`"))
+    rest = _blocks.by_ids(docs, ids, "doc_id", "left_anti")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    rest = rest.select(*[F.col(f"`{c}`") for c in docs.columns], raw.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     out = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, n_spans long").fields])
     at = docs.columns.index("text")
 
@@ -454,7 +463,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 runs.append(len(cuts))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=out.names)
 
-    return both.mapInArrow(run, out)
+    return hit.mapInArrow(run, out).unionByName(rest)
 
 
 def op13_bwt_dedup(spark, sf_dir: str) -> DataFrame:
