@@ -44,9 +44,9 @@ def test_document_clusters_take_every_row(spark, tmp_path):
 
 
 def test_the_most_significant_targets_stay(spark, sf, monkeypatch):
-    from affinia.plans import evaluation
+    from affinia.plans import models
 
-    monkeypatch.setattr(evaluation, "_sea", lambda t: spark.createDataFrame([(1, "far", 50.0, 10), (1, "near", 3.3, 10)], "qid long, target string, raw double, n long"))
+    monkeypatch.setattr(models, "_sea", lambda t: spark.createDataFrame([(1, "far", 50.0, 10), (1, "near", 3.3, 10)], "qid long, target string, raw double, n long"))
     got = {r.target: r.p_value for r in catalogue.queries()["m18_x11_sea_pvalue"](spark, sf).collect()}
     assert set(got) == {"far", "near"} and got["far"] <= 0.0001 < got["near"]
 
