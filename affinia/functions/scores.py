@@ -119,6 +119,9 @@ def tone(task: Column, polarity: Column, value: Column, high: float = 0.70, midd
     return F.when((task != "class") | (polarity == "neutral") | value.isNull(), "neutral").when(polarity == "risk", graded("bad", "warn", "good")).otherwise(graded("good", "warn", "bad"))
 
 
+# The names of tiers, classes and verdicts from here on are fixed values of the output, and so are their thresholds.
+
+
 def confidence_tier(in_domain: Column, rmse: Column) -> Column:
     return F.when(~in_domain, "out").when(rmse.isNull(), "med").when(rmse <= 0.5, "high").when(rmse <= 1.0, "med").otherwise("low")
 

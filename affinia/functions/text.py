@@ -25,12 +25,14 @@ def contains_any(query: str, *columns: Column) -> Column:
 def record_entries(summary: Column) -> Column:
     """'ID (res=..., ...) ligands: A=x (1 Da); ...' entries joined by ' | ', as an array of (id, ligands) in order."""
     parts = F.split(summary, r" \| ")
+    # Fixed by the format: how an entry is written.
     pick = lambda x, g: F.regexp_extract(F.trim(x), r"(?s)^(\S+)\s+\(res=[^)]*\)\s+ligands:\s*(.*)$", g)
     return F.filter(F.transform(parts, lambda x: F.struct(pick(x, 1).alias("id"), pick(x, 2).alias("ligands"))), lambda s: s["id"] != "")
 
 
 def ligand_masses(ligands: Column) -> Column:
     """(name, mass) of every 'NAME=text (MASS Da)'."""
+    # Fixed by the format: how a ligand is written.
     pattern = lit(r"(?s)([A-Za-z0-9]{1,5})=[^;]*?\((\d+(?:\.\d+)?)\s*Da\)")
     return F.transform(F.arrays_zip(F.regexp_extract_all(ligands, pattern, lit(1)).alias("name"), F.regexp_extract_all(ligands, pattern, lit(2)).alias("mass")), lambda x: F.struct(F.upper(x["name"]).alias("name"), x["mass"].cast("double").alias("mass")))
 
