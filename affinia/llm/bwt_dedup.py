@@ -394,7 +394,7 @@ def _repeated(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]
     bound_batches(spark)
     t = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    seeds = stored(_shared_anchors(t, length, 1 + total // BUCKET_BYTES), "seeds")
+    seeds = stored(_shared_anchors(t, length, 1 + total // BUCKET_BYTES), "seeds", "zstd")
     free_shuffles(spark)
     by_doc = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("d", "first", "c", "n")).alias("seeds"))
     found = stored(_places(t.withColumn("version", F.xxhash64("text")).join(by_doc, "doc_id"), length), "places", "zstd")
@@ -402,7 +402,7 @@ def _repeated(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]
     free_shuffles(spark)
     pieces = found.where("piece IS NOT NULL").select("d", "at", "c", "piece", F.col("doc_id").alias("k"), F.col("n").cast("long").alias("n"))
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    firsts = stored(_firsts(_halves(pieces, length), length, 1 + size // GROUP_BYTES), "firsts")
+    firsts = stored(_firsts(_halves(pieces, length), length, 1 + size // GROUP_BYTES), "firsts", "zstd")
     free_shuffles(spark)
     places = found.where("end IS NULL").select("c", "doc_id", "version", F.col("start").alias("place"))
     hits = by_count(places, firsts, "c", "n", firsts.agg(F.sum("n")).first()[0] or 0, "inner")
