@@ -105,5 +105,8 @@ def unleaked(key: str = "vec_id") -> Column:
 
 
 def without_leaks(queries: DataFrame, rows: DataFrame, cutoff: float, key: str = "vec_id", second: DataFrame | None = None) -> DataFrame:
-    """(qid, key) of the rows that a query may be compared with: none of cutoff or more by either fingerprint, not itself."""
+    """(qid, key) of the rows that a query may be compared with: none of cutoff or more by either fingerprint, not itself.
+    By one fingerprint the pair's own similarity tells, so no query carries a list of leaks."""
+    if second is None:
+        return similarities(queries, rows, keep=F.col("qid") != F.col(key)).where(F.col("t") < cutoff).select("qid", key)
     return similarities(with_leaks(queries, rows, cutoff, key, second), rows, keep=unleaked(key)).select("qid", key)
