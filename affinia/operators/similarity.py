@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from affinia.functions import bits
 from affinia.functions.scores import evidence_score
 
-QUERY_BLOCK = 4096
-#: From so many queries on, a table of at most so many bytes a core is dealt anew.
-MANY_QUERIES, SMALL_BYTES = 32, 4 << 20
+QUERY_BLOCK = 1 << 15
+#: From so many queries on, rows are dealt anew, so that a task has so many pairs at most, however the files are cut.
+MANY_QUERIES, TASK_PAIRS = 32, 20_000_000
 
 
 def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words: int = 1, keep: Column | None = None) -> DataFrame:
@@ -22,14 +22,15 @@ def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words:
 
     Above 0 the join is on popcounts: each query is repeated for the bands of popcounts that can reach it, so a row meets
     only queries of its band, and only popcounts that fit exactly go on to the bits. At 0 every pair is wanted.
-    One word is taken out of its array before the join. Rows whose estimated size is small, as those of one file are,
-    are dealt to all cores first, as the work is in the pairs; larger tables have parts enough and stay where they are.
+    One word is taken out of its array before the join. Rows are dealt to all cores first, as the work is in the pairs.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if n >= MANY_QUERIES and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_BYTES * cores:
-        rows = rows.repartition(cores)
+    parts = cores
+    if n >= MANY_QUERIES:
+        parts = max(cores, -(-n * rows.count() // TASK_PAIRS))
+        rows = rows.repartition(parts)
     t = bits.tanimoto(F.col("fp"), F.col("qfp"), F.col("pop"), F.col("qpop"), words)
     if words == 1:
         first = lambda df, c: df.withColumn(c, F.get(c, F.lit(0)))
@@ -39,8 +40,10 @@ def similarities(queries: DataFrame, rows: DataFrame, least: float = 0.0, words:
         t = F.when(union > 0, shared.cast("double") / union).otherwise(F.lit(0.0))
     on = []
     if blocks > 1:  # each row meets every block of queries once; a block is a key of the join, not a plan of its own
-        queries = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-        rows, on = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["_block"]
+        deals = -(-parts // blocks)  # a block's queries meet as many deals of rows, so that there are keys for all tasks
+        deal = F.pmod(F.xxhash64(*rows.columns), F.lit(deals)).cast("int")
+        queries = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        rows, on = rows.withColumn("_deal", deal).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["_block", "_deal"]
     if least > 0:
         # Bands as wide as the fingerprint has words: 64 of them at most.
         low, high = F.floor(F.col("qpop") * least / words), F.floor(F.col("qpop") / (least * words))
