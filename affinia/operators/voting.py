@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.functions.scores import potency_weight
 from affinia.operators.similarity import top
+from affinia.session import stored
 
 DENSE_AT, DENSE_FROM, POOL, CAP = 0.5, 8, 10, 300
 
@@ -40,6 +41,18 @@ def orthologue_votes(hits: DataFrame, least: float, distinct: bool = False, comp
     return got.groupBy("qid", "target").agg(F.count("*").cast("double").alias("score"))
 
 
+#: Neighbours that are sent to the tasks; more meet the pairs by a shuffle.
+SENT = 4_000_000
+
+
+def votes_in_place(near: DataFrame, pairs: DataFrame, weight: Column, compound: str = "compound") -> DataFrame:
+    """(qid, target, score): weight summed over the pairs of each query's neighbours. pairs are dealt by target, so they are
+    summed up where they lie and no table of neighbours' pairs is shuffled."""
+    near = stored(near, "near")
+    near = F.broadcast(near) if near.count() <= SENT else near
+    return pairs.join(near, compound).groupBy("qid", "target").agg(F.sum(weight).alias("score"))
+
+
 def best_similarity(hits: DataFrame, compound: str = "compound") -> DataFrame:
     """Best similarity a target, with the compound that has it and that compound's own potency."""
     best = F.max_by(F.struct(F.col(compound).alias("c"), F.col("pchembl").alias("p")), F.struct(F.col("t"), -F.col(compound)))
